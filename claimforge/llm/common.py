@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,18 +56,23 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.label, self.paths = spark, label, {}
 
-    def write(self, name: str, df: DataFrame) -> DataFrame:
-        path = scratch_path(self.spark, f"{self.label}-{name}")
+    @contextlib.contextmanager
+    def cleaning(self):
+        """Asks Spark to drop the shuffle files of each action run inside, once it has ended."""
         before = self.spark.conf.get(self.CLEANUP, None)
         self.spark.conf.set(self.CLEANUP, "true")
         try:
-            # Another frame over the same plan, so that the setting holds for the execution of this action.
-            df.write.option("compression", "zstd").parquet(path)
+            yield
         finally:
             if before is None:
                 self.spark.conf.unset(self.CLEANUP)
             else:
                 self.spark.conf.set(self.CLEANUP, before)
+
+    def write(self, name: str, df: DataFrame) -> DataFrame:
+        path = scratch_path(self.spark, f"{self.label}-{name}")
+        with self.cleaning():
+            df.write.option("compression", "zstd").parquet(path)
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -135,7 +142,7 @@ def text_chunks(batches: Iterable[pa.RecordBatch], text: int = 1, limit: int = C
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0), np.int64)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), np.int64)
         part = (np.cumsum(sizes) - sizes) // limit
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):

@@ -7,18 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat_format import OP2_SQL, op2_chat_format
+from .decontaminate import OP1_SQL, op1_decontaminate
 from .quality_rules import op6_quality_rules, op6_sql
+from .token_output import op5_token_output
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontaminate": op1_decontaminate,
         "op2_chat_format": op2_chat_format,
+        "op5_token_output": op5_token_output,
         "op6_quality_rules": op6_quality_rules,
     }
 
 
 def llm_sql() -> dict[str, str]:
     return {
+        "op1_decontaminate": OP1_SQL,
         "op2_chat_format": OP2_SQL,
         "op6_quality_rules": op6_sql(),
     }
