@@ -119,15 +119,51 @@ ALNUM_TABLE = bytes(
 )
 
 
-class WordHashes(dict):
-    """word bytes -> 64-bit hash, computed once per distinct word and worker; emptied when it grows large."""
+class Memo(dict):
+    """A memo of bounded size in two generations: when it is full, it becomes the old one, and what is asked for again
+    moves back. Values come from ``compute``. Workers are reused, so a memo made by ``worker_memo`` outlives a task."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO_ENTRIES:
+    def __init__(self, entries: int = MEMO_ENTRIES):
+        super().__init__()
+        self.old: dict = {}
+        self.entries = entries
+
+    def compute(self, key):
+        raise NotImplementedError
+
+    def keep(self, key, value) -> None:
+        if len(self) >= self.entries:
+            self.old = dict(self)
             self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
+        self[key] = value
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+        if len(key) < 100:
+            self.keep(key, value)
         return value
 
+
+_memos: dict = {}
+
+
+def worker_memo(key: tuple, make):
+    """One memo for each key in a Python worker; ``make`` makes it. Only the last few keys stay."""
+    if key not in _memos:
+        if len(_memos) >= 3:
+            _memos.clear()
+        _memos[key] = make()
+    return _memos[key]
+
+
+class WordHashes(Memo):
+    """word bytes -> 64-bit hash."""
+
+    def compute(self, word: bytes) -> int:
+        return xxhash.xxh3_64_intdigest(word)
+
     def array(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 

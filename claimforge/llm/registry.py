@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat_format import OP2_SQL, op2_chat_format
 from .decontaminate import OP1_SQL, op1_decontaminate
 from .mixing import op4_mixing
+from .near_dedup import op3_near_dedup
 from .quality_rules import op6_quality_rules, op6_sql
 from .token_counts import op9_token_counts
 from .token_output import op5_token_output
@@ -18,6 +19,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
         "op2_chat_format": op2_chat_format,
+        "op3_near_dedup": op3_near_dedup,
         "op4_mixing": op4_mixing,
         "op5_token_output": op5_token_output,
         "op6_quality_rules": op6_quality_rules,
