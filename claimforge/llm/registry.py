@@ -11,6 +11,7 @@ from .decontaminate import OP1_SQL, op1_decontaminate
 from .mixing import op4_mixing
 from .near_dedup import op3_near_dedup
 from .quality_rules import op6_quality_rules, op6_sql
+from .substring_dedup import OP8_SQL, op8_substring_dedup
 from .token_counts import op9_token_counts
 from .token_output import op5_token_output
 
@@ -23,6 +24,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_mixing": op4_mixing,
         "op5_token_output": op5_token_output,
         "op6_quality_rules": op6_quality_rules,
+        "op8_substring_dedup": op8_substring_dedup,
         "op9_token_counts": op9_token_counts,
     }
 
@@ -32,4 +34,5 @@ def llm_sql() -> dict[str, str]:
         "op1_decontaminate": OP1_SQL,
         "op2_chat_format": OP2_SQL,
         "op6_quality_rules": op6_sql(),
+        "op8_substring_dedup": OP8_SQL,
     }
