@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat_format import OP2_SQL, op2_chat_format
 from .decontaminate import OP1_SQL, op1_decontaminate
+from .language_id import op10_language_id
 from .mixing import op4_mixing
 from .near_dedup import op3_near_dedup
+from .quality_classifier import op7_quality_classifier
 from .quality_rules import op6_quality_rules, op6_sql
 from .substring_dedup import OP8_SQL, op8_substring_dedup
 from .token_counts import op9_token_counts
@@ -24,8 +26,10 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_mixing": op4_mixing,
         "op5_token_output": op5_token_output,
         "op6_quality_rules": op6_quality_rules,
+        "op7_quality_classifier": op7_quality_classifier,
         "op8_substring_dedup": op8_substring_dedup,
         "op9_token_counts": op9_token_counts,
+        "op10_language_id": op10_language_id,
     }
 
 
