@@ -20,13 +20,14 @@ to the longest piece. Repeated rows are counted each on its own. Other columns a
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import MEMO_ENTRIES, read_table, text_chunks
+from .common import Memo, read_table, text_chunks, worker_memo
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -44,10 +45,11 @@ def zipf_vocabulary(path: str | None = None) -> list[tuple[str, float]]:
     return [(model.id_to_piece(i), -math.log(i + 1.0)) for i in range(model.get_piece_size())]
 
 
-class UnigramCounter(dict):
-    """text between spaces, with its leading ``▁`` -> number of tokens; emptied when it grows large."""
+class UnigramCounter(Memo):
+    """text between spaces, with its leading ``▁`` -> number of tokens."""
 
     def __init__(self, vocabulary: list[tuple[str, float]], unknown_piece: str = "<unk>"):
+        super().__init__()
         self.unknown_piece = unknown_piece
         self.automaton = ahocorasick.Automaton()
         for piece, score in vocabulary:
@@ -58,13 +60,8 @@ class UnigramCounter(dict):
         self.by_bytes = all(f"<0x{b:02X}>" in pieces for b in range(256))
         self.unknown = min(s for _, s in vocabulary) - UNKNOWN_PENALTY
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= MEMO_ENTRIES:
-            self.clear()
-        value = self.viterbi(word)
-        if len(word) < 100:
-            self[word] = value
-        return value
+    def compute(self, word: str) -> int:
+        return self.viterbi(word)
 
     def viterbi(self, word: str) -> int:
         n, unknown, lone = len(word), self.unknown, self.unknown_piece
@@ -122,12 +119,14 @@ def count_tokens(docs: DataFrame, vocabulary: list[tuple[str, float]]) -> DataFr
     """Adds n_tokens."""
     docs = docs.drop("n_tokens")
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # as large as the tokenizer, whatever the input
+    key = ("unigram", zlib.crc32(repr(vocabulary).encode()))
     at = docs.columns.index("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = None
         for batch in text_chunks(batches, at):
-            counter = counter or UnigramCounter(shared.value)
+            if counter is None:
+                counter = worker_memo(key, lambda: UnigramCounter(shared.value))
             counts = [counter.count(t) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64())], names=[*batch.schema.names, "n_tokens"])
 

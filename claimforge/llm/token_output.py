@@ -10,7 +10,8 @@ that runs again replaces its own file by the same bytes.
 
 Tokenizing: a text is cut before each single space that stands between two characters that are no white space. The
 byte-level pre-tokenizer always cuts there, and no merge crosses such a cut, so the pieces' ids in a row are the ids of
-the whole text; pieces that recur are encoded once per worker. The tests hold this against whole-text encoding.
+the whole text; pieces that recur are encoded once per worker, and new ones together, joined by line breaks, which such
+a pre-tokenizer keeps apart. The tests hold this against whole-text encoding.
 
 Cases: null and empty texts give the end id alone. Repeated rows are repeated documents. An empty table gives no files.
 Only doc_id and text are read.
@@ -18,6 +19,7 @@ Only doc_id and text are read.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -31,11 +33,32 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MEMO_ENTRIES, Scratch, read_table, scratch_path
+from .common import Memo, Scratch, read_table, scratch_path, text_chunks, worker_memo
 
 MAGIC = b"CFTOKID1"
 FOOTER = struct.Struct("<QQQQQQ8s")  # bits, block_ids, documents, ids, blocks, footer bytes before this, magic
+#: Pieces in one generation of a worker's memo, about 220 bytes each.
+PIECE_ENTRIES = 700_000
 _cut = re.compile(r"(?<=\S)(?= \S)").split
+_odd_space = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
+#: Pieces whose line breaks, inside and after them, are tokens of their own.
+_plain = re.compile(r" ?\S+(?:\n\S+)*").fullmatch
+
+
+def _keys(text: str) -> list[str]:
+    """The pieces of a text as memo keys: one that follows a space is its own key, any other comes after a line break."""
+    beside = ("  ", "\n ", " \n", "\t ", " \t", "\r ", " \r")
+    if text[0] != " " and text[-1] != " " and not any(x in text for x in beside) and not _odd_space(text):
+        keys = text.split(" ")  # each space stands between two characters that are no white space
+    else:
+        first, *rest = _cut(text)
+        keys = [first, *(p[1:] for p in rest)]
+    keys[0] = "\n" + keys[0]
+    return keys
+
+
+def _piece(key: str) -> str:
+    return key[1:] if key[0] == "\n" else " " + key
 
 
 @dataclass(frozen=True)
@@ -52,27 +75,39 @@ class TokenOutput:
         return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class PieceIds(dict):
-    """piece of text -> its ids as little-endian 32-bit bytes; emptied when it grows large."""
+class PieceIds(Memo):
+    """Memo key of a piece of text -> its ids as little-endian 32-bit bytes."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         from tokenizers import Tokenizer
 
+        super().__init__(PIECE_ENTRIES)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= MEMO_ENTRIES:
-            self.clear()
-        ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        value = np.array(ids, "<u4").tobytes()
-        if len(piece) < 100:
-            self[piece] = value
-        return value
-
-    def encode(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, _cut(text))) if text else b""
+        line = self.tokenizer.encode("a\na\n a", add_special_tokens=False).ids
+        # None if this tokenizer has no token of its own for a line break; then pieces are encoded one by one.
+        self.line_id = line[1] if len(line) == 5 and line[1] == line[3] != line[0] else None
+
+    def compute(self, key: str) -> bytes:
+        return np.array(self.tokenizer.encode(_piece(key), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text. Pieces that the memo lacks go to the tokenizer together, one a line."""
+        cut = [_keys(t) if t else [] for t in texts]
+        new = [p for p in set().union(*cut) if p not in self and p not in self.old]
+        plain = [p for p in new if _plain(_piece(p))] if self.line_id is not None else []
+        for a in range(0, len(plain), 1024):
+            part = plain[a : a + 1024]
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(map(_piece, part))], add_special_tokens=False)[0].ids, "<u4")
+            ends, raw, at = [*np.flatnonzero(ids == self.line_id).tolist(), len(ids)], ids.tobytes(), 0
+            k = -1
+            for key in part:
+                k += 1 + key.count("\n", 1)
+                self.keep(key, raw[4 * at : 4 * ends[k]])
+                at = ends[k] + 1
+        return [b"".join(map(self.__getitem__, pieces)) for pieces in cut]
 
 
 def bits_of(vocabulary: int) -> int:
@@ -198,13 +233,13 @@ def write_token_files(docs: DataFrame, folder: str, how: TokenOutput = TokenOutp
         own = f"{top}/.part-{part:06d}-{TaskContext.get().taskAttemptId()}"
         pieces = writer = None
         with store.open_output_stream(own) as sink:
-            for batch in batches:
+            for batch in text_chunks(batches):
                 if writer is None:
-                    pieces = PieceIds(path)
+                    pieces = worker_memo(("pieces", path), lambda: PieceIds(path))
                     writer = TokenWriter(sink, bits_of(pieces.tokenizer.get_vocab_size()), how.block_ids)
                 end = np.array([how.end_id], "<u4").tobytes()
-                for doc, text in zip(batch.column(0), batch.column(1)):
-                    writer.add(doc.as_py(), pieces.encode(text.as_py()) + end)
+                for doc, ids in zip(batch.column(0).to_pylist(), pieces.encode_all(batch.column(1).to_pylist())):
+                    writer.add(doc, ids + end)
             if writer:
                 writer.close()
         if not writer:
@@ -214,7 +249,7 @@ def write_token_files(docs: DataFrame, folder: str, how: TokenOutput = TokenOutp
         row = {"part": [part], "path": [f"{folder}/part-{part:06d}.tok"], "docs": [len(writer.docs)], "ids": [writer.n_ids]}
         yield pa.RecordBatch.from_pydict(row, pa.schema([("part", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())]))
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     with Scratch(spark, "tokens").cleaning():
         rows = ordered.mapInArrow(run, "part int, path string, docs long, ids long").collect()
     return [r.asDict() for r in sorted(rows, key=lambda r: r.part)]
