@@ -12,8 +12,8 @@ No stage emits all pairs of a group:
 * in a bucket, members are compared with one pivot, the member with the most company over all its buckets. Components of
   the links so far are then formed, and buckets that lie in one component are done. Others lose their pivot, which has
   been compared with all that it isn't connected with, and take the next one;
-* after ``pivot_rounds`` rounds the members of a bucket that are still in different components are compared with each
-  other, so that no candidate is left out.
+* after ``pivot_rounds`` rounds the members of a bucket that are still in different components are searched for links by
+  what they don't share with one more pivot (`_rest_links`), so that no candidate is left out.
 
 At a similarity of 0.8 a pair of representatives shares no bucket with probability (1 - 0.8^rows)^bands, 1.6e-6 by
 default, and less above; with many paths between copies it is less still.
@@ -30,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -44,7 +44,7 @@ class NearDedup:
     percent: int = 80
     bands: int = 44
     rows: int = 6
-    pivot_rounds: int = 4
+    pivot_rounds: int = 2
 
 
 def shingle_sets(texts: list[str | None], k: int, memo: WordHashes) -> tuple[np.ndarray, np.ndarray]:
@@ -133,6 +133,77 @@ def _linked(pairs: DataFrame, sets: DataFrame, how: NearDedup) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(both * 100 >= union * how.percent).select("a", "b").distinct()
 
 
+def _fits(x: Column, y: Column, how: NearDedup) -> Column:
+    """Whether sets of these sizes can be similar enough at all."""
+    return F.least(x, y) * 100 >= F.greatest(x, y) * how.percent
+
+
+def _open(scratch: Scratch, name: str, members: DataFrame, comps: DataFrame | None) -> DataFrame | None:
+    """Members, with their components, of the buckets that hold several components; None if there are none."""
+    if comps is None:
+        return members.withColumn("comp", F.col("id"))
+    known = members.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    split = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    side = scratch.write(f"{name}-open", known.join(scratch.write(f"{name}-split", split), "key", "left_semi"))
+    return None if side.isEmpty() else side
+
+
+def _pivots(side: DataFrame) -> DataFrame:
+    """The member of most weight of each bucket: key, pivot, pn (its set size), pcomp."""
+    best = side.groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"), "n", "comp")).alias("p"))
+    return best.select("key", (-F.col("p.minus")).alias("pivot"), F.col("p.n").alias("pn"), F.col("p.comp").alias("pcomp"))
+
+
+def _rest_links(scratch: Scratch, side: DataFrame, sets: DataFrame, how: NearDedup) -> DataFrame:
+    """All links between different components inside the buckets of ``side``, without comparing all pairs.
+
+    Each bucket takes one more pivot p, and every member x is cut into what p has too and the rest x - p. Of two members
+    that aren't connected one, x, is no link of p. For any y, |x and y| <= min(|x and p|, |y and p|) + |rests in common|,
+    and a link needs an overlap of o = percent * (|x| + |y|) / (100 + percent). If |x and p| < o, the rests have at least
+    need = o - |x and p| shingles in common, so y has one of the |x - p| - need + 1 rarest of x - p. Those meet by
+    shingle. If |x and p| >= o, y must have as large a common part, which few can while x is no link of p. Sizes of y are
+    taken in classes, so that o is known before y is.
+    """
+    pivots = scratch.write("rest-pivots", _pivots(side).select("key", "pivot"))
+    group = side.join(pivots, "key").where("id <> pivot").select("pivot", "id", "n", "comp").distinct()
+    own = sets.select("id", "s")
+    centre = sets.select(F.col("id").alias("pivot"), F.col("s").alias("ps"))
+    cut = group.join(own, "id").join(centre, "pivot").select(
+        "pivot", "id", "n", "comp", F.size("ps").alias("pn"),
+        F.size(F.array_intersect("s", "ps")).alias("common"), F.array_except("s", "ps").alias("rest"),
+        F.floor(F.log("n") / F.log(F.lit(1.02))).alias("class"),
+    )
+    cut = scratch.write("rest-cut", cut)
+    linked = F.col("common") * 100 >= (F.col("n") + F.col("pn") - F.col("common")) * how.percent
+    direct = cut.where(linked).select(F.col("pivot").alias("a"), F.col("id").alias("b"))
+
+    classes = scratch.write("rest-classes", cut.groupBy("pivot", "class").agg(F.min("n").alias("least"), F.max("n").alias("most")))
+    far = cut.where(~linked).select("pivot", "id", "n", "comp", "common", "rest").join(classes, "pivot")
+    far = far.where((F.col("most") * 100 >= F.col("n") * how.percent) & (F.col("n") * 100 >= F.col("least") * how.percent))
+    overlap = F.ceil(how.percent * (F.col("n") + F.col("least")) / (100 + how.percent))
+    far = scratch.write("rest-far", far.withColumn("need", overlap - F.col("common")))
+    other = cut.select("pivot", "class", F.col("id").alias("oid"), F.col("n").alias("on"), F.col("comp").alias("ocomp"), F.col("common").alias("ocommon"), F.col("rest").alias("orest"))
+    apart = (F.col("comp") != F.col("ocomp")) & _fits(F.col("n"), F.col("on"), how)
+
+    rich = far.where("need <= 0").drop("rest", "least", "most", "need").join(other.drop("orest"), ["pivot", "class"])
+    rich = rich.where(apart & (F.least("common", "ocommon") * (100 + how.percent) >= how.percent * (F.col("n") + F.col("on"))))
+    # The condition above leaves out pairs with rests in common; those of rich x meet by any shingle of the rest.
+    tokens = scratch.write("rest-tokens", other.select("pivot", "class", "oid", "on", "ocomp", F.explode("orest").alias("token")))
+    often = scratch.write("rest-often", tokens.groupBy("pivot", "token").agg(F.count(F.lit(1)).alias("k")))
+    lean = far.where(F.size("rest") >= F.greatest("need", F.lit(1)))
+    lean = lean.withColumn("take", F.size("rest") - F.greatest("need", F.lit(1)) + 1)
+    listed = lean.select("pivot", "id", "n", "comp", "class", "take", F.explode("rest").alias("token")).join(often.where("k > 1"), ["pivot", "token"], "left")
+    listed = listed.groupBy("pivot", "id", "n", "comp", "class", "take").agg(
+        F.sort_array(F.collect_list(F.struct(F.coalesce("k", F.lit(1)).alias("k"), "token"))).alias("t")
+    )
+    listed = listed.select("pivot", "id", "n", "comp", "class", F.explode(F.slice("t", F.lit(1), F.col("take"))).alias("t"))
+    listed = scratch.write("rest-prefix", listed.where("t.k > 1").select("pivot", "id", "n", "comp", "class", F.col("t.token").alias("token")))
+    met = listed.join(tokens, ["pivot", "class", "token"]).where(apart)
+    pairs = met.select("id", "oid").union(rich.select("id", "oid"))
+    pairs = scratch.write("rest-pairs", pairs.select(F.least("id", "oid").alias("a"), F.greatest("id", "oid").alias("b")).distinct())
+    return direct.union(scratch.write("rest-found", _linked(pairs, sets, how)))
+
+
 def near_duplicates(docs: DataFrame, how: NearDedup = NearDedup()) -> DataFrame:
     """id, n_shingles and component of each row of doc_id, text, in any order.
 
@@ -163,38 +234,22 @@ def near_duplicates(docs: DataFrame, how: NearDedup = NearDedup()) -> DataFrame:
     same_id = grouped.groupBy("id").agg(F.min("rep").alias("a"), F.collect_set("rep").alias("reps")).where("size(reps) > 1")
     links = scratch.write("same-id", same_id.select("a", F.explode("reps").alias("b")))
     comps = None
-    fits = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * how.percent)  # noqa: E731  else no set overlap is enough
-    for turn in range(how.pivot_rounds + 1):
-        open_ = members
-        if comps is not None:
-            known = members.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-            split = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-            split = scratch.write(f"split{turn}", split)
-            open_ = scratch.write(f"open{turn}", known.join(split, "key", "left_semi"))
-            if open_.isEmpty():
-                break
-        comp = F.col("comp") if comps is not None else F.col("id")
-        side = open_.select("key", "id", "n", "weight", comp.alias("comp"))
-        if turn < how.pivot_rounds:
-            other = side.groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"), "n", "comp")).alias("p"))
-            other = other.select("key", (-F.col("p.minus")).alias("pivot"), F.col("p.n").alias("pn"), F.col("p.comp").alias("pcomp"))
-            other = scratch.write(f"pivots{turn}", other)
-        else:
-            other = side.select("key", F.col("id").alias("pivot"), F.col("n").alias("pn"), F.col("comp").alias("pcomp"))
-        met = side.join(other, "key")
-        pairs = met.where((F.col("comp") != F.col("pcomp")) & fits(F.col("n"), F.col("pn")))
-        pairs = pairs.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-        pairs = scratch.write(f"pairs{turn}", pairs)
-        if turn:
-            for before in range(turn):
-                pairs = pairs.join(scratch.spark.read.parquet(scratch.paths[f"pairs{before}"]), ["a", "b"], "left_anti")
-        found = scratch.write(f"found{turn}", _linked(pairs, sets, how))
-        links = links.union(found)
+    for turn in range(how.pivot_rounds):
+        side = _open(scratch, f"turn{turn}", members, comps)
+        if side is None:
+            break
+        pivots = scratch.write(f"pivots{turn}", _pivots(side))
+        met = side.join(pivots, "key")
+        pairs = met.where((F.col("comp") != F.col("pcomp")) & _fits(F.col("n"), F.col("pn"), how))
+        pairs = scratch.write(f"pairs{turn}", pairs.select("id", "pivot").distinct())
+        links = links.union(scratch.write(f"found{turn}", _linked(pairs.toDF("a", "b"), sets, how)))
         comps = connected_components(scratch, f"turn{turn}", links)
-        if turn < how.pivot_rounds:
-            # The pivot has met all that it isn't connected with; the rest of its bucket goes on without it.
-            rest = met.where("id <> pivot").select("key", "id", "n", "weight")
-            members = scratch.write(f"members{turn}", rest)
+        # A pivot has met all that it isn't connected with; the rest of its bucket goes on without it.
+        members = scratch.write(f"members{turn}", met.where("id <> pivot").select("key", "id", "n", "weight"))
+    side = _open(scratch, "rest", members, comps)
+    if side is not None:
+        links = links.union(_rest_links(scratch, side, sets, how))
+        comps = connected_components(scratch, "all", links)
 
     out = grouped.join(comps.withColumnRenamed("id", "rep"), "rep", "left")
     return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component"))
