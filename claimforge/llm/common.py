@@ -137,6 +137,12 @@ class Memo(dict):
             self.clear()
         self[key] = value
 
+    def keep_all(self, values: dict) -> None:
+        if len(self) + len(values) > self.entries:
+            self.old = dict(self)
+            self.clear()
+        self.update(values)
+
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:

@@ -38,27 +38,36 @@ from .common import Memo, Scratch, read_table, scratch_path, text_chunks, worker
 MAGIC = b"CFTOKID1"
 FOOTER = struct.Struct("<QQQQQQ8s")  # bits, block_ids, documents, ids, blocks, footer bytes before this, magic
 #: Pieces in one generation of a worker's memo, about 220 bytes each.
-PIECE_ENTRIES = 700_000
+PIECE_ENTRIES = 800_000
 _cut = re.compile(r"(?<=\S)(?= \S)").split
 _odd_space = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
 #: Pieces whose line breaks, inside and after them, are tokens of their own.
 _plain = re.compile(r" ?\S+(?:\n\S+)*").fullmatch
 
 
+#: Points and commas that end a word, and line breaks after them, are pieces of their own.
+_stops = re.compile(r"[.,](?<=[^\W\d_].)(?=[ \n])").sub
+_lines = re.compile(r"(?<=\x01[.,]\n)(?=\S)").sub
+
+
 def _keys(text: str) -> list[str]:
-    """The pieces of a text as memo keys: one that follows a space is its own key, any other comes after a line break."""
+    """The pieces of a text as memo keys. A piece that begins with a space is its own key without it; any other comes
+    after a \x01."""
+    if "\x01" in text:
+        return ["\x01" + text]
     beside = ("  ", "\n ", " \n", "\t ", " \t", "\r ", " \r")
     if text[0] != " " and text[-1] != " " and not any(x in text for x in beside) and not _odd_space(text):
-        keys = text.split(" ")  # each space stands between two characters that are no white space
+        # Each space stands between two characters that are no white space.
+        keys = _lines(" \x01", _stops(" \x01\\g<0>", text)).split(" ")
     else:
         first, *rest = _cut(text)
         keys = [first, *(p[1:] for p in rest)]
-    keys[0] = "\n" + keys[0]
+    keys[0] = "\x01" + keys[0]
     return keys
 
 
 def _piece(key: str) -> str:
-    return key[1:] if key[0] == "\n" else " " + key
+    return key[1:] if key[0] == "\x01" else " " + key
 
 
 @dataclass(frozen=True)
@@ -96,7 +105,17 @@ class PieceIds(Memo):
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text. Pieces that the memo lacks go to the tokenizer together, one a line."""
         cut = [_keys(t) if t else [] for t in texts]
-        new = [p for p in set().union(*cut) if p not in self and p not in self.old]
+        keys = list(set().union(*cut))
+        # One look into the large memo for each distinct piece; the texts are put together from a small dict.
+        local = dict(zip(keys, map(self.get, keys)))
+        new = []
+        for key in [k for k, ids in local.items() if ids is None]:
+            ids = self.old.get(key)
+            if ids is None:
+                new.append(key)
+            else:
+                local[key] = ids
+                self.keep(key, ids)
         plain = [p for p in new if _plain(_piece(p))] if self.line_id is not None else []
         for a in range(0, len(plain), 1024):
             part = plain[a : a + 1024]
@@ -105,9 +124,11 @@ class PieceIds(Memo):
             k = -1
             for key in part:
                 k += 1 + key.count("\n", 1)
-                self.keep(key, raw[4 * at : 4 * ends[k]])
+                local[key] = raw[4 * at : 4 * ends[k]]
                 at = ends[k] + 1
-        return [b"".join(map(self.__getitem__, pieces)) for pieces in cut]
+        local.update((key, self.compute(key)) for key in new if local[key] is None)
+        self.keep_all({key: local[key] for key in new if len(key) < 100})
+        return [b"".join(map(local.__getitem__, pieces)) for pieces in cut]
 
 
 def bits_of(vocabulary: int) -> int:
@@ -233,7 +254,7 @@ def write_token_files(docs: DataFrame, folder: str, how: TokenOutput = TokenOutp
         own = f"{top}/.part-{part:06d}-{TaskContext.get().taskAttemptId()}"
         pieces = writer = None
         with store.open_output_stream(own) as sink:
-            for batch in text_chunks(batches):
+            for batch in text_chunks(batches, limit=8_000_000):
                 if writer is None:
                     pieces = worker_memo(("pieces", path), lambda: PieceIds(path))
                     writer = TokenWriter(sink, bits_of(pieces.tokenizer.get_vocab_size()), how.block_ids)
