@@ -165,39 +165,40 @@ def _rest_links(scratch: Scratch, side: DataFrame, sets: DataFrame, how: NearDed
     taken in classes, so that o is known before y is.
     """
     pivots = scratch.write("rest-pivots", _pivots(side).select("key", "pivot"))
-    group = side.join(pivots, "key").where("id <> pivot").select("pivot", "id", "n", "comp").distinct()
+    group = side.join(pivots, "key").where("id <> pivot").select("pivot", "id", "comp").distinct()
     own = sets.select("id", "s")
     centre = sets.select(F.col("id").alias("pivot"), F.col("s").alias("ps"))
     cut = group.join(own, "id").join(centre, "pivot").select(
-        "pivot", "id", "n", "comp", F.size("ps").alias("pn"),
+        "pivot", "id", F.size("s").alias("n"), "comp", F.size("ps").alias("pn"),
         F.size(F.array_intersect("s", "ps")).alias("common"), F.array_except("s", "ps").alias("rest"),
-        F.floor(F.log("n") / F.log(F.lit(1.02))).alias("class"),
+        F.floor(F.log(F.size("s")) / F.log(F.lit(1.02))).alias("class"),
+        F.xxhash64(F.array_except("s", "ps")).alias("mark"),  # tells several sets of one id apart
     )
     cut = scratch.write("rest-cut", cut)
     linked = F.col("common") * 100 >= (F.col("n") + F.col("pn") - F.col("common")) * how.percent
     direct = cut.where(linked).select(F.col("pivot").alias("a"), F.col("id").alias("b"))
 
     classes = scratch.write("rest-classes", cut.groupBy("pivot", "class").agg(F.min("n").alias("least"), F.max("n").alias("most")))
-    far = cut.where(~linked).select("pivot", "id", "n", "comp", "common", "rest").join(classes, "pivot")
+    far = cut.where(~linked).select("pivot", "id", "mark", "n", "comp", "common", F.size("rest").alias("left")).join(classes, "pivot")
     far = far.where((F.col("most") * 100 >= F.col("n") * how.percent) & (F.col("n") * 100 >= F.col("least") * how.percent))
     overlap = F.ceil(how.percent * (F.col("n") + F.col("least")) / (100 + how.percent))
     far = scratch.write("rest-far", far.withColumn("need", overlap - F.col("common")))
-    other = cut.select("pivot", "class", F.col("id").alias("oid"), F.col("n").alias("on"), F.col("comp").alias("ocomp"), F.col("common").alias("ocommon"), F.col("rest").alias("orest"))
+    other = cut.select("pivot", "class", F.col("id").alias("oid"), F.col("n").alias("on"), F.col("comp").alias("ocomp"), F.col("common").alias("ocommon"), "mark", "rest")
     apart = (F.col("comp") != F.col("ocomp")) & _fits(F.col("n"), F.col("on"), how)
 
-    rich = far.where("need <= 0").drop("rest", "least", "most", "need").join(other.drop("orest"), ["pivot", "class"])
+    rich = far.where("need <= 0").drop("mark", "left", "least", "most", "need").join(other.drop("mark", "rest"), ["pivot", "class"])
     rich = rich.where(apart & (F.least("common", "ocommon") * (100 + how.percent) >= how.percent * (F.col("n") + F.col("on"))))
     # The condition above leaves out pairs with rests in common; those of rich x meet by any shingle of the rest.
-    tokens = scratch.write("rest-tokens", other.select("pivot", "class", "oid", "on", "ocomp", F.explode("orest").alias("token")))
+    tokens = scratch.write("rest-tokens", other.select("pivot", "class", "oid", "mark", "on", "ocomp", F.explode("rest").alias("token")))
     often = scratch.write("rest-often", tokens.groupBy("pivot", "token").agg(F.count(F.lit(1)).alias("k")))
-    lean = far.where(F.size("rest") >= F.greatest("need", F.lit(1)))
-    lean = lean.withColumn("take", F.size("rest") - F.greatest("need", F.lit(1)) + 1)
-    listed = lean.select("pivot", "id", "n", "comp", "class", "take", F.explode("rest").alias("token")).join(often.where("k > 1"), ["pivot", "token"], "left")
-    listed = listed.groupBy("pivot", "id", "n", "comp", "class", "take").agg(
-        F.sort_array(F.collect_list(F.struct(F.coalesce("k", F.lit(1)).alias("k"), "token"))).alias("t")
+    ranked = tokens.join(often.where("k > 1"), ["pivot", "token"], "left").groupBy("pivot", F.col("oid").alias("id"), "mark").agg(
+        F.sort_array(F.collect_set(F.struct(F.coalesce("k", F.lit(1)).alias("k"), "token"))).alias("t")
     )
-    listed = listed.select("pivot", "id", "n", "comp", "class", F.explode(F.slice("t", F.lit(1), F.col("take"))).alias("t"))
-    listed = scratch.write("rest-prefix", listed.where("t.k > 1").select("pivot", "id", "n", "comp", "class", F.col("t.token").alias("token")))
+    need = F.greatest("need", F.lit(1))
+    lean = far.where(F.col("left") >= need).withColumn("take", F.col("left") - need + 1)
+    listed = lean.join(scratch.write("rest-ranked", ranked), ["pivot", "id", "mark"])
+    listed = listed.select("pivot", "id", "n", "comp", "class", F.explode(F.filter(F.slice("t", F.lit(1), F.col("take")), lambda x: x["k"] > 1)).alias("t"))
+    listed = scratch.write("rest-prefix", listed.select("pivot", "id", "n", "comp", "class", F.col("t.token").alias("token")))
     met = listed.join(tokens, ["pivot", "class", "token"]).where(apart)
     pairs = met.select("id", "oid").union(rich.select("id", "oid"))
     pairs = scratch.write("rest-pairs", pairs.select(F.least("id", "oid").alias("a"), F.greatest("id", "oid").alias("b")).distinct())
