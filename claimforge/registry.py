@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans.queries import QUERIES, SQL
+
 
 def engine_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def engine_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
