@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The relation cues of the claim extractor.
 RELATION_CUES = (
@@ -79,7 +80,7 @@ def values(text: Column) -> Column:
     return F.array_distinct(F.concat(F.transform(dates, F.lower), numbers, F.transform(names, F.lower)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _composed(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
