@@ -1,0 +1,265 @@
+"""Tokenizers, mixing, models and the pipeline against plain Python."""
+
+import itertools
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from conftest import SF, duck, write_tables  # tests/llm/conftest.py
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from test_operators import components
+from tokenizers import Tokenizer, models, pre_tokenizers
+
+import corpus_pipeline
+from claimforge.llm import registry
+from claimforge.llm.language_id import LanguageModel, posteriors
+from claimforge.llm.mixing import Mix, repeat_documents
+from claimforge.llm.quality_classifier import pool, statistics
+from claimforge.llm.token_counts import SPACE, UnigramCounter, zipf_vocabulary
+from claimforge.llm.token_output import PieceIds, TokenOutput, TokenReader, TokenWriter, bits_of, pack, unpack
+
+QUERIES = registry.llm_queries()
+LIBRARY = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+ODD = ["", " ", "  a", "a  b ", "\n", "a\n\nb", "a \n b", "x.\nY, z.", "a\xa0 b", "é ,b .", "don't,won't.", "½. ²,\n a", "<|endoftext|> x <|endoftext|>", "a\x01b .c", "日本語。 テスト\n\tb", "\U0001f600 \U0001f600"]
+
+
+def texts(folder=SF):
+    return duck(folder).sql("SELECT doc_id, text FROM documents ORDER BY doc_id NULLS FIRST, text NULLS FIRST").fetchall()
+
+
+# --- token files ----------------------------------------------------------------------------------------------------
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list("ab.,'\n\t \x01\xa0\x85é1½<|>_")) | st.characters(codec="utf-8"), max_size=40))
+def test_pieces_equal_whole_text(text):
+    for t in (text, f"word. {text} word.\nWord, {text}"):
+        want = np.array(LIBRARY.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+        assert PIECES.encode_all([t]) == [want]
+
+
+PIECES = PieceIds(TokenOutput().path())
+
+
+def test_pieces_of_a_small_memo():
+    small = PieceIds(TokenOutput().path())
+    small.entries = 50
+    rows = [t for _, t in texts()] + ODD
+    for _ in range(2):
+        assert small.encode_all(rows) == [np.array(LIBRARY.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in rows]
+
+
+@pytest.mark.parametrize("bits", [1, 3, 8, 13, 16, 17, 24, 32])
+def test_packing(bits):
+    ids = np.random.default_rng(bits).integers(0, 1 << bits, 1001, dtype=np.uint64).astype("<u4")
+    data = pack(ids, bits)
+    assert len(data) == -(-1001 * bits // 8) and (unpack(data, 1001, bits) == ids).all()
+    assert bits_of(50_257) == 16 and bits_of(65_536) == 16 and bits_of(65_537) == 17 and bits_of(1) == 1
+
+
+def test_file_random_access(tmp_path):
+    import pyarrow as pa
+
+    draw = np.random.default_rng(1)
+    docs = [(None, [7]), *((i, draw.integers(0, 3000, int(draw.integers(0, 90))).tolist()) for i in range(40))]
+    with pa.OSFile(str(tmp_path / "x.tok"), "wb") as sink:
+        writer = TokenWriter(sink, 12, 16)
+        for i, ids in docs:
+            writer.add(i, np.array(ids, "<u4").tobytes())
+        writer.close()
+    flat = [x for _, ids in docs for x in ids]
+    with pa.OSFile(str(tmp_path / "x.tok")) as source:
+        reader = TokenReader(source)
+        assert [(i, ids.tolist()) for i, _, ids in reader.documents()] == docs
+        for a, b in draw.integers(0, len(flat) + 1, (50, 2)).tolist():
+            assert reader.read(a, b).tolist() == flat[a:b]
+
+
+def check_token_rows(rows, want_docs):
+    start, want = 0, []
+    for i, text in want_docs:
+        ids = np.array([*LIBRARY.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in rows), key=lambda x: x[1]) == want
+
+
+def test_token_output(spark, odd_tables):
+    check_token_rows(QUERIES["op5_token_output"](spark, SF).collect(), texts())
+    check_token_rows(QUERIES["op5_token_output"](spark, odd_tables).collect(), texts(odd_tables))
+
+
+# --- token counts ---------------------------------------------------------------------------------------------------
+
+
+def unigram(vocabulary, by_bytes):
+    t = Tokenizer(models.Unigram(vocabulary, 0, by_bytes))
+    t.pre_tokenizer = pre_tokenizers.Metaspace(replacement=SPACE, prepend_scheme="always", split=True)
+    return t
+
+
+def vocabularies():
+    real = zipf_vocabulary()
+    ties = [("<unk>", -3.0)] + [(p, -float(k % 5)) for k, (p, _) in enumerate(real[300:4000])]
+    return [(real, True), (ties, False), (real[:259] + [(p, -float(k % 3)) for k, (p, _) in enumerate(real[300:4000])], True)]
+
+
+@pytest.mark.parametrize("which", range(3))
+def test_counts_equal_tokenizer(which):
+    vocabulary, by_bytes = vocabularies()[which]
+    library, counter = unigram(vocabulary, by_bytes), UnigramCounter(vocabulary)
+    for t in [t for _, t in texts()] + ODD + ["<unk>é\n<unk>", "\U0001f600<unk>", "▁x a▁ b", "a" * 3000]:
+        assert counter.count(t) == len(library.encode(t, add_special_tokens=False).ids), t[:50]
+
+
+def test_token_count_query(spark, odd_tables):
+    library = unigram(*vocabularies()[0])
+    got = Counter((r.doc_id, r.n_tokens) for r in QUERIES["op9_token_counts"](spark, odd_tables).collect())
+    assert got == Counter((i, len(library.encode(t or "", add_special_tokens=False).ids)) for i, t in texts(odd_tables))
+
+
+# --- mixing ---------------------------------------------------------------------------------------------------------
+
+
+def targets(sizes, weights=(5, 2, 1)):
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[k % 3] for k, s in enumerate(names)}
+    left, open_, out = 1.5 * sum(sizes.values()), set(names), {}
+    while open_:
+        total = sum(weight[s] for s in open_)
+        over = {s for s in open_ if left * weight[s] / total > 2 * sizes[s]}
+        if not over:
+            return out | {s: left * weight[s] / total for s in open_}
+        out |= {s: 2.0 * sizes[s] for s in over}
+        left -= sum(out[s] for s in over)
+        open_ -= over
+    return out
+
+
+@pytest.mark.parametrize("which", ["small", "odd"])
+def test_mixing(spark, odd_tables, which):
+    folder = SF if which == "small" else odd_tables
+    source = Counter()
+    size = lambda t: len((t or "").encode().split())
+    docs = duck(folder).sql("SELECT doc_id, text, source FROM documents").fetchall()
+    for _, t, s in docs:
+        source[s] += size(t)
+    want = targets(source)
+    got = QUERIES["op4_mixing"](spark, folder).collect()
+    assert Counter((r.doc_id, r.size) for r in got) == Counter((i, size(t)) for i, t, _ in docs)
+    assert all(r.taken % max(1, r.size) == 0 and 0 <= r.taken <= 2 * r.size for r in got)
+    assert sorted((r.source_size, round(r.target, 6)) for r in got) == sorted((source[s], round(want[s], 6)) for _, _, s in docs)
+    # Summed by source size, which names the sources here.
+    taken, largest = Counter(), Counter()
+    for r in got:
+        taken[r.source_size] += r.taken
+        largest[r.source_size] = max(largest[r.source_size], r.size)
+    for s in source:
+        if list(source.values()).count(source[s]) == 1:
+            assert abs(taken[source[s]] - want[s]) <= largest[source[s]]
+    assert sorted(map(repr, got)) == sorted(map(repr, QUERIES["op4_mixing"](spark, folder).collect()))
+
+
+def test_mixing_comes_near_with_many_documents(spark):
+    rows = [(i, f"s{i % 7}", "w " * (1 + i * 7919 % 60)) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumnRenamed("doc_id", "doc_id")
+    mixed = repeat_documents(docs, Mix())
+    sizes, taken = Counter(), Counter()
+    for _, s, t in rows:
+        sizes[s] += len(t.split())
+    for r in mixed.collect():
+        taken[r.source] += len(r.text.split())
+    for s, t in targets(sizes).items():
+        assert abs(taken[s] - t) <= 60
+
+
+# --- models ---------------------------------------------------------------------------------------------------------
+
+
+def test_pool():
+    got = pool(np.array([2.0, 0, 2, 2, 0, 4]), np.array([1.0, 0, 0, 2, 0, 3]))
+    assert (np.diff(got) >= 0).all() and got[0] == 0.25 and got[-1] == pytest.approx(5 / 6)
+    assert (pool(np.zeros(4), np.zeros(4)) == 0.5).all()
+
+
+def test_statistics_of_odd_texts():
+    for t in [None, *ODD, "a" * 5000]:
+        assert np.isfinite(statistics(t)).all()
+
+
+def test_quality_held_out_accuracy(spark):
+    folder = "/root/testdata/sf0.01"
+    got = QUERIES["op7_quality_classifier"](spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").collect()
+    out = [r for r in got if r.held_out]
+    assert len(out) > 50 and np.mean([r.predicted == r.quality for r in out]) >= 0.9
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
+
+
+@pytest.mark.parametrize("block", [1, 2, 3, 32])
+def test_forward_backward_equals_enumeration(block):
+    draw = np.random.default_rng(3)
+    seqs, step = [draw.normal(size=(n, 3)) for n in (1, 5, 7, 2, 4)], draw.normal(size=(3, 3))
+
+    def brute(s):
+        out = np.zeros_like(s)
+        for y in itertools.product(range(3), repeat=len(s)):
+            w = np.exp(sum(s[i, y[i]] for i in range(len(s))) + sum(step[a, b] for a, b in zip(y, y[1:])))
+            for i in range(len(s)):
+                out[i, y[i]] += w
+        return out / out.sum(axis=1, keepdims=True)
+
+    got = posteriors(np.concatenate(seqs), step, np.array([len(s) for s in seqs]), block)
+    assert np.allclose(got, np.concatenate([brute(s) for s in seqs]))
+
+
+def test_forward_backward_of_a_long_text():
+    draw = np.random.default_rng(4)
+    scores, step = draw.normal(size=(50_000, 4)) * 30, draw.normal(size=(4, 4)) * 5
+    got = posteriors(scores, step, np.array([50_000]), LanguageModel().block)
+    assert np.isfinite(got).all() and np.allclose(got.sum(axis=1), 1)
+
+
+def test_language_held_out_accuracy(spark, odd_tables):
+    folder = "/root/testdata/sf0.01"
+    truth = dict(duck(folder).sql("SELECT doc_id, lang FROM documents").fetchall())
+    got = QUERIES["op10_language_id"](spark, folder).collect()
+    out = [r for r in got if r.held_out]
+    assert len(out) > 100 and np.mean([truth[r.doc_id] == r.lang_pred for r in out]) >= 0.97
+    odd = {r.doc_id: (r.lang_pred, r.score) for r in QUERIES["op10_language_id"](spark, odd_tables).collect()}
+    assert odd[3] == odd[4] == odd[5] == ("und", 0.0)
+
+
+# --- pipeline -------------------------------------------------------------------------------------------------------
+
+
+def test_pipeline_stages(spark, tmp_path):
+    """Each stage's output against plain Python on its own input, and run() as the stages in a row."""
+    docs, names = spark.read.parquet(f"{SF}/documents.parquet"), None
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs.collect()
+        path = str(tmp_path / name)
+        stage(spark, docs, SF).write.parquet(path)
+        docs = spark.read.parquet(path)
+        after = docs.collect()
+        if name == "near_dedup":
+            want = components([(r.doc_id, r.text) for r in before], 5)
+            assert sorted(r.doc_id for r in after) == sorted(i for i, c in want.items() if i == c)
+        if name == "decontamination":
+            left = write_tables(tmp_path, documents=[r.asDict() for r in before], benchmark=duck(SF).sql("SELECT * FROM benchmark").to_arrow_table().to_pylist())
+            clean = duck(left).sql(f"SELECT doc_id FROM ({registry.llm_sql()['op1_decontaminate']}) WHERE NOT contaminated").fetchall()
+            assert sorted(r.doc_id for r in after) == sorted(i for (i,) in clean)
+        if name == "token_output":
+            check_token_rows(after, sorted((r.doc_id, r.text) for r in before))
+        else:
+            names = names or docs.columns
+            assert docs.columns == names == ["doc_id", "text", "lang", "source", "n_chars"]
+            assert 0 < len({r.doc_id for r in after}) <= len({r.doc_id for r in before})
+    assert sorted(map(repr, corpus_pipeline.run(spark, SF).collect())) == sorted(map(repr, after))
+
+
+def test_pipeline_of_odd_and_empty_tables(spark, odd_tables, empty_tables):
+    corpus_pipeline.run(spark, odd_tables).collect()
+    assert corpus_pipeline.run(spark, empty_tables).count() == 0
