@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import calibration, edits, graph, linking, perturb, runs, scoring, snapshot
+from ..operators import calibration, edits, graph, linking, perturb, runs, scoring, snapshot, views
 from ..sources import star
-from . import cascade
+from . import cascade, grounding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -517,3 +517,39 @@ def calibrate_tau(s: SparkSession, d: str) -> DataFrame:
 SELECT max(k) = 1 AS unique_ids, (SELECT count(DISTINCT fold) FROM g) AS n_folds, count(*) FILTER (a) AS n_adversarial, count(*) FILTER (a AND f = 0) AS n_adversarial_unmarked FROM i""")
 def gold_completeness(s: SparkSession, d: str) -> DataFrame:
     return calibration.completeness(_gold(s, d).withColumnRenamed("doc_id", "item"))
+
+
+# --- answers to runs ------------------------------------------------------------------------------------------------
+
+_ANSWERS = f"""SELECT split(claim_id, '-')[0] AS run_id, claim_id, text FROM ({star.CLAIMS}) AS c"""
+
+
+@query(
+    SQL["cascade_status"].replace("SELECT key, CASE WHEN ds >", "SELECT run_id, count(*) FILTER (status = 'retrieved') AS retrieved, count(*) FILTER (status = 'reasoned-supportable') AS reasoned_supportable, count(*) FILTER (status = 'fabricated') AS fabricated, count(*) AS total, round(count(*) FILTER (status = 'fabricated') / count(*), 9) AS fabrication_rate FROM (SELECT string_split(key, '-')[1] AS run_id, CASE WHEN ds >", 1)
+    + ") GROUP BY 1"
+)
+def grounded_runs(s: SparkSession, d: str) -> DataFrame:
+    """One answer of each supplier, from its four claims, split, linked, graded and summed up."""
+    parts = star.view(s, d, _ANSWERS).groupBy("run_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("claim_id", "text"))), lambda x: F.concat(x["text"], F.lit("."))), " ").alias("answer_text"))
+    _, nodes, edges, facts = _slice(s, d)
+    out = grounding.summaries(parts, grounding.ground(parts, nodes, edges, facts, HOW))
+    return out.withColumn("fabrication_rate", F.round("fabrication_rate", 9))
+
+
+@query(f"""WITH e AS ({star.EDGES}), t AS (SELECT *, coalesce(object_id, 'lit:' || value_type || ':' || object_label) AS dst FROM e)
+SELECT DISTINCT subject_id || '-' || property_id || '-' || dst AS id, subject_id AS source, dst AS target, property_label AS label FROM t""")
+def graph_elements(s: SparkSession, d: str) -> DataFrame:
+    return views.elements(_nodes(s, d), _edges(s, d))[1]
+
+
+@query(f"""WITH g AS ({star.GOLD}) SELECT tau, count(*) FILTER (abs(score - tau) < 0.05) AS borderline FROM g, (SELECT unnest({TAUS}::DOUBLE[]) AS tau) GROUP BY 1""")
+def tau_lens(s: SparkSession, d: str) -> DataFrame:
+    return grounding.borderline(_gold(s, d), TAUS)
+
+
+@query(f"""WITH e AS ({star.EDGES}), c AS (SELECT 'S' || s_suppkey AS key, 'S' || s_suppkey AS subject_id, CASE WHEN s_acctbal < 0 THEN 'PX' ELSE 'PN' END AS property_id FROM supplier)
+SELECT key, CASE WHEN count(e.edge_ord) = 0 THEN 'missing' ELSE 'value' END AS reason FROM c LEFT JOIN e ON e.subject_id = c.subject_id AND e.property_id = c.property_id GROUP BY 1""")
+def slot_difference(s: SparkSession, d: str) -> DataFrame:
+    key = F.concat(F.lit("S"), F.col("s_suppkey").cast("string"))
+    claims = _table(s, d, "supplier").select(key.alias("key"), key.alias("subject_id"), F.when(F.col("s_acctbal") < 0, "PX").otherwise("PN").alias("property_id"))
+    return grounding.slot_difference(claims, _edges(s, d)).select("key", "reason")
