@@ -12,7 +12,7 @@ Extension: of the rows of an anchor, in order of document and place, a window's
 are marked, which is the extension of the seed to both sides as far as a whole window reaches; runs of marked windows
 that touch are one maximal repeat. Equality is that of the anchor's and the window's 64-bit hashes together.
 
-Hot anchors, those in over ``hot_share`` of a bounded sample of documents, would gather in one task. Their windows go
+Hot anchors, those in over a share of a bounded sample of documents, would gather in one task. Their windows go
 one by one to an aggregate over window hashes instead, which combines before it shuffles, and are joined back. The
 sample decides only which of the two ways a window takes; both give the same marks, over all documents.
 
@@ -38,8 +38,11 @@ from .common import Scratch, WordHashes, concat_words, encode, read_table, text_
 class SubstringDedup:
     window: int = 20
     seed: int = 6
-    sample_docs: int = 20_000
-    hot_share: float = 0.002
+    #: Anchors in more than this share of documents are hot; less where there are many shuffle partitions, down to
+    #: ``least_hot_share``. The sample holds about ``sample_rows`` / share documents.
+    hot_share: float = 0.005
+    least_hot_share: float = 0.00005
+    sample_rows: int = 100
 
 
 def anchored_windows(words: np.ndarray, starts: np.ndarray, counts: np.ndarray, how: SubstringDedup):
@@ -72,9 +75,11 @@ def _bytes(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
 
 
 def _hot_anchors(rows: DataFrame, how: SubstringDedup) -> list[int]:
-    """Anchors of over hot_share of a sample of about sample_docs documents; at most windows per document / hot_share."""
-    total = rows.count()
-    keep = rows if total <= how.sample_docs else rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1e6 * how.sample_docs / total) + 1)
+    """Anchors of over a share of the documents of a sample; as many as a document has at most, divided by the share."""
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = min(how.hot_share, max(how.least_hot_share, 1.0 / partitions))
+    total, sampled = rows.count(), int(how.sample_rows / share)
+    keep = rows if total <= sampled else rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * sampled / total) + 1)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = worker_memo(("words",), WordHashes)
@@ -84,7 +89,7 @@ def _hot_anchors(rows: DataFrame, how: SubstringDedup) -> list[int]:
             keys, n = np.unique(pairs, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["h", "n"])
 
-    least = max(20, how.hot_share * min(total, how.sample_docs))
+    least = max(20, share * min(total, sampled))
     found = keep.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > least)
     return [r.h for r in found.select("h").collect()]
 
@@ -210,7 +215,7 @@ def repeated_spans(docs: DataFrame, how: SubstringDedup = SubstringDedup()) -> D
         ),
         lambda acc: F.concat(acc["out"], F.array(F.struct(acc["a"].alias("start"), acc["b"].alias("end")))),
     )
-    return scratch.write("spans", spans.select("doc_id", merged.alias("spans")))
+    return spans.select("doc_id", merged.alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, how: SubstringDedup = SubstringDedup()) -> DataFrame:
@@ -218,7 +223,8 @@ def remove_repeats(docs: DataFrame, how: SubstringDedup = SubstringDedup()) -> D
     new = ["n_words", "n_removed", "kept_text"]
     docs = docs.drop(*new)
     spans = repeated_spans(docs, how).select(F.col("doc_id").alias("__id"), "spans")
-    joined = docs.join(spans, F.col("doc_id") == F.col("__id"), "left").select(*docs.columns, "spans")
+    # The same join at every size: texts meet their spans by a shuffle, and a task holds the spans of its part.
+    joined = docs.join(spans.hint("shuffle_hash"), F.col("doc_id") == F.col("__id"), "left").select(*docs.columns, "spans")
     names = docs.columns
     at, last = names.index("text"), len(names)
 
