@@ -44,6 +44,21 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/claimforge/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+#: Arrow batches between Spark and Python workers, in rows and bytes: texts are long, and both sides hold a batch whole.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": (10_000, 2_000), "spark.sql.execution.arrow.maxBytesPerBatch": (1 << 28, 8 << 20)}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the size of Arrow batches where the session still has Spark's own or a larger one."""
+    for key, (usual, small) in BATCH.items():
+        try:
+            now = int(spark.conf.get(key, str(usual)))
+        except ValueError:
+            now = usual
+        if now <= 0 or now > small:
+            spark.conf.set(key, str(small))
+
+
 class Scratch:
     """Writes intermediate tables to the shared folder, and removes those that are no longer read.
 
@@ -55,6 +70,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.label, self.paths = spark, label, {}
+        small_batches(spark)
 
     @contextlib.contextmanager
     def cleaning(self):
@@ -76,6 +92,12 @@ class Scratch:
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def only(self, name: str, df: DataFrame) -> DataFrame:
+        """Writes a last table and removes all others."""
+        out = self.write(name, df)
+        self.drop(*(n for n in self.paths if n != name))
+        return out
+
     def drop(self, *names: str) -> None:
         jvm = self.spark.sparkContext._jvm
         for name in names:
@@ -84,6 +106,7 @@ class Scratch:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -156,10 +179,9 @@ _memos: dict = {}
 
 
 def worker_memo(key: tuple, make):
-    """One memo for each key in a Python worker; ``make`` makes it. Only the last few keys stay."""
+    """A Python worker's memo; ``make`` makes it. A worker holds one memo, that of the operator it served last."""
     if key not in _memos:
-        if len(_memos) >= 3:
-            _memos.clear()
+        _memos.clear()
         _memos[key] = make()
     return _memos[key]
 

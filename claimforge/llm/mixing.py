@@ -108,7 +108,7 @@ def mix_sources(docs: DataFrame, how: Mix = Mix()) -> DataFrame:
     size, h = native_word_count(F.col("text")), mix_hash(F.col("doc_id"), F.col("text"))
     narrow = scratch.write("sizes", docs.select("source", size.alias("size"), h.alias("h")))
     totals = scratch.write("totals", narrow.groupBy("source").agg(F.sum("size").alias("source_size")))
-    thresholds = scratch.write("thresholds", source_thresholds(narrow, source_targets(totals, how)))
+    thresholds = scratch.only("thresholds", source_thresholds(narrow, source_targets(totals, how)))
     found = thresholds.select(F.col("source").alias("__source"), "source_size", "target", F.col("copies").alias("__base"), "threshold")
     if thresholds.count() <= how.broadcast_sources:
         found = F.broadcast(found)

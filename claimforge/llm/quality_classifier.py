@@ -187,6 +187,7 @@ def fit(stats: DataFrame, labels: DataFrame, how: QualityModel = QualityModel())
     for r in rows.mapInArrow(bins, "b long, y double").groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("g")).collect():
         counts[r.b], good[r.b] = r.n, r.g
     scorer.levels = np.clip(pool(counts, good), 0.0, 1.0)
+    scratch.drop("labelled")
     return scorer
 
 
