@@ -51,7 +51,9 @@ class LanguageModel:
 
 
 def language_words(text: str | None) -> list[str]:
-    return _words(text.lower()) if text else []
+    """The runs of letters of a text, in lower case; signs that count as numbers only, such as ½, are no word."""
+    words = _words(text.lower()) if text else []
+    return words if not text or text.isascii() else [w for w in words if w.isalpha() or any(map(str.isalpha, w))]
 
 
 def word_features(word: str, lexicon: frozenset[str], bits: int) -> list[int]:
