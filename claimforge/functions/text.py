@@ -88,7 +88,8 @@ def _composed(text: pd.Series) -> pd.Series:
 def normalize(text: Column) -> Column:
     """Stripped, lower case, composed."""
     lowered = F.lower(strip(text))
-    return F.when(lowered.rlike(r"[^\x00-\x7F]"), _composed(lowered)).otherwise(lowered)
+    # Python is handed nulls for ASCII texts; a condition around the call alone would not keep them from it.
+    return F.coalesce(_composed(F.when(lowered.rlike(r"[^\x00-\x7F]"), lowered)), lowered)
 
 
 def overlap(a: Column, b: Column) -> Column:
