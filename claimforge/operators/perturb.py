@@ -107,3 +107,22 @@ def _knowledge(nodes: DataFrame, edges: DataFrame, entries: DataFrame) -> tuple[
 @REGISTRY.register("text_content_absence")
 def _text(nodes: DataFrame, edges: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     return withhold_text(nodes, entries), edges
+
+
+def default_perturbations(plan: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For plan rows (run_id, item entity, condition) what is withheld: references to all outgoing edges where knowledge is
+    absent, and entities whose text is absent. Image absence has no default and raises."""
+    fine = F.when(F.col("condition") == "image-absent", F.raise_error(F.lit("no default perturbation for image-absent"))).otherwise(F.col("condition"))
+    rows = plan.withColumn("condition", fine)
+    refs = rows.where("condition = 'knowledge-absent'").join(edges, F.col("entity") == F.col("subject_id"))
+    return refs.select("run_id", "subject_id", "property_id", "object_id"), rows.where("condition = 'content-absent'").select("run_id", F.col("entity").alias("id"))
+
+
+def gold_items(gold: DataFrame, fold: str | None = None, adversarial: bool | None = None, modality: str | None = None) -> DataFrame:
+    """Gold rows of a fold, adversarial or not, or with an outcome of a modality."""
+    rows = gold
+    if fold is not None:
+        rows = rows.where(F.col("fold") == fold)
+    if adversarial is not None:
+        rows = rows.where(F.col("adversarial") == F.lit(adversarial))
+    return rows if modality is None else rows.where(F.col("modality") == modality)

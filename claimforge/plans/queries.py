@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import calibration, edits, graph, linking, perturb, runs, scoring, snapshot, views
 from ..sources import star
-from . import cascade, grounding
+from . import calibrate, cascade, grounding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -553,3 +553,19 @@ def slot_difference(s: SparkSession, d: str) -> DataFrame:
     key = F.concat(F.lit("S"), F.col("s_suppkey").cast("string"))
     claims = _table(s, d, "supplier").select(key.alias("key"), key.alias("subject_id"), F.when(F.col("s_acctbal") < 0, "PX").otherwise("PN").alias("property_id"))
     return grounding.slot_difference(claims, _edges(s, d)).select("key", "reason")
+
+
+_EXPECTED = "CASE split_part(key, '-', 2) WHEN 'region' THEN 'reasoned-supportable' WHEN 'none' THEN 'fabricated' ELSE 'retrieved' END"
+
+
+@query(
+    SQL["cascade_status"][: SQL["cascade_status"].index("SELECT key, CASE WHEN ds >")]
+    + f"""SELECT tau, count(*) AS n, count(*) FILTER (CASE WHEN ds > tau OR cs > tau THEN 'retrieved' WHEN hs > tau THEN 'reasoned-supportable' ELSE 'fabricated' END = {_EXPECTED}) AS hits
+FROM g, (SELECT unnest({TAUS}::DOUBLE[]) AS tau) GROUP BY 1"""
+)
+def cascade_tau_accuracy(s: SparkSession, d: str) -> DataFrame:
+    """Correct claims at each candidate threshold, from stage scores made once."""
+    claims, nodes, edges, facts = _slice(s, d)
+    scores = calibrate.stage_scores(claims, nodes, edges, facts, HOW).withColumn("tau", F.explode(F.array(*map(F.lit, TAUS))))
+    hit = calibrate.produced(F.col("tau")) == F.expr(_EXPECTED)
+    return scores.groupBy("tau").agg(F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("hits"))
