@@ -225,8 +225,9 @@ def near_duplicates(docs: DataFrame, how: NearDedup = NearDedup()) -> DataFrame:
     weight = scratch.write("weight", members.groupBy("id").agg(F.sum("company").alias("weight")))
     members = scratch.write("weighted", members.join(weight, "id").select("key", "id", "n", "weight"))
     scratch.drop("members")
+    # The same join at every size: texts meet the ids by a shuffle, and no table of ids is broadcast.
     wanted = members.select("id").distinct()
-    sets = scratch.write("sets", _sets(rows.join(wanted, "id", "left_semi"), how))
+    sets = scratch.write("sets", _sets(rows.join(wanted.hint("shuffle_hash"), "id", "left_semi"), how))
 
     grouped = signed.join(classes, ["f1", "f2", "n"], "left")
     grouped = grouped.select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep"))
@@ -253,7 +254,7 @@ def near_duplicates(docs: DataFrame, how: NearDedup = NearDedup()) -> DataFrame:
         comps = connected_components(scratch, "all", links)
 
     out = grouped.join(comps.withColumnRenamed("id", "rep"), "rep", "left")
-    return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component"))
+    return scratch.only("result", out.select("id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component")))
 
 
 def keep_one_of_each(docs: DataFrame, how: NearDedup = NearDedup()) -> DataFrame:
@@ -264,7 +265,7 @@ def keep_one_of_each(docs: DataFrame, how: NearDedup = NearDedup()) -> DataFrame
     found = near_duplicates(docs, how)
     kept = found.where("id = component").groupBy(F.col("id").alias("__id")).agg(F.count(F.lit(1)).alias("__k"))
     kept = Scratch(docs.sparkSession, "near-dedup").write("kept", kept)
-    named = docs.where("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("__id"))
+    named = docs.where("doc_id IS NOT NULL").join(kept.hint("shuffle_hash"), F.col("doc_id") == F.col("__id"))
     if not kept.where("__k > 1").isEmpty():
         first = F.row_number().over(W.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))
         named = named.withColumn("__row", first).where("__row = 1")
