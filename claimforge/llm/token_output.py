@@ -38,7 +38,7 @@ from .common import Memo, Scratch, read_table, scratch_path, text_chunks, worker
 MAGIC = b"CFTOKID1"
 FOOTER = struct.Struct("<QQQQQQ8s")  # bits, block_ids, documents, ids, blocks, footer bytes before this, magic
 #: Pieces in one generation of a worker's memo, about 220 bytes each.
-PIECE_ENTRIES = 600_000
+PIECE_ENTRIES = 800_000
 _cut = re.compile(r"(?<=\S)(?= \S)").split
 _odd_space = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
 #: Pieces whose line breaks, inside and after them, are tokens of their own.
@@ -108,14 +108,11 @@ class PieceIds(Memo):
         keys = list(set().union(*cut))
         # One look into the large memo for each distinct piece; the texts are put together from a small dict.
         local = dict(zip(keys, map(self.get, keys)))
-        new = []
-        for key in [k for k, ids in local.items() if ids is None]:
-            ids = self.old.get(key)
-            if ids is None:
-                new.append(key)
-            else:
-                local[key] = ids
-                self.keep(key, ids)
+        unheld = [k for k, ids in local.items() if ids is None]
+        older = {k: ids for k, ids in zip(unheld, map(self.old.get, unheld)) if ids is not None}
+        local.update(older)
+        self.keep_all(older)
+        new = [k for k in unheld if k not in older]
         plain = [p for p in new if _plain(_piece(p))] if self.line_id is not None else []
         for a in range(0, len(plain), 1024):
             part = plain[a : a + 1024]
