@@ -43,6 +43,8 @@ def steps(edges: DataFrame) -> DataFrame:
 def simple_paths(ends: DataFrame, step: DataFrame, hops: int = 2) -> DataFrame:
     """Paths of 2 to ``hops`` steps for rows key, src, dst: adds nodes, path (edges in order) and mult. Each length is a
     chain of equi-joins from the endpoints; a node occurs once in a path."""
+    if hops == 2:
+        return _two_hops(ends, step)
     hop = step.select(F.col("src").alias("__s"), F.col("dst").alias("__d"), F.col("edge").alias("__e"), F.col("mult").alias("__m"))
     front = ends.withColumns({"nodes": F.array("src"), "path": F.array().cast("array<" + step.schema["edge"].dataType.simpleString() + ">"), "mult": F.lit(1).cast("long")})
     found = None
@@ -58,6 +60,21 @@ def simple_paths(ends: DataFrame, step: DataFrame, hops: int = 2) -> DataFrame:
     return found
 
 
+def _two_hops(ends: DataFrame, step: DataFrame) -> DataFrame:
+    """Paths of two steps, from the end of fewer neighbours: a hub at the other end is only looked up, never spread."""
+    counts = step.groupBy("src").agg(F.count(F.lit(1)).alias("k"))
+    sized = ends.join(counts.select("src", F.col("k").alias("__ks")), "src").join(counts.select(F.col("src").alias("dst"), F.col("k").alias("__kd")), "dst")
+    side = lambda n, a, b: step.select(F.col("src").alias(a), F.col("dst").alias(b), F.col("edge").alias(f"__e{n}"), F.col("mult").alias(f"__m{n}"))
+    first, second = side(1, "src", "__mid"), side(2, "__mid", "dst")
+    ahead = sized.where("__ks <= __kd").join(first, "src").join(second, ["__mid", "dst"])
+    behind = sized.where("__ks > __kd").join(second, "dst").join(first, ["src", "__mid"])
+    both = ahead.unionByName(behind).where("__mid <> src AND __mid <> dst AND src <> dst")
+    return both.select(
+        *ends.columns, F.array("src", "__mid", "dst").alias("nodes"), F.array("__e1", "__e2").alias("path"),
+        (F.col("__m1") * F.col("__m2")).alias("mult"),
+    )
+
+
 def neighbourhood(edges: DataFrame, centres: DataFrame, cap: int = 40) -> DataFrame:
     """centre, id, faded: each centre (id) and its neighbours over item edges, at most ``cap`` with the centre first."""
     items = edges.where("object_id IS NOT NULL")
