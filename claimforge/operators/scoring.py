@@ -1,24 +1,50 @@
-"""Evidence search: the premise that scores best for each claim, by an inverted index over tokens."""
+"""Evidence search: the premise that scores best for each claim, by inverted indexes over values and tokens."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import guard_blocks, tokens, values
+from ..functions.text import guard_blocks, overlap, tokens, values
 
 
 def best_premise(claims: DataFrame, premises: DataFrame) -> DataFrame:
     """From key, text and pid, premise, ord: key, pid and score of the best premise, the first on ties.
 
-    Pairs without a common token score 0 and never win, so only pairs that meet by a token are scored; blocked ones
-    drop out before the choice. Claims without a premise of positive score are absent.
+    Pairs without a common token score 0 and never win. A premise passes the value guard only if it holds every value of
+    the claim, so a claim with values meets just the premises that hold the longest part of them; other claims meet
+    premises by a common token. Claims without a premise of positive score are absent.
     """
     left = claims.select("key", "text", tokens(F.col("text")).alias("ct"), values(F.col("text")).alias("cv"))
-    right = premises.select("pid", "premise", "ord", tokens(F.col("premise")).alias("pt"))
+    # Values are in lower case, and a value inside a premise has each of its runs inside a run of the premise.
+    left = left.withColumn("parts", F.array_distinct(F.flatten(F.transform("cv", lambda v: _runs(v)))))
+    right = premises.select("pid", "premise", "ord")
+    scored = _by_token(left.where(F.size("parts") == 0), right).unionByName(_by_value(left.where(F.size("parts") > 0), right))
+    best = scored.where("score > 0").groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("minus"), "ord", "pid")).alias("b"))
+    return best.select("key", F.col("b.pid").alias("pid"), (-F.col("b.minus")).alias("score"))
+
+
+def _runs(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit("[a-z0-9]+"), F.lit(0))
+
+
+def _by_token(left: DataFrame, right: DataFrame) -> DataFrame:
+    """key, pid, ord and score of pairs that share a token."""
+    right = right.withColumn("pt", tokens(F.col("premise")))
     met = left.select("key", F.size("ct").alias("nc"), F.explode("ct").alias("token")).join(right.select("pid", "ord", F.size("pt").alias("np"), F.explode("pt").alias("token")), "token")
     pairs = met.groupBy("key", "pid", "ord", "nc", "np").agg(F.count(F.lit(1)).alias("both"))
-    scored = pairs.join(left.select("key", "cv"), "key").join(right.select("pid", "premise"), "pid").where(~guard_blocks(F.col("premise"), F.col("cv")))
-    score = F.col("both") / (F.col("nc") + F.col("np") - F.col("both"))
-    best = scored.groupBy("key").agg(F.min(F.struct((-score).alias("minus"), "ord", "pid")).alias("b"))
-    return best.select("key", F.col("b.pid").alias("pid"), (-F.col("b.minus")).alias("score"))
+    scored = pairs.join(left.select("key", "cv"), "key").join(right.select("pid", "ord", "premise"), ["pid", "ord"]).where(~guard_blocks(F.col("premise"), F.col("cv")))
+    return scored.select("key", "pid", "ord", (F.col("both") / (F.col("nc") + F.col("np") - F.col("both"))).alias("score"))
+
+
+def _by_value(left: DataFrame, right: DataFrame) -> DataFrame:
+    """key, pid, ord and score of pairs whose premise holds the longest part of the claim's values."""
+    part = F.array_sort(F.transform("parts", lambda p: F.struct((-F.length(p)).alias("k"), p.alias("p"))))[0]["p"]
+    asked = left.select("key", "ct", "cv", part.alias("part"))
+    # A part of k characters is looked up among all substrings of k characters of each word.
+    sizes = asked.select(F.length("part").alias("k")).distinct()
+    words = right.select("pid", "ord", "premise", F.explode(F.array_distinct(_runs(F.lower("premise")))).alias("word"))
+    places = F.sequence(F.lit(1), F.length("word") - F.col("k") + 1)
+    inside = words.join(F.broadcast(sizes), F.length("word") >= F.col("k")).select("pid", "ord", "premise", F.explode(F.array_distinct(F.transform(places, lambda i: F.substring("word", i, F.col("k"))))).alias("part"))
+    full = inside.join(asked, "part").where(~guard_blocks(F.col("premise"), F.col("cv")))
+    return full.select("key", "pid", "ord", overlap(tokens(F.col("premise")), F.col("ct")).alias("score"))

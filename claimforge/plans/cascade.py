@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import guarded_score, tokens
 from ..operators.graph import degrees, simple_paths, steps
+from ..operators.lineage import cut
 from ..operators.linking import link_text
 from ..operators.scoring import best_premise
 
@@ -32,7 +33,7 @@ def edge_premises(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def scored_paths(claims: DataFrame, nodes: DataFrame, edges: DataFrame, how: Grounding) -> DataFrame:
     """key, nodes, path, mult and score of the simple paths between entities named in a claim."""
-    ends = link_text(claims, nodes).distinct()
+    ends = cut(link_text(claims, nodes).distinct())
     pairs = ends.join(ends.select("key", F.col("id").alias("dst")), "key").where("id < dst").select("key", F.col("id").alias("src"), "dst")
     paths = simple_paths(pairs, steps(edges), how.hops)
     words = nodes.select(F.col("id").alias("__id"), F.col("label").alias("__label"))
@@ -55,7 +56,7 @@ def grade(claims: DataFrame, nodes: DataFrame, edges: DataFrame, facts: DataFram
     are searched for paths. Nulls: a claim without text has no evidence."""
     direct = best_premise(claims, edge_premises(nodes, edges).select("pid", "premise", "ord"))
     content = best_premise(claims, facts.select(F.col("entity_id").alias("pid"), F.col("fact").alias("premise"), F.col("label_ord").alias("ord")))
-    stage = claims.join(direct.toDF("key", "d_id", "d"), "key", "left").join(content.toDF("key", "c_id", "c"), "key", "left")
+    stage = cut(claims.join(direct.toDF("key", "d_id", "d"), "key", "left").join(content.toDF("key", "c_id", "c"), "key", "left"))
     open_ = stage.where((F.coalesce("d", F.lit(0.0)) <= how.tau) & (F.coalesce("c", F.lit(0.0)) <= how.tau)).select("key", "text")
     hops = best_path(scored_paths(open_, nodes, edges, how)).where(F.col("score") > how.tau)
     stage = stage.join(hops.select("key", F.array_join("nodes", ">").alias("h_id"), F.col("score").alias("h")), "key", "left")

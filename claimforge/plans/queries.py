@@ -1,4 +1,9 @@
-"""The registered queries: each operator over the whole driver tables, with DuckDB SQL of the same result."""
+"""The registered queries: each operator over the whole driver tables, with DuckDB SQL of the same result.
+
+The SQL of eight queries is told over a slice of the graph (suppliers, nations, regions). Each of them has a namesake
+ending in ``_whole`` that does the same over all nodes and edges; those have no SQL, and tests hold them against it with
+the slice replaced by the graph.
+"""
 
 from __future__ import annotations
 
@@ -227,6 +232,18 @@ def link_exact(s: SparkSession, d: str) -> DataFrame:
 
 _MENTIONS = """SELECT 'S' || CAST(s_suppkey AS STRING) AS key, 'goods of ' || s_name || ' from Nation ' || chr(65 + s_nationkey % 26) || 'land' AS mention FROM {supplier}
 UNION ALL SELECT 'N' || CAST(n_nationkey AS STRING), CASE WHEN n_nationkey % 3 = 0 THEN 'Nation' ELSE 'nation ' || chr(65 + n_nationkey % 26) END FROM {nation}"""
+
+
+def _link_best(s: SparkSession, d: str, nodes: str) -> DataFrame:
+    found = linking.link_best(star.view(s, d, _MENTIONS), star.view(s, d, nodes))
+    return found.withColumn("score", F.round("score", 9))
+
+
+def _link_text(s: SparkSession, d: str, nodes: str) -> DataFrame:
+    found = linking.link_text(star.view(s, d, _MENTIONS).withColumnRenamed("mention", "text"), star.view(s, d, nodes))
+    return found.groupBy("key").agg(F.count(F.lit(1)).alias("n_links"), F.array_join(F.array_sort(F.collect_list("id")), ",").alias("ids"))
+
+
 _CONTAIN_SQL = f"""n AS ({star.SLICE_NODES}), i AS (SELECT lower(label) AS norm, arg_min(id, node_ord) AS id FROM n GROUP BY 1), m AS (SELECT key, lower(mention) AS mention FROM ({_MENTIONS}))"""
 
 
@@ -234,14 +251,22 @@ _CONTAIN_SQL = f"""n AS ({star.SLICE_NODES}), i AS (SELECT lower(label) AS norm,
 s AS (SELECT key, id, CASE WHEN norm = mention THEN 1.0 ELSE length(norm)::DOUBLE / greatest(length(norm), length(mention)) END AS score, norm = mention AS same FROM m JOIN i ON contains(mention, norm) OR contains(norm, mention))
 SELECT key, id, round(score, 9) AS score FROM s QUALIFY row_number() OVER (PARTITION BY key ORDER BY same DESC, score DESC, id) = 1""")
 def link_containment_best(s: SparkSession, d: str) -> DataFrame:
-    found = linking.link_best(star.view(s, d, _MENTIONS), star.view(s, d, star.SLICE_NODES))
-    return found.withColumn("score", F.round("score", 9))
+    return _link_best(s, d, star.SLICE_NODES)
+
+
+@query()
+def link_containment_best_whole(s: SparkSession, d: str) -> DataFrame:
+    return _link_best(s, d, star.NODES)
 
 
 @query(f"""WITH {_CONTAIN_SQL} SELECT key, count(*) AS n_links, string_agg(n.id, ',' ORDER BY n.id) AS ids FROM m JOIN n ON contains(mention, lower(label)) OR contains(lower(label), mention) GROUP BY 1""")
 def link_text_all(s: SparkSession, d: str) -> DataFrame:
-    found = linking.link_text(star.view(s, d, _MENTIONS).withColumnRenamed("mention", "text"), star.view(s, d, star.SLICE_NODES))
-    return found.groupBy("key").agg(F.count(F.lit(1)).alias("n_links"), F.array_join(F.array_sort(F.collect_list("id")), ",").alias("ids"))
+    return _link_text(s, d, star.SLICE_NODES)
+
+
+@query()
+def link_text_all_whole(s: SparkSession, d: str) -> DataFrame:
+    return _link_text(s, d, star.NODES)
 
 
 @query(f"""SELECT edge_ord, CASE WHEN property_id = 'PS' THEN object_id ELSE subject_id END AS subject_id, CASE WHEN property_id = 'PS' THEN 'PT' ELSE property_id END AS property_id,
@@ -285,18 +310,35 @@ ds AS ({_score_sql(_DIRECT_PAIRS, 'key, pid, edge_ord')}), dt AS (SELECT * FROM
 cs AS ({_score_sql(_CONTENT_PAIRS, 'key, pid, label_ord')}), co AS (SELECT * FROM cs WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY key ORDER BY score DESC, label_ord, pid) = 1)"""
 
 
-def _slice(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+Graph = tuple[DataFrame, DataFrame, DataFrame, DataFrame]
+
+
+def _slice(s: SparkSession, d: str) -> Graph:
     claims = star.view(s, d, star.CLAIMS).withColumnRenamed("claim_id", "key")
     return claims, star.view(s, d, star.SLICE_NODES), star.view(s, d, star.SLICE_EDGES), star.view(s, d, star.FACTS)
 
 
-@query(f"WITH {_STAGES_SQL} SELECT key, pid, round(score, 9) AS score FROM dt")
-def direct_triple_best(s: SparkSession, d: str) -> DataFrame:
-    claims, nodes, edges, _ = _slice(s, d)
+def _whole(s: SparkSession, d: str) -> Graph:
+    claims, _, _, facts = _slice(s, d)
+    return claims, _nodes(s, d), _edges(s, d), facts
+
+
+def _direct(graph: Graph) -> DataFrame:
+    claims, nodes, edges, _ = graph
     best = scoring.best_premise(claims, cascade.edge_premises(nodes, edges).select("pid", "premise", "ord"))
     return best.withColumn("score", F.round("score", 9))
 
 
+@query(f"WITH {_STAGES_SQL} SELECT key, pid, round(score, 9) AS score FROM dt")
+def direct_triple_best(s: SparkSession, d: str) -> DataFrame:
+    return _direct(_slice(s, d))
+
+
+@query()
+def direct_triple_best_whole(s: SparkSession, d: str) -> DataFrame:
+    return _direct(_whole(s, d))
+
+
 _LINKS_SQL = f"""n AS ({star.SLICE_NODES}), e AS ({star.SLICE_EDGES}), cl AS (SELECT claim_id AS key, text FROM ({star.CLAIMS})),
 lk AS (SELECT DISTINCT key, text, id FROM cl JOIN n ON contains(lower(text), lower(label)) OR contains(lower(label), lower(text))), {_STEPS_SQL},
 pp AS (SELECT a.key, a.text, a.id || '>' || s1.dst || '>' || b.id AS nodes, s1.edge_ord AS e1, s2.edge_ord AS e2
@@ -305,13 +347,27 @@ pr AS ({_PREMISES}), pq AS (SELECT key, text, nodes, p1.premise || ' ' || p2.pre
 ps AS ({_score_sql('SELECT * FROM pq', 'key, nodes')}), pb AS (SELECT * FROM ps QUALIFY row_number() OVER (PARTITION BY key ORDER BY score DESC, nodes) = 1)"""
 
 
-@query(f"WITH {_LINKS_SQL} SELECT key, nodes, round(score, 9) AS score FROM pb")
-def best_path(s: SparkSession, d: str) -> DataFrame:
-    claims, nodes, edges, _ = _slice(s, d)
+def _best_path(graph: Graph) -> DataFrame:
+    claims, nodes, edges, _ = graph
     best = cascade.best_path(cascade.scored_paths(claims, nodes, edges, HOW))
     return best.select("key", F.array_join("nodes", ">").alias("nodes"), F.round("score", 9).alias("score"))
 
 
+@query(f"WITH {_LINKS_SQL} SELECT key, nodes, round(score, 9) AS score FROM pb")
+def best_path(s: SparkSession, d: str) -> DataFrame:
+    return _best_path(_slice(s, d))
+
+
+@query()
+def best_path_whole(s: SparkSession, d: str) -> DataFrame:
+    return _best_path(_whole(s, d))
+
+
+def _status(graph: Graph) -> DataFrame:
+    claims, nodes, edges, facts = graph
+    return cascade.grade(claims, nodes, edges, facts, HOW).withColumn("score", F.round("score", 9))
+
+
 @query(f"""WITH {_STAGES_SQL}, {_LINKS_SQL},
 g AS (SELECT cl.key, coalesce(dt.score, 0) AS ds, coalesce(co.score, 0) AS cs, coalesce(pb.score, 0) AS hs, dt.pid AS di, co.pid AS ci, pb.nodes AS hi FROM cl LEFT JOIN dt USING (key) LEFT JOIN co USING (key) LEFT JOIN pb USING (key))
 SELECT key, CASE WHEN ds > {HOW.tau} OR cs > {HOW.tau} THEN 'retrieved' WHEN hs > {HOW.tau} THEN 'reasoned-supportable' ELSE 'fabricated' END AS status,
@@ -319,18 +375,31 @@ SELECT key, CASE WHEN ds > {HOW.tau} OR cs > {HOW.tau} THEN 'retrieved' WHEN hs
   CASE WHEN ds > {HOW.tau} THEN di WHEN cs > {HOW.tau} THEN ci WHEN hs > {HOW.tau} THEN hi ELSE '' END AS evidence,
   round(CASE WHEN ds > {HOW.tau} THEN ds WHEN cs > {HOW.tau} THEN cs WHEN hs > {HOW.tau} THEN hs ELSE nullif(greatest(ds, cs), 0) END, 9) AS score FROM g""")
 def cascade_status(s: SparkSession, d: str) -> DataFrame:
-    claims, nodes, edges, facts = _slice(s, d)
-    return cascade.grade(claims, nodes, edges, facts, HOW).withColumn("score", F.round("score", 9))
+    return _status(_slice(s, d))
 
 
 @query()
-def spurious_flags(s: SparkSession, d: str) -> DataFrame:
-    claims, nodes, edges, _ = _slice(s, d)
+def cascade_status_whole(s: SparkSession, d: str) -> DataFrame:
+    return _status(_whole(s, d))
+
+
+def _spurious(graph: Graph) -> DataFrame:
+    claims, nodes, edges, _ = graph
     best = cascade.best_path(cascade.scored_paths(claims, nodes, edges, HOW))
     surfaces = claims.select("key", F.when(F.col("text").contains("in region"), F.lit("PR")).alias("pid"), T.cue_parts(F.col("text"))["tail"].alias("tail"))
     return cascade.spurious(best, edges, surfaces, HOW)
 
 
+@query()
+def spurious_flags(s: SparkSession, d: str) -> DataFrame:
+    return _spurious(_slice(s, d))
+
+
+@query()
+def spurious_flags_whole(s: SparkSession, d: str) -> DataFrame:
+    return _spurious(_whole(s, d))
+
+
 # --- ablation and sweep ---------------------------------------------------------------------------------------------
 
 _REFS = """SELECT 'S' || CAST(s_suppkey AS STRING) AS subject_id, 'PS' AS property_id, CAST(NULL AS STRING) AS object_id FROM {supplier} WHERE s_acctbal < 0
@@ -524,16 +593,25 @@ def gold_completeness(s: SparkSession, d: str) -> DataFrame:
 _ANSWERS = f"""SELECT split(claim_id, '-')[0] AS run_id, claim_id, text FROM ({star.CLAIMS}) AS c"""
 
 
+def _grounded(s: SparkSession, d: str, graph: Graph) -> DataFrame:
+    parts = star.view(s, d, _ANSWERS).groupBy("run_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("claim_id", "text"))), lambda x: F.concat(x["text"], F.lit("."))), " ").alias("answer_text"))
+    _, nodes, edges, facts = graph
+    out = grounding.summaries(parts, grounding.ground(parts, nodes, edges, facts, HOW))
+    return out.withColumn("fabrication_rate", F.round("fabrication_rate", 9))
+
+
 @query(
     SQL["cascade_status"].replace("SELECT key, CASE WHEN ds >", "SELECT run_id, count(*) FILTER (status = 'retrieved') AS retrieved, count(*) FILTER (status = 'reasoned-supportable') AS reasoned_supportable, count(*) FILTER (status = 'fabricated') AS fabricated, count(*) AS total, round(count(*) FILTER (status = 'fabricated') / count(*), 9) AS fabrication_rate FROM (SELECT string_split(key, '-')[1] AS run_id, CASE WHEN ds >", 1)
     + ") GROUP BY 1"
 )
 def grounded_runs(s: SparkSession, d: str) -> DataFrame:
     """One answer of each supplier, from its four claims, split, linked, graded and summed up."""
-    parts = star.view(s, d, _ANSWERS).groupBy("run_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("claim_id", "text"))), lambda x: F.concat(x["text"], F.lit("."))), " ").alias("answer_text"))
-    _, nodes, edges, facts = _slice(s, d)
-    out = grounding.summaries(parts, grounding.ground(parts, nodes, edges, facts, HOW))
-    return out.withColumn("fabrication_rate", F.round("fabrication_rate", 9))
+    return _grounded(s, d, _slice(s, d))
+
+
+@query()
+def grounded_runs_whole(s: SparkSession, d: str) -> DataFrame:
+    return _grounded(s, d, _whole(s, d))
 
 
 @query(f"""WITH e AS ({star.EDGES}), t AS (SELECT *, coalesce(object_id, 'lit:' || value_type || ':' || object_label) AS dst FROM e)
@@ -558,6 +636,13 @@ def slot_difference(s: SparkSession, d: str) -> DataFrame:
 _EXPECTED = "CASE split_part(key, '-', 2) WHEN 'region' THEN 'reasoned-supportable' WHEN 'none' THEN 'fabricated' ELSE 'retrieved' END"
 
 
+def _tau_accuracy(graph: Graph) -> DataFrame:
+    claims, nodes, edges, facts = graph
+    scores = calibrate.stage_scores(claims, nodes, edges, facts, HOW).withColumn("tau", F.explode(F.array(*map(F.lit, TAUS))))
+    hit = calibrate.produced(F.col("tau")) == F.expr(_EXPECTED)
+    return scores.groupBy("tau").agg(F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("hits"))
+
+
 @query(
     SQL["cascade_status"][: SQL["cascade_status"].index("SELECT key, CASE WHEN ds >")]
     + f"""SELECT tau, count(*) AS n, count(*) FILTER (CASE WHEN ds > tau OR cs > tau THEN 'retrieved' WHEN hs > tau THEN 'reasoned-supportable' ELSE 'fabricated' END = {_EXPECTED}) AS hits
@@ -565,7 +650,9 @@ FROM g, (SELECT unnest({TAUS}::DOUBLE[]) AS tau) GROUP BY 1"""
 )
 def cascade_tau_accuracy(s: SparkSession, d: str) -> DataFrame:
     """Correct claims at each candidate threshold, from stage scores made once."""
-    claims, nodes, edges, facts = _slice(s, d)
-    scores = calibrate.stage_scores(claims, nodes, edges, facts, HOW).withColumn("tau", F.explode(F.array(*map(F.lit, TAUS))))
-    hit = calibrate.produced(F.col("tau")) == F.expr(_EXPECTED)
-    return scores.groupBy("tau").agg(F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("hits"))
+    return _tau_accuracy(_slice(s, d))
+
+
+@query()
+def cascade_tau_accuracy_whole(s: SparkSession, d: str) -> DataFrame:
+    return _tau_accuracy(_whole(s, d))
