@@ -18,18 +18,18 @@ from .store import cache_key
 WD, WDT = "http://www.wikidata.org/entity/", "http://www.wikidata.org/prop/direct/"
 
 
-def enumeration_query(kind: str = "Q571", low: int = 5, high: int = 40) -> str:
-    """Items of a class whose number of site links lies in a band."""
+def enumeration_query(kind: str = "Q571", low: int = 5, high: int = 40, limit: int | None = None) -> str:
+    """Items of a class whose number of site links lies in a band: all, or the first ``limit`` (the reference has 200)."""
     return (
         "SELECT ?item ?sitelinks WHERE {\n"
         f"  ?item wdt:P31 wd:{kind} ;\n        wikibase:sitelinks ?sitelinks .\n"
         f"  FILTER(?sitelinks >= {low} && ?sitelinks <= {high})\n"
-        "}\nORDER BY ?item"
+        "}\nORDER BY ?item" + ("" if limit is None else f"\nLIMIT {limit}")
     )
 
 
-def triples_query(ids: list[str], limit: int = 200) -> str:
-    """Outgoing direct statements of some items with English labels; without items a query that has no rows."""
+def triples_query(ids: list[str]) -> str:
+    """All outgoing direct statements of some items with English labels; without items a query that has no rows."""
     if not ids:
         return "SELECT ?item ?prop ?value WHERE { FILTER(false) }"
     values = " ".join(f"wd:{i}" for i in sorted(ids))
@@ -43,7 +43,7 @@ def triples_query(ids: list[str], limit: int = 200) -> str:
         + english("?item", "schema:description ?itemDescription")
         + english("?prop", "rdfs:label ?propLabel")
         + english("?value", "rdfs:label ?valueLabel")
-        + f"}}\nORDER BY ?item ?prop ?value\nLIMIT {limit}"
+        + "}\nORDER BY ?item ?prop ?value"
     )
 
 
