@@ -23,6 +23,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ from .common import MEMO_ENTRIES, held_out, read_table, text_chunks, worker_memo
 
 _words = re.compile(r"[^\W\d_]+").findall
 UNKNOWN = "und"
+#: Words of more letters stay out of the memo.
+LONG_WORD = 100
 
 
 @dataclass(frozen=True)
@@ -56,13 +59,25 @@ def language_words(text: str | None) -> list[str]:
     return words if not text or text.isascii() else [w for w in words if w.isalpha() or any(map(str.isalpha, w))]
 
 
-def word_features(word: str, lexicon: frozenset[str], bits: int) -> list[int]:
-    """Hashed features of a word: the word if it is in the lexicon, affixes, and character pairs and triples."""
-    edged = f"<{word[:40]}>"
+def _features(word: str, lexicon: frozenset[str], bits: int) -> Iterator[int]:
+    edged = f"<{word}>"
     names = [f"L{word}"] if word in lexicon else []
     names += [f"P{word[:k]}" for k in (1, 2, 3) if len(word) >= k] + [f"S{word[-k:]}" for k in (1, 2, 3) if len(word) >= k]
-    names += [edged[i : i + 2] for i in range(len(edged) - 1)] + [edged[i : i + 3] for i in range(len(edged) - 2)]
-    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) & ((1 << bits) - 1) for x in names]
+    grams = (edged[i : i + k] for k in (2, 3) for i in range(len(edged) - k + 1))
+    return (zlib.crc32(x.encode("utf-8", "surrogatepass")) & ((1 << bits) - 1) for x in chain(names, grams))
+
+
+def word_features(word: str, lexicon: frozenset[str], bits: int) -> list[int]:
+    """Hashed features of a whole word: the word if it is in the lexicon, affixes, and character pairs and triples."""
+    return list(_features(word, lexicon, bits))
+
+
+def long_emission(word: str, lexicon: frozenset[str], weights: np.ndarray, bits: int) -> np.ndarray:
+    """The emission scores of a word of any length, summed up part by part."""
+    features, total = _features(word, lexicon, bits), np.zeros(weights.shape[1])
+    while part := list(islice(features, 1 << 16)):
+        total += weights[part].sum(axis=0)
+    return total
 
 
 def emissions(words: list[str], lexicon: frozenset[str], weights: np.ndarray, bits: int) -> np.ndarray:
@@ -136,7 +151,7 @@ def posteriors(scores: np.ndarray, transitions: np.ndarray, counts: np.ndarray,
 
 
 class Tagger(dict):
-    """word -> row of its emission scores; emptied when it grows large."""
+    """word -> row of its emission scores, but for very long words; emptied when it grows large."""
 
     def __init__(self, labels: list[str], lexicon: frozenset[str], weights: np.ndarray, transitions: np.ndarray, how: LanguageModel):
         self.labels, self.lexicon, self.weights, self.transitions, self.how = labels, lexicon, weights, transitions, how
@@ -147,11 +162,15 @@ class Tagger(dict):
         if len(self) > MEMO_ENTRIES:
             self.clear()
             self.scores = self.scores[:0]
-        new = [w for w in set().union(*lists) if w not in self]
+        some = set().union(*lists)
+        new = [w for w in some if len(w) <= LONG_WORD and w not in self]
         if new:
             self.update(zip(new, range(len(self), len(self) + len(new))))
             self.scores = np.concatenate([self.scores, emissions(new, self.lexicon, self.weights, self.how.hash_bits)])
-        return self.scores[np.fromiter((self[w] for x in lists for w in x), np.int64, sum(map(len, lists)))]
+        if all(len(w) <= LONG_WORD for w in some):
+            return self.scores[np.fromiter((self[w] for x in lists for w in x), np.int64, sum(map(len, lists)))]
+        found = {w: long_emission(w, self.lexicon, self.weights, self.how.hash_bits) for w in some if len(w) > LONG_WORD}
+        return np.array([found[w] if w in found else self.scores[self[w]] for x in lists for w in x])
 
     def words(self, lists: list[list[str]]) -> list[np.ndarray]:
         """For each text the label probabilities of its words."""
