@@ -76,7 +76,8 @@ def values(text: Column) -> Column:
     find = lambda p: F.regexp_extract_all(text, F.lit(p), F.lit(0))
     dates = find(rf"(?iU)\b\d{{4}}\b|\b(?:{'|'.join(MONTHS)})\b")
     numbers = find(r"(?U)\b\d+(?:\.\d+)?\b")
-    names = find(r"(?U)\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+")
+    # ++ finds the same as +, since nothing follows, and doesn't recurse on long phrases.
+    names = find(r"(?U)\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)++")
     return F.array_distinct(F.concat(F.transform(dates, F.lower), numbers, F.transform(names, F.lower)))
 
 

@@ -214,6 +214,12 @@ def value_extract(s: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("item_id").alias("doc_id"), F.array_join(F.array_sort(T.values(F.col("text"))), " / ").alias("value_list"))
 
 
+@query()
+def value_extract_documents(s: SparkSession, d: str) -> DataFrame:
+    """The values of all documents, long ones whole; DuckDB's regular expressions know word ends of ASCII only."""
+    return _table(s, d, "documents").select("doc_id", F.array_join(F.array_sort(T.values(F.col("text"))), " / ").alias("value_list"))
+
+
 @query(f"""WITH {_SPLIT_SQL} SELECT conv_id, turn, pos::INT AS pos, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(nfc_normalize(lower(x)), '[A-Za-z]+')), lambda t: NOT list_contains({list(T.STOP_WORDS)}, t))), ' ') AS unresolved FROM c""")
 def unresolved_tokens(s: SparkSession, d: str) -> DataFrame:
     none = F.array().cast("array<string>")
