@@ -144,7 +144,7 @@ pa AS (SELECT key, ends.src || '>' || a.dst || '>' || b.dst AS nodes, a.edge_ord
 
 
 def _order_paths(s: SparkSession, d: str) -> DataFrame:
-    steps = graph.steps(star.view(s, d, _ORDER_EDGES))
+    steps = graph.steps(_edges(s, d))
     return graph.simple_paths(_customer_ends(s, d), steps, 2)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from claimforge.functions import text as T
-from claimforge.operators import scoring
+from claimforge.operators import graph, scoring
 from claimforge.registry import engine_queries, engine_sql
 from claimforge.sources import star
 
@@ -63,3 +63,13 @@ def test_best_premise_equals_brute_force(spark):
     for r in sorted(pairs, key=lambda r: (-r.score, r.ord, r.pid)):
         want.setdefault(r.key, (r.pid, r.score))
     assert want and {r.key: (r.pid, r.score) for r in scoring.best_premise(claims, premises).collect()} == want
+
+
+@pytest.mark.parametrize("name", ["two_hop_paths", "path_multiplicity"])
+def test_order_paths_search_all_edges(spark, monkeypatch, name):
+    seen, steps = [], graph.steps
+    monkeypatch.setattr(graph, "steps", lambda edges: seen.append(edges) or steps(edges))
+    QUERIES[name](spark, SF)
+    whole = star.view(spark, SF, star.EDGES)
+    count = lambda e: {r.property_id: r["count"] for r in e.groupBy("property_id").count().collect()}
+    assert len(seen) == 1 and count(seen[0]) == count(whole)
