@@ -105,6 +105,14 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(names: Iterable[str], base: str) -> str:
+    """A column name that isn't among ``names``, in any spelling of its letters."""
+    taken, name = {n.lower() for n in names}, f"__{base}"
+    while name in taken:
+        name += "_"
+    return name
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -249,6 +257,14 @@ def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return mix((sums[n:] - sums[:count]) * down[:count])
 
 
+def sequence_hashes(words: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the ``length`` entries from ``first`` on, for each pair of them."""
+    up, down = powers(len(words) + 1)
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * up[:-1], out=sums[1:])
+    return mix((sums[first + length] - sums[first]) * down[first] + length.astype(np.uint64))
+
+
 def concat_words(lists: list[list[bytes]], memo: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all words of several documents in a row, the first position of each document, and its word count."""
     counts = np.fromiter(map(len, lists), np.int64, len(lists))

@@ -5,20 +5,24 @@ that lies in a window whose words also start earlier: in a document of less doc_
 So the first copy of a passage stays, and of each maximal repeat of at least ``window`` words all later copies go.
 
 Seeds: of the ``seed``-word runs in a window the one of the least hash (the leftmost of equals) is the window's anchor.
-It depends on the window's words alone, so equal windows have equal anchors, and neighbouring windows mostly share one:
-a row holds an anchor, its place, and the hashes of the run of windows around it. Rows meet by anchor.
-
-Extension: of the rows of an anchor, in order of document and place, a window's first holder keeps it and later holders
-are marked, which is the extension of the seed to both sides as far as a whole window reaches; runs of marked windows
-that touch are one maximal repeat. Equality is that of the anchor's and the window's 64-bit hashes together.
-
-Hot anchors, those in over a share of a bounded sample of documents, would gather in one task. Their windows go
-one by one to an aggregate over window hashes instead, which combines before it shuffles, and are joined back. The
-sample decides only which of the two ways a window takes; both give the same marks, over all documents.
-
-Cases: null, empty and short texts have no windows and stay whole. Rows with a null doc_id stay whole and are no source.
-Rows that share a doc_id don't remove each other's words at the same places; a removal at a place holds for all of them.
-Columns of the documents that have the name of a result are replaced.
+It depends on the window's words alone, so equal windows have equal anchors, and the windows around one anchor are a run
+of neighbours. Documents are joined on anchors; only an anchor's hash, its place and the hash of its reach travel, where
+the reach is all that its windows cover, extended to both sides as far as the anchor is theirs.
+
+Extension: places of an anchor with the same reach match over all of it, to both sides, so all but the first are marked
+whole. First places of different reaches of one anchor match over a part only: they go back to their texts and are
+extended window by window, each window being a number of words to the left of the anchor and the rest to its right; of
+equal ones all but the first are marked. Marks that touch are one maximal repeat. Equality is that of two 64-bit hashes
+of the words (anchor and reach, or anchor and window).
+
+Hot anchors: of the places in one batch of texts with the same anchor and reach one travels, and the others are marked at
+once. Where a batch holds ``spread`` reaches of an anchor, its windows are extended at once and travel by window, of equal
+ones only the first. So an anchor that a third of all documents holds sends a few rows for each batch to its task.
+
+Cases: null, empty and short texts have no windows and stay whole; a very long text is one batch of its own. Rows with a
+null doc_id stay whole and are no source. Rows that share a doc_id don't remove each other's words at the same places; a
+removal at a place holds for all of them. Repeated rows are such rows. An empty table gives no rows. Columns of the
+documents that have the name of a result (n_words, n_removed, kept_text) are replaced; all others come through as they are.
 """
 
 from __future__ import annotations
@@ -29,29 +33,34 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, concat_words, encode, read_table, text_chunks, window_hashes, worker_memo
+from .common import Scratch, WordHashes, concat_words, encode, fresh, mix, read_table, sequence_hashes, text_chunks, window_hashes, worker_memo
 
 
 @dataclass(frozen=True)
 class SubstringDedup:
     window: int = 20
     seed: int = 6
-    #: Anchors in more than this share of documents are hot; less where there are many shuffle partitions, down to
-    #: ``least_hot_share``. The sample holds about ``sample_rows`` / share documents.
-    hot_share: float = 0.005
-    least_hot_share: float = 0.00005
-    sample_rows: int = 100
+    #: So many reaches of one anchor in a batch of texts are extended at once.
+    spread: int = 4
+    #: Text bytes of a batch.
+    batch_bytes: int = 8_000_000
+
+
+SIGNAL, REACH, WINDOW, MARK = range(4)
+_FOUND = "key long, kind byte, same long, doc long, pos int, n int"
 
 
-def anchored_windows(words: np.ndarray, starts: np.ndarray, counts: np.ndarray, how: SubstringDedup):
-    """For the words of several documents in a row: window hashes, and for each run of windows with one anchor the
-    anchor's hash, the document's number, the place of its first window, and the window's index in the hashes."""
+def anchored_runs(words: np.ndarray, starts: np.ndarray, counts: np.ndarray, how: SubstringDedup):
+    """For the words of several documents in a row the runs of windows with one anchor: the anchor's hash, the hash of
+    its reach, the document's number, the place of the first window, and the number of windows; then all window hashes,
+    by place in the row."""
     n, k = how.window, how.seed
-    none = np.zeros(0, np.int64)
     if len(words) < n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), none, none, none
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), none, none, none, np.zeros(0, np.uint64)
     windows, seeds = window_hashes(words, n), window_hashes(words, k)
     doc = np.repeat(np.arange(len(counts)), counts)
     span = np.lib.stride_tricks.sliding_window_view(seeds, n - k + 1)
@@ -59,183 +68,194 @@ def anchored_windows(words: np.ndarray, starts: np.ndarray, counts: np.ndarray,
     inside = doc[: len(windows)] == doc[n - 1 :]
     first = inside.copy()
     first[1:] &= ~(inside[:-1] & (anchor[1:] == anchor[:-1]) & (doc[1 : len(windows)] == doc[: len(windows) - 1]))
-    at = np.flatnonzero(inside)
     run = np.flatnonzero(first)
-    return windows[at], seeds[anchor[run]], doc[run], run - starts[doc[run]], np.searchsorted(at, run)
+    size = np.diff(np.append(np.searchsorted(np.flatnonzero(inside), run), np.count_nonzero(inside)))
+    return seeds[anchor[run]], sequence_hashes(words, run, size + n - 1), doc[run], run - starts[doc[run]], size, windows
 
 
-def _read(batch: pa.RecordBatch, memo: WordHashes):
-    lists = [encode(t).split() if t else [] for t in batch.column(1).to_pylist()]
-    return concat_words(lists, memo)
+def _later(*keys: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by keys, doc and pos; in it, which rows lead the rows of equal keys, and which stand at a later place
+    than their leader."""
+    order = np.lexsort((pos, doc, *reversed(keys)))
+    lead = np.ones(len(order), bool)
+    lead[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+    at = np.maximum.accumulate(np.where(lead, np.arange(len(order)), 0))
+    d, p = doc[order], pos[order]
+    return order, lead, (d != d[at]) | (p != p[at])
 
 
-def _bytes(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    ends = np.concatenate([offsets, [len(values)]]).astype(np.int32) * 8
-    return pa.Array.from_buffers(pa.binary(), len(offsets), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+def _rows(key, kind: int, same, doc, pos, n) -> pa.RecordBatch:
+    columns = [pa.array(key.view(np.int64)), pa.array(np.full(len(key), kind, np.int8)), pa.array(same.view(np.int64)), pa.array(doc.astype(np.int64)), pa.array(pos.astype(np.int32)), pa.array(n.astype(np.int32))]
+    return pa.RecordBatch.from_arrays(columns, names=["key", "kind", "same", "doc", "pos", "n"])
 
 
-def _hot_anchors(rows: DataFrame, how: SubstringDedup) -> list[int]:
-    """Anchors of over a share of the documents of a sample; as many as a document has at most, divided by the share."""
-    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    share = min(how.hot_share, max(how.least_hot_share, 1.0 / partitions))
-    total, sampled = rows.count(), int(how.sample_rows / share)
-    keep = rows if total <= sampled else rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * sampled / total) + 1)
+def _marks(doc: np.ndarray, pos: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Marks travel by their place, so that those of one anchor don't meet."""
+    return _rows(mix(doc.view(np.uint64) + mix(pos.astype(np.uint64))), MARK, np.zeros(len(doc), np.uint64), doc, pos, n)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = worker_memo(("words",), WordHashes)
-        for batch in text_chunks(batches):
-            _, h, doc, _, _ = anchored_windows(*_read(batch, memo), how)
-            pairs = np.unique(np.stack([h, doc.astype(np.uint64)]), axis=1)[0] if len(h) else h
-            keys, n = np.unique(pairs, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["h", "n"])
 
-    least = max(20, share * min(total, sampled))
-    found = keep.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > least)
-    return [r.h for r in found.select("h").collect()]
+def window_key(anchor: np.ndarray, window: np.ndarray) -> np.ndarray:
+    return mix(anchor + mix(window))
 
 
-def _seed_rows(rows: DataFrame, hot, how: SubstringDedup) -> DataFrame:
-    """h, doc, pos and windows (64-bit hashes, as bytes) of each run of windows; hot runs come as single windows with
-    the window's hash in w, of one chunk's equal windows only the first, the others as marks (w null)."""
+def _seeds(rows: DataFrame, how: SubstringDedup) -> DataFrame:
+    """The rows of a batch that travel: reaches (key: anchor, same: reach), windows (key: anchor and window, same:
+    window) of spread anchors with a signal for each such anchor, and marks."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = worker_memo(("words",), WordHashes)
-        hot_keys = np.sort(np.array(hot.value, np.int64).view(np.uint64))
-        for batch in text_chunks(batches):
-            ids = np.asarray(batch.column(0))
-            values, h, doc, pos, at = anchored_windows(*_read(batch, memo), how)
+        for batch in text_chunks(batches, limit=how.batch_bytes):
+            words, starts, counts = _read(batch, memo)
+            h, reach, number, pos, size, windows = anchored_runs(words, starts, counts, how)
             if not len(h):
                 continue
-            sizes = np.diff(np.concatenate([at, [len(values)]]))
-            is_hot = np.isin(h, hot_keys) if len(hot_keys) else np.zeros(len(h), bool)
-            wide = np.repeat(is_hot, sizes)
-            cold = ~is_hot
-            offsets = np.cumsum(sizes[cold]) - sizes[cold]
-            yield _seed_batch(h[cold], ids[doc[cold]], pos[cold], _bytes(values[~wide], offsets), pa.nulls(int(cold.sum()), pa.int64()))
-            if wide.any():
-                run_of = np.repeat(np.arange(len(h)), sizes)[wide]
-                place = pos[run_of] + (np.arange(len(values)) - np.repeat(at, sizes))[wide]
-                hh, ww, dd = h[run_of], values[wide], ids[doc[run_of]]
-                order = np.lexsort((place, dd, ww, hh))
-                hh, ww, dd, place = hh[order], ww[order], dd[order], place[order]
-                same = np.concatenate([[False], (hh[1:] == hh[:-1]) & (ww[1:] == ww[:-1])])
-                # Equal windows at one doc_id and place (rows that share a doc_id) aren't later than each other.
-                lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
-                later = same & ((dd != dd[lead]) | (place != place[lead]))
-                empty = pa.array([b""] * int((~same).sum()), pa.binary())
-                yield _seed_batch(hh[~same], dd[~same], place[~same], empty, pa.array(ww[~same].view(np.int64)))
-                marks = int(later.sum())
-                yield _seed_batch(hh[later], dd[later], place[later], pa.nulls(marks, pa.binary()), pa.nulls(marks, pa.int64()))
-
-    return rows.mapInArrow(run, "h long, doc long, pos int, windows binary, w long")
-
-
-def _seed_batch(h, doc, pos, windows, w) -> pa.RecordBatch:
-    columns = [pa.array(h.view(np.int64)), pa.array(doc.astype(np.int64)), pa.array(pos.astype(np.int32)), windows, w]
-    return pa.RecordBatch.from_arrays(columns, names=["h", "doc", "pos", "windows", "w"])
-
-
-def _later_windows(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """doc and place of each window in whole anchor groups, sorted by h, doc, pos, that an earlier row has too."""
-    h, doc, pos = (np.asarray(table.column(i).combine_chunks()) for i in range(3))
-    same = h[1:] == h[:-1]
-    several = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-    rows = np.flatnonzero(several)
-    if not len(rows):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    held = table.column(3).take(pa.array(rows)).combine_chunks()
-    raw = [np.frombuffer(x, np.uint64) for x in held.to_pylist()]
-    sizes = np.fromiter(map(len, raw), np.int64, len(raw))
-    w = np.concatenate(raw)
-    owner = np.repeat(rows, sizes)
-    place = pos[owner] + np.arange(len(w)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    order = np.lexsort((place, doc[owner], w, h[owner]))
-    hh, ww, dd, pp = h[owner][order], w[order], doc[owner][order], place[order]
-    equal = np.concatenate([[False], (hh[1:] == hh[:-1]) & (ww[1:] == ww[:-1])])
-    lead = np.maximum.accumulate(np.where(equal, 0, np.arange(len(equal))))
-    later = equal & ((dd != dd[lead]) | (pp != pp[lead]))
-    return dd[later], pp[later]
-
-
-def _mark_batch(doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-    """Runs of neighbouring places in one document as doc, a (first) and b (last + 1)."""
-    order = np.lexsort((place, doc))
-    doc, place = doc[order], place[order]
-    cut = np.flatnonzero((np.diff(doc) != 0) | (np.diff(place) > 1)) + 1
-    first = np.concatenate([[0], cut]).astype(np.int64) if len(doc) else cut
-    last = np.concatenate([cut, [len(doc)]]).astype(np.int64) - 1 if len(doc) else cut
-    columns = [pa.array(doc[first]), pa.array(place[first].astype(np.int32)), pa.array((place[last] + 1).astype(np.int32))]
-    return pa.RecordBatch.from_arrays(columns, names=["doc", "a", "b"])
-
-
-def _cold_marks(seeds: DataFrame) -> DataFrame:
+            doc, at = np.asarray(batch.column(0))[number], starts[number] + pos
+            order, lead, later = _later(h, reach, doc=doc, pos=pos)
+            gone = order[later]
+            yield _marks(doc[gone], pos[gone], size[gone])
+            kept = order[lead]
+            _, group, many = np.unique(h[kept], return_inverse=True, return_counts=True)
+            wide = many[group] >= how.spread
+            own = kept[~wide]
+            yield _rows(h[own], REACH, reach[own], doc[own], pos[own], size[own])
+            own = kept[wide]
+            if not len(own):
+                continue
+            anchors = np.unique(h[own])
+            none = np.zeros(len(anchors), np.int64)
+            yield _rows(anchors, SIGNAL, none, none, none, none)
+            steps = np.arange(size[own].sum()) - np.repeat(np.cumsum(size[own]) - size[own], size[own])
+            w, d, p = windows[np.repeat(at[own], size[own]) + steps], np.repeat(doc[own], size[own]), np.repeat(pos[own], size[own]) + steps
+            key = window_key(np.repeat(h[own], size[own]), w)
+            order, lead, later = _later(key, w, doc=d, pos=p)
+            gone, first = order[later], order[lead]
+            yield _marks(d[gone], p[gone], np.ones(len(gone), np.int32))
+            yield _rows(key[first], WINDOW, w[first], d[first], p[first], np.ones(len(first), np.int32))
+
+    return rows.mapInArrow(run, _FOUND)
+
+
+def _read(batch: pa.RecordBatch, memo: WordHashes):
+    lists = [encode(t).split() if t else [] for t in batch.column(1).to_pylist()]
+    return concat_words(lists, memo)
+
+
+def _matched(seeds: DataFrame) -> DataFrame:
+    """Joins the places by anchor. Of each reach, and of each window, the places after the first become marks; first
+    places go on where an anchor has several reaches. Memory holds a batch and two rows, whatever the size of a group."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: pa.Table | None = None
+        kept: list[np.ndarray] | None = None  # a signal if the last key has several reaches, and the last leader
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table = pa.Table.from_batches([batch])
-            waiting = table if waiting is None else pa.concat_tables([waiting, table])
-            h = np.asarray(waiting.column(0).combine_chunks())
-            cut = int(np.searchsorted(h, h[-1]))  # the last anchor may go on in the next batch
-            if cut:
-                yield _mark_batch(*_later_windows(waiting.slice(0, cut)))
-                waiting = waiting.slice(cut)
-        if waiting is not None:
-            yield _mark_batch(*_later_windows(waiting))
+            key, kind, same, doc, pos, n = (np.asarray(batch.column(i)) for i in range(6))
+            done = np.zeros(len(key), bool)
+            if kept is not None:
+                key, kind, same, doc, pos, n, done = (np.concatenate(x) for x in zip(kept, (key, kind, same, doc, pos, n, done)))
+            new_key = np.append(True, key[1:] != key[:-1])
+            new = new_key | np.append(True, (kind[1:] != kind[:-1]) | (same[1:] != same[:-1]))
+            at = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+            placed = (kind == REACH) | (kind == WINDOW)
+            later = placed & ((doc != doc[at]) | (pos != pos[at])) | (kind == MARK)
+            group = np.cumsum(new_key) - 1
+            several = (np.bincount(group, new & (kind == REACH)) >= 2) | (np.bincount(group, kind == SIGNAL) > 0)
+            first = new & ~done & ((kind == WINDOW) | (kind == REACH) & several[group])
+            out = np.flatnonzero(later | first)
+            names = ["key", "kind", "same", "doc", "pos", "n"]
+            what = np.where(later, MARK, kind)[out].astype(np.int8)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[out], what, same[out], doc[out], pos[out], n[out])], names=names)
+            last = at[-1:] if placed[-1] else at[:0]
+            kept = [np.concatenate([x[-1:] if several[-1] else x[:0], x[last]]) for x in (key, kind, same, doc, pos, n, done)]
+            if several[-1]:
+                kept[1][0] = SIGNAL
+            kept[6][:] = True if several[-1] or (len(last) and kind[last[0]] == WINDOW) else False
+
+    met = seeds.repartition("key").sortWithinPartitions("key", "kind", "same", "doc", "pos")
+    return met.mapInArrow(run, _FOUND)
+
+
+def _extended(rows: DataFrame, found: DataFrame, how: SubstringDedup) -> DataFrame:
+    """key, same, doc, pos of the single windows of first places whose anchors have several reaches."""
+    wanted = found.where(F.col("kind") == REACH).groupBy(F.col("doc").alias("__id")).agg(F.collect_list(F.struct("key", "pos", "n")).alias("__at"))
+    # The same join at every size: texts meet their places by a shuffle, and a task holds the places of its part.
+    joined = rows.join(wanted.hint("shuffle_hash"), F.col("id") == F.col("__id")).select("id", "text", "__at")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = worker_memo(("words",), WordHashes)
+        for batch in text_chunks(batches):
+            words, starts, counts = _read(batch, memo)
+            windows = window_hashes(words, how.window)
+            at = batch.column(2)
+            number = np.repeat(np.arange(batch.num_rows), np.asarray(at.value_lengths()))
+            anchor, pos, n = (np.asarray(x) for x in at.flatten().flatten())
+            # Another text of the same doc_id may end before the place.
+            fits = pos + n + how.window - 1 <= counts[number]
+            number, anchor, pos, n = number[fits], anchor[fits].view(np.uint64), pos[fits].astype(np.int64), n[fits].astype(np.int64)
+            place = np.repeat(pos, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            number = np.repeat(number, n)
+            w = windows[starts[number] + place] if len(place) else windows[:0]
+            doc = np.asarray(batch.column(0))[number]
+            key = window_key(np.repeat(anchor, n), w)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(w.view(np.int64)), pa.array(doc), pa.array(place.astype(np.int32))], names=["key", "same", "doc", "pos"])
+
+    return joined.mapInArrow(run, "key long, same long, doc long, pos int")
+
+
+def _marked(docs: DataFrame, how: SubstringDedup) -> DataFrame:
+    """doc and marks (place and number of the windows) of the documents that have some, in a written table."""
+    scratch = Scratch(docs.sparkSession, "substrings")
+    rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), "text")
+    found = scratch.write("matched", _matched(_seeds(rows, how)))
+    single = _extended(rows, found, how).union(found.where(F.col("kind") == WINDOW).select("key", "same", "doc", "pos"))
+    order = F.rank().over(W.partitionBy("key", "same").orderBy("doc", "pos"))
+    later = single.withColumn("order", order).where("order > 1").select("doc", "pos", F.lit(1).alias("n"))
+    marks = found.where(F.col("kind") == MARK).select("doc", "pos", "n").union(later)
+    return scratch.only("marks", marks.groupBy("doc").agg(F.collect_list(F.struct("pos", "n")).alias("marks")))
 
-    met = seeds.select("h", "doc", "pos", "windows").repartition("h").sortWithinPartitions("h", "doc", "pos")
-    return met.mapInArrow(run, "doc long, a int, b int")
+
+def _spans(marks: pa.Array, how: SubstringDedup) -> tuple[np.ndarray, np.ndarray]:
+    """First and last + 1 places of the words that marks cover, touching ones in one."""
+    first, n = (np.asarray(x).astype(np.int64) for x in marks.flatten())
+    order = np.argsort(first, kind="stable")
+    first, last = first[order], np.maximum.accumulate((first + n + how.window - 1)[order])
+    cut = np.flatnonzero(first[1:] > last[:-1]) + 1
+    return first[np.append(0, cut)], last[np.append(cut - 1, len(last) - 1)]
 
 
 def repeated_spans(docs: DataFrame, how: SubstringDedup = SubstringDedup()) -> DataFrame:
     """doc_id and spans, the runs of word places (start, end exclusive) that are repeats, of documents that have some."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "substrings")
-    rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), "text")
-    hot = _hot_anchors(rows, how)
-    seeds = _seed_rows(rows, spark.sparkContext.broadcast(hot), how)
-    marks = scratch.write("cold", _cold_marks(seeds.where("w IS NULL AND windows IS NOT NULL")))
-    if hot:
-        single = scratch.write("hot", seeds.where("w IS NOT NULL OR windows IS NULL").select("h", "w", "doc", "pos"))
-        place = F.struct("doc", "pos")
-        first = scratch.write("first", single.where("w IS NOT NULL").groupBy("h", "w").agg(F.min(place).alias("f")))
-        later = single.where("w IS NOT NULL").join(first, ["h", "w"]).where(place != F.col("f"))
-        later = later.select("doc", "pos").union(single.where("w IS NULL").select("doc", "pos"))
-        marks = marks.union(later.select("doc", F.col("pos").alias("a"), (F.col("pos") + 1).alias("b")))
-    # Windows [a, b) cover the words [a, b + window - 1); spans that touch are joined.
-    spans = marks.groupBy(F.col("doc").alias("doc_id")).agg(
-        F.array_sort(F.collect_set(F.struct("a", (F.col("b") + how.window - 1).alias("b")))).alias("s")
-    )
-    merged = F.aggregate(
-        F.slice("s", 2, F.size("s")),
-        F.struct(F.array().cast("array<struct<start:int,end:int>>").alias("out"), F.get("s", F.lit(0))["a"].alias("a"), F.get("s", F.lit(0))["b"].alias("b")),
-        lambda acc, x: F.when(x["a"] <= acc["b"], F.struct(acc["out"].alias("out"), acc["a"].alias("a"), F.greatest(acc["b"], x["b"]).alias("b"))).otherwise(
-            F.struct(F.concat(acc["out"], F.array(F.struct(acc["a"].alias("start"), acc["b"].alias("end")))).alias("out"), x["a"].alias("a"), x["b"].alias("b"))
-        ),
-        lambda acc: F.concat(acc["out"], F.array(F.struct(acc["a"].alias("start"), acc["b"].alias("end")))),
-    )
-    return spans.select("doc_id", merged.alias("spans"))
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [[{"start": a, "end": b} for a, b in zip(*_spans(x.values, how))] for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], names=["doc_id", "spans"])
+
+    return _marked(docs, how).mapInArrow(run, "doc_id long, spans array<struct<start:int,end:int>>")
 
 
 def remove_repeats(docs: DataFrame, how: SubstringDedup = SubstringDedup()) -> DataFrame:
     """Adds n_words, n_removed and kept_text (the words that stay, joined by one space)."""
     new = ["n_words", "n_removed", "kept_text"]
     docs = docs.drop(*new)
-    spans = repeated_spans(docs, how).select(F.col("doc_id").alias("__id"), "spans")
-    # The same join at every size: texts meet their spans by a shuffle, and a task holds the spans of its part.
-    joined = docs.join(spans.hint("shuffle_hash"), F.col("doc_id") == F.col("__id"), "left").select(*docs.columns, "spans")
     names = docs.columns
+    own_id, own_marks = fresh(names, "id"), fresh(names, "marks")
+    found = _marked(docs.select("doc_id", "text"), how).toDF(own_id, own_marks)
+    # The same join at every size, by a shuffle; rows without a doc_id, which have no marks, don't go to one task.
+    joined = docs.where("doc_id IS NOT NULL").join(found.hint("shuffle_hash"), F.col("doc_id") == F.col(own_id), "left").select(*names, own_marks)
+    joined = joined.union(docs.where("doc_id IS NULL").withColumn(own_marks, F.lit(None).cast(found.schema[own_marks].dataType)))
     at, last = names.index("text"), len(names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches, at):
             counts, gone, kept = [], [], []
-            for text, cut in zip(batch.column(at).to_pylist(), batch.column(last).to_pylist()):
+            for text, marks in zip(batch.column(at).to_pylist(), batch.column(last)):
                 words = encode(text).split() if text else []
                 counts.append(len(words))
-                for s in reversed(cut or []):
-                    del words[s["start"] : s["end"]]
+                if marks.is_valid:
+                    for a, b in zip(*map(np.flip, _spans(marks.values, how))):
+                        del words[a:b]
                 gone.append(counts[-1] - len(words))
                 kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
             columns = [batch.column(i) for i in range(last)]
