@@ -13,14 +13,18 @@ No stage emits all pairs of a group:
   the links so far are then formed, and buckets that lie in one component are done. Others lose their pivot, which has
   been compared with all that it isn't connected with, and take the next one;
 * after ``pivot_rounds`` rounds the members of a bucket that are still in different components are searched for links by
-  what they don't share with one more pivot (`_rest_links`), so that no candidate is left out.
-
-At a similarity of 0.8 a pair of representatives shares no bucket with probability (1 - 0.8^rows)^bands, 1.6e-6 by
-default, and less above; with many paths between copies it is less still.
-
-Cases: null, empty and blank texts have no shingles and are linked with nothing. A null doc_id is linked with nothing:
-its component is null and it is kept. Rows with one doc_id are one node: any of their sets links it. Columns of the
-documents that have the name of a result are replaced.
+  their differences from one more pivot (`_rest_links`), so that no candidate is left out.
+
+Of two sets with c common of u shingles in all, a permutation's least and greatest images both agree with probability
+c (c - 1) / (u (u - 1)): the two ends of the union are different elements. So a pair of representatives shares no bucket
+with probability (1 - (c (c - 1) / (u (u - 1)))^(rows / 2))^bands. At a similarity of 0.8 that is 2.2e-5 for 4 of 5
+shingles, 5.4e-6 for 8 of 10, 2.0e-6 for 40 of 50 and 1.7e-6 for 400 of 500, and less above; with several paths between
+copies it is less still.
+
+Cases: null, empty and blank texts have no shingles and are linked with nothing; a very long text is hashed alone. A null
+doc_id is linked with nothing: its component is null and it is kept. Rows with one doc_id are one node: any of their sets
+links it; repeated rows are such rows. An empty table gives no rows. Other columns of the documents aren't read by
+`near_duplicates`; `keep_one_of_each` returns them as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -125,12 +129,13 @@ def _sets(docs: DataFrame, how: NearDedup) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, how: NearDedup) -> DataFrame:
-    """Of pairs a, b those whose full sets are similar enough."""
+    """Of pairs a, b those whose full sets are similar enough. Both joins are of plain exchanges, which Spark can split
+    where a pivot is hot."""
     left = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - both
-    return pairs.join(left, "a").join(right, "b").where(both * 100 >= union * how.percent).select("a", "b").distinct()
+    return pairs.join(left, "a").join(right, "b").where(both * 100 >= union * how.percent).select("a", "b")
 
 
 def _fits(x: Column, y: Column, how: NearDedup) -> Column:
@@ -154,55 +159,63 @@ def _pivots(side: DataFrame) -> DataFrame:
     return best.select("key", (-F.col("p.minus")).alias("pivot"), F.col("p.n").alias("pn"), F.col("p.comp").alias("pcomp"))
 
 
-def _rest_links(scratch: Scratch, side: DataFrame, sets: DataFrame, how: NearDedup) -> DataFrame:
-    """All links between different components inside the buckets of ``side``, without comparing all pairs.
+def _rest_links(scratch: Scratch, side: DataFrame, sets: DataFrame, links: DataFrame, how: NearDedup) -> DataFrame:
+    """``links`` and all links between different components inside the buckets of ``side``, without comparing all pairs.
+
+    Each bucket takes one more pivot p, and every member x is told by its difference D(x), the shingles that only one of
+    x and p has. Sets x and y differ by |D(x)| + |D(y)| - 2 |D(x) and D(y)| shingles, and they are linked if that is at
+    most r (|x| + |y|), where r = (100 - percent) / (100 + percent). So a link needs ``need`` common differences:
+
+        need(x, y) = (|D(x)| + |D(y)| - r (|x| + |y|)) / 2
 
-    Each bucket takes one more pivot p, and every member x is cut into what p has too and the rest x - p. Of two members
-    that aren't connected one, x, is no link of p. For any y, |x and y| <= min(|x and p|, |y and p|) + |rests in common|,
-    and a link needs an overlap of o = percent * (|x| + |y|) / (100 + percent). If |x and p| < o, the rests have at least
-    need = o - |x and p| shingles in common, so y has one of the |x - p| - need + 1 rarest of x - p. Those meet by
-    shingle. If |x and p| >= o, y must have as large a common part, which few can while x is no link of p. Sizes of y are
-    taken in classes, so that o is known before y is.
+    What p is linked with joins p's component first. A link that is still missing has an end x outside of that, which is
+    no link of p: |D(x)| > r (|x| + |p|), hence need(x, y) > (|D(y)| + r (|p| - |y|)) / 2 >= 0 for every y, which is about
+    half of D(y). The differences of a member are ordered by how many members have them, rare ones first; the first
+    common one of a pair is among the first |D| - need + 1 of either, and after it enough must be left in both (prefix
+    and position filters, both exact). Differences that one member has alone, as most edits are, meet nothing.
     """
+    q = how.percent
     pivots = scratch.write("rest-pivots", _pivots(side).select("key", "pivot"))
-    group = side.join(pivots, "key").where("id <> pivot").select("pivot", "id", "comp").distinct()
+    group = side.join(pivots, "key").where("id <> pivot").select("pivot", "id").distinct()
     own = sets.select("id", "s")
-    centre = sets.select(F.col("id").alias("pivot"), F.col("s").alias("ps"))
-    cut = group.join(own, "id").join(centre, "pivot").select(
-        "pivot", "id", F.size("s").alias("n"), "comp", F.size("ps").alias("pn"),
-        F.size(F.array_intersect("s", "ps")).alias("common"), F.array_except("s", "ps").alias("rest"),
-        F.floor(F.log(F.size("s")) / F.log(F.lit(1.02))).alias("class"),
-        F.xxhash64(F.array_except("s", "ps")).alias("mark"),  # tells several sets of one id apart
+    # A group is a pivot's set, not its id, which may have several sets.
+    middle = sets.select(F.col("id").alias("pivot"), F.col("s").alias("ps"), F.xxhash64("id", "s").alias("centre"))
+    cut = group.join(own, "id").join(middle, "pivot").select(
+        "centre", "pivot", "id", F.xxhash64("s").alias("mark"), F.size("s").alias("n"), F.size("ps").alias("pn"),
+        F.concat(F.array_except("s", "ps"), F.array_except("ps", "s")).alias("d"),
     )
-    cut = scratch.write("rest-cut", cut)
-    linked = F.col("common") * 100 >= (F.col("n") + F.col("pn") - F.col("common")) * how.percent
-    direct = cut.where(linked).select(F.col("pivot").alias("a"), F.col("id").alias("b"))
-
-    classes = scratch.write("rest-classes", cut.groupBy("pivot", "class").agg(F.min("n").alias("least"), F.max("n").alias("most")))
-    far = cut.where(~linked).select("pivot", "id", "mark", "n", "comp", "common", F.size("rest").alias("left")).join(classes, "pivot")
-    far = far.where((F.col("most") * 100 >= F.col("n") * how.percent) & (F.col("n") * 100 >= F.col("least") * how.percent))
-    overlap = F.ceil(how.percent * (F.col("n") + F.col("least")) / (100 + how.percent))
-    far = scratch.write("rest-far", far.withColumn("need", overlap - F.col("common")))
-    other = cut.select("pivot", "class", F.col("id").alias("oid"), F.col("n").alias("on"), F.col("comp").alias("ocomp"), F.col("common").alias("ocommon"), "mark", "rest")
-    apart = (F.col("comp") != F.col("ocomp")) & _fits(F.col("n"), F.col("on"), how)
-
-    rich = far.where("need <= 0").drop("mark", "left", "least", "most", "need").join(other.drop("mark", "rest"), ["pivot", "class"])
-    rich = rich.where(apart & (F.least("common", "ocommon") * (100 + how.percent) >= how.percent * (F.col("n") + F.col("on"))))
-    # The condition above leaves out pairs with rests in common; those of rich x meet by any shingle of the rest.
-    tokens = scratch.write("rest-tokens", other.select("pivot", "class", "oid", "mark", "on", "ocomp", F.explode("rest").alias("token")))
-    often = scratch.write("rest-often", tokens.groupBy("pivot", "token").agg(F.count(F.lit(1)).alias("k")))
-    ranked = tokens.join(often.where("k > 1"), ["pivot", "token"], "left").groupBy("pivot", F.col("oid").alias("id"), "mark").agg(
-        F.sort_array(F.collect_set(F.struct(F.coalesce("k", F.lit(1)).alias("k"), "token"))).alias("t")
-    )
-    need = F.greatest("need", F.lit(1))
-    lean = far.where(F.col("left") >= need).withColumn("take", F.col("left") - need + 1)
-    listed = lean.join(scratch.write("rest-ranked", ranked), ["pivot", "id", "mark"])
-    listed = listed.select("pivot", "id", "n", "comp", "class", F.explode(F.filter(F.slice("t", F.lit(1), F.col("take")), lambda x: x["k"] > 1)).alias("t"))
-    listed = scratch.write("rest-prefix", listed.select("pivot", "id", "n", "comp", "class", F.col("t.token").alias("token")))
-    met = listed.join(tokens, ["pivot", "class", "token"]).where(apart)
-    pairs = met.select("id", "oid").union(rich.select("id", "oid"))
-    pairs = scratch.write("rest-pairs", pairs.select(F.least("id", "oid").alias("a"), F.greatest("id", "oid").alias("b")).distinct())
-    return direct.union(scratch.write("rest-found", _linked(pairs, sets, how)))
+    cut = scratch.write("rest-cut", cut.withColumn("dn", F.size("d")))
+    direct = cut.where((F.col("dn") * (100 + q) <= (F.col("n") + F.col("pn")) * (100 - q))).select(F.col("pivot").alias("a"), F.col("id").alias("b"))
+    links = scratch.write("rest-links", links.union(direct))
+    comps = connected_components(scratch, "rest-direct", links)
+
+    lone = cut.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    lone = lone.join(comps.select(F.col("id").alias("pivot"), F.col("comp").alias("pcomp")), "pivot", "left")
+    lone = lone.withColumn("outside", F.col("comp") != F.coalesce("pcomp", "pivot")).drop("pivot", "pcomp")
+    lone = scratch.write("rest-placed", lone)
+    scratch.drop("rest-cut")
+    open_ = scratch.write("rest-centres", lone.where("outside").select("centre").distinct())
+    member = ["centre", "id", "mark"]
+    told = lone.join(open_, "centre", "left_semi").select(*member, "n", "pn", "dn", "comp", "outside", F.explode("d").alias("token"))
+    told = scratch.write("rest-tokens", told)
+    often = scratch.write("rest-often", told.groupBy("centre", "token").agg(F.count(F.lit(1)).alias("k")).where("k > 1"))
+    facts = F.first(F.struct("n", "pn", "dn", "comp", "outside")).alias("m")
+    ranked = told.join(often, ["centre", "token"], "left").groupBy(*member).agg(facts, F.sort_array(F.collect_list(F.struct(F.coalesce("k", F.lit(1)).alias("k"), "token"))).alias("t"))
+    ranked = ranked.select("centre", "id", "m.*", F.posexplode("t").alias("i", "t")).where("t.k > 1")
+    # need(x, y) for every y, from what x alone tells: as the end y of the bound above, and with |D(y)| >= need.
+    half = F.floor((F.col("dn") * (100 + q) + (F.col("pn") - F.col("n")) * (100 - q)) / (2 * (100 + q))) + 1
+    long = F.ceil((F.col("dn") * (100 + q) - (F.col("n") + F.floor(F.col("n") * 100 / q)) * (100 - q)) / (100 + q))
+    long = F.least(half, F.greatest(long, F.lit(1)))
+    first = ranked.withColumns({"half": F.col("dn") - half + 1, "reach": F.col("dn") - F.when(F.col("outside"), long).otherwise(half) + 1})
+    first = first.where("i < reach").select("centre", F.col("t.token").alias("token"), "id", "n", "dn", "comp", "outside", "i", "half")
+    first = scratch.write("rest-prefix", first)
+    ask = first.where("outside")
+    other = first.where("i < half").select("centre", "token", *[F.col(c).alias(f"o{c}") for c in ("id", "n", "dn", "comp", "outside", "i")])
+    need = F.ceil(((F.col("dn") + F.col("odn")) * (100 + q) - (F.col("n") + F.col("on")) * (100 - q)) / (2 * (100 + q)))
+    apart = (F.col("comp") != F.col("ocomp")) & _fits(F.col("n"), F.col("on"), how) & (~F.col("ooutside") | (F.col("id") < F.col("oid")))
+    met = ask.join(other, ["centre", "token"]).where(apart & (F.least(F.col("dn") - F.col("i"), F.col("odn") - F.col("oi")) >= need))
+    pairs = scratch.write("rest-pairs", met.select(F.least("id", "oid").alias("a"), F.greatest("id", "oid").alias("b")).distinct())
+    return links.union(scratch.write("rest-found", _linked(pairs, sets, how)))
 
 
 def near_duplicates(docs: DataFrame, how: NearDedup = NearDedup()) -> DataFrame:
@@ -250,8 +263,7 @@ def near_duplicates(docs: DataFrame, how: NearDedup = NearDedup()) -> DataFrame:
         members = scratch.write(f"members{turn}", met.where("id <> pivot").select("key", "id", "n", "weight"))
     side = _open(scratch, "rest", members, comps)
     if side is not None:
-        links = links.union(_rest_links(scratch, side, sets, how))
-        comps = connected_components(scratch, "all", links)
+        comps = connected_components(scratch, "all", _rest_links(scratch, side, sets, links, how))
 
     out = grouped.join(comps.withColumnRenamed("id", "rep"), "rep", "left")
     return scratch.only("result", out.select("id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component")))
