@@ -36,6 +36,8 @@ def connected_components(scratch: Scratch, name: str, links: DataFrame) -> DataF
     while True:
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parents = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("p")).where("p < v")
+        # Written first: a join of two plain exchanges is one that Spark can split where a root is hot.
+        parents = scratch.write(f"{name}-{rounds}-parents", parents)
         parents = _roots(scratch, f"{name}-{rounds}-roots", parents)
         old = ids.select("id", F.col("id").alias("comp")) if comps is None else comps
         comps = old.join(parents, old.comp == parents.v, "left").select("id", F.coalesce("p", "comp").alias("comp"))
