@@ -3,15 +3,17 @@
 Each document has `FEATURES`, numbers of its own text. They are standardised over the labelled rows, and mapped by
 random Fourier features, whose inner products approximate a Gaussian kernel. Ridge weights come from normal equations
 that each partition sums for its rows and that are summed again before the driver sees them, so the driver holds a few
-matrices of a fixed size whatever the input. Raw scores of the labelled rows are counted in a fixed number of bins, and
-pooled until they don't fall: that isotonic step function maps raw scores to probabilities.
+matrices of a fixed size whatever the input. For calibration each labelled row is scored by weights of the other fold
+only, which the same sums give; those scores are counted in a fixed number of bins, and pooled until they don't fall: that
+isotonic step function maps raw scores to probabilities. Documents are then scored by the weights of all labelled rows.
 
 Learned from: all labelled rows that aren't held out (crc32 of the doc_id as text, modulo 4, is not 2). Labels, lang,
 source and doc_id are no inputs of a score.
 
-Cases: null and empty texts have all counts 0 and are scored like any other. Null labels and labels without a document
-are left out; several labels of a document all count. Without labelled rows each score is 0.5. A null doc_id counts as
-held out. Repeated rows are scored each on its own.
+Cases: null and empty texts have all counts 0 and are scored like any other; a very long text is read alone. Null labels
+and labels without a document are left out; several labels of a document all count. Without labelled rows each score is
+0.5. A null doc_id counts as held out. Repeated rows are scored each on its own. An empty table gives no rows. Other columns
+of the documents, whatever their names, aren't read and don't come out.
 """
 
 from __future__ import annotations
@@ -109,27 +111,43 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(len(column), -1)
 
 
+#: Rows are fitted and calibrated in so many folds, by a hash of their doc_id.
+FOLDS = 2
+#: Sums that one task adds up, and that the driver gets at most.
+FAN_IN = 16
+
+
 def _summed(rows: DataFrame, mapping: Mapping, how: QualityModel) -> np.ndarray:
-    """The sum over all rows x, y of outer products of (features, y) with themselves."""
+    """For each fold the sum over its rows fold, x, y of outer products of (features, y) with themselves. Each partition
+    sums its rows, and the sums are summed in a tree, so no task and no driver meets many of them."""
     size = how.dimensions + 2
 
     def part(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((size, size))
+        total = np.zeros((FOLDS, size, size))
         for batch in batches:
             if batch.num_rows:
-                z = np.hstack([mapping(_matrix(batch.column(0))), np.asarray(batch.column(1)).reshape(-1, 1)])
-                total += z.T @ z
+                z, fold = np.hstack([mapping(_matrix(batch.column(1))), np.asarray(batch.column(2)).reshape(-1, 1)]), np.asarray(batch.column(0))
+                for k in range(FOLDS):
+                    total[k] += z[fold == k].T @ z[fold == k]
         yield pa.RecordBatch.from_pydict({"s": pa.array([total.tobytes()], pa.binary())})
 
     def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((size, size))
+        total = np.zeros((FOLDS, size, size))
         for batch in batches:
             for raw in batch.column(0).to_pylist():
-                total += np.frombuffer(raw).reshape(size, size)
+                total += np.frombuffer(raw).reshape(total.shape)
         yield pa.RecordBatch.from_pydict({"s": pa.array([total.tobytes()], pa.binary())})
 
-    sums = rows.mapInArrow(part, "s binary").repartition(8).mapInArrow(join, "s binary").collect()
-    return sum(np.frombuffer(r.s).reshape(size, size) for r in sums)
+    n, sums = rows.rdd.getNumPartitions(), rows.mapInArrow(part, "s binary")
+    while n > FAN_IN:
+        n = -(-n // FAN_IN)
+        sums = sums.repartition(n).mapInArrow(join, "s binary")
+    return sum((np.frombuffer(r.s).reshape(FOLDS, size, size) for r in sums.toLocalIterator()), np.zeros((FOLDS, size, size)))
+
+
+def _weights(total: np.ndarray, how: QualityModel) -> np.ndarray:
+    gram, right, n = total[:-1, :-1], total[:-1, -1], total[-2, -2]
+    return np.linalg.solve(gram + (how.ridge * n + 1e-9) * np.eye(len(gram)), right)
 
 
 def pool(counts: np.ndarray, good: np.ndarray) -> np.ndarray:
@@ -168,24 +186,27 @@ def fit(stats: DataFrame, labels: DataFrame, how: QualityModel = QualityModel())
     """A scorer from doc_id, x and the labels doc_id, quality of rows that aren't held out."""
     scratch = Scratch(stats.sparkSession, "quality")
     known = labels.where("quality IS NOT NULL").select(F.col("doc_id").alias("__id"), (F.col("quality") > 0).cast("double").alias("y"))
-    rows = stats.where(~held_out(F.col("doc_id"))).join(known, F.col("doc_id") == F.col("__id")).select("x", "y")
+    fold = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(FOLDS)).cast("int").alias("fold")
+    rows = stats.where(~held_out(F.col("doc_id"))).join(known, F.col("doc_id") == F.col("__id")).select(fold, "x", "y")
     rows = scratch.write("labelled", rows)
     moments = rows.select(F.posexplode("x")).groupBy("pos").agg(F.avg("col").alias("m"), F.stddev_pop("col").alias("s")).orderBy("pos").collect()
     if not moments:
         return Scorer(None, None, how.bins)
     mapping = Mapping(np.array([r.m for r in moments]), np.array([r.s for r in moments]), how)
     total = _summed(rows, mapping, how)
-    gram, right, n = total[:-1, :-1], total[:-1, -1], total[-2, -2]
-    scorer = Scorer(mapping, np.linalg.solve(gram + how.ridge * n * np.eye(len(gram)), right), how.bins)
+    others = [Scorer(mapping, _weights(total.sum(axis=0) - own, how), how.bins) for own in total]
 
     def bins(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(scorer.bin(_matrix(batch.column(0)))), batch.column(1)], names=["b", "y"])
+                x, fold = _matrix(batch.column(1)), np.asarray(batch.column(0))
+                found = np.select([fold == k for k in range(FOLDS)], [s.bin(x) for s in others])
+                yield pa.RecordBatch.from_arrays([pa.array(found), batch.column(2)], names=["b", "y"])
 
     counts, good = np.zeros(how.bins), np.zeros(how.bins)
     for r in rows.mapInArrow(bins, "b long, y double").groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("g")).collect():
         counts[r.b], good[r.b] = r.n, r.g
+    scorer = Scorer(mapping, _weights(total.sum(axis=0), how), how.bins)
     scorer.levels = np.clip(pool(counts, good), 0.0, 1.0)
     scratch.drop("labelled")
     return scorer
