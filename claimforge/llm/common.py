@@ -34,14 +34,22 @@ def shared_folder(spark: SparkSession) -> str:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = got.get() if got.isDefined() else None
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file:///tmp/claimforge-checkpoints"
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+def application_folder(spark: SparkSession) -> str:
+    """Where all tables and files of this application stand. Those that a lazy result reads stay there until the
+    application's owner removes the folder."""
+    return f"{shared_folder(spark)}/claimforge/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder; each call gives another one."""
-    return f"{shared_folder(spark)}/claimforge/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
+    return f"{application_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
 #: Arrow batches between Spark and Python workers, in rows and bytes: texts are long, and both sides hold a batch whole.
@@ -105,12 +113,13 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def fresh(names: Iterable[str], base: str) -> str:
-    """A column name that isn't among ``names``, in any spelling of its letters."""
-    taken, name = {n.lower() for n in names}, f"__{base}"
-    while name in taken:
-        name += "_"
-    return name
+def hidden(docs: DataFrame, *read: str) -> tuple[DataFrame, list[Column]]:
+    """The documents with the columns in ``read`` under their names and all others under new ones that no operator uses,
+    and the columns that give them back as they were."""
+    own = {c: f"__own{i}" for i, c in enumerate(docs.columns) if c not in read}
+    plain = {c: F.col("`" + c.replace("`", "``") + "`") for c in docs.columns}
+    inner = docs.select(*[plain[c].alias(own[c]) if c in own else plain[c] for c in docs.columns])
+    return inner, [F.col(own[c]).alias(c) if c in own else plain[c] for c in docs.columns]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat_format import OP2_SQL, op2_chat_format
 from .decontaminate import OP1_SQL, op1_decontaminate
 from .language_id import op10_language_id
-from .mixing import op4_mixing
+from .mixing import OP4_SQL, op4_mixing
 from .near_dedup import op3_near_dedup
 from .quality_classifier import op7_quality_classifier
 from .quality_rules import op6_quality_rules, op6_sql
@@ -37,6 +37,7 @@ def llm_sql() -> dict[str, str]:
     return {
         "op1_decontaminate": OP1_SQL,
         "op2_chat_format": OP2_SQL,
+        "op4_mixing": OP4_SQL,
         "op6_quality_rules": op6_sql(),
         "op8_substring_dedup": OP8_SQL,
     }
