@@ -5,12 +5,14 @@ words of an item is a window; an item of fewer words, but not none, is one windo
 occurrence of a window is hit; each occurrence found by hash is compared word by word. A document is contaminated if
 it has a hit and at least ``min_share`` of its words are hit.
 
-The hash set holds the benchmark, whose size is counted first: up to ``block_bytes`` of text it is one broadcast;
-beyond that the documents are scanned once for each block of items, each pass written before the next.
-
-Cases: null and empty texts have no words, no hits and are clean. Items without words have no windows. An item whose
-item_id is null marks words but isn't listed. Items that share an id count once. Repeated document rows are judged
-each on its own. Columns of the documents that have the name of a result are replaced.
+The benchmark's words are counted first. Blocks of about ``block_words`` words are broadcast one after the other, and the
+documents are scanned once for each, a pass being written before the next; a benchmark of the usual size is one block.
+
+Cases: null and empty texts have no words, no hits and are clean; a very long text is scanned alone. Items without words
+have no windows. An item whose item_id is null marks words but isn't listed. Items that share an id count once. Repeated
+document rows are judged each on its own. An empty table gives no rows; an empty benchmark has no windows. Columns of the
+documents that have the name of a result are replaced by `decontaminate`; `drop_contaminated` and `cut_contaminated` return
+all columns as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,8 +25,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import ALNUM_TABLE, Scratch, encode, read_table, text_chunks, window_hashes
+from .common import ALNUM_TABLE, Scratch, encode, hidden, read_table, text_chunks, window_hashes
 
 
 @dataclass(frozen=True)
@@ -32,7 +35,10 @@ class Decontamination:
     window: int = 13
     #: Hit words per word from which on a document is contaminated: one in ``min_share``.
     min_share: int = 20
-    block_bytes: int = 32_000_000
+    #: Benchmark words, and so about windows, of a block; about 50 MB in the driver and in each worker.
+    block_words: int = 1_500_000
+    #: An item of more words is indexed in parts.
+    part_words: int = 100_000
 
 
 def normalised_words(text: str | None) -> list[bytes]:
@@ -40,30 +46,46 @@ def normalised_words(text: str | None) -> list[bytes]:
 
 
 class WindowIndex:
-    """The windows of a block of benchmark items, by length."""
+    """The windows of a block of benchmark items, by length, in arrays: about 20 bytes a window."""
 
-    def __init__(self, items: list[tuple[str | None, str | None]], window: int):
-        found: dict[int, dict[tuple[int, ...], set[int]]] = {}
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int):
         self.vocab: dict[bytes, int] = {}
         self.names = [name for name, _ in items]
-        for k, (_, text) in enumerate(items):
-            ids = [self.vocab.setdefault(w, len(self.vocab)) for w in normalised_words(text)]
-            n = min(window, len(ids))
-            for p in range(len(ids) - n + 1 if n else 0):
-                found.setdefault(n, {}).setdefault(tuple(ids[p : p + n]), set()).add(k)
+        code = self.vocab.setdefault
+        lists = [np.fromiter((code(w, len(self.vocab)) for w in words), np.int32, len(words)) for _, words in items]
+        counts = np.fromiter(map(len, lists), np.int64, len(lists))
+        self.ids = np.concatenate([np.zeros(0, np.int32), *lists])
+        self.ends = np.cumsum(counts)
         for seed in range(100):  # a seed under which no two windows of a length have the same hash
             self.hashes = np.array([xxhash.xxh3_64_intdigest(w, seed) for w in self.vocab], np.uint64)
-            self.lengths = {}
-            for n, windows in found.items():
-                rows = np.array(list(windows), np.int64).reshape(-1, n)
-                keys = np.array([window_hashes(self.hashes[r], n)[0] for r in rows], np.uint64)
-                order = np.argsort(keys)
-                owners = list(windows.values())
-                self.lengths[n] = (keys[order], rows[order], [sorted(owners[i]) for i in order])
-            if all(len(np.unique(k)) == len(k) for k, _, _ in self.lengths.values()):
+            self.lengths: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+            if all(self._add(n, counts, window) for n in np.unique(np.minimum(counts, window)) if n):
                 return
         raise ValueError("no hash seed separates the windows")
 
+    def _add(self, n: int, counts: np.ndarray, window: int) -> bool:
+        """Adds the windows of n words: distinct hashes, and for each the places where it starts; False if a hash has
+        two windows."""
+        fit = np.flatnonzero(np.minimum(counts, window) == n)
+        of = np.repeat(fit, counts[fit] - n + 1)
+        first = np.repeat(np.cumsum(counts[fit] - n + 1) - (counts[fit] - n + 1), counts[fit] - n + 1)
+        place = (self.ends - counts)[of] + np.arange(len(of)) - first
+        keys = window_hashes(self.hashes[self.ids], n)[place]
+        order = np.argsort(keys, kind="stable")
+        keys, place = keys[order], place[order]
+        same = keys[1:] == keys[:-1]
+        for j in range(n):
+            if (self.ids[place[1:][same] + j] != self.ids[place[:-1][same] + j]).any():
+                return False
+        new = np.flatnonzero(np.append(True, ~same))
+        self.lengths[int(n)] = (keys[new], np.append(new, len(keys)), place)
+        return True
+
+    def owners(self, n: int, k: int) -> list[int]:
+        """Numbers of the items that hold window k of n words."""
+        _, first, place = self.lengths[n]
+        return np.unique(np.searchsorted(self.ends, place[first[k] : first[k + 1]], "right")).tolist()
+
     def scan(self, texts: list[str | None]) -> list[tuple[int, np.ndarray, set[int]]]:
         """For each text its word count, the places of its hit words, and the numbers of the items found."""
         get = self.vocab.get
@@ -76,7 +98,7 @@ class WindowIndex:
         hashes = self.hashes[ids] if len(self.hashes) else np.zeros(len(ids), np.uint64)
         cover = np.zeros(len(ids) + 1, np.int64)
         items: list[set[int]] = [set() for _ in lists]
-        for n, (keys, rows, owners) in self.lengths.items():
+        for n, (keys, first, place) in self.lengths.items():
             if len(ids) < n:
                 continue
             at = np.flatnonzero((unknown[n:] == unknown[:-n]) & (doc[: len(ids) - n + 1] == doc[n - 1 :]))
@@ -85,12 +107,12 @@ class WindowIndex:
             got = window_hashes(hashes, n)[at]
             k = np.minimum(np.searchsorted(keys, got), len(keys) - 1)
             at, k = at[keys[k] == got], k[keys[k] == got]
-            same = (ids[at[:, None] + np.arange(n)] == rows[k]).all(axis=1) if len(at) else np.zeros(0, bool)
+            same = (ids[at[:, None] + np.arange(n)] == self.ids[place[first[k]][:, None] + np.arange(n)]).all(axis=1) if len(at) else np.zeros(0, bool)
             at, k = at[same], k[same]
             np.add.at(cover, at, 1)
             np.add.at(cover, at + n, -1)
             for d, w in set(zip(doc[at].tolist(), k.tolist())):
-                items[d].update(owners[w])
+                items[d].update(self.owners(n, w))
         hit = np.cumsum(cover[:-1]) > 0
         return [
             (int(c), np.flatnonzero(hit[s : s + c]) if hit[s : s + c].any() else np.zeros(0, np.int64), i)
@@ -122,13 +144,37 @@ def cut_spans(text: str, spans: list[dict[str, int]]) -> str:
     return b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass")
 
 
-_SPANS = "array<struct<start:int,end:int>>"
 _SPAN_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
+def _item_words(benchmark: DataFrame, how: Decontamination) -> DataFrame:
+    """i (item id as a string), words (normalised, joined by spaces) and n of the benchmark's items. An item of over
+    ``part_words`` words comes in parts that share a window's words less one, so that each window is in one part."""
+    step = how.part_words - how.window + 1
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_chunks(batches):
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = normalised_words(text)
+                parts = [words[a : a + how.part_words] for a in range(0, max(1, len(words) - how.window + 1), step)] if words else []
+                if parts:
+                    columns = [pa.array([item] * len(parts), pa.string()), pa.array([b" ".join(p) for p in parts], pa.binary()), pa.array([len(p) for p in parts], pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["i", "words", "n"])
+
+    items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).where("t IS NOT NULL")
+    return items.mapInArrow(run, "i string, words binary, n long")
+
+
+_FOUND = T.StructType([
+    T.StructField("__n", T.LongType()),
+    T.StructField("__spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))),
+    T.StructField("__items", T.ArrayType(T.StringType())),
+])
+
+
 def _pass(docs: DataFrame, index, first: bool) -> DataFrame:
     """Adds __n, __spans, __items from one block of items, or extends them."""
-    names = [c for c in docs.columns if c not in ("__n", "__spans", "__items")]
+    names = [c for c in docs.columns if c not in _FOUND.names]
     at = names.index("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,58 +187,57 @@ def _pass(docs: DataFrame, index, first: bool) -> DataFrame:
                 old = batch.column(len(names) + 1).to_pylist()
                 for k, more in enumerate(old):
                     if more:
-                        both = [p for s in (*spans[k], *more) for p in range(s["start"], s["end"])]
-                        spans[k] = _spans(np.unique(np.array(both, np.int64)))
+                        both = [np.arange(s["start"], s["end"]) for s in (*spans[k], *more)]
+                        spans[k] = _spans(np.unique(np.concatenate(both)))
                 items = [sorted({*x, *y}) for x, y in zip(items, batch.column(len(names) + 2).to_pylist())]
             columns = [batch.column(i) for i in range(len(names))]
             new = [pa.array([n for n, _, _ in found], pa.int64()), pa.array(spans, _SPAN_TYPE), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(columns + new, names=[*names, "__n", "__spans", "__items"])
+            yield pa.RecordBatch.from_arrays(columns + new, names=[*names, *_FOUND.names])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
-    return docs.select(*names, *([] if first else ["__n", "__spans", "__items"])).mapInArrow(
-        run, f"{fields}, __n long, __spans {_SPANS}, __items array<string>"
-    )
+    rows = docs.select(*names, *([] if first else _FOUND.names))
+    return rows.mapInArrow(run, T.StructType([*docs.select(*names).schema.fields, *_FOUND.fields]))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, how: Decontamination = Decontamination()) -> DataFrame:
     """Adds n_words, n_hit, hit_spans (runs of word places), hit_items (item ids as strings, sorted) and contaminated."""
     spark = docs.sparkSession
     new = ["n_words", "n_hit", "hit_spans", "hit_items", "contaminated"]
-    out = docs.drop(*new, "__n", "__spans", "__items")
-    items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).where("t IS NOT NULL")
-    total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    blocks = max(1, -(-total // how.block_bytes))
+    out, own = hidden(docs.drop(*new), "text")
     scratch = Scratch(spark, "decontaminate")
+    items = scratch.write("items", _item_words(benchmark, how))
+    blocks = max(1, -(-(items.agg(F.sum("n")).first()[0] or 0) // how.block_words))
     for k in range(blocks):
-        mine = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)
-        index = spark.sparkContext.broadcast(WindowIndex([(r.i, r.t) for r in mine.collect()], how.window))
+        mine = items.where(F.pmod(F.xxhash64("i", "words"), F.lit(blocks)) == k)
+        index = spark.sparkContext.broadcast(WindowIndex([(r.i, r.words.split()) for r in mine.select("i", "words").collect()], how.window))
         out = _pass(out, index, first=k == 0)
-        if blocks > 1:
+        if k + 1 < blocks:
             out = scratch.write(f"pass{k}", out)
+            if k:
+                scratch.drop(f"pass{k - 1}")
+    scratch.drop("items")
     n_hit = F.aggregate("__spans", F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"]))
-    return out.withColumns({"n_words": F.col("__n"), "n_hit": n_hit}).withColumns(
-        {
-            "hit_spans": F.col("__spans"),
-            "hit_items": F.col("__items"),
-            "contaminated": (F.col("n_hit") > 0) & (F.col("n_hit") * how.min_share >= F.col("n_words")),
-        }
-    ).drop("__n", "__spans", "__items")
+    out = out.withColumn("__hit", n_hit)
+    bad = (F.col("__hit") > 0) & (F.col("__hit") * how.min_share >= F.col("__n"))
+    found = [F.col("__n"), F.col("__hit"), F.col("__spans"), F.col("__items"), bad]
+    return out.select(*own, *[c.alias(name) for c, name in zip(found, new)])
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, how: Decontamination = Decontamination()) -> DataFrame:
     """The documents, with their own columns, that aren't contaminated."""
-    return decontaminate(docs, benchmark, how).where(~F.col("contaminated")).select(*docs.columns)
+    inner, own = hidden(docs, "text")
+    return decontaminate(inner, benchmark, how).where(~F.col("contaminated")).select(*own)
 
 
 def cut_contaminated(docs: DataFrame, benchmark: DataFrame, how: Decontamination = Decontamination()) -> DataFrame:
     """All documents, with their own columns; contaminated ones lose their hit spans."""
-    found = decontaminate(docs, benchmark, how)
+    inner, own = hidden(docs, "text")
+    found = decontaminate(inner, benchmark, how)
 
     @F.pandas_udf("string")
     def cut(text, spans, bad):
         return text.where(~bad, [cut_spans(t, list(s)) if b else t for t, s, b in zip(text, spans, bad)])
 
-    return found.withColumn("text", cut("text", "hit_spans", "contaminated")).select(*docs.columns)
+    return found.withColumn("text", cut("text", "hit_spans", "contaminated")).select(*own)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
