@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import LOWER_TABLE, Scratch, WordHashes, concat_words, encode, mix, read_table, text_chunks, window_hashes, worker_memo
+from .common import LOWER_TABLE, Scratch, WordHashes, concat_words, encode, hidden, mix, read_table, text_chunks, window_hashes, worker_memo
 from .components import connected_components
 
 
@@ -275,13 +275,14 @@ def keep_one_of_each(docs: DataFrame, how: NearDedup = NearDedup()) -> DataFrame
     Of rows that share a doc_id one stays (the least text); rows with a null doc_id all stay.
     """
     found = near_duplicates(docs, how)
+    docs, own = hidden(docs, "doc_id", "text")
     kept = found.where("id = component").groupBy(F.col("id").alias("__id")).agg(F.count(F.lit(1)).alias("__k"))
     kept = Scratch(docs.sparkSession, "near-dedup").write("kept", kept)
     named = docs.where("doc_id IS NOT NULL").join(kept.hint("shuffle_hash"), F.col("doc_id") == F.col("__id"))
     if not kept.where("__k > 1").isEmpty():
         first = F.row_number().over(W.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))
         named = named.withColumn("__row", first).where("__row = 1")
-    return named.select(*docs.columns).union(docs.where("doc_id IS NULL"))
+    return named.select(*own).union(docs.where("doc_id IS NULL").select(*own))
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,8 +9,9 @@ DataFrame functions only. Line rules, each over one ``\\n``-split line that hold
 A document is kept if it passes the base rules (``min_words``; at most half of its words in repeated 3-word windows)
 and its failing lines hold at most ``max_lost_pct`` percent of its characters.
 
-Cases: null and empty texts have no words and fail the base rules. Repeated rows are judged each on its own. Input
-columns are kept; columns of the same name as a result are replaced.
+Cases: null and empty texts have no words and fail the base rules; a very long text is judged whole, in one row. Repeated
+rows are judged each on its own. An empty table gives no rows. Input columns are kept, whatever their names; columns of
+the same name as a result are replaced.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, native_words, read_table
+from .common import WORD_PATTERN, hidden, native_words, read_table
 
 #: Phrases of site furniture (lower case); our own list.
 BOILERPLATE = (
@@ -106,6 +107,8 @@ def with_repeat_words(df: DataFrame, words: str, name: str) -> DataFrame:
 def apply_quality_rules(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lost_chars, cleaned_text, kept."""
     text = F.coalesce(F.col("text"), F.lit(""))
+    new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_chars", "cleaned_text", "kept"]
+    docs, own = hidden(docs.drop(*new), "text")
     out = docs.withColumns({"__words": native_words(text), "__lines": F.split(text, "\n")})
     out = out.withColumns(
         {
@@ -134,7 +137,7 @@ def apply_quality_rules(docs: DataFrame, rules: QualityRules = QualityRules()) -
     # expressions grow without bound. What isn't deterministic isn't pushed; this one is always true.
     stay = F.monotonically_increasing_id() >= 0
     out = out.withColumns({"base_failed": base_failed, "kept": ~base_failed & ~lost & stay})
-    return out.drop("__words", "__lines", "__word_lines", "__good")
+    return out.select(*own, *new)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

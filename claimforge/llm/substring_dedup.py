@@ -35,8 +35,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Scratch, WordHashes, concat_words, encode, fresh, mix, read_table, sequence_hashes, text_chunks, window_hashes, worker_memo
+from .common import Scratch, WordHashes, concat_words, encode, hidden, mix, read_table, sequence_hashes, text_chunks, window_hashes, worker_memo
 
 
 @dataclass(frozen=True)
@@ -238,13 +239,12 @@ def repeated_spans(docs: DataFrame, how: SubstringDedup = SubstringDedup()) -> D
 def remove_repeats(docs: DataFrame, how: SubstringDedup = SubstringDedup()) -> DataFrame:
     """Adds n_words, n_removed and kept_text (the words that stay, joined by one space)."""
     new = ["n_words", "n_removed", "kept_text"]
-    docs = docs.drop(*new)
+    docs, own = hidden(docs.drop(*new), "doc_id", "text")
     names = docs.columns
-    own_id, own_marks = fresh(names, "id"), fresh(names, "marks")
-    found = _marked(docs.select("doc_id", "text"), how).toDF(own_id, own_marks)
+    found = _marked(docs.select("doc_id", "text"), how).toDF("__id", "__marks")
     # The same join at every size, by a shuffle; rows without a doc_id, which have no marks, don't go to one task.
-    joined = docs.where("doc_id IS NOT NULL").join(found.hint("shuffle_hash"), F.col("doc_id") == F.col(own_id), "left").select(*names, own_marks)
-    joined = joined.union(docs.where("doc_id IS NULL").withColumn(own_marks, F.lit(None).cast(found.schema[own_marks].dataType)))
+    joined = docs.where("doc_id IS NOT NULL").join(found.hint("shuffle_hash"), F.col("doc_id") == F.col("__id"), "left").select(*names, "__marks")
+    joined = joined.union(docs.where("doc_id IS NULL").withColumn("__marks", F.lit(None).cast(found.schema["__marks"].dataType)))
     at, last = names.index("text"), len(names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,8 +264,8 @@ def remove_repeats(docs: DataFrame, how: SubstringDedup = SubstringDedup()) -> D
                 names=[*names, *new],
             )
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return joined.mapInArrow(run, f"{fields}, n_words long, n_removed long, kept_text string")
+    kinds = [T.StructField(name, kind) for name, kind in zip(new, (T.LongType(), T.LongType(), T.StringType()))]
+    return joined.mapInArrow(run, T.StructType([*docs.schema.fields, *kinds])).select(*own, *new)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,12 @@ decontamination, mixing to source weights, and token-id output.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. `run`
 writes each stage's result and reads it again for the next one. No stage looks at rows that an earlier one removed.
+
+Cases: columns besides doc_id, text and source pass through all stages but the last as they are, whatever their names;
+n_chars, where there is one, follows the text. Documents with null or empty texts fail the quality rules. Rows with a null
+doc_id are linked with nothing and all stay; of several rows with one doc_id that pass the rules, near-deduplication keeps
+one. A null source is a source of its own. Repeated rows in the mix are repeated documents in the token files. An empty
+table gives no rows at any stage; a very long text is one row's work at each.
 """
 
 from __future__ import annotations
@@ -12,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimforge.llm.common import Scratch, read_table, scratch_path
+from claimforge.llm.common import Scratch, hidden, read_table, scratch_path
 from claimforge.llm.decontaminate import drop_contaminated
 from claimforge.llm.mixing import repeat_documents
 from claimforge.llm.near_dedup import keep_one_of_each
@@ -22,11 +28,11 @@ from claimforge.llm.token_output import read_token_files, write_token_files
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass, without their failing lines; n_chars follows the text."""
-    judged = apply_quality_rules(docs).where("kept")
-    cleaned = judged.withColumn("text", F.col("cleaned_text"))
+    inner, own = hidden(docs, "text", "n_chars")
+    judged = apply_quality_rules(inner).where("kept").withColumn("text", F.col("cleaned_text"))
     if "n_chars" in docs.columns:
-        cleaned = cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return cleaned.select(*docs.columns)
+        judged = judged.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return judged.select(*own)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
