@@ -203,16 +203,6 @@ def worker_memo(key: tuple, make):
     return _memos[key]
 
 
-class WordHashes(Memo):
-    """word bytes -> 64-bit hash."""
-
-    def compute(self, word: bytes) -> int:
-        return xxhash.xxh3_64_intdigest(word)
-
-    def array(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def encode(text: str) -> bytes:
     """UTF-8 bytes of a text."""
     return text.encode("utf-8", "surrogatepass")
@@ -274,11 +264,34 @@ def sequence_hashes(words: np.ndarray, first: np.ndarray, length: np.ndarray) ->
     return mix((sums[first + length] - sums[first]) * down[first] + length.astype(np.uint64))
 
 
-def concat_words(lists: list[list[bytes]], memo: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all words of several documents in a row, the first position of each document, and its word count."""
-    counts = np.fromiter(map(len, lists), np.int64, len(lists))
-    flat = np.concatenate([memo.array(x) for x in lists]) if lists else np.zeros(0, np.uint64)
-    return flat, np.cumsum(counts) - counts, counts
+_SPACE_BYTE = np.zeros(256, bool)
+_SPACE_BYTE[list(SPACES.encode())] = True
+_BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
+#: Bytes of words that are hashed at once.
+HASH_BYTES = 1 << 20
+
+
+def hashed_words(texts: list[str | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of all words (cut at ASCII white space) of several texts in a row, the first position of each text,
+    and its word count. Memory beyond the result is a few bytes for each byte of text, and a bounded block."""
+    parts = [encode(t) if t else b"" for t in texts]
+    ends = np.cumsum(np.fromiter((len(p) + 1 for p in parts), np.int64, len(parts)))
+    raw = b" ".join([*parts, b""])
+    raw = np.frombuffer(raw.translate(LOWER_TABLE) if lower else raw, np.uint8)
+    edges = np.flatnonzero(np.diff(_SPACE_BYTE[raw], prepend=True, append=True))
+    first, size = edges[::2], edges[1::2] - edges[::2]
+    upto = np.cumsum(size)
+    out, a = np.empty(len(first), np.uint64), 0
+    while a < len(first):
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + HASH_BYTES, "right")))
+        n = size[a:b]
+        start = np.cumsum(n) - n
+        place = np.arange(int(n.sum())) - np.repeat(start, n)
+        values = _BYTE_VALUE[raw[place + np.repeat(first[a:b], n)]] * powers(int(n.max()))[0][place]
+        out[a:b] = mix(np.add.reduceat(values, start) + n.astype(np.uint64))
+        a = b
+    counts = np.bincount(np.searchsorted(ends, first, "right"), minlength=len(texts)).astype(np.int64)
+    return out, np.cumsum(counts) - counts, counts
 
 
 LETTER = re.compile(r"[^\W\d_]")

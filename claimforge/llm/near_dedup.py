@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import LOWER_TABLE, Scratch, WordHashes, concat_words, encode, hidden, mix, read_table, text_chunks, window_hashes, worker_memo
+from .common import Scratch, hashed_words, hidden, mix, read_table, text_chunks, window_hashes
 from .components import connected_components
 
 
@@ -51,10 +51,9 @@ class NearDedup:
     pivot_rounds: int = 2
 
 
-def shingle_sets(texts: list[str | None], k: int, memo: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray]:
     """The sorted distinct shingle hashes of each text, in a row, and how many there are."""
-    lists = [encode(t).translate(LOWER_TABLE).split() if t else [] for t in texts]
-    flat, starts, counts = concat_words(lists, memo)
+    flat, starts, counts = hashed_words(texts, lower=True)
     windows = window_hashes(flat, k)
     sets = []
     for s, n in zip(starts.tolist(), counts.tolist()):
@@ -98,9 +97,8 @@ def _signed(docs: DataFrame, how: NearDedup) -> DataFrame:
     """id, n (set size), f1, f2 (set fingerprint) and bands of each row of id, text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = worker_memo(("words",), WordHashes)
         for batch in text_chunks(batches):
-            flat, sizes = shingle_sets(batch.column(1).to_pylist(), how.shingle, memo)
+            flat, sizes = shingle_sets(batch.column(1).to_pylist(), how.shingle)
             some = sizes > 0
             starts = np.cumsum(sizes) - sizes
             prints = []
@@ -120,9 +118,8 @@ def _sets(docs: DataFrame, how: NearDedup) -> DataFrame:
     """id and its shingle set as a sorted array, for rows of id, text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = worker_memo(("words",), WordHashes)
         for batch in text_chunks(batches):
-            flat, sizes = shingle_sets(batch.column(1).to_pylist(), how.shingle, memo)
+            flat, sizes = shingle_sets(batch.column(1).to_pylist(), how.shingle)
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists(flat, sizes)], names=["id", "s"])
 
     return docs.mapInArrow(run, "id long, s array<long>")

@@ -37,7 +37,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, WordHashes, concat_words, encode, hidden, mix, read_table, sequence_hashes, text_chunks, window_hashes, worker_memo
+from .common import Scratch, encode, hashed_words, hidden, mix, read_table, sequence_hashes, text_chunks, window_hashes
 
 
 @dataclass(frozen=True)
@@ -104,9 +104,8 @@ def _seeds(rows: DataFrame, how: SubstringDedup) -> DataFrame:
     window) of spread anchors with a signal for each such anchor, and marks."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = worker_memo(("words",), WordHashes)
         for batch in text_chunks(batches, limit=how.batch_bytes):
-            words, starts, counts = _read(batch, memo)
+            words, starts, counts = hashed_words(batch.column(1).to_pylist())
             h, reach, number, pos, size, windows = anchored_runs(words, starts, counts, how)
             if not len(h):
                 continue
@@ -136,11 +135,6 @@ def _seeds(rows: DataFrame, how: SubstringDedup) -> DataFrame:
     return rows.mapInArrow(run, _FOUND)
 
 
-def _read(batch: pa.RecordBatch, memo: WordHashes):
-    lists = [encode(t).split() if t else [] for t in batch.column(1).to_pylist()]
-    return concat_words(lists, memo)
-
-
 def _matched(seeds: DataFrame) -> DataFrame:
     """Joins the places by anchor. Of each reach, and of each window, the places after the first become marks; first
     places go on where an anchor has several reaches. Memory holds a batch and two rows, whatever the size of a group."""
@@ -183,9 +177,8 @@ def _extended(rows: DataFrame, found: DataFrame, how: SubstringDedup) -> DataFra
     joined = rows.join(wanted.hint("shuffle_hash"), F.col("id") == F.col("__id")).select("id", "text", "__at")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = worker_memo(("words",), WordHashes)
         for batch in text_chunks(batches):
-            words, starts, counts = _read(batch, memo)
+            words, starts, counts = hashed_words(batch.column(1).to_pylist())
             windows = window_hashes(words, how.window)
             at = batch.column(2)
             number = np.repeat(np.arange(batch.num_rows), np.asarray(at.value_lengths()))

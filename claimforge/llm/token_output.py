@@ -38,7 +38,7 @@ from .common import Memo, Scratch, read_table, scratch_path, text_chunks, worker
 MAGIC = b"CFTOKID1"
 FOOTER = struct.Struct("<QQQQQQ8s")  # bits, block_ids, documents, ids, blocks, footer bytes before this, magic
 #: Pieces in one generation of a worker's memo, about 220 bytes each.
-PIECE_ENTRIES = 800_000
+PIECE_ENTRIES = 400_000
 _cut = re.compile(r"(?<=\S)(?= \S)").split
 _odd_space = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
 #: Pieces whose line breaks, inside and after them, are tokens of their own.
