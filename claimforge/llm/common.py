@@ -268,7 +268,7 @@ _SPACE_BYTE = np.zeros(256, bool)
 _SPACE_BYTE[list(SPACES.encode())] = True
 _BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
 #: Bytes of words that are hashed at once.
-HASH_BYTES = 1 << 20
+HASH_BYTES = 1 << 16
 
 
 def hashed_words(texts: list[str | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
