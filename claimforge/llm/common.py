@@ -271,15 +271,8 @@ _BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
 HASH_BYTES = 1 << 16
 
 
-def hashed_words(texts: list[str | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hashes of all words (cut at ASCII white space) of several texts in a row, the first position of each text,
-    and its word count. Memory beyond the result is a few bytes for each byte of text, and a bounded block."""
-    parts = [encode(t) if t else b"" for t in texts]
-    ends = np.cumsum(np.fromiter((len(p) + 1 for p in parts), np.int64, len(parts)))
-    raw = b" ".join([*parts, b""])
-    raw = np.frombuffer(raw.translate(LOWER_TABLE) if lower else raw, np.uint8)
-    edges = np.flatnonzero(np.diff(_SPACE_BYTE[raw], prepend=True, append=True))
-    first, size = edges[::2], edges[1::2] - edges[::2]
+def segment_hashes(raw: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of ``size`` bytes from ``first`` on; runs aren't empty."""
     upto = np.cumsum(size)
     out, a = np.empty(len(first), np.uint64), 0
     while a < len(first):
@@ -290,6 +283,19 @@ def hashed_words(texts: list[str | None], lower: bool = False) -> tuple[np.ndarr
         values = _BYTE_VALUE[raw[place + np.repeat(first[a:b], n)]] * powers(int(n.max()))[0][place]
         out[a:b] = mix(np.add.reduceat(values, start) + n.astype(np.uint64))
         a = b
+    return out
+
+
+def hashed_words(texts: list[str | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of all words (cut at ASCII white space) of several texts in a row, the first position of each text,
+    and its word count. Memory beyond the result is a few bytes for each byte of text, and a bounded block."""
+    parts = [encode(t) if t else b"" for t in texts]
+    ends = np.cumsum(np.fromiter((len(p) + 1 for p in parts), np.int64, len(parts)))
+    raw = b" ".join([*parts, b""])
+    raw = np.frombuffer(raw.translate(LOWER_TABLE) if lower else raw, np.uint8)
+    edges = np.flatnonzero(np.diff(_SPACE_BYTE[raw], prepend=True, append=True))
+    first, size = edges[::2], edges[1::2] - edges[::2]
+    out = segment_hashes(raw, first, size)
     counts = np.bincount(np.searchsorted(ends, first, "right"), minlength=len(texts)).astype(np.int64)
     return out, np.cumsum(counts) - counts, counts
 

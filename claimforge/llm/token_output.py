@@ -8,10 +8,11 @@ Documents go into files in ascending doc_id order (null first; ties by text), on
 that the files in order hold all documents in order. Files are written under another name and then renamed, so a task
 that runs again replaces its own file by the same bytes.
 
-Tokenizing: a text is cut before each single space that stands between two characters that are no white space. The
-byte-level pre-tokenizer always cuts there, and no merge crosses such a cut, so the pieces' ids in a row are the ids of
-the whole text; pieces that recur are encoded once per worker, and new ones together, joined by line breaks, which such
-a pre-tokenizer keeps apart. The tests hold this against whole-text encoding.
+Tokenizing: a text is cut before each single space that stands between two characters that are no white space, around
+each single line break that does, and before a point or comma between a letter and a space or line break. The byte-level
+pre-tokenizer always cuts there, and no merge crosses such a cut, so the pieces' ids in a row are the ids of the whole
+text; pieces that recur are encoded once per worker, and new ones together, joined by line breaks, which such a
+pre-tokenizer keeps apart. A worker tells pieces by 64-bit hashes. The tests hold this against whole-text encoding.
 
 Cases: null and empty texts give the end id alone. Repeated rows are repeated documents. An empty table gives no files.
 Only doc_id and text are read.
@@ -33,41 +34,56 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, Scratch, read_table, scratch_path, text_chunks, worker_memo
+from .common import Scratch, read_table, scratch_path, segment_hashes, text_chunks, worker_memo
 
 MAGIC = b"CFTOKID1"
 FOOTER = struct.Struct("<QQQQQQ8s")  # bits, block_ids, documents, ids, blocks, footer bytes before this, magic
-#: Pieces in one generation of a worker's memo, about 220 bytes each.
-PIECE_ENTRIES = 600_000
-_cut = re.compile(r"(?<=\S)(?= \S)").split
+#: Pieces in one generation of a worker's memo, about 30 bytes each.
+PIECE_ENTRIES = 1_000_000
+_cut = re.compile(r"(?<=\S)(?= \S)")
 _odd_space = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
-#: Pieces whose line breaks, inside and after them, are tokens of their own.
-_plain = re.compile(r" ?\S+(?:\n\S+)*").fullmatch
-
-
-#: Points and commas that end a word, and line breaks after them, are pieces of their own.
-_stops = re.compile(r"[.,](?<=[^\W\d_].)(?=[ \n])").sub
-_lines = re.compile(r"(?<=\x01[.,]\n)(?=\S)").sub
-
-
-def _keys(text: str) -> list[str]:
-    """The pieces of a text as memo keys. A piece that begins with a space is its own key without it; any other comes
-    after a \x01."""
-    if "\x01" in text:
-        return ["\x01" + text]
-    beside = ("  ", "\n ", " \n", "\t ", " \t", "\r ", " \r")
-    if text[0] != " " and text[-1] != " " and not any(x in text for x in beside) and not _odd_space(text):
-        # Each space stands between two characters that are no white space.
-        keys = _lines(" \x01", _stops(" \x01\\g<0>", text)).split(" ")
-    else:
-        first, *rest = _cut(text)
-        keys = [first, *(p[1:] for p in rest)]
-    keys[0] = "\x01" + keys[0]
-    return keys
-
-
-def _piece(key: str) -> str:
-    return key[1:] if key[0] == "\x01" else " " + key
+_BESIDE = ("  ", "\n ", " \n", "\t ", " \t", "\r ", " \r")
+_plain = re.compile(r" ?\S+").fullmatch
+_LETTER, _WHITE = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_WHITE[list(b" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f")] = True
+
+
+def pieces(texts: list[str | None]) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The texts' bytes in a row, where each piece starts, and how many pieces each text has.
+
+    Texts whose spaces all stand between two characters that are no white space are cut in arrays; others, which are few,
+    one by one, at single spaces only.
+    """
+    parts = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    starts = np.cumsum(sizes) - sizes
+    odd = np.fromiter((bool(t) and (t[0] == " " or t[-1] == " " or any(x in t for x in _BESIDE) or _odd_space(t) is not None) for t in texts), bool, len(texts))
+    joined = b"".join(parts)
+    raw = np.frombuffer(joined, np.uint8)
+    if not len(raw):
+        return joined, starts[:0], np.zeros(len(texts), np.int64)
+    head = np.zeros(len(raw) + 1, bool)  # the first byte of a text, and the end
+    head[starts[sizes > 0]] = head[-1] = True
+    white = _WHITE[raw]
+    cut = raw == 32
+    # What comes before and after each byte of its own text is no white space.
+    after = np.append(~white[1:], False) & ~head[1:]
+    before = np.append(False, ~white[:-1]) & ~head[:-1]
+    line = (raw == 10) & before & after
+    stop = ((raw == 46) | (raw == 44)) & np.append(False, _LETTER[raw[:-1]]) & ~head[:-1]
+    stop &= np.append((raw[1:] == 32) | (raw[1:] == 10), False) & ~head[1:]
+    cut |= line | stop
+    cut[1:] |= line[:-1]
+    for k in np.flatnonzero(odd):
+        cut[starts[k] : starts[k] + sizes[k]] = False
+        at = [m.start() for m in _cut.finditer(texts[k])]
+        if at:
+            ends = np.cumsum([len(x.encode("utf-8", "surrogatepass")) for x in map(texts[k].__getitem__, map(slice, [0, *at[:-1]], at))])
+            cut[starts[k] + ends] = True
+    cut |= head[:-1]
+    first = np.flatnonzero(cut)
+    return joined, first, np.diff(np.searchsorted(first, np.append(starts, len(raw))))
 
 
 @dataclass(frozen=True)
@@ -84,14 +100,41 @@ class TokenOutput:
         return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class PieceIds(Memo):
-    """Memo key of a piece of text -> its ids as little-endian 32-bit bytes."""
+class PieceTable:
+    """Ids of pieces by the pieces' hashes, in sorted arrays: about 30 bytes a piece."""
+
+    def __init__(self):
+        self.keys, self.at, self.n, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The index of each key, or -1."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        k = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[k] == keys, k, -1)
+
+    def add(self, keys: np.ndarray, n: np.ndarray, ids: np.ndarray) -> None:
+        """Adds keys that it lacks; n ids each, in a row."""
+        at = np.append(self.at, len(self.ids) + np.cumsum(n) - n)
+        keys = np.append(self.keys, keys)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.at, self.n, self.ids = keys[order], at[order], np.append(self.n, n)[order], np.append(self.ids, ids)
+
+
+def runs(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... n places each, one after the other."""
+    return np.arange(int(n.sum())) + np.repeat(first - (np.cumsum(n) - n), n)
+
+
+class PieceIds:
+    """The ids of texts, from a memo of pieces in two generations: when the young one is full, it becomes the old one, and
+    what is found there moves back."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = PIECE_ENTRIES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         from tokenizers import Tokenizer
 
-        super().__init__(PIECE_ENTRIES)
+        self.entries, self.young, self.old = entries, PieceTable(), PieceTable()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -99,33 +142,52 @@ class PieceIds(Memo):
         # None if this tokenizer has no token of its own for a line break; then pieces are encoded one by one.
         self.line_id = line[1] if len(line) == 5 and line[1] == line[3] != line[0] else None
 
-    def compute(self, key: str) -> bytes:
-        return np.array(self.tokenizer.encode(_piece(key), add_special_tokens=False).ids, "<u4").tobytes()
+    def _new(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each piece has, and all of them in a row. Pieces without white space but a leading space go to the
+        tokenizer together, one a line."""
+        lone = self.line_id is None
+        out: list[np.ndarray] = [None] * len(texts)
+        together = [] if lone else [k for k, t in enumerate(texts) if _plain(t)]
+        for a in range(0, len(together), 1024):
+            part = together[a : a + 1024]
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join([texts[k] for k in part])], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(ids == self.line_id)
+            if len(ends) == len(part) - 1:
+                for k, x, y in zip(part, [0, *(ends + 1).tolist()], [*ends.tolist(), len(ids)]):
+                    out[k] = ids[x:y]
+        for k, found in enumerate(out):
+            if found is None:
+                out[k] = np.array(self.tokenizer.encode(texts[k], add_special_tokens=False).ids, "<u4")
+        return np.fromiter(map(len, out), np.int64, len(out)), np.concatenate([np.zeros(0, "<u4"), *out])
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text. Pieces that the memo lacks go to the tokenizer together, one a line."""
-        cut = [_keys(t) if t else [] for t in texts]
-        keys = list(set().union(*cut))
-        # One look into the large memo for each distinct piece; the texts are put together from a small dict.
-        local = dict(zip(keys, map(self.get, keys)))
-        unheld = [k for k, ids in local.items() if ids is None]
-        older = {k: ids for k, ids in zip(unheld, map(self.old.get, unheld)) if ids is not None}
-        local.update(older)
-        self.keep_all(older)
-        new = [k for k in unheld if k not in older]
-        plain = [p for p in new if _plain(_piece(p))] if self.line_id is not None else []
-        for a in range(0, len(plain), 1024):
-            part = plain[a : a + 1024]
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(map(_piece, part))], add_special_tokens=False)[0].ids, "<u4")
-            ends, raw, at = [*np.flatnonzero(ids == self.line_id).tolist(), len(ids)], ids.tobytes(), 0
-            k = -1
-            for key in part:
-                k += 1 + key.count("\n", 1)
-                local[key] = raw[4 * at : 4 * ends[k]]
-                at = ends[k] + 1
-        local.update((key, self.compute(key)) for key in new if local[key] is None)
-        self.keep_all({key: local[key] for key in new if len(key) < 100})
-        return [b"".join(map(local.__getitem__, pieces)) for pieces in cut]
+        """The ids of each text as little-endian 32-bit numbers."""
+        joined, first, counts = pieces(texts)
+        size = np.diff(np.append(first, len(joined)))
+        keys, where, inverse = np.unique(segment_hashes(np.frombuffer(joined, np.uint8), first, size), return_index=True, return_inverse=True)
+        young, old = self.young.find(keys), self.old.find(keys)
+        old[young >= 0] = -1
+        new = np.flatnonzero((young < 0) & (old < 0))
+        spans = zip(first[where[new]].tolist(), (first + size)[where[new]].tolist())
+        new_n, new_ids = self._new([joined[a:b].decode("utf-8", "surrogatepass") for a, b in spans])
+        # One row of ids for each distinct piece, from three places.
+        at, n = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        base = 0
+        for table, found in ((self.young, young), (self.old, old)):
+            held = found >= 0
+            at[held], n[held] = base + table.at[found[held]], table.n[found[held]]
+            base += len(table.ids)
+        at[new], n[new] = base + np.cumsum(new_n) - new_n, new_n
+        ids = np.concatenate([self.young.ids, self.old.ids, new_ids])
+        keep = np.flatnonzero((young < 0) & (size[where] < 100))
+        if len(self.young.keys) + len(keep) > self.entries:
+            self.old, self.young = self.young, PieceTable()
+        self.young.add(keys[keep], n[keep], ids[runs(at[keep], n[keep])])
+        each = n[inverse]
+        flat = ids[runs(at[inverse], each)]
+        ends = np.append(0, np.cumsum(each))[np.append(0, np.cumsum(counts))] * 4
+        raw = flat.tobytes()
+        return [raw[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())]
 
 
 def bits_of(vocabulary: int) -> int:
