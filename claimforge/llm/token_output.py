@@ -313,7 +313,7 @@ def write_token_files(docs: DataFrame, folder: str, how: TokenOutput = TokenOutp
         own = f"{top}/.part-{part:06d}-{TaskContext.get().taskAttemptId()}"
         pieces = writer = None
         with store.open_output_stream(own) as sink:
-            for batch in text_chunks(batches, limit=8_000_000):
+            for batch in text_chunks(batches, limit=4_000_000):
                 if writer is None:
                     pieces = worker_memo(("pieces", path), lambda: PieceIds(path))
                     writer = TokenWriter(sink, bits_of(pieces.tokenizer.get_vocab_size()), how.block_ids)
