@@ -101,7 +101,11 @@ def overlap(a: Column, b: Column) -> Column:
 
 def guard_blocks(premise: Column, hypothesis_values: Column) -> Column:
     """Whether some value of the hypothesis is neither inside the premise nor one of its values."""
-    low, own = F.lower(premise), values(premise)
+    return blocked(F.lower(premise), values(premise), hypothesis_values)
+
+
+def blocked(low: Column, own: Column, hypothesis_values: Column) -> Column:
+    """The same for a premise in lower case and its values."""
     return F.exists(hypothesis_values, lambda v: ~(low.contains(v) | F.array_contains(own, v)))
 
 

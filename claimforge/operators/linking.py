@@ -19,29 +19,40 @@ def link_exact(mentions: DataFrame, nodes: DataFrame) -> DataFrame:
     return mentions.select("key", normalize(F.col("mention")).alias("norm")).join(label_index(nodes), "norm").select("key", "id")
 
 
-def _starts(text: Column, longest: int = 3) -> Column:
-    """All substrings of one to three characters: where a contained text could start."""
-    def grams(k: int) -> Column:
-        places = F.sequence(F.lit(1), F.length(text) - (k - 1))
-        found = F.transform(places, lambda i: F.substring(text, i, F.lit(k)))
+#: Lengths of the substrings by which texts and labels meet.
+GRAMS = (6, 3, 2, 1)
+
+
+def _grams(text: Column, sizes: tuple[int, ...] = GRAMS) -> Column:
+    """All distinct substrings of the given lengths."""
+    def of(k: int) -> Column:
+        found = F.transform(F.sequence(F.lit(1), F.length(text) - (k - 1)), lambda i: F.substring(text, i, F.lit(k)))
         return F.when(F.length(text) >= k, found).otherwise(F.array().cast("array<string>"))
 
-    parts = [grams(k) for k in range(1, longest + 1)]
-    return F.array_distinct(F.concat(*parts))
+    return F.array_distinct(F.concat(*map(of, sizes)))
 
 
-def _head(text: Column) -> Column:
-    return F.substring(text, 1, 3)
+def _own_grams(text: Column) -> Column:
+    """The substrings of the greatest length that fits."""
+    out = _grams(text, GRAMS[-1:])
+    for k in reversed(GRAMS[:-1]):
+        out = F.when(F.length(text) >= k, _grams(text, (k,))).otherwise(out)
+    return out
 
 
 def contained_pairs(texts: DataFrame, labels: DataFrame) -> DataFrame:
     """key, norm x id, label for all pairs in which one contains the other.
 
-    A contained text starts somewhere in the other, so pairs meet by the first three characters of the shorter one; no
-    pair is tested that has no such start in common.
+    What a text contains is a substring of it, and so are that one's substrings. Each side that is to be contained is
+    looked up by one substring only, the one that the fewest labels have; a text with a substring that no label has is
+    contained in none.
     """
-    inside = texts.withColumn("g", F.explode(_starts(F.col("norm")))).join(labels.withColumn("g", _head(F.col("label"))), "g").where(F.col("norm").contains(F.col("label")))
-    around = texts.withColumn("g", _head(F.col("norm"))).join(labels.withColumn("g", F.explode(_starts(F.col("label")))), "g").where(F.col("label").contains(F.col("norm")))
+    spread = labels.select("id", "label", F.explode(_grams(F.col("label"))).alias("g"))
+    counts = spread.groupBy("g").agg(F.count(F.lit(1)).alias("k"))
+    rare = labels.select("id", "label", F.explode(_own_grams(F.col("label"))).alias("g")).join(counts, "g").groupBy("id", "label").agg(F.min(F.struct("k", "g"))["g"].alias("g"))
+    inside = texts.withColumn("g", F.explode(_grams(F.col("norm")))).join(rare, "g").where(F.col("norm").contains(F.col("label")))
+    asked = texts.withColumn("g", F.explode(_own_grams(F.col("norm")))).join(counts, "g", "left").groupBy("key", "norm").agg(F.min(F.struct(F.coalesce("k", F.lit(0)).alias("k"), "g")).alias("m"))
+    around = asked.where("m.k > 0").select("key", "norm", F.col("m.g").alias("g")).join(spread, "g").where(F.col("label").contains(F.col("norm")))
     return inside.select("key", "norm", "id", "label").union(around.select("key", "norm", "id", "label")).distinct()
 
 
@@ -65,6 +76,26 @@ def link_text(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     return contained_pairs(norm, labels).select("key", "id")
 
 
+#: Least score at which the link of a head or tail is accepted.
+ACCEPT = 0.5
+
+
+def side_links(claims: DataFrame, nodes: DataFrame) -> DataFrame:
+    """key, side (0 head, 1 tail), mention, and the id and score of its best link, null without one."""
+    sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("head").alias("m")), F.struct(F.lit(1).alias("side"), F.col("tail").alias("m"))))
+    mentions = claims.select("key", sides.alias("x")).where("x.m <> ''").select(F.struct("key", "x.side").alias("key"), F.col("x.m").alias("mention"))
+    return mentions.join(link_best(mentions, nodes), "key", "left").select("key.key", "key.side", "mention", "id", "score")
+
+
+def claim_ends(claims: DataFrame, nodes: DataFrame) -> DataFrame:
+    """key, id: the entities of a claim, from the accepted links of its head and tail, where claims have these columns,
+    and from the labels in its text."""
+    found = link_text(claims, nodes)
+    if "head" in claims.columns:
+        found = found.union(side_links(claims, nodes).where(F.col("score") >= ACCEPT).select("key", "id"))
+    return found.distinct()
+
+
 def unresolved(text: Column, covered: Column) -> Column:
     """Sorted distinct letter tokens of a text that aren't covered by matched labels and aren't stop words."""
     found = F.array_distinct(F.regexp_extract_all(normalize(text), F.lit("[A-Za-z]+"), F.lit(0)))

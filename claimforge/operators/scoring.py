@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import guard_blocks, overlap, tokens, values
+from ..functions.text import blocked, overlap, tokens, values
 
 
 def best_premise(claims: DataFrame, premises: DataFrame) -> DataFrame:
@@ -18,7 +18,8 @@ def best_premise(claims: DataFrame, premises: DataFrame) -> DataFrame:
     left = claims.select("key", "text", tokens(F.col("text")).alias("ct"), values(F.col("text")).alias("cv"))
     # Values are in lower case, and a value inside a premise has each of its runs inside a run of the premise.
     left = left.withColumn("parts", F.array_distinct(F.flatten(F.transform("cv", lambda v: _runs(v)))))
-    right = premises.select("pid", "premise", "ord")
+    # What a premise is tested by is worked out once, before it meets any claim.
+    right = premises.select("pid", "ord", F.lower("premise").alias("low"), values(F.col("premise")).alias("own"), tokens(F.col("premise")).alias("pt"))
     scored = _by_token(left.where(F.size("parts") == 0), right).unionByName(_by_value(left.where(F.size("parts") > 0), right))
     best = scored.where("score > 0").groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("minus"), "ord", "pid")).alias("b"))
     return best.select("key", F.col("b.pid").alias("pid"), (-F.col("b.minus")).alias("score"))
@@ -30,10 +31,9 @@ def _runs(text: Column) -> Column:
 
 def _by_token(left: DataFrame, right: DataFrame) -> DataFrame:
     """key, pid, ord and score of pairs that share a token."""
-    right = right.withColumn("pt", tokens(F.col("premise")))
     met = left.select("key", F.size("ct").alias("nc"), F.explode("ct").alias("token")).join(right.select("pid", "ord", F.size("pt").alias("np"), F.explode("pt").alias("token")), "token")
     pairs = met.groupBy("key", "pid", "ord", "nc", "np").agg(F.count(F.lit(1)).alias("both"))
-    scored = pairs.join(left.select("key", "cv"), "key").join(right.select("pid", "ord", "premise"), ["pid", "ord"]).where(~guard_blocks(F.col("premise"), F.col("cv")))
+    scored = pairs.join(left.select("key", "cv"), "key").join(right.select("pid", "ord", "low", "own"), ["pid", "ord"]).where(~blocked(F.col("low"), F.col("own"), F.col("cv")))
     return scored.select("key", "pid", "ord", (F.col("both") / (F.col("nc") + F.col("np") - F.col("both"))).alias("score"))
 
 
@@ -43,8 +43,8 @@ def _by_value(left: DataFrame, right: DataFrame) -> DataFrame:
     asked = left.select("key", "ct", "cv", part.alias("part"))
     # A part of k characters is looked up among all substrings of k characters of each word.
     sizes = asked.select(F.length("part").alias("k")).distinct()
-    words = right.select("pid", "ord", "premise", F.explode(F.array_distinct(_runs(F.lower("premise")))).alias("word"))
+    words = right.select("*", F.explode(F.array_distinct(_runs(F.col("low")))).alias("word"))
     places = F.sequence(F.lit(1), F.length("word") - F.col("k") + 1)
-    inside = words.join(F.broadcast(sizes), F.length("word") >= F.col("k")).select("pid", "ord", "premise", F.explode(F.array_distinct(F.transform(places, lambda i: F.substring("word", i, F.col("k"))))).alias("part"))
-    full = inside.join(asked, "part").where(~guard_blocks(F.col("premise"), F.col("cv")))
-    return full.select("key", "pid", "ord", overlap(tokens(F.col("premise")), F.col("ct")).alias("score"))
+    inside = words.join(F.broadcast(sizes), F.length("word") >= F.col("k")).select("pid", "ord", "low", "own", "pt", F.explode(F.array_distinct(F.transform(places, lambda i: F.substring("word", i, F.col("k"))))).alias("part"))
+    full = inside.join(asked, "part").where(~blocked(F.col("low"), F.col("own"), F.col("cv")))
+    return full.select("key", "pid", "ord", overlap(F.col("pt"), F.col("ct")).alias("score"))

@@ -6,13 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-# The value types of edges, and the datatype names that map to them.
+# The value types of edges, the datatype names that map to them, and the names' aliases in lower case.
 VALUE_TYPES = ("item", "time", "quantity", "monolingual", "string")
-DATATYPES = {
-    "WikibaseItem": "item", "Time": "time", "Quantity": "quantity", "Monolingualtext": "monolingual", "String": "string",
-    "wikibase-item": "item", "item": "item", "time": "time", "quantity": "quantity", "monolingualtext": "monolingual",
-    "monolingual": "monolingual", "string": "string",
-}
+DATATYPES = {"WikibaseItem": "item", "Time": "time", "Quantity": "quantity", "Monolingualtext": "monolingual", "String": "string"}
+ALIASES = {"wikibase-item": "item", "item": "item", "time": "time", "quantity": "quantity", "monolingualtext": "monolingual", "string": "string"}
 ONTOLOGY = "http://wikiba.se/ontology#"
 URI_PREFIX = r"^http://www\.wikidata\.org/(entity/|prop/direct/|prop/)"
 
@@ -23,10 +20,11 @@ def in_band(count: Column, low: int = 5, high: int = 40) -> Column:
 
 
 def value_type(datatype: Column) -> Column:
-    """The value type of a datatype given by name, alias or ontology URI; null if it isn't kept."""
-    table = F.create_map(*[F.lit(x) for pair in DATATYPES.items() for x in pair])
-    name = F.regexp_replace(datatype, "^" + ONTOLOGY.replace(".", r"\."), "")
-    return F.coalesce(F.try_element_at(table, name), F.try_element_at(table, F.lower(name)))
+    """The value type of a datatype given by its exact name, by that name after the ontology's prefix, or by an alias in
+    any case; null if it isn't kept."""
+    table = lambda values, key: F.try_element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), key)
+    uris = {ONTOLOGY + name: kind for name, kind in DATATYPES.items()}
+    return F.coalesce(table(DATATYPES | uris, datatype), table(ALIASES, F.lower(datatype)))
 
 
 def bare_id(uri: Column) -> Column:
@@ -70,9 +68,15 @@ def overlap_report(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return counts.join(nodes.select("id", described.alias("described")), "id", "left").select("id", "triples", F.coalesce("described", F.lit(False)).alias("described"))
 
 
-def labels_digest(labels: DataFrame) -> DataFrame:
-    """One row: the sha256 of all content facts, whatever their order. Facts are hashed first and combined by buckets of
-    their hash, so no task holds them all."""
-    line = F.sha2(F.concat_ws("\x1f", "entity_id", "modality", "fact", "source"), 256)
-    buckets = labels.select(line.alias("h")).groupBy(F.substring("h", 1, 2).alias("b")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("h"))
-    return buckets.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), ""), 256).alias("digest"))
+def reference_id(snapshot_id: str, labels: DataFrame) -> DataFrame:
+    """One row: ``snapshot_id:`` and 16 hex digits over all content facts, whatever their order. Each fact's sha256 is cut
+    into eight numbers, the numbers are summed, and the sums are digested: no task holds more than eight numbers."""
+    h = F.sha2(F.concat_ws("\x1f", "entity_id", "modality", "fact", "source"), 256)
+    part = lambda k: F.conv(F.substring(h, 8 * k + 1, 8), 16, 10).cast("long")
+    sums = labels.agg(*[F.coalesce(F.sum(part(k).cast("decimal(20,0)")), F.lit(0)).cast("string").alias(f"s{k}") for k in range(8)])
+    return sums.select(F.concat(F.lit(f"{snapshot_id}:"), F.substring(F.sha2(F.concat_ws(",", *[f"s{k}" for k in range(8)]), 256), 1, 16)).alias("reference_id"))
+
+
+def text_labels(facts: DataFrame) -> DataFrame:
+    """Content labels of text from entity_id, fact, source and label_ord, which keeps the order they were written in."""
+    return facts.select("entity_id", F.lit("text").alias("modality"), "fact", "source", "label_ord")

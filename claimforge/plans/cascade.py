@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import guarded_score, tokens
 from ..operators.graph import degrees, simple_paths, steps
 from ..operators.lineage import cut
-from ..operators.linking import link_text
+from ..operators.linking import claim_ends
 from ..operators.scoring import best_premise
 
 
@@ -32,8 +32,9 @@ def edge_premises(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def scored_paths(claims: DataFrame, nodes: DataFrame, edges: DataFrame, how: Grounding) -> DataFrame:
-    """key, nodes, path, mult and score of the simple paths between entities named in a claim."""
-    ends = cut(link_text(claims, nodes).distinct())
+    """key, nodes, path, mult and score of the simple paths between the entities of a claim: those named in its text and,
+    where claims have the columns head and tail, those that these link to."""
+    ends = cut(claim_ends(claims, nodes))
     pairs = ends.join(ends.select("key", F.col("id").alias("dst")), "key").where("id < dst").select("key", F.col("id").alias("src"), "dst")
     paths = simple_paths(pairs, steps(edges), how.hops)
     words = nodes.select(F.col("id").alias("__id"), F.col("label").alias("__label"))
@@ -52,12 +53,12 @@ def best_path(paths: DataFrame) -> DataFrame:
 
 
 def grade(claims: DataFrame, nodes: DataFrame, edges: DataFrame, facts: DataFrame, how: Grounding = Grounding()) -> DataFrame:
-    """key, status, source, evidence and score of each claim (key, text). Only claims that no triple and no fact supports
+    """key, status, source, evidence and score of each claim (key, text, and head and tail if known). Only claims that no triple and no fact supports
     are searched for paths. Nulls: a claim without text has no evidence."""
     direct = best_premise(claims, edge_premises(nodes, edges).select("pid", "premise", "ord"))
     content = best_premise(claims, facts.select(F.col("entity_id").alias("pid"), F.col("fact").alias("premise"), F.col("label_ord").alias("ord")))
     stage = cut(claims.join(direct.toDF("key", "d_id", "d"), "key", "left").join(content.toDF("key", "c_id", "c"), "key", "left"))
-    open_ = stage.where((F.coalesce("d", F.lit(0.0)) <= how.tau) & (F.coalesce("c", F.lit(0.0)) <= how.tau)).select("key", "text")
+    open_ = stage.where((F.coalesce("d", F.lit(0.0)) <= how.tau) & (F.coalesce("c", F.lit(0.0)) <= how.tau)).select(*claims.columns)
     hops = best_path(scored_paths(open_, nodes, edges, how)).where(F.col("score") > how.tau)
     stage = stage.join(hops.select("key", F.array_join("nodes", ">").alias("h_id"), F.col("score").alias("h")), "key", "left")
     pick = lambda d, c, h, none: F.when(F.col("d") > how.tau, d).when(F.col("c") > how.tau, c).when(F.col("h").isNotNull(), h).otherwise(none)
@@ -72,16 +73,44 @@ def grade(claims: DataFrame, nodes: DataFrame, edges: DataFrame, facts: DataFram
     )
 
 
-def spurious(paths: DataFrame, edges: DataFrame, surfaces: DataFrame, how: Grounding = Grounding()) -> DataFrame:
-    """Of best paths (key, nodes, path, premise, score) the reason to doubt one, or null. surfaces: key, pid (property
-    that the claim's relation names, or null), tail (the claim's object text)."""
+def canonical_property(rows: DataFrame, surface: str, aliases: DataFrame) -> DataFrame:
+    """Adds pid, the canonical property of a relation's wording or property id (aliases: surface, pid), null without one;
+    the case of letters counts."""
+    table = aliases.select(F.col("surface").alias(surface), "pid")
+    return rows.join(table, surface, "left")
+
+
+def canonical_edges(paths: DataFrame, nodes: DataFrame, inverses: DataFrame) -> DataFrame:
+    """The edges of paths (key, nodes, path) as rows: key, nodes, pos, subject and object with labels, property, forward.
+    An edge whose property has a declared inverse runs the other way under it: ends, labels and direction swap, and the
+    property's label stays."""
+    rows = paths.select("key", "nodes", F.posexplode("path").alias("pos", "e")).select("key", "nodes", "pos", "e.*")
+    labels = nodes.select(F.col("id").alias("subject_id"), F.col("label").alias("subject_label"))
+    rows = rows.join(labels, "subject_id", "left").join(inverses.select(F.col("property").alias("property_id"), "inverse"), "property_id", "left")
+    flip = F.col("inverse").isNotNull() & F.col("object_id").isNotNull()
+    own, other = F.coalesce("subject_label", "subject_id"), F.col("object_label")
+    swap = lambda a, b: F.when(flip, b).otherwise(a)
+    return rows.select(
+        "key", "nodes", "pos", swap(F.col("subject_id"), F.col("object_id")).alias("subject_id"), swap(own, other).alias("subject_label"),
+        swap(F.col("property_id"), F.col("inverse")).alias("property_id"), "property_label",
+        swap(F.col("object_id"), F.col("subject_id")).alias("object_id"), swap(other, own).alias("object_label"), (F.col("back") == flip).alias("forward"),
+    )
+
+
+def spurious(paths: DataFrame, edges: DataFrame, surfaces: DataFrame, how: Grounding = Grounding(), aliases: DataFrame | None = None) -> DataFrame:
+    """Of best paths (key, nodes, path, premise, score) the reason to doubt one, or null. surfaces: key, pid (canonical
+    property that the claim's relation names, or null), tail (the claim's object text). With aliases (surface, pid) the
+    properties of a path are compared in their canonical form."""
     deg = degrees(edges)
     inner = paths.select("key", F.explode(F.slice("nodes", F.lit(2), F.size("nodes") - 2)).alias("id")).join(deg, "id")
     hubs = inner.where(F.col("degree") >= how.hub_degree).select("key").distinct().withColumn("hub", F.lit(True))
     rows = paths.join(surfaces, "key").join(hubs, "key", "left")
-    pids = F.transform("path", lambda e: e["property_id"])
+    used = paths.select("key", F.explode(F.transform("path", lambda e: e["property_id"])).alias("property_id"))
+    if aliases is not None:
+        used = canonical_property(used, "property_id", aliases).select("key", F.coalesce("pid", "property_id").alias("property_id"))
+    rows = rows.join(used.groupBy("key").agg(F.collect_set("property_id").alias("pids")), "key")
     reason = (
-        F.when(F.col("pid").isNotNull() & ~F.array_contains(pids, F.col("pid")), F.lit("relation_illegitimate"))
+        F.when(F.col("pid").isNotNull() & ~F.array_contains("pids", F.col("pid")), F.lit("relation_illegitimate"))
         .when(F.size(F.array_except(tokens(F.col("tail")), tokens(F.col("premise")))) > 0, F.lit("value_absent"))
         .when((F.size("path") == how.hops) & F.col("hub") & (F.col("score") - how.tau <= how.hub_margin), F.lit("hub_fragility"))
     )

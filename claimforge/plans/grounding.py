@@ -6,14 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import cue_parts, normalize, sentences
-from ..operators.linking import link_best, link_text, unresolved
+from ..operators.linking import ACCEPT, link_text, side_links, unresolved
 from ..operators.runs import status_counts
 from .cascade import Grounding, grade
 
-#: Least score at which the link of a head or tail is accepted.
-ACCEPT = 0.5
-
-
 def answer_claims(answers: DataFrame) -> DataFrame:
     """From run_id, answer_text: key (run_id, claim_pos), claim_id within the run, text, head, relation, tail."""
     rows = answers.select("run_id", F.posexplode(sentences(F.col("answer_text"))).alias("claim_pos", "text"))
@@ -25,15 +21,13 @@ def answer_claims(answers: DataFrame) -> DataFrame:
 def claim_links(claims: DataFrame, nodes: DataFrame) -> DataFrame:
     """key, ids and unresolved of each claim. ids: entities in the order of discovery (head, tail, labels in the text),
     each once. unresolved: heads and tails without a link, then letter tokens that no found label covers."""
-    sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("head").alias("m")), F.struct(F.lit(1).alias("side"), F.col("tail").alias("m"))))
-    mentions = claims.select("key", sides.alias("x")).where("x.m <> ''").select(F.struct("key", "x.side").alias("key"), F.col("x.m").alias("mention"))
-    linked = mentions.join(link_best(mentions, nodes), "key", "left")
+    linked = side_links(claims, nodes)
     order = nodes.select("id", "node_ord", "label")
-    near = linked.where(F.col("score") >= ACCEPT).select(F.col("key.key").alias("key"), "id", F.struct(F.col("key.side").alias("src"), F.lit(0).cast("long").alias("pos")).alias("at"), "score")
+    near = linked.where(F.col("score") >= ACCEPT).select("key", "id", F.struct(F.col("side").alias("src"), F.lit(0).cast("long").alias("pos")).alias("at"), "score")
     inside = link_text(claims, nodes).join(order, "id").select("key", "id", F.struct(F.lit(2).alias("src"), F.col("node_ord").alias("pos")).alias("at"), F.lit(1.0).alias("score"))
     found = near.unionByName(inside).groupBy("key", "id").agg(F.min(F.struct("at", "score")).alias("first"))
     found = found.join(order.select("id", "label"), "id").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("first", "id", "label"))).alias("f"))
-    lost = linked.where("id IS NULL").groupBy(F.col("key.key").alias("key")).agg(F.transform(F.sort_array(F.collect_list(F.struct("key.side", "mention"))), lambda x: x["mention"]).alias("lost"))
+    lost = linked.where("id IS NULL").groupBy("key").agg(F.transform(F.sort_array(F.collect_list(F.struct("side", "mention"))), lambda x: x["mention"]).alias("lost"))
     none = F.array().cast("array<string>")
     out = claims.select("key", "text").join(found, "key", "left").join(lost, "key", "left")
     covered = F.flatten(F.transform(F.coalesce("f", F.array().cast(found.schema["f"].dataType)), lambda x: F.regexp_extract_all(normalize_label(x["label"]), F.lit("[A-Za-z]+"), F.lit(0))))
@@ -51,9 +45,10 @@ def normalize_label(label):
 
 
 def ground(answers: DataFrame, nodes: DataFrame, edges: DataFrame, facts: DataFrame, how: Grounding = Grounding()) -> DataFrame:
-    """run_id, claim_id, text, status, source, evidence, score, ids, unresolved of each claim of each answer."""
+    """run_id, claim_id, text, status, source, evidence, score, ids, unresolved of each claim of each answer. Paths are
+    searched between all entities that a claim is linked with."""
     claims = answer_claims(answers)
-    graded = grade(claims.select("key", "text"), nodes, edges, facts, how)
+    graded = grade(claims.select("key", "text", "head", "tail"), nodes, edges, facts, how)
     return claims.join(graded, "key").join(claim_links(claims, nodes), "key").drop("key")
 
 

@@ -1,9 +1,4 @@
-"""The registered queries: each operator over the whole driver tables, with DuckDB SQL of the same result.
-
-The SQL of eight queries is told over a slice of the graph (suppliers, nations, regions). Each of them has a namesake
-ending in ``_whole`` that does the same over all nodes and edges; those have no SQL, and tests hold them against it with
-the slice replaced by the graph.
-"""
+"""The registered queries: each operator over the whole driver tables, with DuckDB SQL of the same result."""
 
 from __future__ import annotations
 
@@ -14,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import calibration, edits, graph, linking, perturb, runs, scoring, snapshot, views
-from ..sources import star
+from ..sources import sparql, star
 from . import calibrate, cascade, grounding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,15 +65,16 @@ def sitelink_band(s: SparkSession, d: str) -> DataFrame:
     return _table(s, d, "part").where(snapshot.in_band(F.col("p_size"))).select("p_partkey", "p_size")
 
 
-_KINDS = ["WikibaseItem", "http://wikiba.se/ontology#Time", "Quantity", "http://wikiba.se/ontology#Monolingualtext", "String", "ITEM", "ExternalId", "Url", ""]
+_KINDS = ["WikibaseItem", "http://wikiba.se/ontology#Time", "Quantity", "http://wikiba.se/ontology#Monolingualtext", "String", "ITEM", "ExternalId", "Url", "", "monolingual", "http://wikiba.se/ontology#time", "MonolingualText", "wikibaseitem"]
 
 
-@query(f"""WITH k AS (SELECT p_partkey, {_KINDS}[p_partkey % 9 + 1] AS pt FROM part),
-b AS (SELECT *, lower(replace(pt, 'http://wikiba.se/ontology#', '')) AS x FROM k)
-SELECT p_partkey, pt, CASE x WHEN 'wikibaseitem' THEN 'item' WHEN 'monolingualtext' THEN 'monolingual' WHEN 'item' THEN 'item' WHEN 'time' THEN 'time'
-  WHEN 'quantity' THEN 'quantity' WHEN 'string' THEN 'string' END AS value_type FROM b""")
+@query(f"""WITH k AS (SELECT p_partkey, {_KINDS}[p_partkey % {len(_KINDS)} + 1] AS pt FROM part)
+SELECT p_partkey, pt, CASE WHEN pt IN ('WikibaseItem', 'http://wikiba.se/ontology#WikibaseItem') OR lower(pt) IN ('item', 'wikibase-item') THEN 'item'
+  WHEN pt IN ('Time', 'http://wikiba.se/ontology#Time') OR lower(pt) = 'time' THEN 'time' WHEN pt IN ('Quantity', 'http://wikiba.se/ontology#Quantity') OR lower(pt) = 'quantity' THEN 'quantity'
+  WHEN pt IN ('Monolingualtext', 'http://wikiba.se/ontology#Monolingualtext') OR lower(pt) = 'monolingualtext' THEN 'monolingual'
+  WHEN pt IN ('String', 'http://wikiba.se/ontology#String') OR lower(pt) = 'string' THEN 'string' END AS value_type FROM k""")
 def datatype_map(s: SparkSession, d: str) -> DataFrame:
-    pt = F.get(F.array(*map(F.lit, _KINDS)), (F.col("p_partkey") % 9).cast("int"))
+    pt = F.get(F.array(*map(F.lit, _KINDS)), (F.col("p_partkey") % len(_KINDS)).cast("int"))
     return _table(s, d, "part").select("p_partkey", pt.alias("pt"), snapshot.value_type(pt).alias("value_type"))
 
 
@@ -89,11 +85,23 @@ def uri_normalize(s: SparkSession, d: str) -> DataFrame:
     return _table(s, d, "orders").select("o_orderkey", snapshot.bare_id(uri).alias("bare"))
 
 
-@query("""SELECT 'P' || p_partkey AS qid, p_size FROM part WHERE p_size BETWEEN 5 AND 40 ORDER BY qid LIMIT 200""")
+_FETCHED = """SELECT 'P' || CAST(p_partkey AS STRING) AS item, p_name AS item_label, CAST(p_size AS STRING) AS links, 'PB' AS prop, 'brand' AS prop_label, p_brand AS value, '' AS value_label, 'String' AS pt, 2 * p_partkey AS pos FROM {part}
+UNION ALL SELECT 'P' || CAST(p_partkey AS STRING), p_name, CAST(p_size AS STRING), 'PU', 'site', p_type, '', 'Url', 2 * p_partkey + 1 FROM {part}
+UNION ALL SELECT DISTINCT 'P' || CAST(l_partkey AS STRING), p_name, CAST(p_size AS STRING), 'PS', 'supplied by', 'http://www.wikidata.org/entity/S' || CAST(l_suppkey AS STRING), s_name, 'WikibaseItem', 1000000000000 + l_partkey * 1000000 + l_suppkey FROM {lineitem} JOIN {part} ON l_partkey = p_partkey JOIN {supplier} ON l_suppkey = s_suppkey"""
+
+
+@query(f"""WITH c AS (SELECT id FROM (SELECT 'P' || p_partkey AS id FROM part WHERE p_size BETWEEN 5 AND 40 ORDER BY id LIMIT 200)),
+f AS (SELECT item AS subject_id, prop AS property_id, prop_label AS property_label, CASE pt WHEN 'WikibaseItem' THEN replace(value, 'http://www.wikidata.org/entity/', '') END AS object_id,
+  CASE pt WHEN 'WikibaseItem' THEN value_label ELSE value END AS object_label, CASE pt WHEN 'WikibaseItem' THEN 'item' ELSE 'string' END AS value_type, pos FROM ({_FETCHED}) WHERE pt <> 'Url' AND item IN (SELECT id FROM c))
+SELECT subject_id, property_id, object_id, object_label, value_type, row_number() OVER (PARTITION BY subject_id ORDER BY property_id, coalesce(object_id, ''), object_label, pos)::INT AS edge_rank FROM f""")
 def slice_topn(s: SparkSession, d: str) -> DataFrame:
-    """The first 200 by id, which is the operator's own limit."""
-    rows = _table(s, d, "part").where(snapshot.in_band(F.col("p_size")))
-    return rows.select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("qid"), "p_size").orderBy("qid").limit(200)
+    """A slice from the rows that a graph server would send: the first 200 items of the band, the operator's own limit, and
+    their statements."""
+    name = lambda c: F.concat(F.lit(sparql.WD), F.col(c))
+    items = _table(s, d, "part").select(F.create_map(F.lit("item"), F.concat(F.lit(sparql.WD + "P"), F.col("p_partkey").cast("string")), F.lit("sitelinks"), F.col("p_size").cast("string")).alias("row"))
+    told = [("item", name("item")), ("itemLabel", F.col("item_label")), ("sitelinks", F.col("links")), ("prop", name("prop")), ("propLabel", F.col("prop_label")), ("value", F.col("value")), ("valueLabel", F.col("value_label")), ("pt", F.col("pt"))]
+    fetched = star.view(s, d, _FETCHED).select("pos", F.create_map(*[x for k, c in told for x in (F.lit(k), c)]).alias("row"))
+    return sparql.build_slice(items, fetched, 200)[1].select("subject_id", "property_id", "object_id", "object_label", "value_type", "edge_rank")
 
 
 @query(f"""SELECT e.subject_id AS id, count(*) AS triples, coalesce(bool_or(trim(n.description) <> ''), false) AS described
@@ -108,11 +116,13 @@ def literal_nodes_shared(s: SparkSession, d: str) -> DataFrame:
     return literals.groupBy(F.col("dst").alias("id"), "value_type").agg(F.count(F.lit(1)).alias("uses"))
 
 
-@query(f"""WITH h AS (SELECT sha256(concat_ws(chr(31), entity_id, modality, fact, source)) AS h FROM ({star.FACTS})),
-b AS (SELECT h[1:2] AS b, sha256(string_agg(h, '' ORDER BY h)) AS h FROM h GROUP BY 1)
-SELECT sha256(string_agg(h, '' ORDER BY b)) AS digest FROM b""")
-def reference_digest(s: SparkSession, d: str) -> DataFrame:
-    return snapshot.labels_digest(star.view(s, d, star.FACTS))
+_SUMS = ", ".join(f"coalesce(sum(('0x' || h[{8 * k + 1}:{8 * k + 8}])::UBIGINT::HUGEINT), 0)::VARCHAR" for k in range(8))
+
+
+@query(f"""WITH h AS (SELECT sha256(concat_ws(chr(31), entity_id, modality, fact, source)) AS h FROM ({star.FACTS}))
+SELECT 'star:' || sha256(concat_ws(',', {_SUMS}))[1:16] AS reference_id FROM h""")
+def reference_id(s: SparkSession, d: str) -> DataFrame:
+    return snapshot.reference_id("star", star.view(s, d, star.FACTS))
 
 
 # --- graph ----------------------------------------------------------------------------------------------------------
@@ -136,8 +146,7 @@ def _customer_ends(s: SparkSession, d: str) -> DataFrame:
     return o.select(name("O", "o_orderkey").alias("key"), F.least(name("O", "o_orderkey"), name("N", "c_nationkey")).alias("src"), F.greatest(name("O", "o_orderkey"), name("N", "c_nationkey")).alias("dst"))
 
 
-_ORDER_EDGES = f"SELECT * FROM ({star.EDGES}) AS e WHERE property_id IN ('PC', 'PN', 'PR')"
-_PATHS_SQL = f"""e AS ({_ORDER_EDGES}), {_STEPS_SQL},
+_PATHS_SQL = f"""e AS ({star.EDGES}), {_STEPS_SQL},
 ends AS (SELECT 'O' || o_orderkey AS key, least('O' || o_orderkey, 'N' || c_nationkey) AS src, greatest('O' || o_orderkey, 'N' || c_nationkey) AS dst FROM orders JOIN customer ON o_custkey = c_custkey),
 pa AS (SELECT key, ends.src || '>' || a.dst || '>' || b.dst AS nodes, a.edge_ord AS first_edge, b.edge_ord AS second_edge, a.mult * b.mult AS mult
   FROM ends JOIN st a ON a.src = ends.src JOIN st b ON b.src = a.dst AND b.dst = ends.dst WHERE a.dst <> ends.dst)"""
@@ -159,6 +168,19 @@ def path_multiplicity(s: SparkSession, d: str) -> DataFrame:
     return _order_paths(s, d).groupBy("key").agg(F.count(F.lit(1)).alias("n_paths"), F.sum("mult").alias("multiplicity"))
 
 
+_INVERSES = [("PC", "PO"), ("PZ", "PY")]
+
+
+@query(f"""WITH {_PATHS_SQL}, x AS (SELECT key, nodes, 0 AS pos, first_edge AS edge_ord, split_part(nodes, '>', 1) AS src FROM pa UNION ALL SELECT key, nodes, 1, second_edge, split_part(nodes, '>', 2) FROM pa)
+SELECT key, nodes, pos, CASE property_id WHEN 'PC' THEN object_id ELSE subject_id END AS subject_id, CASE property_id WHEN 'PC' THEN 'PO' ELSE property_id END AS property_id, property_label,
+  CASE property_id WHEN 'PC' THEN subject_id ELSE object_id END AS object_id, (src = subject_id) = (property_id <> 'PC') AS forward FROM x JOIN e USING (edge_ord)""")
+def canonical_path_edges(s: SparkSession, d: str) -> DataFrame:
+    """The edges of the orders' paths, with `placed by` told as its inverse."""
+    paths = _order_paths(s, d).withColumn("nodes", F.array_join("nodes", ">"))
+    out = cascade.canonical_edges(paths, _nodes(s, d), s.createDataFrame(_INVERSES, "property string, inverse string"))
+    return out.select("key", "nodes", "pos", "subject_id", "property_id", "property_label", "object_id", "forward")
+
+
 @query(f"""WITH e AS ({star.EDGES}), c AS (SELECT 'N' || n_nationkey AS id FROM nation),
 n AS (SELECT DISTINCT a, b FROM (SELECT subject_id AS a, object_id AS b FROM e WHERE object_id IS NOT NULL UNION ALL SELECT object_id, subject_id FROM e WHERE object_id IS NOT NULL) JOIN c ON c.id = a WHERE a <> b)
 SELECT a AS centre, b AS id, true AS faded FROM n QUALIFY row_number() OVER (PARTITION BY a ORDER BY b) <= 39 UNION ALL SELECT id, id, false FROM c""")
@@ -167,10 +189,27 @@ def ego_neighbourhood(s: SparkSession, d: str) -> DataFrame:
     return graph.neighbourhood(_edges(s, d), centres)
 
 
-@query(f"""WITH g AS ({star.RUN_CLAIMS}) SELECT item AS id, count(DISTINCT run_id) AS n_runs, min(claim_id) AS first_claim FROM g WHERE status <> 'fabricated' GROUP BY 1""")
+_TOLD = """SELECT 'O' || CAST(l_orderkey AS STRING) AS run_id, 'S' || CAST(l_suppkey AS STRING) AS sid, s_name, 'P' || CAST(l_partkey AS STRING) AS pid, l_linenumber, l_returnflag FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey"""
+
+
+@query(f"""WITH t AS ({_TOLD}), n AS (SELECT run_id, sid AS id, 0 AS rank, s_name AS label FROM t WHERE l_returnflag = 'A' UNION ALL SELECT run_id, sid, 1, 'the supplier' FROM t
+  UNION ALL SELECT run_id, pid, 1, 'part ' || pid FROM t)
+SELECT run_id, id, label FROM n QUALIFY row_number() OVER (PARTITION BY run_id, id ORDER BY rank, label) = 1""")
 def support_subgraph(s: SparkSession, d: str) -> DataFrame:
-    rows = star.view(s, d, star.RUN_CLAIMS).where("status <> 'fabricated'")
-    return rows.groupBy(F.col("item").alias("id")).agg(F.countDistinct("run_id").alias("n_runs"), F.min("claim_id").alias("first_claim"))
+    """The entities that an order's claims name: each line claims that a supplier supplies a part."""
+    return views.support_graph(_told(s, d))[0]
+
+
+@query(f"""SELECT DISTINCT run_id, sid AS subject_id, 'PS' AS property_id, 'supplies' AS property_label, pid AS object_id, 'part ' || pid AS object_label, 'item' AS value_type FROM ({_TOLD})""")
+def support_subgraph_edges(s: SparkSession, d: str) -> DataFrame:
+    return views.support_graph(_told(s, d))[1]
+
+
+def _told(s: SparkSession, d: str) -> DataFrame:
+    c = F.col
+    edge = F.struct(c("sid").alias("subject_id"), F.lit("the supplier").alias("subject_label"), F.lit("PS").alias("property_id"), F.lit("supplies").alias("property_label"), c("pid").alias("object_id"), F.concat(F.lit("part "), c("pid")).alias("object_label"), F.lit(True).alias("traversed_forward"))
+    linked = F.array(F.struct(c("sid").alias("id"), F.when(c("l_returnflag") == "A", c("s_name")).alias("label")))
+    return star.view(s, d, _TOLD).select("run_id", c("l_linenumber").alias("claim_id"), linked.alias("linked_entities"), F.struct(F.array(edge).alias("edges"), F.array("sid", "pid").alias("node_ids")).alias("grounding_path"))
 
 
 # --- text -----------------------------------------------------------------------------------------------------------
@@ -240,39 +279,20 @@ _MENTIONS = """SELECT 'S' || CAST(s_suppkey AS STRING) AS key, 'goods of ' || s_
 UNION ALL SELECT 'N' || CAST(n_nationkey AS STRING), CASE WHEN n_nationkey % 3 = 0 THEN 'Nation' ELSE 'nation ' || chr(65 + n_nationkey % 26) END FROM {nation}"""
 
 
-def _link_best(s: SparkSession, d: str, nodes: str) -> DataFrame:
-    found = linking.link_best(star.view(s, d, _MENTIONS), star.view(s, d, nodes))
-    return found.withColumn("score", F.round("score", 9))
-
-
-def _link_text(s: SparkSession, d: str, nodes: str) -> DataFrame:
-    found = linking.link_text(star.view(s, d, _MENTIONS).withColumnRenamed("mention", "text"), star.view(s, d, nodes))
-    return found.groupBy("key").agg(F.count(F.lit(1)).alias("n_links"), F.array_join(F.array_sort(F.collect_list("id")), ",").alias("ids"))
-
-
-_CONTAIN_SQL = f"""n AS ({star.SLICE_NODES}), i AS (SELECT lower(label) AS norm, arg_min(id, node_ord) AS id FROM n GROUP BY 1), m AS (SELECT key, lower(mention) AS mention FROM ({_MENTIONS}))"""
+_CONTAIN_SQL = f"""n AS ({star.NODES}), i AS (SELECT lower(label) AS norm, arg_min(id, node_ord) AS id FROM n GROUP BY 1), m AS (SELECT key, lower(mention) AS mention FROM ({_MENTIONS}))"""
 
 
 @query(f"""WITH {_CONTAIN_SQL},
 s AS (SELECT key, id, CASE WHEN norm = mention THEN 1.0 ELSE length(norm)::DOUBLE / greatest(length(norm), length(mention)) END AS score, norm = mention AS same FROM m JOIN i ON contains(mention, norm) OR contains(norm, mention))
 SELECT key, id, round(score, 9) AS score FROM s QUALIFY row_number() OVER (PARTITION BY key ORDER BY same DESC, score DESC, id) = 1""")
 def link_containment_best(s: SparkSession, d: str) -> DataFrame:
-    return _link_best(s, d, star.SLICE_NODES)
-
-
-@query()
-def link_containment_best_whole(s: SparkSession, d: str) -> DataFrame:
-    return _link_best(s, d, star.NODES)
+    return linking.link_best(star.view(s, d, _MENTIONS), _nodes(s, d)).withColumn("score", F.round("score", 9))
 
 
 @query(f"""WITH {_CONTAIN_SQL} SELECT key, count(*) AS n_links, string_agg(n.id, ',' ORDER BY n.id) AS ids FROM m JOIN n ON contains(mention, lower(label)) OR contains(lower(label), mention) GROUP BY 1""")
 def link_text_all(s: SparkSession, d: str) -> DataFrame:
-    return _link_text(s, d, star.SLICE_NODES)
-
-
-@query()
-def link_text_all_whole(s: SparkSession, d: str) -> DataFrame:
-    return _link_text(s, d, star.NODES)
+    found = linking.link_text(star.view(s, d, _MENTIONS).withColumnRenamed("mention", "text"), _nodes(s, d))
+    return found.groupBy("key").agg(F.count(F.lit(1)).alias("n_links"), F.array_join(F.array_sort(F.collect_list("id")), ",").alias("ids"))
 
 
 @query(f"""SELECT edge_ord, CASE WHEN property_id = 'PS' THEN object_id ELSE subject_id END AS subject_id, CASE WHEN property_id = 'PS' THEN 'PT' ELSE property_id END AS property_id,
@@ -308,104 +328,88 @@ def jaccard_best_fact(s: SparkSession, d: str) -> DataFrame:
     return best.select("key.*", F.col("pid").alias("item_id"), F.round("score", 9).alias("score"))
 
 
-_PREMISES = f"""SELECT e.subject_id || '|' || e.property_id || '|' || coalesce(e.object_id, 'None') AS pid, n.label || ' ' || e.property_label || ' ' || e.object_label AS premise, e.edge_ord FROM ({star.SLICE_EDGES}) e JOIN ({star.SLICE_NODES}) n ON n.id = e.subject_id"""
-_DIRECT_PAIRS = f"SELECT c.claim_id AS key, c.text, p.pid, p.premise, p.edge_ord FROM ({star.CLAIMS}) c, ({_PREMISES}) p"
-_CONTENT_PAIRS = f"SELECT c.claim_id AS key, c.text, f.entity_id AS pid, f.fact AS premise, f.label_ord FROM ({star.CLAIMS}) c, ({star.FACTS}) f"
-_STAGES_SQL = f"""
-ds AS ({_score_sql(_DIRECT_PAIRS, 'key, pid, edge_ord')}), dt AS (SELECT * FROM ds WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY key ORDER BY score DESC, edge_ord, pid) = 1),
-cs AS ({_score_sql(_CONTENT_PAIRS, 'key, pid, label_ord')}), co AS (SELECT * FROM cs WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY key ORDER BY score DESC, label_ord, pid) = 1)"""
-
+_PREMISES = f"""SELECT e.subject_id || '|' || e.property_id || '|' || coalesce(e.object_id, 'None') AS pid, n.label || ' ' || e.property_label || ' ' || e.object_label AS premise, e.edge_ord FROM ({star.EDGES}) e JOIN ({star.NODES}) n ON n.id = e.subject_id"""
 
-Graph = tuple[DataFrame, DataFrame, DataFrame, DataFrame]
 
+def _best_sql(name: str, premises: str) -> str:
+    """CTEs with the best premise (pid, premise, ord) of each claim of ``cl``: words and values of a premise are worked out
+    once, and a pair is tried only if the premise holds the claim's first value."""
+    values, words = _VALUES.replace("(X,", "(premise,"), _TOKENS.replace("(X,", "(premise,")
+    return f"""{name}p AS MATERIALIZED (SELECT pid, ord, lower(premise) AS lp, {words} AS pt, {values} AS pv FROM (SELECT pid, premise, ord FROM ({premises}) AS x(pid, premise, ord))),
+{name}q AS (SELECT key, pid, ord, len(list_intersect(ct, pt))::DOUBLE AS n, len(ct) AS nc, len(pt) AS np FROM cl JOIN {name}p ON len(cv) = 0 OR contains(lp, cv[1]) OR list_contains(pv, cv[1])
+  WHERE len(list_filter(cv, lambda v: NOT (contains(lp, v) OR list_contains(pv, v)))) = 0),
+{name} AS (SELECT key, pid, n / (nc + np - n) AS score FROM {name}q WHERE n > 0 QUALIFY row_number() OVER (PARTITION BY key ORDER BY n / (nc + np - n) DESC, ord, pid) = 1)"""
 
-def _slice(s: SparkSession, d: str) -> Graph:
-    claims = star.view(s, d, star.CLAIMS).withColumnRenamed("claim_id", "key")
-    return claims, star.view(s, d, star.SLICE_NODES), star.view(s, d, star.SLICE_EDGES), star.view(s, d, star.FACTS)
 
+_CL_SQL = f"""cl AS MATERIALIZED (SELECT claim_id AS key, text, {_TOKENS.replace('(X,', '(text,')} AS ct, {_VALUES.replace('(X,', '(text,')} AS cv FROM ({star.CLAIMS}))"""
+_STAGES_SQL = f"{_CL_SQL}, {_best_sql('dt', _PREMISES)}, {_best_sql('co', f'SELECT entity_id, fact, label_ord FROM ({star.FACTS})')}"
+_SIDES_SQL = rf"""cu AS (SELECT key, text, regexp_matches(text, '{_CUE_SQL}') AS hit FROM cl),
+hs AS (SELECT key, lower(trim(CASE WHEN hit THEN regexp_extract(text, '{_CUE_SQL}', 1) ELSE text END)) AS m FROM cu
+  UNION ALL SELECT key, lower(trim(regexp_replace(trim(regexp_extract(text, '{_CUE_SQL}', 3)), '\.+$', ''))) FROM cu WHERE hit),
+li AS (SELECT lower(label) AS norm, arg_min(id, node_ord) AS id FROM n GROUP BY 1),
+hb AS (SELECT key, id, CASE WHEN norm = m THEN 1.0 ELSE length(norm)::DOUBLE / greatest(length(norm), length(m)) END AS score FROM hs JOIN li ON contains(m, norm) OR contains(norm, m) WHERE m <> ''
+  QUALIFY row_number() OVER (PARTITION BY key, m ORDER BY norm = m DESC, length(norm)::DOUBLE / greatest(length(norm), length(m)) DESC, id) = 1),"""
 
-def _whole(s: SparkSession, d: str) -> Graph:
-    claims, _, _, facts = _slice(s, d)
-    return claims, _nodes(s, d), _edges(s, d), facts
 
-
-def _direct(graph: Graph) -> DataFrame:
-    claims, nodes, edges, _ = graph
-    best = scoring.best_premise(claims, cascade.edge_premises(nodes, edges).select("pid", "premise", "ord"))
-    return best.withColumn("score", F.round("score", 9))
+def _links_sql(sides: bool) -> str:
+    """CTEs with the paths between the entities of claims, of their text alone or of head and tail too."""
+    more = "UNION SELECT cl.key, cl.text, hb.id FROM hb JOIN cl USING (key) WHERE hb.score >= 0.5" if sides else ""
+    return f"""n AS MATERIALIZED ({star.NODES}), e AS MATERIALIZED ({star.EDGES}), {_SIDES_SQL if sides else ''}
+lk AS (SELECT DISTINCT key, text, id FROM cl JOIN n ON contains(lower(text), lower(label)) OR contains(lower(label), lower(text)) {more}), {_STEPS_SQL},
+pp AS (SELECT a.key, a.text, a.id || '>' || s1.dst || '>' || b.id AS nodes, s1.dst AS mid, s1.edge_ord AS e1, s2.edge_ord AS e2
+  FROM lk a JOIN lk b ON a.key = b.key AND a.id < b.id JOIN st s1 ON s1.src = a.id JOIN st s2 ON s2.src = s1.dst AND s2.dst = b.id WHERE s1.dst <> b.id),
+pr AS ({_PREMISES}), pq AS (SELECT key, text, nodes, mid, e1, e2, p1.premise || ' ' || p2.premise AS premise FROM pp JOIN pr p1 ON p1.edge_ord = e1 JOIN pr p2 ON p2.edge_ord = e2),
+ps AS ({_score_sql('SELECT * FROM pq', 'key, nodes, mid, e1, e2, premise')}), pb AS (SELECT * FROM ps QUALIFY row_number() OVER (PARTITION BY key ORDER BY score DESC, nodes) = 1)"""
 
 
-@query(f"WITH {_STAGES_SQL} SELECT key, pid, round(score, 9) AS score FROM dt")
-def direct_triple_best(s: SparkSession, d: str) -> DataFrame:
-    return _direct(_slice(s, d))
+_LINKS_SQL = _links_sql(True)
+_GRADES = f"""SELECT key, CASE WHEN ds > {HOW.tau} OR cs > {HOW.tau} THEN 'retrieved' WHEN hs > {HOW.tau} THEN 'reasoned-supportable' ELSE 'fabricated' END AS status,
+  CASE WHEN ds > {HOW.tau} THEN 'direct_triple' WHEN cs > {HOW.tau} THEN 'text_content' WHEN hs > {HOW.tau} THEN 'multi_hop_path' ELSE 'none' END AS source,
+  CASE WHEN ds > {HOW.tau} THEN di WHEN cs > {HOW.tau} THEN ci WHEN hs > {HOW.tau} THEN hi ELSE '' END AS evidence,
+  round(CASE WHEN ds > {HOW.tau} THEN ds WHEN cs > {HOW.tau} THEN cs WHEN hs > {HOW.tau} THEN hs ELSE nullif(greatest(ds, cs), 0) END, 9) AS score FROM g"""
+_ALL_STAGES = "g AS MATERIALIZED (SELECT cl.key, coalesce(dt.score, 0) AS ds, coalesce(co.score, 0) AS cs, coalesce(pb.score, 0) AS hs, dt.pid AS di, co.pid AS ci, pb.nodes AS hi FROM cl LEFT JOIN dt USING (key) LEFT JOIN co USING (key) LEFT JOIN pb USING (key))"
 
 
-@query()
-def direct_triple_best_whole(s: SparkSession, d: str) -> DataFrame:
-    return _direct(_whole(s, d))
+def _graph(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Claims with heads and tails, nodes, edges and facts."""
+    claims = star.view(s, d, star.CLAIMS).withColumn("parts", T.cue_parts(F.col("text")))
+    return claims.select(F.col("claim_id").alias("key"), "text", "parts.head", "parts.tail"), _nodes(s, d), _edges(s, d), star.view(s, d, star.FACTS)
 
 
-_LINKS_SQL = f"""n AS ({star.SLICE_NODES}), e AS ({star.SLICE_EDGES}), cl AS (SELECT claim_id AS key, text FROM ({star.CLAIMS})),
-lk AS (SELECT DISTINCT key, text, id FROM cl JOIN n ON contains(lower(text), lower(label)) OR contains(lower(label), lower(text))), {_STEPS_SQL},
-pp AS (SELECT a.key, a.text, a.id || '>' || s1.dst || '>' || b.id AS nodes, s1.edge_ord AS e1, s2.edge_ord AS e2
-  FROM lk a JOIN lk b ON a.key = b.key AND a.id < b.id JOIN st s1 ON s1.src = a.id JOIN st s2 ON s2.src = s1.dst AND s2.dst = b.id WHERE s1.dst <> b.id),
-pr AS ({_PREMISES}), pq AS (SELECT key, text, nodes, p1.premise || ' ' || p2.premise AS premise FROM pp JOIN pr p1 ON p1.edge_ord = e1 JOIN pr p2 ON p2.edge_ord = e2),
-ps AS ({_score_sql('SELECT * FROM pq', 'key, nodes')}), pb AS (SELECT * FROM ps QUALIFY row_number() OVER (PARTITION BY key ORDER BY score DESC, nodes) = 1)"""
+@query(f"WITH {_CL_SQL}, {_best_sql('dt', _PREMISES)} SELECT key, pid, round(score, 9) AS score FROM dt")
+def direct_triple_best(s: SparkSession, d: str) -> DataFrame:
+    claims, nodes, edges, _ = _graph(s, d)
+    best = scoring.best_premise(claims, cascade.edge_premises(nodes, edges).select("pid", "premise", "ord"))
+    return best.withColumn("score", F.round("score", 9))
 
 
-def _best_path(graph: Graph) -> DataFrame:
-    claims, nodes, edges, _ = graph
+@query(f"WITH {_CL_SQL}, {_LINKS_SQL} SELECT key, nodes, round(score, 9) AS score FROM pb")
+def best_path(s: SparkSession, d: str) -> DataFrame:
+    claims, nodes, edges, _ = _graph(s, d)
     best = cascade.best_path(cascade.scored_paths(claims, nodes, edges, HOW))
     return best.select("key", F.array_join("nodes", ">").alias("nodes"), F.round("score", 9).alias("score"))
 
 
-@query(f"WITH {_LINKS_SQL} SELECT key, nodes, round(score, 9) AS score FROM pb")
-def best_path(s: SparkSession, d: str) -> DataFrame:
-    return _best_path(_slice(s, d))
-
-
-@query()
-def best_path_whole(s: SparkSession, d: str) -> DataFrame:
-    return _best_path(_whole(s, d))
-
-
-def _status(graph: Graph) -> DataFrame:
-    claims, nodes, edges, facts = graph
-    return cascade.grade(claims, nodes, edges, facts, HOW).withColumn("score", F.round("score", 9))
-
-
-@query(f"""WITH {_STAGES_SQL}, {_LINKS_SQL},
-g AS (SELECT cl.key, coalesce(dt.score, 0) AS ds, coalesce(co.score, 0) AS cs, coalesce(pb.score, 0) AS hs, dt.pid AS di, co.pid AS ci, pb.nodes AS hi FROM cl LEFT JOIN dt USING (key) LEFT JOIN co USING (key) LEFT JOIN pb USING (key))
-SELECT key, CASE WHEN ds > {HOW.tau} OR cs > {HOW.tau} THEN 'retrieved' WHEN hs > {HOW.tau} THEN 'reasoned-supportable' ELSE 'fabricated' END AS status,
-  CASE WHEN ds > {HOW.tau} THEN 'direct_triple' WHEN cs > {HOW.tau} THEN 'text_content' WHEN hs > {HOW.tau} THEN 'multi_hop_path' ELSE 'none' END AS source,
-  CASE WHEN ds > {HOW.tau} THEN di WHEN cs > {HOW.tau} THEN ci WHEN hs > {HOW.tau} THEN hi ELSE '' END AS evidence,
-  round(CASE WHEN ds > {HOW.tau} THEN ds WHEN cs > {HOW.tau} THEN cs WHEN hs > {HOW.tau} THEN hs ELSE nullif(greatest(ds, cs), 0) END, 9) AS score FROM g""")
+@query(f"WITH {_STAGES_SQL}, {_LINKS_SQL}, {_ALL_STAGES} {_GRADES}")
 def cascade_status(s: SparkSession, d: str) -> DataFrame:
-    return _status(_slice(s, d))
-
-
-@query()
-def cascade_status_whole(s: SparkSession, d: str) -> DataFrame:
-    return _status(_whole(s, d))
+    claims, nodes, edges, facts = _graph(s, d)
+    return cascade.grade(claims, nodes, edges, facts, HOW).withColumn("score", F.round("score", 9))
 
 
-def _spurious(graph: Graph) -> DataFrame:
-    claims, nodes, edges, _ = graph
+@query(rf"""WITH {_CL_SQL}, {_LINKS_SQL}, {_PAIRS_SQL}, dg AS (SELECT id, sum(mult) AS degree FROM (SELECT a AS id, mult FROM p UNION ALL SELECT b, mult FROM p) GROUP BY 1),
+x AS (SELECT pb.*, text, CASE WHEN contains(text, 'in region') THEN 'PR' END AS pid,
+  CASE WHEN regexp_matches(text, '{_CUE_SQL}') THEN trim(regexp_replace(trim(regexp_extract(text, '{_CUE_SQL}', 3)), '\.+$', '')) ELSE '' END AS tail,
+  [ea.property_id, eb.property_id] AS pids, coalesce(degree, 0) AS degree FROM pb JOIN cl USING (key) JOIN e ea ON ea.edge_ord = e1 JOIN e eb ON eb.edge_ord = e2 LEFT JOIN dg ON dg.id = mid)
+SELECT key, CASE WHEN pid IS NOT NULL AND NOT list_contains(pids, pid) THEN 'relation_illegitimate'
+  WHEN len(list_filter({_TOKENS.replace('(X,', '(tail,')}, lambda t: NOT list_contains({_TOKENS.replace('(X,', '(premise,')}, t))) > 0 THEN 'value_absent'
+  WHEN degree >= {HOW.hub_degree} AND score - {HOW.tau} <= {HOW.hub_margin} THEN 'hub_fragility' END AS reason FROM x""")
+def spurious_flags(s: SparkSession, d: str) -> DataFrame:
+    claims, nodes, edges, _ = _graph(s, d)
     best = cascade.best_path(cascade.scored_paths(claims, nodes, edges, HOW))
-    surfaces = claims.select("key", F.when(F.col("text").contains("in region"), F.lit("PR")).alias("pid"), T.cue_parts(F.col("text"))["tail"].alias("tail"))
+    surfaces = claims.select("key", F.when(F.col("text").contains("in region"), F.lit("PR")).alias("pid"), "tail")
     return cascade.spurious(best, edges, surfaces, HOW)
 
 
-@query()
-def spurious_flags(s: SparkSession, d: str) -> DataFrame:
-    return _spurious(_slice(s, d))
-
-
-@query()
-def spurious_flags_whole(s: SparkSession, d: str) -> DataFrame:
-    return _spurious(_whole(s, d))
-
-
 # --- ablation and sweep ---------------------------------------------------------------------------------------------
 
 _REFS = """SELECT 'S' || CAST(s_suppkey AS STRING) AS subject_id, 'PS' AS property_id, CAST(NULL AS STRING) AS object_id FROM {supplier} WHERE s_acctbal < 0
@@ -599,27 +603,17 @@ def gold_completeness(s: SparkSession, d: str) -> DataFrame:
 _ANSWERS = f"""SELECT split(claim_id, '-')[0] AS run_id, claim_id, text FROM ({star.CLAIMS}) AS c"""
 
 
-def _grounded(s: SparkSession, d: str, graph: Graph) -> DataFrame:
+@query(f"""WITH {_STAGES_SQL}, {_LINKS_SQL}, {_ALL_STAGES}, r AS ({_GRADES})
+SELECT string_split(key, '-')[1] AS run_id, count(*) FILTER (status = 'retrieved') AS retrieved, count(*) FILTER (status = 'reasoned-supportable') AS reasoned_supportable,
+  count(*) FILTER (status = 'fabricated') AS fabricated, count(*) AS total, round(count(*) FILTER (status = 'fabricated') / count(*), 9) AS fabrication_rate FROM r GROUP BY 1""")
+def grounded_runs(s: SparkSession, d: str) -> DataFrame:
+    """One answer of each supplier, from its five claims, split, linked, graded and summed up."""
     parts = star.view(s, d, _ANSWERS).groupBy("run_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("claim_id", "text"))), lambda x: F.concat(x["text"], F.lit("."))), " ").alias("answer_text"))
-    _, nodes, edges, facts = graph
+    _, nodes, edges, facts = _graph(s, d)
     out = grounding.summaries(parts, grounding.ground(parts, nodes, edges, facts, HOW))
     return out.withColumn("fabrication_rate", F.round("fabrication_rate", 9))
 
 
-@query(
-    SQL["cascade_status"].replace("SELECT key, CASE WHEN ds >", "SELECT run_id, count(*) FILTER (status = 'retrieved') AS retrieved, count(*) FILTER (status = 'reasoned-supportable') AS reasoned_supportable, count(*) FILTER (status = 'fabricated') AS fabricated, count(*) AS total, round(count(*) FILTER (status = 'fabricated') / count(*), 9) AS fabrication_rate FROM (SELECT string_split(key, '-')[1] AS run_id, CASE WHEN ds >", 1)
-    + ") GROUP BY 1"
-)
-def grounded_runs(s: SparkSession, d: str) -> DataFrame:
-    """One answer of each supplier, from its four claims, split, linked, graded and summed up."""
-    return _grounded(s, d, _slice(s, d))
-
-
-@query()
-def grounded_runs_whole(s: SparkSession, d: str) -> DataFrame:
-    return _grounded(s, d, _whole(s, d))
-
-
 @query(f"""WITH e AS ({star.EDGES}), t AS (SELECT *, coalesce(object_id, 'lit:' || value_type || ':' || object_label) AS dst FROM e)
 SELECT DISTINCT subject_id || '-' || property_id || '-' || dst AS id, subject_id AS source, dst AS target, property_label AS label FROM t""")
 def graph_elements(s: SparkSession, d: str) -> DataFrame:
@@ -639,26 +633,15 @@ def slot_difference(s: SparkSession, d: str) -> DataFrame:
     return grounding.slot_difference(claims, _edges(s, d)).select("key", "reason")
 
 
-_EXPECTED = "CASE split_part(key, '-', 2) WHEN 'region' THEN 'reasoned-supportable' WHEN 'none' THEN 'fabricated' ELSE 'retrieved' END"
+_EXPECTED = "CASE split_part(key, '-', 2) WHEN 'region' THEN 'reasoned-supportable' WHEN 'alias' THEN 'reasoned-supportable' WHEN 'none' THEN 'fabricated' ELSE 'retrieved' END"
 
 
-def _tau_accuracy(graph: Graph) -> DataFrame:
-    claims, nodes, edges, facts = graph
-    scores = calibrate.stage_scores(claims, nodes, edges, facts, HOW).withColumn("tau", F.explode(F.array(*map(F.lit, TAUS))))
+@query(f"""WITH {_STAGES_SQL}, {_links_sql(False)}, {_ALL_STAGES}
+SELECT tau, count(*) AS n, count(*) FILTER (CASE WHEN ds > tau OR cs > tau THEN 'retrieved' WHEN hs > tau THEN 'reasoned-supportable' ELSE 'fabricated' END = {_EXPECTED}) AS hits
+FROM g, (SELECT unnest({TAUS}::DOUBLE[]) AS tau) GROUP BY 1""")
+def cascade_tau_accuracy(s: SparkSession, d: str) -> DataFrame:
+    """Correct claims at each candidate threshold, from stage scores made once; links are those of the text."""
+    claims, nodes, edges, facts = _graph(s, d)
+    scores = calibrate.stage_scores(claims.select("key", "text"), nodes, edges, facts, HOW).withColumn("tau", F.explode(F.array(*map(F.lit, TAUS))))
     hit = calibrate.produced(F.col("tau")) == F.expr(_EXPECTED)
     return scores.groupBy("tau").agg(F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("hits"))
-
-
-@query(
-    SQL["cascade_status"][: SQL["cascade_status"].index("SELECT key, CASE WHEN ds >")]
-    + f"""SELECT tau, count(*) AS n, count(*) FILTER (CASE WHEN ds > tau OR cs > tau THEN 'retrieved' WHEN hs > tau THEN 'reasoned-supportable' ELSE 'fabricated' END = {_EXPECTED}) AS hits
-FROM g, (SELECT unnest({TAUS}::DOUBLE[]) AS tau) GROUP BY 1"""
-)
-def cascade_tau_accuracy(s: SparkSession, d: str) -> DataFrame:
-    """Correct claims at each candidate threshold, from stage scores made once."""
-    return _tau_accuracy(_slice(s, d))
-
-
-@query()
-def cascade_tau_accuracy_whole(s: SparkSession, d: str) -> DataFrame:
-    return _tau_accuracy(_whole(s, d))

@@ -18,8 +18,8 @@ from .store import cache_key
 WD, WDT = "http://www.wikidata.org/entity/", "http://www.wikidata.org/prop/direct/"
 
 
-def enumeration_query(kind: str = "Q571", low: int = 5, high: int = 40, limit: int | None = None) -> str:
-    """Items of a class whose number of site links lies in a band: all, or the first ``limit`` (the reference has 200)."""
+def enumeration_query(kind: str = "Q571", low: int = 5, high: int = 40, limit: int | None = 200) -> str:
+    """Items of a class whose number of site links lies in a band: the first ``limit``, or all if that is None."""
     return (
         "SELECT ?item ?sitelinks WHERE {\n"
         f"  ?item wdt:P31 wd:{kind} ;\n        wikibase:sitelinks ?sitelinks .\n"
@@ -29,7 +29,8 @@ def enumeration_query(kind: str = "Q571", low: int = 5, high: int = 40, limit: i
 
 
 def triples_query(ids: list[str]) -> str:
-    """All outgoing direct statements of some items with English labels; without items a query that has no rows."""
+    """All outgoing direct statements of items that have an English label and a count of site links; other labels, the
+    description and the property's type may lack. Without items a query that has no rows."""
     if not ids:
         return "SELECT ?item ?prop ?value WHERE { FILTER(false) }"
     values = " ".join(f"wd:{i}" for i in sorted(ids))
@@ -37,9 +38,9 @@ def triples_query(ids: list[str]) -> str:
     return (
         "SELECT ?item ?itemLabel ?itemDescription ?sitelinks ?prop ?propLabel ?value ?valueLabel ?pt WHERE {\n"
         f"  VALUES ?item {{ {values} }}\n  ?item ?direct ?value .\n"
-        "  ?prop wikibase:directClaim ?direct ; wikibase:propertyType ?pt .\n"
-        f'  FILTER(STRSTARTS(STR(?direct), "{WDT}"))\n  OPTIONAL {{ ?item wikibase:sitelinks ?sitelinks }}\n'
-        + english("?item", "rdfs:label ?itemLabel")
+        "  ?prop wikibase:directClaim ?direct .\n"
+        f'  FILTER(STRSTARTS(STR(?direct), "{WDT}"))\n  ?item wikibase:sitelinks ?sitelinks ; rdfs:label ?itemLabel .\n  FILTER(LANG(?itemLabel) = "en")\n'
+        "  OPTIONAL { ?prop wikibase:propertyType ?pt }\n"
         + english("?item", "schema:description ?itemDescription")
         + english("?prop", "rdfs:label ?propLabel")
         + english("?value", "rdfs:label ?valueLabel")

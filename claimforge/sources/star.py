@@ -29,20 +29,18 @@ UNION ALL SELECT 7000000000000 + p_partkey, 'P' || CAST(p_partkey AS STRING), 'P
 UNION ALL SELECT 8000000000000 + c_custkey, 'C' || CAST(c_custkey AS STRING), 'PM', 'segment', CAST(NULL AS STRING), c_mktsegment, 'string' FROM {customer}
 """
 
-#: The slice on which claims are graded: suppliers, their nations and regions.
-SLICE_EDGES = f"SELECT * FROM ({EDGES}) AS e WHERE edge_ord < 1000000000000 OR (edge_ord >= 2000000000000 AND edge_ord < 3000000000000)"
-SLICE_NODES = f"SELECT * FROM ({NODES}) AS n WHERE node_ord < 2000000000000 OR (node_ord >= 3000000000000 AND node_ord < 4000000000000)"
-
 #: Content facts of suppliers.
 FACTS = """
 SELECT 'S' || CAST(s_suppkey AS STRING) AS entity_id, 'text' AS modality, s_name || ' keeps a ledger of class ' || CAST(1000 + CAST(floor(abs(s_acctbal) / 100) AS INT) AS STRING) AS fact, 'ledger' AS source, s_suppkey AS label_ord FROM {supplier}
 """
 
-#: Four claims of each supplier: its nation (each fifth one a wrong nation), its ledger, a two-step claim, and none.
+#: Five claims of each supplier: its nation (each fifth one a wrong nation), its ledger, a two-step claim, one that names
+#: it by a part of its label only, so that the head alone links to it, and one that nothing supports.
 CLAIMS = """
 SELECT 'S' || CAST(s_suppkey AS STRING) || '-nation' AS claim_id, s_name || ' nation Nation ' || chr(65 + (s_nationkey + CASE WHEN s_suppkey % 5 = 0 THEN 1 ELSE 0 END) % 25) || 'land' AS text FROM {supplier}
 UNION ALL SELECT 'S' || CAST(s_suppkey AS STRING) || '-ledger', s_name || ' keeps a ledger of class ' || CAST(1000 + CAST(floor(abs(s_acctbal) / 100) AS INT) AS STRING) FROM {supplier}
 UNION ALL SELECT 'S' || CAST(s_suppkey AS STRING) || '-region', s_name || ' nation Nation ' || chr(65 + s_nationkey % 26) || 'land, Nation ' || chr(65 + s_nationkey % 26) || 'land in region ' || r_name FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey
+UNION ALL SELECT 'S' || CAST(s_suppkey AS STRING) || '-alias', substr(s_name, 2) || ' is in nation Nation ' || chr(65 + s_nationkey % 26) || 'land, Nation ' || chr(65 + s_nationkey % 26) || 'land in region ' || r_name || ' supplier' FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey
 UNION ALL SELECT 'S' || CAST(s_suppkey AS STRING) || '-none', s_name || ' was founded in ' || CAST(1900 + s_suppkey % 100 AS STRING) FROM {supplier}
 """
 
