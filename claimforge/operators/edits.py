@@ -45,3 +45,14 @@ def spread_outcomes(counts: DataFrame) -> DataFrame:
     copies = counts.where("n > 0").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     order = W.partitionBy("fact").orderBy(F.col("k") / F.col("n"), "rank")
     return copies.select("fact", (F.row_number().over(order) - 1).alias("slot"), "outcome")
+
+
+def removed_keys(base: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """Base keys that the generation side of an edited snapshot lacks."""
+    held = snapshot.where(F.col("scope_state").isin("both", "gen_only")).select("key")
+    return base.select("key").join(held, "key", "left_anti")
+
+
+def repaired_by_edit(paths: DataFrame, added: DataFrame) -> DataFrame:
+    """claim_id of claims whose path (claim_id, key: one row an edge) runs over an added triple (key)."""
+    return paths.join(added.select("key"), "key", "left_semi").select("claim_id").distinct()

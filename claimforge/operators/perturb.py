@@ -25,6 +25,13 @@ def withhold_text(nodes: DataFrame, entities: DataFrame) -> DataFrame:
     return out.drop("__gone")
 
 
+def withhold_image(nodes: DataFrame, entities: DataFrame) -> DataFrame:
+    """Nodes with a null image_path where the entity (id) is named."""
+    named = entities.select("id").distinct().withColumn("__gone", F.lit(True))
+    out = nodes.join(named, "id", "left").withColumn("image_path", F.when(F.col("__gone").isNull(), F.col("image_path")))
+    return out.drop("__gone")
+
+
 def described(description: Column, facts: Column) -> Column:
     """A description with those facts appended, in order, that what is there so far doesn't hold yet."""
     return F.aggregate(
@@ -71,11 +78,6 @@ def sweep_plan(items: DataFrame, conditions: tuple[str, ...], draws: int) -> Dat
     return plan.unionByName(rerun.withColumns({"run_id": run, "seed": seed(F.col("item"), F.col("condition"), F.col("sample"))}))
 
 
-def perturbation_id(kind: str, refs: Column) -> Column:
-    """``kind:`` and 16 hex digits of a digest over sorted references; the order of the references doesn't matter."""
-    return F.concat(F.lit(f"{kind}:"), F.substring(F.sha2(F.array_join(F.sort_array(refs), "\n"), 256), 1, 16))
-
-
 class Perturbations:
     """Named kinds of perturbation, each a function from nodes, edges and its entries to nodes, edges."""
 
@@ -109,6 +111,11 @@ def _text(nodes: DataFrame, edges: DataFrame, entries: DataFrame) -> tuple[DataF
     return withhold_text(nodes, entries), edges
 
 
+@REGISTRY.register("image_content_absence")
+def _image(nodes: DataFrame, edges: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return withhold_image(nodes, entries), edges
+
+
 def default_perturbations(plan: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """For plan rows (run_id, item entity, condition) what is withheld: references to all outgoing edges where knowledge is
     absent, and entities whose text is absent. Image absence has no default and raises."""
@@ -126,3 +133,13 @@ def gold_items(gold: DataFrame, fold: str | None = None, adversarial: bool | Non
     if adversarial is not None:
         rows = rows.where(F.col("adversarial") == F.lit(adversarial))
     return rows if modality is None else rows.where(F.col("modality") == modality)
+
+
+def bank_items(bank: DataFrame, tier: str | None = None) -> DataFrame:
+    """Items of a question bank, all or those of a tier."""
+    return bank if tier is None else bank.where(F.col("tier") == tier)
+
+
+def bank_tiers(bank: DataFrame) -> DataFrame:
+    """The tiers that a bank has items of."""
+    return bank.select("tier").distinct()

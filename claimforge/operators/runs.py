@@ -62,3 +62,42 @@ def agreement_quadrant(frequency: DataFrame, shift: DataFrame, high: float = 0.5
     often, moves = F.col("frequency") >= high, F.abs("shift") > spread * F.col("se")
     name = F.when(often & moves, "load-bearing").when(often, "redundant-scaffold").when(moves, "hidden-dependency").otherwise("inert")
     return frequency.join(shift, "item").select("item", name.alias("quadrant"))
+
+
+def find_run(runs: DataFrame, item: str, condition: str, sample: int) -> DataFrame:
+    """The run of a draw, by the id that a sweep gives it."""
+    return runs.where(F.col("run_id") == f"{item}--{condition}--s{sample}")
+
+
+def first_runs(runs: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first ``n`` runs in order of the given columns: the cap of a diagnosis over several runs."""
+    return runs.orderBy(*order).limit(n)
+
+
+def baseline_deltas(runs: DataFrame, claims: DataFrame) -> DataFrame:
+    """run_id, baseline_run_id, status and delta: the share of each status in a run less that in its baseline run; runs
+    whose baseline isn't there are left out."""
+    shares = run_fractions(runs, claims).select("run_id", *NAMES)
+    base = shares.select(F.col("run_id").alias("baseline_run_id"), *[F.col(n).alias(f"base_{n}") for n in NAMES])
+    pairs = runs.where("baseline_run_id IS NOT NULL").select("run_id", "baseline_run_id").join(shares, "run_id").join(base, "baseline_run_id")
+    deltas = F.array(*[F.struct(F.lit(s).alias("status"), (F.col(n) - F.col(f"base_{n}")).alias("delta")) for s, n in zip(STATUSES, NAMES)])
+    return pairs.select("run_id", "baseline_run_id", F.explode(deltas).alias("x")).select("run_id", "baseline_run_id", "x.*")
+
+
+def grounded_count(claims: DataFrame, *by: str) -> DataFrame:
+    """The number of claims that aren't fabricated."""
+    return claims.groupBy(*by).agg(F.count_if(F.col("status") != "fabricated").alias("grounded"))
+
+
+def readable_shift(contrast: DataFrame, errors: DataFrame) -> DataFrame:
+    """Shifts (modality, shift) with whether they exceed the grader's own error (modality, error): the noise floor. A
+    modality of unknown error can't be read."""
+    known = errors.select("modality", "error")
+    return contrast.join(known, "modality", "left").withColumn("readable", F.coalesce(F.abs("shift") > F.col("error"), F.lit(False)))
+
+
+def coverage_gauge(claims: DataFrame, *by: str) -> DataFrame:
+    """fabricated claims (status, unresolved), how many of them name what the graph doesn't hold, and that share."""
+    bad = F.col("status") == "fabricated"
+    out = claims.groupBy(*by).agg(F.count_if(bad).alias("fabricated"), F.count_if(bad & (F.size("unresolved") > 0)).alias("out_of_slice"))
+    return out.withColumn("share", F.coalesce(F.try_divide("out_of_slice", "fabricated"), F.lit(0.0)))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import calibration, edits, graph, linking, perturb, runs, scoring, snapshot, views
+from ..operators import calibration, edits, graph, linking, manifest, perturb, runs, scoring, snapshot, views
 from ..sources import sparql, star
 from . import calibrate, cascade, grounding
 
@@ -445,10 +445,39 @@ def sweep_plan_seeds(s: SparkSession, d: str) -> DataFrame:
     return perturb.sweep_plan(items, ("full", "content-absent", "knowledge-absent"), 3).withColumn("sample", F.col("sample").cast("long"))
 
 
-@query(f"""WITH e AS ({star.EDGES}), t AS (SELECT DISTINCT subject_id FROM ({_REFS})) SELECT subject_id, count(*) AS n_edges FROM e WHERE subject_id IN (SELECT subject_id FROM t) GROUP BY 1""")
+_KNOWLEDGE = """SELECT l_orderkey * 10 + l_linenumber AS ord, 'O' || CAST(l_orderkey AS STRING) AS s, 'P' || CAST(l_partkey AS STRING) AS o FROM {lineitem} WHERE l_returnflag = 'R'"""
+
+
+def _manifest(s: SparkSession, d: str) -> DataFrame:
+    """An entry for each returned line (its part and the order's customer), and one for each customer in debt."""
+    triple = lambda p, o: F.struct(F.col("s").alias("subject_id"), F.lit(p).alias("property_id"), o.alias("object_id"))
+    lines = star.view(s, d, _KNOWLEDGE).select("ord", F.lit("knowledge_absence").alias("type_name"), F.lit(None).cast("string").alias("entity_id"), F.array(triple("PP", F.col("o")), triple("PC", F.lit(None).cast("string"))).alias("triples"))
+    texts = _table(s, d, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("ord"), F.lit("text_content_absence").alias("type_name"), F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("entity_id"), F.lit(None).cast(manifest.TRIPLES).alias("triples"))
+    return lines.unionByName(texts)
+
+
+_TOUCH_SQL = f"""k AS (SELECT ord, 'knowledge_absence:' || sha256('[{{"object_id": null, "property_id": "PC", "subject_id": "' || s || '"}}, {{"object_id": "' || o || '", "property_id": "PP", "subject_id": "' || s || '"}}]')[1:16] AS id, s AS entity FROM ({_KNOWLEDGE})
+  UNION ALL SELECT c_custkey, 'text_content_absence:C' || c_custkey, 'C' || c_custkey FROM customer WHERE c_acctbal < 0)"""
+
+
+@query(f"""WITH {_TOUCH_SQL}, w AS (SELECT 'O' || o_orderkey AS key, unnest(['O' || o_orderkey, 'C' || o_custkey]) AS entity FROM orders), x AS (SELECT DISTINCT key, ord, id FROM w JOIN k USING (entity))
+SELECT key, string_agg(id, ',' ORDER BY ord, id) AS ids FROM x GROUP BY 1""")
 def manifest_touching(s: SparkSession, d: str) -> DataFrame:
-    touched = star.view(s, d, _REFS).select("subject_id").distinct()
-    return _edges(s, d).join(touched, "subject_id", "left_semi").groupBy("subject_id").agg(F.count(F.lit(1)).alias("n_edges"))
+    """For each order the entries that touch it or its customer."""
+    name = lambda k, c: F.concat(F.lit(k), F.col(c).cast("string"))
+    wanted = _table(s, d, "orders").select(name("O", "o_orderkey").alias("key"), F.explode(F.array(name("O", "o_orderkey"), name("C", "o_custkey"))).alias("entity"))
+    return manifest.entries_touching(_manifest(s, d), wanted).select("key", F.array_join("ids", ",").alias("ids"))
+
+
+@query(f"WITH {_TOUCH_SQL} SELECT ord, id FROM k")
+def manifest_ids(s: SparkSession, d: str) -> DataFrame:
+    return manifest.with_ids(_manifest(s, d)).select("ord", "id")
+
+
+@query("SELECT 'P' || p_partkey AS id, CASE WHEN p_size > 10 THEN p_name || '.png' END AS image_path FROM part")
+def image_absence(s: SparkSession, d: str) -> DataFrame:
+    parts = _table(s, d, "part").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("id"), F.concat("p_name", F.lit(".png")).alias("image_path"), "p_size")
+    return perturb.withhold_image(parts, parts.where("p_size <= 10")).select("id", "image_path")
 
 
 # --- runs -----------------------------------------------------------------------------------------------------------
@@ -508,14 +537,21 @@ def condition_contrast(s: SparkSession, d: str) -> DataFrame:
     return runs.condition_contrast(means).withColumn("shift", F.round("shift", 9))
 
 
-@query("""SELECT a.user_id, a.event_type, count(*) AS n, round(avg(a.value) - any_value(b.mean), 6) AS delta FROM events a
-JOIN (SELECT user_id, avg(value) AS mean FROM events GROUP BY 1) b ON a.user_id = b.user_id GROUP BY 1, 2""")
+_BASED = """SELECT DISTINCT 'u' || CAST(user_id AS STRING) AS run_id, CASE WHEN user_id % 2 = 1 THEN 'u' || CAST(user_id - 1 AS STRING) END AS baseline_run_id, '' AS condition FROM {events}"""
+
+
+@query(f"""WITH {_RUNS_SQL}, b AS ({_BASED}), x AS (SELECT b.run_id, b.baseline_run_id, o.total AS n, q.total AS m, q.retrieved AS r1, o.retrieved AS r0, q.reasoned_supportable AS s1, o.reasoned_supportable AS s0, q.fabricated AS f1, o.fabricated AS f0
+  FROM b JOIN q ON q.run_id = b.run_id JOIN q o ON o.run_id = b.baseline_run_id)
+SELECT run_id, baseline_run_id, unnest(['retrieved', 'reasoned-supportable', 'fabricated']) AS status, unnest([round(r1 / m - r0 / n, 9), round(s1 / m - s0 / n, 9), round(f1 / m - f0 / n, 9)]) AS delta FROM x""")
 def noedit_baseline_pairs(s: SparkSession, d: str) -> DataFrame:
-    """Each user's outcomes against that user's own baseline."""
-    events = _table(s, d, "events")
-    base = events.groupBy("user_id").agg(F.avg("value").alias("base"))
-    rows = events.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"))
-    return rows.join(base, "user_id").select("user_id", "event_type", "n", F.round(F.col("mean") - F.col("base"), 6).alias("delta"))
+    """Each odd user's run against the run of the user before, its baseline."""
+    out = runs.baseline_deltas(star.view(s, d, _BASED), star.view(s, d, star.RUN_CLAIMS))
+    return out.withColumn("delta", F.round("delta", 9))
+
+
+@query(f"WITH g AS ({star.RUN_CLAIMS}) SELECT condition, count(*) FILTER (status <> 'fabricated') AS grounded FROM g GROUP BY 1")
+def grounded_counts(s: SparkSession, d: str) -> DataFrame:
+    return runs.grounded_count(star.view(s, d, star.RUN_CLAIMS), "condition")
 
 
 @query("""WITH o AS (SELECT user_id, event_id, event_type IN ('error', 'signup') AS bad, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events)
@@ -550,6 +586,11 @@ def edits_fold(s: SparkSession, d: str) -> DataFrame:
     return _edited(s, d)
 
 
+@query(f"WITH {_SNAP_SQL} SELECT key FROM ba WHERE key NOT IN (SELECT key FROM sn WHERE scope_state IN ('both', 'gen_only'))")
+def removed_triples(s: SparkSession, d: str) -> DataFrame:
+    return edits.removed_keys(star.view(s, d, _BASE), _edited(s, d))
+
+
 _DEPENDENCIES = """SELECT DISTINCT 'c' || CAST(user_id AS STRING) AS claim_id, 'retrieved' AS grounded, 'U' || CAST(user_id AS STRING) || '|' || event_type AS key FROM {events}"""
 
 
