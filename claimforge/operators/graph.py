@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .snapshot import literal_id
@@ -60,6 +61,22 @@ def simple_paths(ends: DataFrame, step: DataFrame, hops: int = 2) -> DataFrame:
     return found
 
 
+def all_paths(step: DataFrame, hops: int = 2) -> DataFrame:
+    """nodes and path of the simple paths of 2 to ``hops`` steps between all pairs of entities, each pair once, from its
+    lesser end. Their number grows with the squares of degrees: for small graphs."""
+    hop = step.select(F.col("src").alias("__s"), F.col("dst").alias("__d"), F.col("edge").alias("__e"))
+    front = step.select(F.array("src", "dst").alias("nodes"), F.array("edge").alias("path"))
+    found = []
+    for _ in range(2, hops + 1):
+        grown = front.join(hop, F.element_at("nodes", -1) == F.col("__s")).where(~F.array_contains("nodes", F.col("__d")))
+        front = grown.select(F.concat("nodes", F.array("__d")).alias("nodes"), F.concat("path", F.array("__e")).alias("path"))
+        found.append(front.where(F.element_at("nodes", 1) < F.element_at("nodes", -1)))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def _two_hops(ends: DataFrame, step: DataFrame) -> DataFrame:
     """Paths of two steps, from the end of fewer neighbours: a hub at the other end is only looked up, never spread."""
     counts = step.groupBy("src").agg(F.count(F.lit(1)).alias("k"))
@@ -80,6 +97,7 @@ def neighbourhood(edges: DataFrame, centres: DataFrame, cap: int = 40) -> DataFr
     items = edges.where("object_id IS NOT NULL")
     ends = items.select(F.col("subject_id").alias("a"), F.col("object_id").alias("b")).unionAll(items.select(F.col("object_id").alias("a"), F.col("subject_id").alias("b")))
     beside = ends.where("a <> b").join(centres.select(F.col("id").alias("a")), "a", "left_semi").distinct()
-    near = beside.groupBy("a").agg(F.slice(F.sort_array(F.collect_set("b")), 1, cap - 1).alias("n"))
-    rows = near.select(F.col("a").alias("centre"), F.explode("n").alias("id"), F.lit(True).alias("faded"))
+    # Ranks beyond the cap are dropped before the shuffle as well, so that a hub's neighbours never meet in one task.
+    ranked = beside.withColumn("k", F.row_number().over(W.partitionBy("a").orderBy("b"))).where(F.col("k") < cap)
+    rows = ranked.select(F.col("a").alias("centre"), F.col("b").alias("id"), F.lit(True).alias("faded"))
     return rows.unionAll(centres.select(F.col("id").alias("centre"), F.col("id"), F.lit(False).alias("faded")))

@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame
 
 
 def cut(rows: DataFrame) -> DataFrame:
-    """The rows, written to the folder of spark.checkpoint.dir, which is set here only where it is unset."""
+    """The rows, written to the folder of spark.checkpoint.dir. Without that setting a local session writes to a temporary
+    folder, and a cluster's, whose driver and executors share none, raises ValueError."""
     context = rows.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(rows.sparkSession.conf.get("spark.checkpoint.dir", None) or "file:///tmp/claimforge-checkpoints")
+        folder = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or "file:///tmp/claimforge-checkpoints")
     return rows.checkpoint()

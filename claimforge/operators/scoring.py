@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.text import blocked, overlap, tokens, values
 
 
-def best_premise(claims: DataFrame, premises: DataFrame) -> DataFrame:
-    """From key, text and pid, premise, ord: key, pid and score of the best premise, the first on ties.
+def best_premise(claims: DataFrame, premises: DataFrame, place: bool = False) -> DataFrame:
+    """From key, text and pid, premise, ord: key, pid and score of the best premise, the first on ties; with ``place``
+    its ord as well.
 
     Pairs without a common token score 0 and never win. A premise passes the value guard only if it holds every value of
     the claim, so a claim with values meets just the premises that hold the longest part of them; other claims meet
@@ -22,7 +23,7 @@ def best_premise(claims: DataFrame, premises: DataFrame) -> DataFrame:
     right = premises.select("pid", "ord", F.lower("premise").alias("low"), values(F.col("premise")).alias("own"), tokens(F.col("premise")).alias("pt"))
     scored = _by_token(left.where(F.size("parts") == 0), right).unionByName(_by_value(left.where(F.size("parts") > 0), right))
     best = scored.where("score > 0").groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("minus"), "ord", "pid")).alias("b"))
-    return best.select("key", F.col("b.pid").alias("pid"), (-F.col("b.minus")).alias("score"))
+    return best.select("key", F.col("b.pid").alias("pid"), (-F.col("b.minus")).alias("score"), *([F.col("b.ord").alias("ord")] if place else []))
 
 
 def _runs(text: Column) -> Column:

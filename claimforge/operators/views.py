@@ -48,6 +48,26 @@ def support_graph(claims: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, first.select("run_id", "subject_id", "property_id", "x.property_label", "object_id", "x.object_label", "value_type")
 
 
+def highlight(supports: DataFrame, chosen: DataFrame, labels: DataFrame) -> DataFrame:
+    """What to mark for chosen claims (badge, claim_id): rows of kind (edge, node, anchor), id, status and label. An edge or
+    node takes the status of the last claim chosen that it supports; an anchor shows the badges of all its claims after its
+    label (labels: id, label), else after its id. supports: claim_id, status, edge_ids, node_ids, anchor."""
+    rows = chosen.join(supports, "claim_id")
+    ids = lambda kind, column: rows.select(F.lit(kind).alias("kind"), F.explode(column).alias("id"), "badge", "status")
+    marked = ids("edge", "edge_ids").unionAll(ids("node", "node_ids")).groupBy("kind", "id").agg(F.max_by("status", "badge").alias("status"))
+    badges = rows.where("anchor IS NOT NULL").groupBy(F.col("anchor").alias("id")).agg(F.sort_array(F.collect_list("badge")).alias("b"))
+    shown = badges.join(labels.select("id", "label"), "id", "left")
+    told = F.concat(F.coalesce("label", "id"), F.lit("  ["), F.array_join(F.col("b").cast("array<string>"), ","), F.lit("]"))
+    anchors = shown.select(F.lit("anchor").alias("kind"), "id", F.lit(None).cast("string").alias("status"), told.alias("label"))
+    return marked.withColumn("label", F.lit(None).cast("string")).unionByName(anchors)
+
+
+def marked_items(items: DataFrame) -> DataFrame:
+    """kind and element id of chosen items (item): a triple ``s|p|o`` is the edge ``s-p-o``, anything else a node."""
+    edge = F.col("item").contains("|")
+    return items.select(F.when(edge, "edge").otherwise("node").alias("kind"), F.when(edge, F.translate("item", "|", "-")).otherwise(F.col("item")).alias("id"))
+
+
 def item_label(items: DataFrame, labels: DataFrame) -> DataFrame:
     """Items (item: a node id or ``s|p|o``) with a label: each part by its own label (id, label), or as it is."""
     parts = items.select("item", F.posexplode(F.split("item", r"\|")).alias("pos", "id")).join(labels.select("id", "label"), "id", "left")

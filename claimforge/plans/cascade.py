@@ -37,13 +37,17 @@ def scored_paths(claims: DataFrame, nodes: DataFrame, edges: DataFrame, how: Gro
     ends = cut(claim_ends(claims, nodes))
     pairs = ends.join(ends.select("key", F.col("id").alias("dst")), "key").where("id < dst").select("key", F.col("id").alias("src"), "dst")
     paths = simple_paths(pairs, steps(edges), how.hops)
+    told = told_paths(paths, nodes, "key", "nodes", "mult", "path")
+    return told.join(claims.select("key", "text"), "key").select("key", "nodes", "path", "mult", "premise", guarded_score(F.col("premise"), F.col("text")).alias("score"))
+
+
+def told_paths(paths: DataFrame, nodes: DataFrame, *by: str) -> DataFrame:
+    """Paths (``by``, path among them) with their premise: told edge by edge, each subject by its label."""
     words = nodes.select(F.col("id").alias("__id"), F.col("label").alias("__label"))
-    # The premise of a path is told edge by edge, each subject by its label.
-    told = paths.select("key", "nodes", "mult", "path", F.posexplode("path").alias("pos", "e"))
-    told = told.join(words, F.col("e.subject_id") == F.col("__id"), "left")
+    each = paths.select(*by, F.posexplode("path").alias("pos", "e")).join(words, F.col("e.subject_id") == F.col("__id"), "left")
     part = F.concat_ws(" ", F.coalesce("__label", F.col("e.subject_id")), F.col("e.property_label"), F.col("e.object_label"))
-    told = told.groupBy("key", "nodes", "mult", "path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", part.alias("t")))), lambda x: x["t"]), " ").alias("premise"))
-    return told.join(claims.select("key", "text"), "key").select("key", "nodes", "path", "mult", "premise", guarded_score(F.col("premise"), F.col("text")).alias("score"))
+    parts = F.sort_array(F.collect_list(F.struct("pos", part.alias("t"))))
+    return each.groupBy(*by).agg(F.array_join(F.transform(parts, lambda x: x["t"]), " ").alias("premise"))
 
 
 def best_path(paths: DataFrame) -> DataFrame:
@@ -52,27 +56,39 @@ def best_path(paths: DataFrame) -> DataFrame:
     return best.select("key", F.col("b.nodes").alias("nodes"), F.col("b.path").alias("path"), F.col("b.premise").alias("premise"), (-F.col("b.minus")).alias("score"))
 
 
-def grade(claims: DataFrame, nodes: DataFrame, edges: DataFrame, facts: DataFrame, how: Grounding = Grounding()) -> DataFrame:
-    """key, status, source, evidence and score of each claim (key, text, and head and tail if known). Only claims that no triple and no fact supports
-    are searched for paths. Nulls: a claim without text has no evidence."""
-    direct = best_premise(claims, edge_premises(nodes, edges).select("pid", "premise", "ord"))
+def stages(claims: DataFrame, nodes: DataFrame, edges: DataFrame, facts: DataFrame, how: Grounding = Grounding()) -> DataFrame:
+    """Claims (key, text, and head and tail if known) with the best evidence of each stage and its score: d_id, d_ord and d
+    of the triple, c_id and c of the content fact, h_nodes, h_path, h_premise and h of the path. Only claims that no triple
+    and no fact supports are searched for paths."""
+    direct = best_premise(claims, edge_premises(nodes, edges).select("pid", "premise", "ord"), place=True)
     content = best_premise(claims, facts.select(F.col("entity_id").alias("pid"), F.col("fact").alias("premise"), F.col("label_ord").alias("ord")))
-    stage = cut(claims.join(direct.toDF("key", "d_id", "d"), "key", "left").join(content.toDF("key", "c_id", "c"), "key", "left"))
+    stage = cut(claims.join(direct.toDF("key", "d_id", "d", "d_ord"), "key", "left").join(content.toDF("key", "c_id", "c"), "key", "left"))
     open_ = stage.where((F.coalesce("d", F.lit(0.0)) <= how.tau) & (F.coalesce("c", F.lit(0.0)) <= how.tau)).select(*claims.columns)
-    hops = best_path(scored_paths(open_, nodes, edges, how)).where(F.col("score") > how.tau)
-    stage = stage.join(hops.select("key", F.array_join("nodes", ">").alias("h_id"), F.col("score").alias("h")), "key", "left")
-    pick = lambda d, c, h, none: F.when(F.col("d") > how.tau, d).when(F.col("c") > how.tau, c).when(F.col("h").isNotNull(), h).otherwise(none)
+    hops = best_path(scored_paths(open_, nodes, edges, how)).select("key", "nodes", "path", "premise", "score")
+    return stage.join(hops.toDF("key", "h_nodes", "h_path", "h_premise", "h"), "key", "left")
+
+
+def verdicts(stage: DataFrame, how: Grounding = Grounding()) -> DataFrame:
+    """key, status, source, evidence and score of claims with the evidence of each stage. A fabricated claim has the score
+    of what came nearest, null if nothing scored."""
+    pick = lambda d, c, h, none: F.when(F.col("d") > how.tau, d).when(F.col("c") > how.tau, c).when(F.col("h") > how.tau, h).otherwise(none)
     lit = F.lit
-    near = F.greatest(F.coalesce("d", lit(0.0)), F.coalesce("c", lit(0.0)))
+    near = F.greatest(*[F.coalesce(x, lit(0.0)) for x in ("d", "c", "h")])
     return stage.select(
         "key",
         pick(lit("retrieved"), lit("retrieved"), lit("reasoned-supportable"), lit("fabricated")).alias("status"),
         pick(lit("direct_triple"), lit("text_content"), lit("multi_hop_path"), lit("none")).alias("source"),
-        pick(F.col("d_id"), F.col("c_id"), F.col("h_id"), lit("")).alias("evidence"),
+        pick(F.col("d_id"), F.col("c_id"), F.array_join("h_nodes", ">"), lit("")).alias("evidence"),
         pick(F.col("d"), F.col("c"), F.col("h"), F.nullif(near, lit(0.0))).alias("score"),
     )
 
 
+def grade(claims: DataFrame, nodes: DataFrame, edges: DataFrame, facts: DataFrame, how: Grounding = Grounding()) -> DataFrame:
+    """key, status, source, evidence and score of each claim (key, text, and head and tail if known). Nulls: a claim
+    without text has no evidence."""
+    return verdicts(stages(claims, nodes, edges, facts, how), how)
+
+
 def canonical_property(rows: DataFrame, surface: str, aliases: DataFrame) -> DataFrame:
     """Adds pid, the canonical property of a relation's wording or property id (aliases: surface, pid), null without one;
     the case of letters counts."""

@@ -19,22 +19,26 @@ def answer_claims(answers: DataFrame) -> DataFrame:
 
 
 def claim_links(claims: DataFrame, nodes: DataFrame) -> DataFrame:
-    """key, ids and unresolved of each claim. ids: entities in the order of discovery (head, tail, labels in the text),
-    each once. unresolved: heads and tails without a link, then letter tokens that no found label covers."""
+    """key, linked, ids and unresolved of each claim. linked: entities with label, description and link score in the order
+    of discovery (head, tail, labels in the text), each once. unresolved: heads and tails without a link, then letter
+    tokens that no found label covers."""
     linked = side_links(claims, nodes)
-    order = nodes.select("id", "node_ord", "label")
+    about = F.col("description") if "description" in nodes.columns else F.lit(None).cast("string")
+    order = nodes.select("id", "node_ord", "label", about.alias("description"))
     near = linked.where(F.col("score") >= ACCEPT).select("key", "id", F.struct(F.col("side").alias("src"), F.lit(0).cast("long").alias("pos")).alias("at"), "score")
     inside = link_text(claims, nodes).join(order, "id").select("key", "id", F.struct(F.lit(2).alias("src"), F.col("node_ord").alias("pos")).alias("at"), F.lit(1.0).alias("score"))
     found = near.unionByName(inside).groupBy("key", "id").agg(F.min(F.struct("at", "score")).alias("first"))
-    found = found.join(order.select("id", "label"), "id").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("first", "id", "label"))).alias("f"))
+    found = found.join(order.drop("node_ord"), "id").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("first", "id", "label", "description"))).alias("f"))
     lost = linked.where("id IS NULL").groupBy("key").agg(F.transform(F.sort_array(F.collect_list(F.struct("side", "mention"))), lambda x: x["mention"]).alias("lost"))
     none = F.array().cast("array<string>")
     out = claims.select("key", "text").join(found, "key", "left").join(lost, "key", "left")
-    covered = F.flatten(F.transform(F.coalesce("f", F.array().cast(found.schema["f"].dataType)), lambda x: F.regexp_extract_all(normalize_label(x["label"]), F.lit("[A-Za-z]+"), F.lit(0))))
+    out = out.withColumn("f", F.coalesce("f", F.array().cast(found.schema["f"].dataType)))
+    covered = F.flatten(F.transform("f", lambda x: F.regexp_extract_all(normalize_label(x["label"]), F.lit("[A-Za-z]+"), F.lit(0))))
     out = out.withColumn("covered", covered)
     return out.select(
         "key",
-        F.coalesce(F.transform("f", lambda x: x["id"]), none).alias("ids"),
+        F.transform("f", lambda x: F.struct(x["id"].alias("id"), x["label"].alias("label"), x["description"].alias("description"), x["first"]["score"].alias("link_score"))).alias("linked"),
+        F.transform("f", lambda x: x["id"]).alias("ids"),
         F.array_distinct(F.concat(F.coalesce("lost", none), unresolved(F.col("text"), F.col("covered")))).alias("unresolved"),
     )
 
@@ -49,7 +53,7 @@ def ground(answers: DataFrame, nodes: DataFrame, edges: DataFrame, facts: DataFr
     searched between all entities that a claim is linked with."""
     claims = answer_claims(answers)
     graded = grade(claims.select("key", "text", "head", "tail"), nodes, edges, facts, how)
-    return claims.join(graded, "key").join(claim_links(claims, nodes), "key").drop("key")
+    return claims.join(graded, "key").join(claim_links(claims, nodes), "key").drop("key", "linked")
 
 
 def summaries(runs: DataFrame, claims: DataFrame) -> DataFrame:
@@ -70,11 +74,12 @@ def sweep_answers(plan: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataF
 
 
 def slot_difference(claims: DataFrame, edges: DataFrame) -> DataFrame:
-    """Why a fabricated claim (key, subject_id, property_id, object_label) isn't held: ``value`` if the graph has the
-    subject and property with another object, ``missing`` if it has none."""
-    held = edges.groupBy("subject_id", "property_id").agg(F.sort_array(F.collect_set("object_label")).alias("held"))
-    rows = claims.join(held, ["subject_id", "property_id"], "left")
-    return rows.select("key", F.when(F.col("held").isNull(), "missing").otherwise("value").alias("reason"), "held")
+    """Why a claim (key, subject_id, property_id, object_label) isn't held: ``held`` if the graph has the triple after all,
+    ``value`` if it has the subject and property with other objects only, ``missing`` if it has none."""
+    slots = edges.groupBy("subject_id", "property_id", "object_label").agg(F.count(F.lit(1)).alias("n"))
+    asked = claims.select("key", "subject_id", "property_id", F.col("object_label").alias("wanted"))
+    met = asked.join(slots, ["subject_id", "property_id"], "left").groupBy("key").agg(F.count("n").alias("n"), F.coalesce(F.bool_or(F.col("object_label") == F.col("wanted")), F.lit(False)).alias("same"))
+    return met.select("key", F.when(F.col("same"), "held").when(F.col("n") > 0, "value").otherwise("missing").alias("reason"))
 
 
 def borderline(scores: DataFrame, taus: list[float], delta: float = 0.05) -> DataFrame:

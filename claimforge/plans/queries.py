@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import calibration, edits, graph, linking, manifest, perturb, runs, scoring, snapshot, views
+from ..operators.lineage import cut
 from ..sources import sparql, star
-from . import calibrate, cascade, grounding
+from . import calibrate, cascade, grounding, records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -338,7 +339,7 @@ def _best_sql(name: str, premises: str) -> str:
     return f"""{name}p AS MATERIALIZED (SELECT pid, ord, lower(premise) AS lp, {words} AS pt, {values} AS pv FROM (SELECT pid, premise, ord FROM ({premises}) AS x(pid, premise, ord))),
 {name}q AS (SELECT key, pid, ord, len(list_intersect(ct, pt))::DOUBLE AS n, len(ct) AS nc, len(pt) AS np FROM cl JOIN {name}p ON len(cv) = 0 OR contains(lp, cv[1]) OR list_contains(pv, cv[1])
   WHERE len(list_filter(cv, lambda v: NOT (contains(lp, v) OR list_contains(pv, v)))) = 0),
-{name} AS (SELECT key, pid, n / (nc + np - n) AS score FROM {name}q WHERE n > 0 QUALIFY row_number() OVER (PARTITION BY key ORDER BY n / (nc + np - n) DESC, ord, pid) = 1)"""
+{name} AS (SELECT key, pid, ord, n / (nc + np - n) AS score FROM {name}q WHERE n > 0 QUALIFY row_number() OVER (PARTITION BY key ORDER BY n / (nc + np - n) DESC, ord, pid) = 1)"""
 
 
 _CL_SQL = f"""cl AS MATERIALIZED (SELECT claim_id AS key, text, {_TOKENS.replace('(X,', '(text,')} AS ct, {_VALUES.replace('(X,', '(text,')} AS cv FROM ({star.CLAIMS}))"""
@@ -366,7 +367,7 @@ _LINKS_SQL = _links_sql(True)
 _GRADES = f"""SELECT key, CASE WHEN ds > {HOW.tau} OR cs > {HOW.tau} THEN 'retrieved' WHEN hs > {HOW.tau} THEN 'reasoned-supportable' ELSE 'fabricated' END AS status,
   CASE WHEN ds > {HOW.tau} THEN 'direct_triple' WHEN cs > {HOW.tau} THEN 'text_content' WHEN hs > {HOW.tau} THEN 'multi_hop_path' ELSE 'none' END AS source,
   CASE WHEN ds > {HOW.tau} THEN di WHEN cs > {HOW.tau} THEN ci WHEN hs > {HOW.tau} THEN hi ELSE '' END AS evidence,
-  round(CASE WHEN ds > {HOW.tau} THEN ds WHEN cs > {HOW.tau} THEN cs WHEN hs > {HOW.tau} THEN hs ELSE nullif(greatest(ds, cs), 0) END, 9) AS score FROM g"""
+  round(CASE WHEN ds > {HOW.tau} THEN ds WHEN cs > {HOW.tau} THEN cs WHEN hs > {HOW.tau} THEN hs ELSE nullif(greatest(ds, cs, hs), 0) END, 9) AS score FROM g"""
 _ALL_STAGES = "g AS MATERIALIZED (SELECT cl.key, coalesce(dt.score, 0) AS ds, coalesce(co.score, 0) AS cs, coalesce(pb.score, 0) AS hs, dt.pid AS di, co.pid AS ci, pb.nodes AS hi FROM cl LEFT JOIN dt USING (key) LEFT JOIN co USING (key) LEFT JOIN pb USING (key))"
 
 
@@ -666,12 +667,29 @@ def tau_lens(s: SparkSession, d: str) -> DataFrame:
     return grounding.borderline(_gold(s, d), TAUS)
 
 
-@query(f"""WITH e AS ({star.EDGES}), c AS (SELECT 'S' || s_suppkey AS key, 'S' || s_suppkey AS subject_id, CASE WHEN s_acctbal < 0 THEN 'PX' ELSE 'PN' END AS property_id FROM supplier)
-SELECT key, CASE WHEN count(e.edge_ord) = 0 THEN 'missing' ELSE 'value' END AS reason FROM c LEFT JOIN e ON e.subject_id = c.subject_id AND e.property_id = c.property_id GROUP BY 1""")
+_SLOTS = """SELECT 'S' || CAST(s_suppkey AS STRING) AS key, 'S' || CAST(s_suppkey AS STRING) AS subject_id, CASE WHEN s_acctbal < 0 THEN 'PX' ELSE 'PN' END AS property_id,
+  'Nation ' || chr(65 + (s_nationkey + CASE WHEN s_suppkey % 5 = 0 THEN 1 ELSE 0 END) % 26) || 'land' AS object_label FROM {supplier}"""
+
+
+@query(f"""WITH e AS ({star.EDGES}), c AS ({_SLOTS})
+SELECT key, CASE WHEN bool_or(e.object_label = c.object_label) THEN 'held' WHEN count(e.edge_ord) = 0 THEN 'missing' ELSE 'value' END AS reason FROM c LEFT JOIN e ON e.subject_id = c.subject_id AND e.property_id = c.property_id GROUP BY 1""")
 def slot_difference(s: SparkSession, d: str) -> DataFrame:
-    key = F.concat(F.lit("S"), F.col("s_suppkey").cast("string"))
-    claims = _table(s, d, "supplier").select(key.alias("key"), key.alias("subject_id"), F.when(F.col("s_acctbal") < 0, "PX").otherwise("PN").alias("property_id"))
-    return grounding.slot_difference(claims, _edges(s, d)).select("key", "reason")
+    return grounding.slot_difference(star.view(s, d, _SLOTS), _edges(s, d))
+
+
+@query(f"""WITH {_STAGES_SQL}, {_LINKS_SQL}, {_ALL_STAGES}, r AS ({_GRADES}),
+ew AS (SELECT key, 1 AS pos, dt.ord AS edge_ord FROM r JOIN dt USING (key) WHERE source = 'direct_triple' UNION ALL SELECT key, 1, e1 FROM r JOIN pb USING (key) WHERE source = 'multi_hop_path' UNION ALL SELECT key, 2, e2 FROM r JOIN pb USING (key) WHERE source = 'multi_hop_path'),
+et AS (SELECT key, string_agg(CASE WHEN property_id = 'PR' THEN object_id || '-RP-' || subject_id ELSE subject_id || '-' || property_id || '-' || coalesce(object_id, '') END, ',' ORDER BY pos) AS edges,
+  min(CASE WHEN property_id = 'PR' THEN object_id || '>' || subject_id ELSE subject_id || '>' || coalesce(object_id, 'lit:' || value_type || ':' || object_label) END) AS ends FROM ew JOIN e USING (edge_ord) GROUP BY 1)
+SELECT key, status, coalesce(edges, '') AS edges, CASE source WHEN 'direct_triple' THEN ends ELSE evidence END AS node_ids FROM r LEFT JOIN et USING (key)""")
+def evidence_paths(s: SparkSession, d: str) -> DataFrame:
+    """The path of each claim as its record holds it, with `in region` told as its inverse."""
+    claims, nodes, edges, facts = _graph(s, d)
+    stage = cut(cascade.stages(claims, nodes, edges, facts, HOW))
+    inverses = s.sql("SELECT 'PR' AS property, 'RP' AS inverse")
+    rows = cascade.verdicts(stage, HOW).join(records.evidence_paths(stage, nodes, edges, inverses, HOW), "key")
+    told = F.transform("grounding_path.edges", lambda e: F.concat_ws("-", e["subject_id"], e["property_id"], F.coalesce(e["object_id"], F.lit(""))))
+    return rows.select("key", "status", F.array_join(told, ",").alias("edges"), F.array_join("grounding_path.node_ids", ">").alias("node_ids"))
 
 
 _EXPECTED = "CASE split_part(key, '-', 2) WHEN 'region' THEN 'reasoned-supportable' WHEN 'alias' THEN 'reasoned-supportable' WHEN 'none' THEN 'fabricated' ELSE 'retrieved' END"
