@@ -2,7 +2,7 @@
 
 Each word has emission weights from affix, character n-gram and lexicon features; transitions between the languages of
 neighbouring words are learned too. Forward-backward gives each word of a text its probabilities, so a text that switches
-languages is labelled word by word; the text's language is the one with most probability over its words, and its score
+languages is labelled word by word (`label_words`); the text's language is the one with most probability over its words, and its score
 that share.
 
 Training: a bounded sample of at most about ``docs_per_language`` documents of each language (chosen by hash, never
@@ -286,22 +286,24 @@ def fit_tagger(segments: list[tuple[str, list[str]]], how: LanguageModel = Langu
     return Tagger(labels, lexicon, weights, transitions, how)
 
 
-def identify_languages(docs: DataFrame, training: DataFrame, how: LanguageModel = LanguageModel()) -> DataFrame:
-    """doc_id, held_out, lang_pred and score for each row of doc_id, text, learned from doc_id, text, lang."""
-    spark = docs.sparkSession
+def _fitted(training: DataFrame, how: LanguageModel):
+    """A function that gives a worker its tagger, or None where nothing was learned from doc_id, text, lang."""
     segments = [(r["lang"], list(r["words"])) for r in training_segments(training, how).collect()]
     tagger = fit_tagger(segments, how)
     parts = (tagger.labels, tagger.lexicon, tagger.weights, tagger.transitions) if tagger is not None else None
-    shared = spark.sparkContext.broadcast(parts)  # of a fixed size
-    key = ("languages", zlib.crc32(repr(segments).encode("utf-8", "surrogatepass")))
+    shared = training.sparkSession.sparkContext.broadcast(parts)  # of a fixed size
+    key = ("languages", zlib.crc32(repr((segments, how)).encode("utf-8", "surrogatepass")))
+    return lambda: None if shared.value is None else worker_memo(key, lambda: Tagger(*shared.value, how))
+
+
+def identify_languages(docs: DataFrame, training: DataFrame, how: LanguageModel = LanguageModel()) -> DataFrame:
+    """doc_id, held_out, lang_pred and score for each row of doc_id, text, learned from doc_id, text, lang."""
+    tagger = _fitted(training, how)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches):
-            texts = batch.column(1).to_pylist()
-            if shared.value is None:
-                names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-            else:
-                names, scores = worker_memo(key, lambda: Tagger(*shared.value, how)).texts(texts)
+            texts, found = batch.column(1).to_pylist(), tagger()
+            names, scores = ([UNKNOWN] * len(texts), [0.0] * len(texts)) if found is None else found.texts(texts)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -309,6 +311,37 @@ def identify_languages(docs: DataFrame, training: DataFrame, how: LanguageModel
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def label_words(docs: DataFrame, training: DataFrame, how: LanguageModel = LanguageModel()) -> DataFrame:
+    """doc_id and spans for each row of doc_id, text: the runs of words of one language in a text that may switch, each
+    with its language (``und`` where nothing was learned), first word, word after the last, and the mean probability of
+    its words. Words count from 0 in `language_words`. A text without words has no spans."""
+    tagger = _fitted(training, how)
+    span = pa.struct([("lang", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_chunks(batches):
+            lists, found = [language_words(t) for t in batch.column(1).to_pylist()], tagger()
+            if found is None:
+                spans = [[(UNKNOWN, 0, len(x), 0.0)] if x else [] for x in lists]
+            else:
+                spans = [language_runs(p, found.labels) for p in found.words(lists)]
+            rows = [[dict(zip(("lang", "start", "end", "score"), x)) for x in own] for own in spans]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(span))], names=["doc_id", "spans"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, spans array<struct<lang:string,start:int,end:int,score:double>>")
+
+
+def language_runs(probabilities: np.ndarray, labels: list[str]) -> list[tuple[str, int, int, float]]:
+    """Runs of words whose likeliest label is the same: the label, start, end (exclusive) and mean probability."""
+    if not len(probabilities):
+        return []
+    best, top = probabilities.argmax(axis=1), probabilities.max(axis=1)
+    start = np.flatnonzero(np.append(True, best[1:] != best[:-1]))
+    end = np.append(start[1:], len(best))
+    return [(labels[best[a]], int(a), int(b), float(min(1.0, top[a:b].mean()))) for a, b in zip(start, end)]
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return identify_languages(docs, docs)
