@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat_format import OP2_SQL, op2_chat_format
 from .decontaminate import OP1_SQL, op1_decontaminate
 from .exact_dedup import OP12_SQL, op12_exact_dedup
+from .hard_negatives import OP13_SQL, op13_hard_negatives
 from .language_id import op10_language_id
 from .mixing import OP4_SQL, op4_mixing
 from .near_dedup import op3_near_dedup
@@ -32,6 +33,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_token_counts": op9_token_counts,
         "op10_language_id": op10_language_id,
         "op12_exact_dedup": op12_exact_dedup,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
@@ -43,4 +45,5 @@ def llm_sql() -> dict[str, str]:
         "op6_quality_rules": op6_sql(),
         "op8_substring_dedup": OP8_SQL,
         "op12_exact_dedup": OP12_SQL,
+        "op13_hard_negatives": OP13_SQL,
     }
