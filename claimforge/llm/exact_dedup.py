@@ -44,6 +44,8 @@ class ExactDedup:
 _STATE = "spark.sql.streaming.stateStore."
 _STORE = {
     f"{_STATE}providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # A store is closed once its task has committed: each open one holds some MB of disk and memory, however small.
+    f"{_STATE}unloadOnCommit": "true",
     f"{_STATE}rocksdb.boundedMemoryUsage": "true", f"{_STATE}rocksdb.maxMemoryUsageMB": "256",
 }
 _LOCATOR = "struct<no:boolean,doc_id:bigint,path:string,row:bigint>"
