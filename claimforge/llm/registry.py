@@ -13,6 +13,7 @@ from .hard_negatives import OP13_SQL, op13_hard_negatives
 from .language_id import op10_language_id
 from .mixing import OP4_SQL, op4_mixing
 from .near_dedup import op3_near_dedup
+from .prefix_trie import OP11_SQL, op11_prefix_trie
 from .quality_classifier import op7_quality_classifier
 from .quality_rules import op6_quality_rules, op6_sql
 from .substring_dedup import OP8_SQL, op8_substring_dedup
@@ -32,6 +33,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": op8_substring_dedup,
         "op9_token_counts": op9_token_counts,
         "op10_language_id": op10_language_id,
+        "op11_prefix_trie": op11_prefix_trie,
         "op12_exact_dedup": op12_exact_dedup,
         "op13_hard_negatives": op13_hard_negatives,
     }
@@ -44,6 +46,7 @@ def llm_sql() -> dict[str, str]:
         "op4_mixing": OP4_SQL,
         "op6_quality_rules": op6_sql(),
         "op8_substring_dedup": OP8_SQL,
+        "op11_prefix_trie": OP11_SQL,
         "op12_exact_dedup": OP12_SQL,
         "op13_hard_negatives": OP13_SQL,
     }
