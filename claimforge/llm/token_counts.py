@@ -14,7 +14,8 @@ Vocabulary: the pieces of a sentencepiece file; a piece's score is minus the log
 Zipf's law, because the file's own scores are merge ranks. No tokenizer is trained.
 
 Cases: null and empty texts have 0 tokens. Very long texts without a space take time in proportion to their length and
-to the longest piece. Repeated rows are counted each on its own. Other columns are kept; n_tokens is replaced.
+to the longest piece. Repeated rows are counted each on its own, an empty table gives none. Other columns are kept, whatever
+their names; n_tokens is replaced.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ from collections.abc import Iterable, Iterator
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
-from .common import Memo, read_table, text_chunks, worker_memo
+from .common import Memo, hidden, read_table, text_chunks, worker_memo
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -117,7 +119,7 @@ class UnigramCounter(Memo):
 
 def count_tokens(docs: DataFrame, vocabulary: list[tuple[str, float]]) -> DataFrame:
     """Adds n_tokens."""
-    docs = docs.drop("n_tokens")
+    docs, own = hidden(docs.drop("n_tokens"), "text")
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # as large as the tokenizer, whatever the input
     key = ("unigram", zlib.crc32(repr(vocabulary).encode()))
     at = docs.columns.index("text")
@@ -130,8 +132,7 @@ def count_tokens(docs: DataFrame, vocabulary: list[tuple[str, float]]) -> DataFr
             counts = [counter.count(t) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64())], names=[*batch.schema.names, "n_tokens"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, n_tokens long")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("n_tokens", T.LongType())])).select(*own, "n_tokens")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
