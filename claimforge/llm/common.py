@@ -221,19 +221,6 @@ def text_chunks(batches: Iterable[pa.RecordBatch], text: int = 1, limit: int = C
 
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^i and base^-i modulo 2^64 for i < n; the base is odd, so its inverse exists."""
-    if len(_powers["up"]) < n:
-        m = max(n, 2 * len(_powers["up"]), 1 << 16)
-        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        for key, base in (("up", _BASE), ("down", inverse)):
-            steps = np.full(m, base, np.uint64)
-            steps[0] = 1
-            _powers[key] = np.multiply.accumulate(steps)
-    return _powers["up"][:n], _powers["down"][:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -246,58 +233,67 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    """A 64-bit hash of each run of n consecutive entries, in time that doesn't depend on n."""
+    """A 64-bit hash of each run of n >= 1 consecutive entries. Runs are put together from runs of 1, 2, 4, ... entries, each
+    pair mixed as a whole, so what two runs have in common doesn't cancel out. Time grows with the logarithm of n."""
     count = len(words) - n + 1
     if count <= 0:
         return np.zeros(0, np.uint64)
-    up, down = powers(len(words) + 1)
-    sums = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * up[:-1], out=sums[1:])
-    return mix((sums[n:] - sums[:count]) * down[:count])
-
-
-def sequence_hashes(words: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the ``length`` entries from ``first`` on, for each pair of them."""
-    up, down = powers(len(words) + 1)
-    sums = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * up[:-1], out=sums[1:])
-    return mix((sums[first + length] - sums[first]) * down[first] + length.astype(np.uint64))
+    out, done, power, k = None, 0, words, 1
+    while True:
+        if n & k:
+            out = power[:count] if out is None else mix(out * _BASE + power[done : done + count])
+            done += k
+        if 2 * k > n:
+            return out
+        power = mix(power[:-k] * _BASE + power[k:])
+        k *= 2
 
 
 _SPACE_BYTE = np.zeros(256, bool)
 _SPACE_BYTE[list(SPACES.encode())] = True
-_BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
-#: Bytes of words that are hashed at once.
-HASH_BYTES = 1 << 16
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Runs that are hashed at once, and bytes beyond which a run is hashed by xxhash.
+HASH_RUNS, LONG_RUN = 1 << 14, 256
 
 
 def segment_hashes(raw: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each run of ``size`` bytes from ``first`` on; runs aren't empty."""
-    upto = np.cumsum(size)
-    out, a = np.empty(len(first), np.uint64), 0
-    while a < len(first):
-        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + HASH_BYTES, "right")))
-        n = size[a:b]
-        start = np.cumsum(n) - n
-        place = np.arange(int(n.sum())) - np.repeat(start, n)
-        values = _BYTE_VALUE[raw[place + np.repeat(first[a:b], n)]] * powers(int(n.max()))[0][place]
-        out[a:b] = mix(np.add.reduceat(values, start) + n.astype(np.uint64))
-        a = b
+    """A 64-bit hash of each run of ``size`` bytes from ``first`` on; runs aren't empty. Eight bytes at a time are added to
+    what came before and mixed, so runs of up to eight bytes and one length never have the same hash."""
+    lanes = np.ndarray(len(raw) + 1, "<u8", np.append(raw, np.zeros(8, np.uint8)), strides=(1,))
+    out = np.empty(len(first), np.uint64)
+    for a in range(0, len(first), HASH_RUNS):
+        at, left = first[a : a + HASH_RUNS], size[a : a + HASH_RUNS]
+        h = mix(mix(left.astype(np.uint64)) + (lanes[at] & _FIRST_BYTES[np.minimum(left, 8)]))
+        more = np.flatnonzero((left > 8) & (left <= LONG_RUN))
+        at, left = at[more] + 8, left[more] - 8
+        while len(more):
+            h[more] = mix(h[more] + (lanes[at] & _FIRST_BYTES[np.minimum(left, 8)]))
+            go = left > 8
+            more, at, left = more[go], at[go] + 8, left[go] - 8
+        out[a : a + HASH_RUNS] = h
+    for k in np.flatnonzero(size > LONG_RUN):
+        out[k] = xxhash.xxh3_64_intdigest(raw[first[k] : first[k] + size[k]])
     return out
 
 
-def hashed_words(texts: list[str | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hashes of all words (cut at ASCII white space) of several texts in a row, the first position of each text,
-    and its word count. Memory beyond the result is a few bytes for each byte of text, and a bounded block."""
+def cut_words(texts: list[str | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of several texts in a row, a space after each; where each word (cut at ASCII white space) starts and its
+    bytes; the number of each text's first word, and its word count."""
     parts = [encode(t) if t else b"" for t in texts]
     ends = np.cumsum(np.fromiter((len(p) + 1 for p in parts), np.int64, len(parts)))
     raw = b" ".join([*parts, b""])
     raw = np.frombuffer(raw.translate(LOWER_TABLE) if lower else raw, np.uint8)
     edges = np.flatnonzero(np.diff(_SPACE_BYTE[raw], prepend=True, append=True))
     first, size = edges[::2], edges[1::2] - edges[::2]
-    out = segment_hashes(raw, first, size)
     counts = np.bincount(np.searchsorted(ends, first, "right"), minlength=len(texts)).astype(np.int64)
-    return out, np.cumsum(counts) - counts, counts
+    return raw, first, size, np.cumsum(counts) - counts, counts
+
+
+def hashed_words(texts: list[str | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of several texts in a row, the number of each text's first word, and its word count.
+    Memory beyond the result is a few bytes for each byte of text, and a bounded block."""
+    raw, first, size, starts, counts = cut_words(texts, lower)
+    return segment_hashes(raw, first, size), starts, counts
 
 
 LETTER = re.compile(r"[^\W\d_]")

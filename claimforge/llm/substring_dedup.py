@@ -12,8 +12,8 @@ the reach is all that its windows cover, extended to both sides as far as the an
 Extension: places of an anchor with the same reach match over all of it, to both sides, so all but the first are marked
 whole. First places of different reaches of one anchor match over a part only: they go back to their texts and are
 extended window by window, each window being a number of words to the left of the anchor and the rest to its right; of
-equal ones all but the first are marked. Marks that touch are one maximal repeat. Equality is that of two 64-bit hashes
-of the words (anchor and reach, or anchor and window).
+equal ones all but the first are marked. Marks that touch are one maximal repeat. Reaches and windows are equal if the
+128-bit BLAKE2 digests of their words are; the 64-bit hash of an anchor only brings places together.
 
 Hot anchors: of the places in one batch of texts with the same anchor and reach one travels, and the others are marked at
 once. Where a batch holds ``spread`` reaches of an anchor, its windows are extended at once and travel by window, of equal
@@ -29,15 +29,15 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, encode, hashed_words, hidden, mix, read_table, sequence_hashes, text_chunks, window_hashes
+from .common import Scratch, cut_words, encode, hidden, mix, read_table, segment_hashes, text_chunks, window_hashes
 
 
 @dataclass(frozen=True)
@@ -51,27 +51,56 @@ class SubstringDedup:
 
 
 SIGNAL, REACH, WINDOW, MARK = range(4)
-_FOUND = "key long, kind byte, same long, doc long, pos int, n int"
-
-
-def anchored_runs(words: np.ndarray, starts: np.ndarray, counts: np.ndarray, how: SubstringDedup):
-    """For the words of several documents in a row the runs of windows with one anchor: the anchor's hash, the hash of
-    its reach, the document's number, the place of the first window, and the number of windows; then all window hashes,
-    by place in the row."""
-    n, k = how.window, how.seed
+_FOUND = "key long, kind byte, same long, same2 long, doc long, pos int, n int"
+_PLACE = ["key", "kind", "same", "same2", "doc", "pos", "n"]
+
+
+class Texts:
+    """The words of several texts in a row: their hashes, and digests of runs of them."""
+
+    def __init__(self, texts: list[str | None]):
+        raw, first, size, self.starts, self.counts = cut_words(texts)
+        self.words = segment_hashes(raw, first, size)
+        # The words again, one space after each.
+        kept = np.zeros(len(raw), bool)
+        kept[runs(first, size)] = True
+        kept[first + size] = True
+        self.ends = np.cumsum(size + 1) - 1
+        self.first = self.ends - size
+        plain = raw[kept]
+        plain[self.ends] = 32
+        self.plain = memoryview(plain)
+
+    def digests(self, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Both halves of the digest of n words from the word ``first`` on, for each pair of them."""
+        text = self.plain
+        found = b"".join([blake2b(text[a:b], digest_size=16).digest() for a, b in zip(self.first[first].tolist(), self.ends[first + n - 1].tolist())])
+        halves = np.frombuffer(found, np.uint64).reshape(-1, 2)
+        return halves[:, 0], halves[:, 1]
+
+
+def runs(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... n places each, one after the other."""
+    return np.arange(int(n.sum())) + np.repeat(first - (np.cumsum(n) - n), n)
+
+
+def anchored_runs(texts: Texts, how: SubstringDedup):
+    """The runs of windows with one anchor: the anchor's hash, the document's number, the place of the first window, and
+    the number of windows."""
+    n, k, words, starts, counts = how.window, how.seed, texts.words, texts.starts, texts.counts
     if len(words) < n:
         none = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), none, none, none, np.zeros(0, np.uint64)
-    windows, seeds = window_hashes(words, n), window_hashes(words, k)
+        return np.zeros(0, np.uint64), none, none, none
+    seeds = window_hashes(words, k)
     doc = np.repeat(np.arange(len(counts)), counts)
     span = np.lib.stride_tricks.sliding_window_view(seeds, n - k + 1)
-    anchor = np.arange(len(windows)) + np.concatenate([span[a : a + 65_536].argmin(axis=1) for a in range(0, len(windows), 65_536)])
-    inside = doc[: len(windows)] == doc[n - 1 :]
+    anchor = np.arange(len(span)) + np.concatenate([span[a : a + 65_536].argmin(axis=1) for a in range(0, len(span), 65_536)])
+    inside = doc[: len(span)] == doc[n - 1 :]
     first = inside.copy()
-    first[1:] &= ~(inside[:-1] & (anchor[1:] == anchor[:-1]) & (doc[1 : len(windows)] == doc[: len(windows) - 1]))
+    first[1:] &= ~(inside[:-1] & (anchor[1:] == anchor[:-1]) & (doc[1 : len(span)] == doc[: len(span) - 1]))
     run = np.flatnonzero(first)
     size = np.diff(np.append(np.searchsorted(np.flatnonzero(inside), run), np.count_nonzero(inside)))
-    return seeds[anchor[run]], sequence_hashes(words, run, size + n - 1), doc[run], run - starts[doc[run]], size, windows
+    return seeds[anchor[run]], doc[run], run - starts[doc[run]], size
 
 
 def _later(*keys: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,14 +114,15 @@ def _later(*keys: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndar
     return order, lead, (d != d[at]) | (p != p[at])
 
 
-def _rows(key, kind: int, same, doc, pos, n) -> pa.RecordBatch:
-    columns = [pa.array(key.view(np.int64)), pa.array(np.full(len(key), kind, np.int8)), pa.array(same.view(np.int64)), pa.array(doc.astype(np.int64)), pa.array(pos.astype(np.int32)), pa.array(n.astype(np.int32))]
-    return pa.RecordBatch.from_arrays(columns, names=["key", "kind", "same", "doc", "pos", "n"])
+def _rows(key, kind: int, same, same2, doc, pos, n) -> pa.RecordBatch:
+    columns = [pa.array(key.view(np.int64)), pa.array(np.full(len(key), kind, np.int8)), pa.array(same.view(np.int64)), pa.array(same2.view(np.int64)), pa.array(doc.astype(np.int64)), pa.array(pos.astype(np.int32)), pa.array(n.astype(np.int32))]
+    return pa.RecordBatch.from_arrays(columns, names=_PLACE)
 
 
 def _marks(doc: np.ndarray, pos: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     """Marks travel by their place, so that those of one anchor don't meet."""
-    return _rows(mix(doc.view(np.uint64) + mix(pos.astype(np.uint64))), MARK, np.zeros(len(doc), np.uint64), doc, pos, n)
+    none = np.zeros(len(doc), np.uint64)
+    return _rows(mix(doc.view(np.uint64) + mix(pos.astype(np.uint64))), MARK, none, none, doc, pos, n)
 
 
 def window_key(anchor: np.ndarray, window: np.ndarray) -> np.ndarray:
@@ -105,32 +135,33 @@ def _seeds(rows: DataFrame, how: SubstringDedup) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches, limit=how.batch_bytes):
-            words, starts, counts = hashed_words(batch.column(1).to_pylist())
-            h, reach, number, pos, size, windows = anchored_runs(words, starts, counts, how)
+            texts = Texts(batch.column(1).to_pylist())
+            h, number, pos, size = anchored_runs(texts, how)
             if not len(h):
                 continue
-            doc, at = np.asarray(batch.column(0))[number], starts[number] + pos
-            order, lead, later = _later(h, reach, doc=doc, pos=pos)
+            doc, at = np.asarray(batch.column(0))[number], texts.starts[number] + pos
+            reach, reach2 = texts.digests(at, size + how.window - 1)
+            order, lead, later = _later(h, reach, reach2, doc=doc, pos=pos)
             gone = order[later]
             yield _marks(doc[gone], pos[gone], size[gone])
             kept = order[lead]
             _, group, many = np.unique(h[kept], return_inverse=True, return_counts=True)
             wide = many[group] >= how.spread
             own = kept[~wide]
-            yield _rows(h[own], REACH, reach[own], doc[own], pos[own], size[own])
+            yield _rows(h[own], REACH, reach[own], reach2[own], doc[own], pos[own], size[own])
             own = kept[wide]
             if not len(own):
                 continue
             anchors = np.unique(h[own])
             none = np.zeros(len(anchors), np.int64)
-            yield _rows(anchors, SIGNAL, none, none, none, none)
-            steps = np.arange(size[own].sum()) - np.repeat(np.cumsum(size[own]) - size[own], size[own])
-            w, d, p = windows[np.repeat(at[own], size[own]) + steps], np.repeat(doc[own], size[own]), np.repeat(pos[own], size[own]) + steps
+            yield _rows(anchors, SIGNAL, none, none, none, none, none)
+            d, p, word = np.repeat(doc[own], size[own]), runs(pos[own], size[own]), runs(at[own], size[own])
+            w, w2 = texts.digests(word, np.full(len(word), how.window))
             key = window_key(np.repeat(h[own], size[own]), w)
-            order, lead, later = _later(key, w, doc=d, pos=p)
+            order, lead, later = _later(key, w, w2, doc=d, pos=p)
             gone, first = order[later], order[lead]
             yield _marks(d[gone], p[gone], np.ones(len(gone), np.int32))
-            yield _rows(key[first], WINDOW, w[first], d[first], p[first], np.ones(len(first), np.int32))
+            yield _rows(key[first], WINDOW, w[first], w2[first], d[first], p[first], np.ones(len(first), np.int32))
 
     return rows.mapInArrow(run, _FOUND)
 
@@ -144,12 +175,12 @@ def _matched(seeds: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, kind, same, doc, pos, n = (np.asarray(batch.column(i)) for i in range(6))
+            key, kind, same, same2, doc, pos, n = (np.asarray(batch.column(i)) for i in range(7))
             done = np.zeros(len(key), bool)
             if kept is not None:
-                key, kind, same, doc, pos, n, done = (np.concatenate(x) for x in zip(kept, (key, kind, same, doc, pos, n, done)))
+                key, kind, same, same2, doc, pos, n, done = (np.concatenate(x) for x in zip(kept, (key, kind, same, same2, doc, pos, n, done)))
             new_key = np.append(True, key[1:] != key[:-1])
-            new = new_key | np.append(True, (kind[1:] != kind[:-1]) | (same[1:] != same[:-1]))
+            new = new_key | np.append(True, (kind[1:] != kind[:-1]) | (same[1:] != same[:-1]) | (same2[1:] != same2[:-1]))
             at = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
             placed = (kind == REACH) | (kind == WINDOW)
             later = placed & ((doc != doc[at]) | (pos != pos[at])) | (kind == MARK)
@@ -157,43 +188,42 @@ def _matched(seeds: DataFrame) -> DataFrame:
             several = (np.bincount(group, new & (kind == REACH)) >= 2) | (np.bincount(group, kind == SIGNAL) > 0)
             first = new & ~done & ((kind == WINDOW) | (kind == REACH) & several[group])
             out = np.flatnonzero(later | first)
-            names = ["key", "kind", "same", "doc", "pos", "n"]
             what = np.where(later, MARK, kind)[out].astype(np.int8)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[out], what, same[out], doc[out], pos[out], n[out])], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[out], what, same[out], same2[out], doc[out], pos[out], n[out])], names=_PLACE)
             last = at[-1:] if placed[-1] else at[:0]
-            kept = [np.concatenate([x[-1:] if several[-1] else x[:0], x[last]]) for x in (key, kind, same, doc, pos, n, done)]
+            kept = [np.concatenate([x[-1:] if several[-1] else x[:0], x[last]]) for x in (key, kind, same, same2, doc, pos, n, done)]
             if several[-1]:
                 kept[1][0] = SIGNAL
-            kept[6][:] = True if several[-1] or (len(last) and kind[last[0]] == WINDOW) else False
+            kept[7][:] = True if several[-1] or (len(last) and kind[last[0]] == WINDOW) else False
 
-    met = seeds.repartition("key").sortWithinPartitions("key", "kind", "same", "doc", "pos")
+    met = seeds.repartition("key").sortWithinPartitions("key", "kind", "same", "same2", "doc", "pos")
     return met.mapInArrow(run, _FOUND)
 
 
 def _extended(rows: DataFrame, found: DataFrame, how: SubstringDedup) -> DataFrame:
-    """key, same, doc, pos of the single windows of first places whose anchors have several reaches."""
+    """key, same, same2, doc, pos of the single windows of first places whose anchors have several reaches."""
     wanted = found.where(F.col("kind") == REACH).groupBy(F.col("doc").alias("__id")).agg(F.collect_list(F.struct("key", "pos", "n")).alias("__at"))
     # The same join at every size: texts meet their places by a shuffle, and a task holds the places of its part.
     joined = rows.join(wanted.hint("shuffle_hash"), F.col("id") == F.col("__id")).select("id", "text", "__at")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches):
-            words, starts, counts = hashed_words(batch.column(1).to_pylist())
-            windows = window_hashes(words, how.window)
-            at = batch.column(2)
+            texts, at = Texts(batch.column(1).to_pylist()), batch.column(2)
             number = np.repeat(np.arange(batch.num_rows), np.asarray(at.value_lengths()))
             anchor, pos, n = (np.asarray(x) for x in at.flatten().flatten())
             # Another text of the same doc_id may end before the place.
-            fits = pos + n + how.window - 1 <= counts[number]
+            fits = pos + n + how.window - 1 <= texts.counts[number]
             number, anchor, pos, n = number[fits], anchor[fits].view(np.uint64), pos[fits].astype(np.int64), n[fits].astype(np.int64)
-            place = np.repeat(pos, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            number = np.repeat(number, n)
-            w = windows[starts[number] + place] if len(place) else windows[:0]
-            doc = np.asarray(batch.column(0))[number]
-            key = window_key(np.repeat(anchor, n), w)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(w.view(np.int64)), pa.array(doc), pa.array(place.astype(np.int32))], names=["key", "same", "doc", "pos"])
+            place, number = runs(pos, n), np.repeat(number, n)
+            w, w2 = texts.digests(texts.starts[number] + place, np.full(len(place), how.window))
+            key, doc = window_key(np.repeat(anchor, n), w), np.asarray(batch.column(0))[number]
+            columns = [pa.array(key.view(np.int64)), pa.array(w.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(doc), pa.array(place.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=_WINDOW)
+
+    return joined.mapInArrow(run, "key long, same long, same2 long, doc long, pos int")
+
 
-    return joined.mapInArrow(run, "key long, same long, doc long, pos int")
+_WINDOW = ["key", "same", "same2", "doc", "pos"]
 
 
 def _marked(docs: DataFrame, how: SubstringDedup) -> DataFrame:
@@ -201,9 +231,10 @@ def _marked(docs: DataFrame, how: SubstringDedup) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "substrings")
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), "text")
     found = scratch.write("matched", _matched(_seeds(rows, how)))
-    single = _extended(rows, found, how).union(found.where(F.col("kind") == WINDOW).select("key", "same", "doc", "pos"))
-    order = F.rank().over(W.partitionBy("key", "same").orderBy("doc", "pos"))
-    later = single.withColumn("order", order).where("order > 1").select("doc", "pos", F.lit(1).alias("n"))
+    single = scratch.write("single", _extended(rows, found, how).union(found.where(F.col("kind") == WINDOW).select(*_WINDOW)))
+    # The first place by a minimum, which combines before the shuffle; a join of two plain exchanges can be split.
+    least = scratch.write("least", single.groupBy("key", "same", "same2").agg(F.min(F.struct("doc", "pos")).alias("lead"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k"))
+    later = single.join(least, ["key", "same", "same2"]).where("doc <> lead.doc OR pos <> lead.pos").select("doc", "pos", F.lit(1).alias("n"))
     marks = found.where(F.col("kind") == MARK).select("doc", "pos", "n").union(later)
     return scratch.only("marks", marks.groupBy("doc").agg(F.collect_list(F.struct("pos", "n")).alias("marks")))
 

@@ -12,7 +12,8 @@ Tokenizing: a text is cut before each single space that stands between two chara
 each single line break that does, and before a point or comma between a letter and a space or line break. The byte-level
 pre-tokenizer always cuts there, and no merge crosses such a cut, so the pieces' ids in a row are the ids of the whole
 text; pieces that recur are encoded once per worker, and new ones together, joined by line breaks, which such a
-pre-tokenizer keeps apart. A worker tells pieces by 64-bit hashes. The tests hold this against whole-text encoding.
+pre-tokenizer keeps apart. A worker looks pieces up by 64-bit hashes and compares their bytes, in a batch and in its memo:
+pieces of one hash and other bytes are encoded each on its own. The tests hold this against whole-text encoding.
 
 Cases: null and empty texts give the end id alone. Repeated rows are repeated documents. An empty table gives no files.
 Only doc_id and text are read.
@@ -38,8 +39,10 @@ from .common import Scratch, read_table, scratch_path, segment_hashes, text_chun
 
 MAGIC = b"CFTOKID1"
 FOOTER = struct.Struct("<QQQQQQ8s")  # bits, block_ids, documents, ids, blocks, footer bytes before this, magic
-#: Pieces in one generation of a worker's memo, about 30 bytes each.
+#: Pieces in one generation of a worker's memo, about 50 bytes each.
 PIECE_ENTRIES = 1_000_000
+#: Bytes of pieces that are compared at once.
+COMPARED = 1 << 18
 _cut = re.compile(r"(?<=\S)(?= \S)")
 _odd_space = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
 _BESIDE = ("  ", "\n ", " \n", "\t ", " \t", "\r ", " \r")
@@ -101,24 +104,31 @@ class TokenOutput:
 
 
 class PieceTable:
-    """Ids of pieces by the pieces' hashes, in sorted arrays: about 30 bytes a piece."""
+    """Ids and bytes of pieces by the pieces' hashes, in sorted arrays: about 50 bytes a piece."""
 
     def __init__(self):
         self.keys, self.at, self.n, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+        self.first, self.size, self.raw = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The index of each key, or -1."""
+    def find(self, keys: np.ndarray, raw: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The index of each piece (its hash, and its bytes in ``raw``), or -1; and whether its hash is there."""
         if not len(self.keys):
-            return np.full(len(keys), -1)
+            return np.full(len(keys), -1), np.zeros(len(keys), bool)
         k = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[k] == keys, k, -1)
-
-    def add(self, keys: np.ndarray, n: np.ndarray, ids: np.ndarray) -> None:
-        """Adds keys that it lacks; n ids each, in a row."""
-        at = np.append(self.at, len(self.ids) + np.cumsum(n) - n)
-        keys = np.append(self.keys, keys)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.at, self.n, self.ids = keys[order], at[order], np.append(self.n, n)[order], np.append(self.ids, ids)
+        there = self.keys[k] == keys
+        at = np.flatnonzero(there)
+        same = equal_runs(raw, first[at], size[at], self.raw, self.first[k[at]], self.size[k[at]])
+        out = np.full(len(keys), -1)
+        out[at[same]] = k[at[same]]
+        return out, there
+
+    def add(self, keys: np.ndarray, n: np.ndarray, ids: np.ndarray, size: np.ndarray, raw: np.ndarray) -> None:
+        """Adds keys that it lacks; n ids and ``size`` bytes each, in a row."""
+        order = np.argsort(np.append(self.keys, keys), kind="stable")
+        held = lambda old, new: np.append(old, new)[order]
+        self.at, self.first = held(self.at, len(self.ids) + np.cumsum(n) - n), held(self.first, len(self.raw) + np.cumsum(size) - size)
+        self.keys, self.n, self.size = held(self.keys, keys), held(self.n, n), held(self.size, size)
+        self.ids, self.raw = np.append(self.ids, ids), np.append(self.raw, raw)
 
 
 def runs(first: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -126,6 +136,20 @@ def runs(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.arange(int(n.sum())) + np.repeat(first - (np.cumsum(n) - n), n)
 
 
+def equal_runs(raw: np.ndarray, first: np.ndarray, size: np.ndarray, other: np.ndarray, other_first: np.ndarray, other_size: np.ndarray) -> np.ndarray:
+    """Whether each run of bytes (not empty) of ``raw`` is that of ``other``, some bytes at a time."""
+    out, upto = size == other_size, np.cumsum(size)
+    a = 0
+    while a < len(size):
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + COMPARED, "right")))
+        k = np.flatnonzero(out[a:b]) + a
+        if len(k):
+            n = size[k]
+            out[k] = np.logical_and.reduceat(raw[runs(first[k], n)] == other[runs(other_first[k], n)], np.cumsum(n) - n)
+        a = b
+    return out
+
+
 class PieceIds:
     """The ids of texts, from a memo of pieces in two generations: when the young one is full, it becomes the old one, and
     what is found there moves back."""
@@ -163,31 +187,39 @@ class PieceIds:
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
         joined, first, counts = pieces(texts)
-        size = np.diff(np.append(first, len(joined)))
-        keys, where, inverse = np.unique(segment_hashes(np.frombuffer(joined, np.uint8), first, size), return_index=True, return_inverse=True)
-        young, old = self.young.find(keys), self.old.find(keys)
+        size, raw = np.diff(np.append(first, len(joined))), np.frombuffer(joined, np.uint8)
+        keys, where, inverse = np.unique(segment_hashes(raw, first, size), return_index=True, return_inverse=True)
+        lead = where[inverse]
+        n_keys, odd = len(keys), {}  # odd: the pieces that have the hash of others, and where each stands first
+        for k in np.flatnonzero(~equal_runs(raw, first, size, raw, first[lead], size[lead])).tolist():
+            inverse[k] = n_keys + odd.setdefault(joined[first[k] : first[k] + size[k]], (len(odd), k))[0]
+        if odd:
+            where, keys = np.append(where, [k for _, k in odd.values()]), np.append(keys, np.zeros(len(odd), np.uint64))
+        at, own = first[where], size[where]
+        (young, had), (old, _) = (t.find(keys, raw, at, own) for t in (self.young, self.old))
         old[young >= 0] = -1
         new = np.flatnonzero((young < 0) & (old < 0))
-        spans = zip(first[where[new]].tolist(), (first + size)[where[new]].tolist())
+        spans = zip(at[new].tolist(), (at + own)[new].tolist())
         new_n, new_ids = self._new([joined[a:b].decode("utf-8", "surrogatepass") for a, b in spans])
         # One row of ids for each distinct piece, from three places.
-        at, n = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        start, n = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
         base = 0
         for table, found in ((self.young, young), (self.old, old)):
             held = found >= 0
-            at[held], n[held] = base + table.at[found[held]], table.n[found[held]]
+            start[held], n[held] = base + table.at[found[held]], table.n[found[held]]
             base += len(table.ids)
-        at[new], n[new] = base + np.cumsum(new_n) - new_n, new_n
+        start[new], n[new] = base + np.cumsum(new_n) - new_n, new_n
         ids = np.concatenate([self.young.ids, self.old.ids, new_ids])
-        keep = np.flatnonzero((young < 0) & (size[where] < 100))
+        keep = np.flatnonzero(~had & (own < 100) & (np.arange(len(keys)) < n_keys))
         if len(self.young.keys) + len(keep) > self.entries:
             self.old, self.young = self.young, PieceTable()
-        self.young.add(keys[keep], n[keep], ids[runs(at[keep], n[keep])])
+            keep = np.flatnonzero((own < 100) & (np.arange(len(keys)) < n_keys))
+        self.young.add(keys[keep], n[keep], ids[runs(start[keep], n[keep])], own[keep], raw[runs(at[keep], own[keep])])
         each = n[inverse]
-        flat = ids[runs(at[inverse], each)]
+        flat = ids[runs(start[inverse], each)]
         ends = np.append(0, np.cumsum(each))[np.append(0, np.cumsum(counts))] * 4
-        raw = flat.tobytes()
-        return [raw[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())]
+        data = flat.tobytes()
+        return [data[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())]
 
 
 def bits_of(vocabulary: int) -> int:
