@@ -28,36 +28,58 @@ def degrees(edges: DataFrame) -> DataFrame:
     return both.groupBy("id").agg(F.sum("mult").alias("degree"))
 
 
-def steps(edges: DataFrame) -> DataFrame:
+def steps(edges: DataFrame, near: DataFrame | None = None) -> DataFrame:
     """One row for each ordered pair of entities that an edge joins: src, dst, mult, and the edge to tell it by (the
-    first stored one that runs that way, else the first that runs back)."""
-    items = edges.where("object_id IS NOT NULL AND object_id <> subject_id")
-    edge = ["edge_ord", "subject_id", "property_id", "property_label", "object_id", "object_label"]
-    there = items.select(F.col("subject_id").alias("src"), F.col("object_id").alias("dst"), F.struct(F.lit(False).alias("back"), *edge).alias("e"))
-    back = items.select(F.col("object_id").alias("src"), F.col("subject_id").alias("dst"), F.struct(F.lit(True).alias("back"), *edge).alias("e"))
-    counts = there.unionAll(back).groupBy("src", "dst").agg(
-        F.min("e").alias("edge"), F.sum(F.when(F.col("e.back"), 0).otherwise(1)).alias("u"), F.sum(F.when(F.col("e.back"), 1).otherwise(0)).alias("d")
-    )
-    return counts.select("src", "dst", "edge", F.greatest("u", "d").alias("mult"))
+    first stored one that runs that way, else the first that runs back) as its edge_ord, which is unique, and whether it
+    runs back. With ``near`` (id) only steps with an end among these."""
+    items = edges.where("object_id IS NOT NULL AND object_id <> subject_id").select("edge_ord", "subject_id", "object_id")
+    if near is not None:
+        at = lambda c: near.select(F.col("id").alias(c), F.lit(True).alias(f"__{c}")).distinct()
+        items = items.join(at("subject_id"), "subject_id", "left").join(at("object_id"), "object_id", "left").where("__subject_id OR __object_id")
+    there = items.select(F.col("subject_id").alias("src"), F.col("object_id").alias("dst"), F.col("edge_ord").alias("f"), F.lit(None).cast("long").alias("b"))
+    back = items.select(F.col("object_id").alias("src"), F.col("subject_id").alias("dst"), F.lit(None).cast("long").alias("f"), F.col("edge_ord").alias("b"))
+    # Plain numbers, so that this is a hash aggregate.
+    counts = there.unionAll(back).groupBy("src", "dst").agg(F.min("f").alias("f"), F.min("b").alias("b"), F.count("f").alias("u"), F.count("b").alias("d"))
+    return counts.select("src", "dst", F.struct(F.col("f").isNull().alias("back"), F.coalesce("f", "b").alias("edge_ord")).alias("edge"), F.greatest("u", "d").alias("mult"))
+
+
+EDGE = ("subject_id", "property_id", "property_label", "object_id", "object_label")
+
+
+def with_edges(paths: DataFrame, edges: DataFrame) -> DataFrame:
+    """Paths whose steps hold all of their edges: back, edge_ord, ends, property and labels. Looked up once paths are
+    known, so that a search carries numbers only."""
+    rest = [c for c in paths.columns if c != "path"]
+    each = paths.select(*rest, F.posexplode("path").alias("__pos", "__e")).select(*rest, "__pos", "__e.back", "__e.edge_ord")
+    told = each.join(edges.select("edge_ord", *EDGE), "edge_ord").select(*rest, F.struct("__pos", F.struct("back", "edge_ord", *EDGE).alias("e")).alias("__e"))
+    return told.groupBy(*rest).agg(F.transform(F.sort_array(F.collect_list("__e")), lambda x: x["e"]).alias("path"))
 
 
 def simple_paths(ends: DataFrame, step: DataFrame, hops: int = 2) -> DataFrame:
-    """Paths of 2 to ``hops`` steps for rows key, src, dst: adds nodes, path (edges in order) and mult. Each length is a
-    chain of equi-joins from the endpoints; a node occurs once in a path."""
-    if hops == 2:
-        return _two_hops(ends, step)
+    """Paths of 2 to ``hops`` steps for rows key, src, dst: adds nodes, path (steps in order) and mult; none for fewer than
+    2 hops. A node occurs once in a path.
+
+    Each path is searched from both ends: what is known of it grows by one step at the end that has fewer neighbours, and
+    when one step is left, it is looked up. So a hub at either end, or in the middle, is only looked up and never spread,
+    unless both ends have come to hubs.
+    """
     hop = step.select(F.col("src").alias("__s"), F.col("dst").alias("__d"), F.col("edge").alias("__e"), F.col("mult").alias("__m"))
-    front = ends.withColumns({"nodes": F.array("src"), "path": F.array().cast("array<" + step.schema["edge"].dataType.simpleString() + ">"), "mult": F.lit(1).cast("long")})
-    found = None
-    for k in range(1, hops + 1):
-        last = F.element_at("nodes", -1)
-        grown = front.join(hop, last == F.col("__s")).where(~F.array_contains("nodes", F.col("__d")))
-        grown = grown.withColumns({"nodes": F.concat("nodes", F.array("__d")), "path": F.concat("path", F.array("__e")), "mult": F.col("mult") * F.col("__m")})
-        grown = grown.select(*front.columns)
-        if k >= 2:
-            done = grown.where(F.element_at("nodes", -1) == F.col("dst"))
-            found = done if found is None else found.unionByName(done)
-        front = grown.where(F.element_at("nodes", -1) != F.col("dst"))
+    none = F.array().cast("array<" + step.schema["edge"].dataType.simpleString() + ">")
+    rows = ends.where("src <> dst").withColumns({"__a": F.col("src"), "__b": F.col("dst"), "__left": F.array("src"), "__right": F.array("dst"), "__to": none, "__from": none, "mult": F.lit(1).cast("long")})
+    new = lambda c: ~F.array_contains("__left", F.col(c)) & ~F.array_contains("__right", F.col(c))
+    one, times = F.array("__e"), (F.col("mult") * F.col("__m")).alias("mult")
+    found = rows.where(F.lit(False)).select(*ends.columns, F.col("__left").alias("nodes"), F.col("__to").alias("path"), "mult") if hops < 2 else None
+    count = step.groupBy("src").agg(F.count(F.lit(1)).alias("k"))
+    for _ in range(2, hops + 1):
+        sized = rows.join(count.select(F.col("src").alias("__a"), F.col("k").alias("__ka")), "__a").join(count.select(F.col("src").alias("__b"), F.col("k").alias("__kb")), "__b")
+        ahead = sized.where("__ka <= __kb").join(hop, F.col("__a") == F.col("__s")).where(new("__d"))
+        ahead = ahead.select(*ends.columns, F.col("__d").alias("__a"), "__b", F.concat("__left", F.array("__d")).alias("__left"), "__right", F.concat("__to", one).alias("__to"), "__from", times)
+        behind = sized.where("__ka > __kb").join(hop, F.col("__b") == F.col("__d")).where(new("__s"))
+        behind = behind.select(*ends.columns, "__a", F.col("__s").alias("__b"), "__left", F.concat(F.array("__s"), "__right").alias("__right"), "__to", F.concat(one, "__from").alias("__from"), times)
+        rows = ahead.unionByName(behind)
+        last = rows.join(hop, (F.col("__a") == F.col("__s")) & (F.col("__b") == F.col("__d")))
+        last = last.select(*ends.columns, F.concat("__left", "__right").alias("nodes"), F.concat("__to", one, "__from").alias("path"), times)
+        found = last if found is None else found.unionByName(last)
     return found
 
 
@@ -71,27 +93,12 @@ def all_paths(step: DataFrame, hops: int = 2) -> DataFrame:
         grown = front.join(hop, F.element_at("nodes", -1) == F.col("__s")).where(~F.array_contains("nodes", F.col("__d")))
         front = grown.select(F.concat("nodes", F.array("__d")).alias("nodes"), F.concat("path", F.array("__e")).alias("path"))
         found.append(front.where(F.element_at("nodes", 1) < F.element_at("nodes", -1)))
-    out = found[0]
+    out = front.where(F.lit(False)) if not found else found[0]
     for more in found[1:]:
         out = out.unionByName(more)
     return out
 
 
-def _two_hops(ends: DataFrame, step: DataFrame) -> DataFrame:
-    """Paths of two steps, from the end of fewer neighbours: a hub at the other end is only looked up, never spread."""
-    counts = step.groupBy("src").agg(F.count(F.lit(1)).alias("k"))
-    sized = ends.join(counts.select("src", F.col("k").alias("__ks")), "src").join(counts.select(F.col("src").alias("dst"), F.col("k").alias("__kd")), "dst")
-    side = lambda n, a, b: step.select(F.col("src").alias(a), F.col("dst").alias(b), F.col("edge").alias(f"__e{n}"), F.col("mult").alias(f"__m{n}"))
-    first, second = side(1, "src", "__mid"), side(2, "__mid", "dst")
-    ahead = sized.where("__ks <= __kd").join(first, "src").join(second, ["__mid", "dst"])
-    behind = sized.where("__ks > __kd").join(second, "dst").join(first, ["src", "__mid"])
-    both = ahead.unionByName(behind).where("__mid <> src AND __mid <> dst AND src <> dst")
-    return both.select(
-        *ends.columns, F.array("src", "__mid", "dst").alias("nodes"), F.array("__e1", "__e2").alias("path"),
-        (F.col("__m1") * F.col("__m2")).alias("mult"),
-    )
-
-
 def neighbourhood(edges: DataFrame, centres: DataFrame, cap: int = 40) -> DataFrame:
     """centre, id, faded: each centre (id) and its neighbours over item edges, at most ``cap`` with the centre first."""
     items = edges.where("object_id IS NOT NULL")

@@ -1,17 +1,37 @@
-"""Cuts the lineage of small tables that a plan reads several times."""
+"""Cuts the lineage of tables that a plan reads several times."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Without that setting a local session takes a temporary folder, and a cluster's,
+    whose driver and executors share none, raises ValueError."""
+    context = spark.sparkContext
+    held = context._jsc.sc().getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
+    if not folder and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    folder = folder or "file:///tmp/claimforge-checkpoints"
+    if not held.isDefined():
+        context.setCheckpointDir(folder)
+    return folder.rstrip("/")
 
 
 def cut(rows: DataFrame) -> DataFrame:
-    """The rows, written to the folder of spark.checkpoint.dir. Without that setting a local session writes to a temporary
-    folder, and a cluster's, whose driver and executors share none, raises ValueError."""
-    context = rows.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or "file:///tmp/claimforge-checkpoints")
+    """The rows of a small table, checkpointed in the shared folder; Spark removes them with the DataFrame where
+    spark.cleaner.referenceTracking.cleanCheckpoints says so."""
+    shared_folder(rows.sparkSession)
     return rows.checkpoint()
+
+
+def stored(rows: DataFrame) -> DataFrame:
+    """The rows of a large table, written as Parquet to the shared folder, so that later scans read the columns they need.
+    Files stand under claimforge/<application id> until the application's owner removes that folder."""
+    spark = rows.sparkSession
+    path = f"{shared_folder(spark)}/claimforge/{spark.sparkContext.applicationId}/table-{uuid.uuid4().hex[:12]}"
+    rows.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)

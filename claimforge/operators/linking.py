@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS, normalize
+from .containment import contained
 
 
 def label_index(nodes: DataFrame) -> DataFrame:
@@ -19,41 +20,14 @@ def link_exact(mentions: DataFrame, nodes: DataFrame) -> DataFrame:
     return mentions.select("key", normalize(F.col("mention")).alias("norm")).join(label_index(nodes), "norm").select("key", "id")
 
 
-#: Lengths of the substrings by which texts and labels meet.
-GRAMS = (6, 3, 2, 1)
-
-
-def _grams(text: Column, sizes: tuple[int, ...] = GRAMS) -> Column:
-    """All distinct substrings of the given lengths."""
-    def of(k: int) -> Column:
-        found = F.transform(F.sequence(F.lit(1), F.length(text) - (k - 1)), lambda i: F.substring(text, i, F.lit(k)))
-        return F.when(F.length(text) >= k, found).otherwise(F.array().cast("array<string>"))
-
-    return F.array_distinct(F.concat(*map(of, sizes)))
-
-
-def _own_grams(text: Column) -> Column:
-    """The substrings of the greatest length that fits."""
-    out = _grams(text, GRAMS[-1:])
-    for k in reversed(GRAMS[:-1]):
-        out = F.when(F.length(text) >= k, _grams(text, (k,))).otherwise(out)
-    return out
-
-
 def contained_pairs(texts: DataFrame, labels: DataFrame) -> DataFrame:
-    """key, norm x id, label for all pairs in which one contains the other.
-
-    What a text contains is a substring of it, and so are that one's substrings. Each side that is to be contained is
-    looked up by one substring only, the one that the fewest labels have; a text with a substring that no label has is
-    contained in none.
-    """
-    spread = labels.select("id", "label", F.explode(_grams(F.col("label"))).alias("g"))
-    counts = spread.groupBy("g").agg(F.count(F.lit(1)).alias("k"))
-    rare = labels.select("id", "label", F.explode(_own_grams(F.col("label"))).alias("g")).join(counts, "g").groupBy("id", "label").agg(F.min(F.struct("k", "g"))["g"].alias("g"))
-    inside = texts.withColumn("g", F.explode(_grams(F.col("norm")))).join(rare, "g").where(F.col("norm").contains(F.col("label")))
-    asked = texts.withColumn("g", F.explode(_own_grams(F.col("norm")))).join(counts, "g", "left").groupBy("key", "norm").agg(F.min(F.struct(F.coalesce("k", F.lit(0)).alias("k"), "g")).alias("m"))
-    around = asked.where("m.k > 0").select("key", "norm", F.col("m.g").alias("g")).join(spread, "g").where(F.col("label").contains(F.col("norm")))
-    return inside.select("key", "norm", "id", "label").union(around.select("key", "norm", "id", "label")).distinct()
+    """key, norm x id, label for all pairs in which one contains the other. Labels are looked up in texts, and texts in
+    labels, by automata of bounded blocks; labels and texts that are equal travel once."""
+    names = labels.select("label").distinct()
+    inside = contained(texts.select("key", "norm"), "norm", names.select(F.col("label").alias("part"))).withColumnRenamed("part", "label")
+    around = contained(names, "label", texts.select(F.col("norm").alias("part"))).withColumnRenamed("part", "norm")
+    pairs = inside.join(labels, "label").select("key", "norm", "id", "label")
+    return pairs.union(around.join(labels, "label").join(texts, "norm").select("key", "norm", "id", "label")).distinct()
 
 
 def link_best(mentions: DataFrame, nodes: DataFrame) -> DataFrame:

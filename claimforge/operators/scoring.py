@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import blocked, overlap, tokens, values
+from .containment import contained
+from .lineage import stored
 
 
 def best_premise(claims: DataFrame, premises: DataFrame, place: bool = False) -> DataFrame:
@@ -13,39 +15,74 @@ def best_premise(claims: DataFrame, premises: DataFrame, place: bool = False) ->
     its ord as well.
 
     Pairs without a common token score 0 and never win. A premise passes the value guard only if it holds every value of
-    the claim, so a claim with values meets just the premises that hold the longest part of them; other claims meet
-    premises by a common token. Claims without a premise of positive score are absent.
+    the claim, so a claim with values meets just the premises that hold the rarest part of them; other claims meet
+    premises by their tokens, rare ones first, as long as what is left could still win. Claims without a premise of
+    positive score are absent.
     """
     left = claims.select("key", "text", tokens(F.col("text")).alias("ct"), values(F.col("text")).alias("cv"))
     # Values are in lower case, and a value inside a premise has each of its runs inside a run of the premise.
-    left = left.withColumn("parts", F.array_distinct(F.flatten(F.transform("cv", lambda v: _runs(v)))))
+    left = stored(left.withColumn("parts", F.array_distinct(F.flatten(F.transform("cv", lambda v: _runs(v))))))
     # What a premise is tested by is worked out once, before it meets any claim.
     right = premises.select("pid", "ord", F.lower("premise").alias("low"), values(F.col("premise")).alias("own"), tokens(F.col("premise")).alias("pt"))
-    scored = _by_token(left.where(F.size("parts") == 0), right).unionByName(_by_value(left.where(F.size("parts") > 0), right))
+    right = stored(right)
+    scored = _by_value(left.where(F.size("parts") > 0), right)
+    plain = left.where(F.size("parts") == 0)
+    if not plain.isEmpty():
+        scored = scored.unionByName(_by_token(plain, right))
+    best = _best(scored)
+    return best.select("key", "pid", "score", *(["ord"] if place else []))
+
+
+def _best(scored: DataFrame) -> DataFrame:
+    """key, pid, ord and score of the best of each key, the first on ties."""
     best = scored.where("score > 0").groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("minus"), "ord", "pid")).alias("b"))
-    return best.select("key", F.col("b.pid").alias("pid"), (-F.col("b.minus")).alias("score"), *([F.col("b.ord").alias("ord")] if place else []))
+    return best.select("key", F.col("b.pid").alias("pid"), F.col("b.ord").alias("ord"), (-F.col("b.minus")).alias("score"))
 
 
 def _runs(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("[a-z0-9]+"), F.lit(0))
 
 
+#: Tokens of a claim that are looked up in the first round; each later round takes as many as all before it.
+FIRST_TOKENS = 2
+
+
 def _by_token(left: DataFrame, right: DataFrame) -> DataFrame:
-    """key, pid, ord and score of pairs that share a token."""
-    met = left.select("key", F.size("ct").alias("nc"), F.explode("ct").alias("token")).join(right.select("pid", "ord", F.size("pt").alias("np"), F.explode("pt").alias("token")), "token")
-    pairs = met.groupBy("key", "pid", "ord", "nc", "np").agg(F.count(F.lit(1)).alias("both"))
-    scored = pairs.join(left.select("key", "cv"), "key").join(right.select("pid", "ord", "low", "own"), ["pid", "ord"]).where(~blocked(F.col("low"), F.col("own"), F.col("cv")))
-    return scored.select("key", "pid", "ord", (F.col("both") / (F.col("nc") + F.col("np") - F.col("both"))).alias("score"))
+    """key, pid, ord and score of the best premise by common tokens.
+
+    A claim's tokens are ordered by how many premises have them, rare ones first, those of none left out. A premise that has
+    none of the first r of m shares m - r tokens at most, and so scores (m - r) / n at most for a claim of n tokens: a claim
+    whose best reaches more is done. Words that all premises have come last and are looked up only for claims that nothing
+    else decides. A premise of another size than the best score allows is dropped before it is scored.
+    """
+    index = stored(right.select("pid", "ord", F.size("pt").alias("np"), F.explode("pt").alias("token")))
+    often = index.groupBy("token").agg(F.count(F.lit(1)).alias("k"))
+    asked = left.select("key", F.size("ct").alias("nc"), F.explode("ct").alias("token")).join(often, "token")
+    open_ = stored(asked.groupBy("key", "nc").agg(F.sort_array(F.collect_list(F.struct("k", "token"))).alias("ts")).withColumn("score", F.lit(0.0)))
+    best, r, n = None, 0, FIRST_TOKENS
+    while True:
+        looked = open_.select("key", "nc", "score", F.explode(F.slice("ts", r + 1, n)).alias("t")).select("key", "nc", "score", F.col("t.token").alias("token"))
+        met = looked.join(index, "token").where((F.col("np") >= F.col("score") * F.col("nc")) & (F.col("nc") >= F.col("score") * F.col("np")))
+        pairs = met.select("key", "pid", "ord").distinct()
+        full = pairs.join(left.select("key", "ct", "cv"), "key").join(right, ["pid", "ord"]).where(~blocked(F.col("low"), F.col("own"), F.col("cv")))
+        found = full.select("key", "pid", "ord", overlap(F.col("pt"), F.col("ct")).alias("score"))
+        best = stored(_best(found if best is None else found.unionByName(best)))
+        r += n
+        n = r
+        left_over = open_.drop("score").where(F.size("ts") > r).join(best.select("key", "score"), "key", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+        open_ = stored(left_over.where((F.size("ts") - r) / F.col("nc") >= F.col("score")))
+        if open_.isEmpty():
+            return best
 
 
 def _by_value(left: DataFrame, right: DataFrame) -> DataFrame:
-    """key, pid, ord and score of pairs whose premise holds the longest part of the claim's values."""
-    part = F.array_sort(F.transform("parts", lambda p: F.struct((-F.length(p)).alias("k"), p.alias("p"))))[0]["p"]
-    asked = left.select("key", "ct", "cv", part.alias("part"))
-    # A part of k characters is looked up among all substrings of k characters of each word.
-    sizes = asked.select(F.length("part").alias("k")).distinct()
-    words = right.select("*", F.explode(F.array_distinct(_runs(F.col("low")))).alias("word"))
-    places = F.sequence(F.lit(1), F.length("word") - F.col("k") + 1)
-    inside = words.join(F.broadcast(sizes), F.length("word") >= F.col("k")).select("pid", "ord", "low", "own", "pt", F.explode(F.array_distinct(F.transform(places, lambda i: F.substring("word", i, F.col("k"))))).alias("part"))
-    full = inside.join(asked, "part").where(~blocked(F.col("low"), F.col("own"), F.col("cv")))
+    """key, pid, ord and score of pairs whose premise holds the part of the claim's values that the fewest premises hold.
+    A claim with a part that no premise holds has none."""
+    spread = left.select("key", F.explode("parts").alias("part"))
+    held = stored(contained(right.select("pid", "ord", "low"), "low", spread).select("pid", "ord", "part"))
+    counts = held.groupBy("part").agg(F.count(F.lit(1)).alias("k"))
+    rare = spread.join(counts, "part", "left").groupBy("key").agg(F.min(F.struct(F.coalesce("k", F.lit(0)).alias("k"), "part")).alias("m"))
+    rare = stored(rare.where("m.k > 0").select("key", F.col("m.part").alias("part")))
+    near = held.join(rare, "part").select("key", "pid", "ord")
+    full = near.join(right, ["pid", "ord"]).join(left.select("key", "ct", "cv"), "key").where(~blocked(F.col("low"), F.col("own"), F.col("cv")))
     return full.select("key", "pid", "ord", overlap(F.col("pt"), F.col("ct")).alias("score"))

@@ -27,8 +27,8 @@ def produced(tau: Column) -> Column:
 
 
 def evidence_score(tau: Column) -> Column:
-    """The score that a claim is graded with; of a fabricated one the nearest."""
-    near = F.greatest("direct", "content", "hops")
+    """The score that a claim is graded with; of a fabricated one that of the nearest triple or fact."""
+    near = F.greatest("direct", "content")
     return F.when(F.col("direct") > tau, F.col("direct")).when(F.col("content") > tau, F.col("content")).when(F.col("hops") > tau, F.col("hops")).otherwise(near)
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import guarded_score, tokens
-from ..operators.graph import degrees, simple_paths, steps
-from ..operators.lineage import cut
+from ..operators.graph import degrees, simple_paths, steps, with_edges
+from ..operators.lineage import cut, stored
 from ..operators.linking import claim_ends
 from ..operators.scoring import best_premise
 
@@ -36,7 +36,9 @@ def scored_paths(claims: DataFrame, nodes: DataFrame, edges: DataFrame, how: Gro
     where claims have the columns head and tail, those that these link to."""
     ends = cut(claim_ends(claims, nodes))
     pairs = ends.join(ends.select("key", F.col("id").alias("dst")), "key").where("id < dst").select("key", F.col("id").alias("src"), "dst")
-    paths = simple_paths(pairs, steps(edges), how.hops)
+    # Each step of a path of two has an end among these; longer ones run anywhere.
+    near = ends.select("id").distinct() if how.hops <= 2 else None
+    paths = with_edges(simple_paths(pairs, stored(steps(edges, near)), how.hops), edges)
     told = told_paths(paths, nodes, "key", "nodes", "mult", "path")
     return told.join(claims.select("key", "text"), "key").select("key", "nodes", "path", "mult", "premise", guarded_score(F.col("premise"), F.col("text")).alias("score"))
 
@@ -60,6 +62,7 @@ def stages(claims: DataFrame, nodes: DataFrame, edges: DataFrame, facts: DataFra
     """Claims (key, text, and head and tail if known) with the best evidence of each stage and its score: d_id, d_ord and d
     of the triple, c_id and c of the content fact, h_nodes, h_path, h_premise and h of the path. Only claims that no triple
     and no fact supports are searched for paths."""
+    nodes, edges = stored(nodes), stored(edges)
     direct = best_premise(claims, edge_premises(nodes, edges).select("pid", "premise", "ord"), place=True)
     content = best_premise(claims, facts.select(F.col("entity_id").alias("pid"), F.col("fact").alias("premise"), F.col("label_ord").alias("ord")))
     stage = cut(claims.join(direct.toDF("key", "d_id", "d", "d_ord"), "key", "left").join(content.toDF("key", "c_id", "c"), "key", "left"))
@@ -70,10 +73,10 @@ def stages(claims: DataFrame, nodes: DataFrame, edges: DataFrame, facts: DataFra
 
 def verdicts(stage: DataFrame, how: Grounding = Grounding()) -> DataFrame:
     """key, status, source, evidence and score of claims with the evidence of each stage. A fabricated claim has the score
-    of what came nearest, null if nothing scored."""
+    of the triple or fact that came nearest, null if neither scored; paths that aren't accepted don't count."""
     pick = lambda d, c, h, none: F.when(F.col("d") > how.tau, d).when(F.col("c") > how.tau, c).when(F.col("h") > how.tau, h).otherwise(none)
     lit = F.lit
-    near = F.greatest(*[F.coalesce(x, lit(0.0)) for x in ("d", "c", "h")])
+    near = F.greatest(*[F.coalesce(x, lit(0.0)) for x in ("d", "c")])
     return stage.select(
         "key",
         pick(lit("retrieved"), lit("retrieved"), lit("reasoned-supportable"), lit("fabricated")).alias("status"),

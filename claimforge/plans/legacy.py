@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import blocked, tokens, values
-from ..operators.graph import all_paths, steps
+from ..operators.graph import all_paths, steps, with_edges
 from ..operators.lineage import cut
 from ..operators.linking import contained_pairs
 from .cascade import Grounding, edge_premises, told_paths
@@ -32,7 +32,7 @@ def premises(nodes: DataFrame, edges: DataFrame, facts: DataFrame, hops: int) ->
     """stage (d, c, h), pid, ord and premise of all triples, facts and paths."""
     direct = edge_premises(nodes, edges).select(F.lit("d").alias("stage"), "pid", "ord", "premise")
     content = facts.select(F.lit("c").alias("stage"), F.col("entity_id").alias("pid"), F.col("label_ord").cast("long").alias("ord"), F.col("fact").alias("premise"))
-    paths = told_paths(all_paths(steps(edges), hops), nodes, "nodes", "path")
+    paths = told_paths(with_edges(all_paths(steps(edges), hops), edges), nodes, "nodes", "path")
     return direct.withColumn("ord", F.col("ord").cast("long")).unionByName(content).unionByName(paths.select(F.lit("h").alias("stage"), F.array_join("nodes", ">").alias("pid"), F.lit(0).cast("long").alias("ord"), "premise"))
 
 

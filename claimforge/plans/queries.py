@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import calibration, edits, graph, linking, manifest, perturb, runs, scoring, snapshot, views
-from ..operators.lineage import cut
+from ..operators.lineage import cut, stored
 from ..sources import sparql, star
 from . import calibrate, cascade, grounding, records
 
@@ -154,8 +154,9 @@ pa AS (SELECT key, ends.src || '>' || a.dst || '>' || b.dst AS nodes, a.edge_ord
 
 
 def _order_paths(s: SparkSession, d: str) -> DataFrame:
-    steps = graph.steps(_edges(s, d))
-    return graph.simple_paths(_customer_ends(s, d), steps, 2)
+    ends = _customer_ends(s, d)
+    near = ends.select(F.col("src").alias("id")).union(ends.select("dst"))
+    return graph.simple_paths(ends, stored(graph.steps(_edges(s, d), near)), 2)
 
 
 @query(f"WITH {_PATHS_SQL} SELECT key, nodes, first_edge, second_edge FROM pa")
@@ -177,7 +178,7 @@ SELECT key, nodes, pos, CASE property_id WHEN 'PC' THEN object_id ELSE subject_i
   CASE property_id WHEN 'PC' THEN subject_id ELSE object_id END AS object_id, (src = subject_id) = (property_id <> 'PC') AS forward FROM x JOIN e USING (edge_ord)""")
 def canonical_path_edges(s: SparkSession, d: str) -> DataFrame:
     """The edges of the orders' paths, with `placed by` told as its inverse."""
-    paths = _order_paths(s, d).withColumn("nodes", F.array_join("nodes", ">"))
+    paths = graph.with_edges(_order_paths(s, d), _edges(s, d)).withColumn("nodes", F.array_join("nodes", ">"))
     out = cascade.canonical_edges(paths, _nodes(s, d), s.createDataFrame(_INVERSES, "property string, inverse string"))
     return out.select("key", "nodes", "pos", "subject_id", "property_id", "property_label", "object_id", "forward")
 
@@ -367,7 +368,7 @@ _LINKS_SQL = _links_sql(True)
 _GRADES = f"""SELECT key, CASE WHEN ds > {HOW.tau} OR cs > {HOW.tau} THEN 'retrieved' WHEN hs > {HOW.tau} THEN 'reasoned-supportable' ELSE 'fabricated' END AS status,
   CASE WHEN ds > {HOW.tau} THEN 'direct_triple' WHEN cs > {HOW.tau} THEN 'text_content' WHEN hs > {HOW.tau} THEN 'multi_hop_path' ELSE 'none' END AS source,
   CASE WHEN ds > {HOW.tau} THEN di WHEN cs > {HOW.tau} THEN ci WHEN hs > {HOW.tau} THEN hi ELSE '' END AS evidence,
-  round(CASE WHEN ds > {HOW.tau} THEN ds WHEN cs > {HOW.tau} THEN cs WHEN hs > {HOW.tau} THEN hs ELSE nullif(greatest(ds, cs, hs), 0) END, 9) AS score FROM g"""
+  round(CASE WHEN ds > {HOW.tau} THEN ds WHEN cs > {HOW.tau} THEN cs WHEN hs > {HOW.tau} THEN hs ELSE nullif(greatest(ds, cs), 0) END, 9) AS score FROM g"""
 _ALL_STAGES = "g AS MATERIALIZED (SELECT cl.key, coalesce(dt.score, 0) AS ds, coalesce(co.score, 0) AS cs, coalesce(pb.score, 0) AS hs, dt.pid AS di, co.pid AS ci, pb.nodes AS hi FROM cl LEFT JOIN dt USING (key) LEFT JOIN co USING (key) LEFT JOIN pb USING (key))"
 
 
