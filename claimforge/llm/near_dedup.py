@@ -157,60 +157,75 @@ def _pivots(side: DataFrame) -> DataFrame:
 
 
 def _rest_links(scratch: Scratch, side: DataFrame, sets: DataFrame, links: DataFrame, how: NearDedup) -> DataFrame:
-    """``links`` and all links between different components inside the buckets of ``side``, without comparing all pairs.
+    """``links`` and links that connect what is linked inside the buckets of ``side``, without comparing all pairs.
 
-    Each bucket takes one more pivot p, and every member x is told by its difference D(x), the shingles that only one of
-    x and p has. Sets x and y differ by |D(x)| + |D(y)| - 2 |D(x) and D(y)| shingles, and they are linked if that is at
-    most r (|x| + |y|), where r = (100 - percent) / (100 + percent). So a link needs ``need`` common differences:
+    Members that share a bucket pivot are a group. Its centre is the set of the shingles that more than half of its members
+    have, and a member x is told by its difference D(x), the shingles that only one of x and the centre has. Sets x and y
+    differ by |D(x)| + |D(y)| - 2 |D(x) and D(y)| shingles, and they are linked if that is at most r (|x| + |y|), where
+    r = (100 - percent) / (100 + percent). So a link needs ``need`` common differences:
 
-        need(x, y) = (|D(x)| + |D(y)| - r (|x| + |y|)) / 2
+        need(x, y) = (s(x) + s(y)) / 2, where s(x) = |D(x)| - r |x|
 
-    What p is linked with joins p's component first. A link that is still missing has an end x outside of that, which is
-    no link of p: |D(x)| > r (|x| + |p|), hence need(x, y) > (|D(y)| + r (|p| - |y|)) / 2 >= 0 for every y, which is about
-    half of D(y). The differences of a member are ordered by how many members have them, rare ones first; the first
-    common one of a pair is among the first |D| - need + 1 of either, and after it enough must be left in both (prefix
-    and position filters, both exact). Differences that one member has alone, as most edits are, meet nothing.
+    If s(x) + s(y) <= 0, the two are linked whatever they share. The member of least s is then linked with both, so its own
+    links of this kind connect all of them. For all other pairs need is above 0, and no shingle is a difference of more than
+    half of the members. Differences are ordered by how many members have them, rare ones first; the first common one of a
+    pair is among the first |D| - need + 1 of either, and after it enough must be left in both (prefix and position filters,
+    both exact). Differences that one member has alone, as most edits are, meet nothing; neither do members of one component.
+
+    A pair's prefix shrinks as its partner's difference grows, so members meet by class of s, classes being powers of two
+    of the set's size: for each class of partners a member offers no more than the prefix that the least of them asks for.
     """
     q = how.percent
     pivots = scratch.write("rest-pivots", _pivots(side).select("key", "pivot"))
-    group = side.join(pivots, "key").where("id <> pivot").select("pivot", "id").distinct()
-    own = sets.select("id", "s")
-    # A group is a pivot's set, not its id, which may have several sets.
-    middle = sets.select(F.col("id").alias("pivot"), F.col("s").alias("ps"), F.xxhash64("id", "s").alias("centre"))
-    cut = group.join(own, "id").join(middle, "pivot").select(
-        "centre", "pivot", "id", F.xxhash64("s").alias("mark"), F.size("s").alias("n"), F.size("ps").alias("pn"),
-        F.concat(F.array_except("s", "ps"), F.array_except("ps", "s")).alias("d"),
-    )
-    cut = scratch.write("rest-cut", cut.withColumn("dn", F.size("d")))
-    direct = cut.where((F.col("dn") * (100 + q) <= (F.col("n") + F.col("pn")) * (100 - q))).select(F.col("pivot").alias("a"), F.col("id").alias("b"))
+    group = scratch.write("rest-group", side.join(pivots, "key").select("pivot", "id").distinct())
+    own = sets.select("id", "s").withColumn("mark", F.xxhash64("s"))
+    # Members are sets, not ids, which may have several.
+    held = scratch.write("rest-held", group.join(own, "id"))
+    many = scratch.write("rest-many", held.groupBy("pivot").agg(F.count(F.lit(1)).alias("g")))
+    common = held.select("pivot", F.explode("s").alias("token")).groupBy("pivot", "token").agg(F.count(F.lit(1)).alias("k"))
+    # At most as many as twice the mean size of the group's sets.
+    centre = common.join(many, "pivot").where(F.col("k") * 2 > F.col("g")).groupBy("pivot").agg(F.collect_list("token").alias("c"))
+    centre = scratch.write("rest-centre", many.select("pivot").join(centre, "pivot", "left").withColumn("c", F.coalesce("c", F.array().cast("array<long>"))))
+    cut = held.join(centre, "pivot").select("pivot", "id", "mark", F.size("s").alias("n"), F.concat(F.array_except("s", "c"), F.array_except("c", "s")).alias("d"))
+    # slack: (100 + percent) s(x), a whole number.
+    cut = cut.withColumn("dn", F.size("d")).withColumn("slack", F.col("dn") * (100 + q) - F.col("n") * (100 - q))
+    cut = scratch.write("rest-cut", cut)
+    scratch.drop("rest-held")
+
+    least = scratch.write("rest-least", cut.groupBy("pivot").agg(F.min(F.struct("slack", "id")).alias("l")).select("pivot", F.col("l.id").alias("head"), F.col("l.slack").alias("ls")))
+    direct = cut.join(least, "pivot").where((F.col("slack") + F.col("ls") <= 0) & (F.col("id") != F.col("head"))).select(F.col("head").alias("a"), F.col("id").alias("b"))
     links = scratch.write("rest-links", links.union(direct))
     comps = connected_components(scratch, "rest-direct", links)
-
-    lone = cut.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    lone = lone.join(comps.select(F.col("id").alias("pivot"), F.col("comp").alias("pcomp")), "pivot", "left")
-    lone = lone.withColumn("outside", F.col("comp") != F.coalesce("pcomp", "pivot")).drop("pivot", "pcomp")
-    lone = scratch.write("rest-placed", lone)
+    known = comps.select("id", "comp")
+    lone = cut.join(known, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    lone = lone.join(least.drop("ls"), "pivot").join(known.toDF("head", "hcomp"), "head", "left")
+    # Of two members of different components one at least isn't in that of the head.
+    lone = scratch.write("rest-placed", lone.withColumn("outside", F.col("comp") != F.coalesce("hcomp", "head")).drop("head", "hcomp"))
     scratch.drop("rest-cut")
-    open_ = scratch.write("rest-centres", lone.where("outside").select("centre").distinct())
-    member = ["centre", "id", "mark"]
-    told = lone.join(open_, "centre", "left_semi").select(*member, "n", "pn", "dn", "comp", "outside", F.explode("d").alias("token"))
-    told = scratch.write("rest-tokens", told)
-    often = scratch.write("rest-often", told.groupBy("centre", "token").agg(F.count(F.lit(1)).alias("k")).where("k > 1"))
-    facts = F.first(F.struct("n", "pn", "dn", "comp", "outside")).alias("m")
-    ranked = told.join(often, ["centre", "token"], "left").groupBy(*member).agg(facts, F.sort_array(F.collect_list(F.struct(F.coalesce("k", F.lit(1)).alias("k"), "token"))).alias("t"))
-    ranked = ranked.select("centre", "id", "m.*", F.posexplode("t").alias("i", "t")).where("t.k > 1")
-    # need(x, y) for every y, from what x alone tells: as the end y of the bound above, and with |D(y)| >= need.
-    half = F.floor((F.col("dn") * (100 + q) + (F.col("pn") - F.col("n")) * (100 - q)) / (2 * (100 + q))) + 1
-    long = F.ceil((F.col("dn") * (100 + q) - (F.col("n") + F.floor(F.col("n") * 100 / q)) * (100 - q)) / (100 + q))
-    long = F.least(half, F.greatest(long, F.lit(1)))
-    first = ranked.withColumns({"half": F.col("dn") - half + 1, "reach": F.col("dn") - F.when(F.col("outside"), long).otherwise(half) + 1})
-    first = first.where("i < reach").select("centre", F.col("t.token").alias("token"), "id", "n", "dn", "comp", "outside", "i", "half")
-    first = scratch.write("rest-prefix", first)
-    ask = first.where("outside")
-    other = first.where("i < half").select("centre", "token", *[F.col(c).alias(f"o{c}") for c in ("id", "n", "dn", "comp", "outside", "i")])
-    need = F.ceil(((F.col("dn") + F.col("odn")) * (100 + q) - (F.col("n") + F.col("on")) * (100 - q)) / (2 * (100 + q)))
+    open_ = scratch.write("rest-open", lone.where("outside").select("pivot").distinct())
+    member = ["pivot", "id", "mark"]
+    facts = ["n", "dn", "slack", "comp", "outside"]
+    told = scratch.write("rest-tokens", lone.join(open_, "pivot", "left_semi").select(*member, *facts, F.explode("d").alias("token")))
+    often = scratch.write("rest-often", told.groupBy("pivot", "token").agg(F.count(F.lit(1)).alias("k")).where("k > 1"))
+    ranked = told.join(often, ["pivot", "token"], "left").groupBy(*member).agg(F.first(F.struct(*facts)).alias("m"), F.sort_array(F.collect_list(F.struct(F.coalesce("k", F.lit(1)).alias("k"), "token"))).alias("t"))
+    ranked = scratch.write("rest-ranked", ranked.select(*member, "m.*", "t"))
+    scratch.drop("rest-tokens")
+
+    # Classes of slack. The least class holds all members of no positive slack; in class c > 0 it is 2^(c - 1) at least.
+    level = F.when(F.col("slack") <= 0, F.lit(0)).otherwise(F.floor(F.log2(F.col("slack").cast("double"))).cast("int") + 1)
+    ranked = ranked.withColumn("level", level)
+    classes = scratch.write("rest-classes", ranked.groupBy("pivot", F.col("level").alias("other")).agg(F.min("slack").alias("floor"), F.count(F.lit(1)).alias("members")))
+    asks = ranked.join(classes, "pivot").withColumn("need", F.greatest(F.lit(1), F.ceil((F.col("slack") + F.col("floor")) / (2 * (100 + q)))))
+    reach = F.least("dn", F.col("dn") - F.col("need") + 1)
+    offered = asks.where(reach > 0).select("pivot", "other", "level", "id", *facts, F.posexplode(F.slice("t", F.lit(1), reach.cast("int"))).alias("i", "t"))
+    offered = offered.where("t.k > 1").select("pivot", "other", "level", "id", *facts, "i", F.col("t.token").alias("token"))
+    offered = scratch.write("rest-offered", offered)
+    scratch.drop("rest-ranked")
+    ask = offered.where("outside")
+    theirs = offered.select("pivot", F.col("level").alias("other"), F.col("other").alias("level"), "token", *[F.col(c).alias(f"o{c}") for c in ("id", *facts, "i")])
+    need = F.ceil((F.col("slack") + F.col("oslack")) / (2 * (100 + q)))
     apart = (F.col("comp") != F.col("ocomp")) & _fits(F.col("n"), F.col("on"), how) & (~F.col("ooutside") | (F.col("id") < F.col("oid")))
-    met = ask.join(other, ["centre", "token"]).where(apart & (F.least(F.col("dn") - F.col("i"), F.col("odn") - F.col("oi")) >= need))
+    met = ask.join(theirs, ["pivot", "other", "level", "token"]).where(apart & (F.least(F.col("dn") - F.col("i"), F.col("odn") - F.col("oi")) >= need))
     pairs = scratch.write("rest-pairs", met.select(F.least("id", "oid").alias("a"), F.greatest("id", "oid").alias("b")).distinct())
     return links.union(scratch.write("rest-found", _linked(pairs, sets, how)))
 
