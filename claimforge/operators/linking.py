@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS, normalize
 from .containment import contained
+from .lineage import stored
 
 
 def label_index(nodes: DataFrame) -> DataFrame:
@@ -33,8 +34,9 @@ def contained_pairs(texts: DataFrame, labels: DataFrame) -> DataFrame:
 def link_best(mentions: DataFrame, nodes: DataFrame) -> DataFrame:
     """key, id, score: the exact node (score 1), else the contained or containing label of best score, least id on ties.
     A label scores its length over the longer of label and mention."""
-    texts = mentions.select("key", normalize(F.col("mention")).alias("norm")).where("norm <> ''")
-    index = label_index(nodes)
+    # Both are read several times, and what normalising them takes is done once.
+    texts = stored(mentions.select("key", normalize(F.col("mention")).alias("norm")).where("norm <> ''"))
+    index = stored(label_index(nodes))
     exact = texts.join(index, "norm").select("key", "id", F.lit(1.0).alias("score"))
     open_ = texts.join(exact.select("key"), "key", "left_anti")
     pairs = contained_pairs(open_, index.select("id", F.col("norm").alias("label")))
@@ -45,8 +47,8 @@ def link_best(mentions: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def link_text(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     """key, id for every node (labels aren't merged) whose label contains the text or is contained in it."""
-    norm = texts.select("key", normalize(F.col("text")).alias("norm")).where("norm <> ''")
-    labels = nodes.select("id", normalize(F.col("label")).alias("label")).where("label <> ''")
+    norm = stored(texts.select("key", normalize(F.col("text")).alias("norm")).where("norm <> ''"))
+    labels = stored(nodes.select("id", normalize(F.col("label")).alias("label")).where("label <> ''"))
     return contained_pairs(norm, labels).select("key", "id")
 
 

@@ -170,6 +170,24 @@ def path_multiplicity(s: SparkSession, d: str) -> DataFrame:
     return _order_paths(s, d).groupBy("key").agg(F.count(F.lit(1)).alias("n_paths"), F.sum("mult").alias("multiplicity"))
 
 
+# Ends are a nation and a part or order, so a part's or order's own neighbours come first.
+_SUPPLY_SQL = f"""e AS ({star.EDGES}), {_STEPS_SQL},
+ends AS (SELECT DISTINCT 'P' || l_partkey || '-N' || s_nationkey AS key, 'N' || s_nationkey AS src, 'P' || l_partkey AS dst FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_returnflag = 'R'),
+p2 AS (SELECT key, ends.src || '>' || b.src || '>' || ends.dst AS nodes, a.mult * b.mult AS mult FROM ends JOIN st b ON b.dst = ends.dst JOIN st a ON a.src = ends.src AND a.dst = b.src),
+p3 AS (SELECT key, ends.src || '>' || b.src || '>' || c.src || '>' || ends.dst AS nodes, a.mult * b.mult * c.mult AS mult
+  FROM ends JOIN st c ON c.dst = ends.dst JOIN st b ON b.dst = c.src JOIN st a ON a.src = ends.src AND a.dst = b.src WHERE b.src <> ends.dst AND b.src <> ends.src AND c.src <> ends.src)"""
+
+
+@query(f"WITH {_SUPPLY_SQL} SELECT key, nodes, mult::BIGINT AS mult FROM (SELECT * FROM p2 UNION ALL SELECT * FROM p3)")
+def three_hop_paths(s: SparkSession, d: str) -> DataFrame:
+    """How returned parts and their suppliers' nations are connected by up to three steps."""
+    lines = _table(s, d, "lineitem").where("l_returnflag = 'R'").join(_table(s, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    part, nation = F.concat(F.lit("P"), F.col("l_partkey").cast("string")), F.concat(F.lit("N"), F.col("s_nationkey").cast("string"))
+    ends = lines.select(F.concat_ws("-", part, nation).alias("key"), nation.alias("src"), part.alias("dst")).distinct()
+    found = graph.simple_paths(ends, stored(graph.steps(_edges(s, d))), 3)
+    return found.select("key", F.array_join("nodes", ">").alias("nodes"), "mult")
+
+
 _INVERSES = [("PC", "PO"), ("PZ", "PY")]
 
 
