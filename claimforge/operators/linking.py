@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,19 +58,20 @@ def link_text(texts: DataFrame, nodes: DataFrame) -> DataFrame:
 ACCEPT = 0.5
 
 
-def side_links(claims: DataFrame, nodes: DataFrame) -> DataFrame:
-    """key, side (0 head, 1 tail), mention, and the id and score of its best link, null without one."""
+def side_links(claims: DataFrame, nodes: DataFrame, link: Callable[[DataFrame, DataFrame], DataFrame] = link_best) -> DataFrame:
+    """key, side (0 head, 1 tail), mention, and the id and score of its best link, null without one. ``link`` turns mentions
+    (key, mention) and nodes into key, id and score."""
     sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("head").alias("m")), F.struct(F.lit(1).alias("side"), F.col("tail").alias("m"))))
     mentions = claims.select("key", sides.alias("x")).where("x.m <> ''").select(F.struct("key", "x.side").alias("key"), F.col("x.m").alias("mention"))
-    return mentions.join(link_best(mentions, nodes), "key", "left").select("key.key", "key.side", "mention", "id", "score")
+    return mentions.join(link(mentions, nodes), "key", "left").select("key.key", "key.side", "mention", "id", "score")
 
 
-def claim_ends(claims: DataFrame, nodes: DataFrame) -> DataFrame:
+def claim_ends(claims: DataFrame, nodes: DataFrame, link: Callable[[DataFrame, DataFrame], DataFrame] = link_best) -> DataFrame:
     """key, id: the entities of a claim, from the accepted links of its head and tail, where claims have these columns,
     and from the labels in its text."""
     found = link_text(claims, nodes)
     if "head" in claims.columns:
-        found = found.union(side_links(claims, nodes).where(F.col("score") >= ACCEPT).select("key", "id"))
+        found = found.union(side_links(claims, nodes, link).where(F.col("score") >= ACCEPT).select("key", "id"))
     return found.distinct()
 
 

@@ -7,11 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import guarded_score, tokens
+from ..functions.text import tokens
 from ..operators.graph import degrees, simple_paths, steps, with_edges
 from ..operators.lineage import cut, stored
 from ..operators.linking import claim_ends
 from ..operators.scoring import best_premise
+from .choices import Choices, best_scored
 
 
 @dataclass(frozen=True)
@@ -31,16 +32,16 @@ def edge_premises(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return named.select(key.alias("pid"), text.alias("premise"), F.col("edge_ord").alias("ord"), "subject_id", "object_id", "property_id")
 
 
-def scored_paths(claims: DataFrame, nodes: DataFrame, edges: DataFrame, how: Grounding) -> DataFrame:
+def scored_paths(claims: DataFrame, nodes: DataFrame, edges: DataFrame, how: Grounding, by: Choices = Choices()) -> DataFrame:
     """key, nodes, path, mult and score of the simple paths between the entities of a claim: those named in its text and,
     where claims have the columns head and tail, those that these link to."""
-    ends = cut(claim_ends(claims, nodes))
+    ends = cut(claim_ends(claims, nodes, by.link))
     pairs = ends.join(ends.select("key", F.col("id").alias("dst")), "key").where("id < dst").select("key", F.col("id").alias("src"), "dst")
     # Each step of a path of two has an end among these; longer ones run anywhere.
     near = ends.select("id").distinct() if how.hops <= 2 else None
     paths = with_edges(simple_paths(pairs, stored(steps(edges, near)), how.hops), edges)
     told = told_paths(paths, nodes, "key", "nodes", "mult", "path")
-    return told.join(claims.select("key", "text"), "key").select("key", "nodes", "path", "mult", "premise", guarded_score(F.col("premise"), F.col("text")).alias("score"))
+    return told.join(claims.select("key", "text"), "key").select("key", "nodes", "path", "mult", "premise", by.score(F.col("premise"), F.col("text")).alias("score"))
 
 
 def told_paths(paths: DataFrame, nodes: DataFrame, *by: str) -> DataFrame:
@@ -58,16 +59,23 @@ def best_path(paths: DataFrame) -> DataFrame:
     return best.select("key", F.col("b.nodes").alias("nodes"), F.col("b.path").alias("path"), F.col("b.premise").alias("premise"), (-F.col("b.minus")).alias("score"))
 
 
-def stages(claims: DataFrame, nodes: DataFrame, edges: DataFrame, facts: DataFrame, how: Grounding = Grounding()) -> DataFrame:
+def best_evidence(claims: DataFrame, premises: DataFrame, by: Choices, place: bool = False) -> DataFrame:
+    """key, pid and score of the best premise, with ``place`` its ord: by the lexical search or among the candidates."""
+    if by.candidates is None:
+        return best_premise(claims, premises, place)
+    return best_scored(by.candidates(claims.select("key", "text"), premises), by.score, place)
+
+
+def stages(claims: DataFrame, nodes: DataFrame, edges: DataFrame, facts: DataFrame, how: Grounding = Grounding(), by: Choices = Choices()) -> DataFrame:
     """Claims (key, text, and head and tail if known) with the best evidence of each stage and its score: d_id, d_ord and d
     of the triple, c_id and c of the content fact, h_nodes, h_path, h_premise and h of the path. Only claims that no triple
     and no fact supports are searched for paths."""
     nodes, edges = stored(nodes), stored(edges)
-    direct = best_premise(claims, edge_premises(nodes, edges).select("pid", "premise", "ord"), place=True)
-    content = best_premise(claims, facts.select(F.col("entity_id").alias("pid"), F.col("fact").alias("premise"), F.col("label_ord").alias("ord")))
+    direct = best_evidence(claims, edge_premises(nodes, edges).select("pid", "premise", "ord"), by, place=True)
+    content = best_evidence(claims, facts.select(F.col("entity_id").alias("pid"), F.col("fact").alias("premise"), F.col("label_ord").alias("ord")), by)
     stage = cut(claims.join(direct.toDF("key", "d_id", "d", "d_ord"), "key", "left").join(content.toDF("key", "c_id", "c"), "key", "left"))
     open_ = stage.where((F.coalesce("d", F.lit(0.0)) <= how.tau) & (F.coalesce("c", F.lit(0.0)) <= how.tau)).select(*claims.columns)
-    hops = best_path(scored_paths(open_, nodes, edges, how)).select("key", "nodes", "path", "premise", "score")
+    hops = best_path(scored_paths(open_, nodes, edges, how, by)).select("key", "nodes", "path", "premise", "score")
     return stage.join(hops.toDF("key", "h_nodes", "h_path", "h_premise", "h"), "key", "left")
 
 
@@ -86,10 +94,10 @@ def verdicts(stage: DataFrame, how: Grounding = Grounding()) -> DataFrame:
     )
 
 
-def grade(claims: DataFrame, nodes: DataFrame, edges: DataFrame, facts: DataFrame, how: Grounding = Grounding()) -> DataFrame:
-    """key, status, source, evidence and score of each claim (key, text, and head and tail if known). Nulls: a claim
-    without text has no evidence."""
-    return verdicts(stages(claims, nodes, edges, facts, how), how)
+def grade(claims: DataFrame, nodes: DataFrame, edges: DataFrame, facts: DataFrame, how: Grounding = Grounding(), by: Choices = Choices()) -> DataFrame:
+    """key, status, source, evidence and score of each claim (key, text, and head and tail if known), scored and linked as
+    ``by`` says. Nulls: a claim without text has no evidence."""
+    return verdicts(stages(claims, nodes, edges, facts, how, by), how)
 
 
 def canonical_property(rows: DataFrame, surface: str, aliases: DataFrame) -> DataFrame:

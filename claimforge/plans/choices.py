@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,12 +44,44 @@ def scorer(name: str, score: Callable[[Column, Column], Column] | None = None) -
     raise ValueError(f"unknown scorer {name!r}: lexical or model")
 
 
-def best_scored(pairs: DataFrame, score: Callable[[Column, Column], Column] = guarded_score) -> DataFrame:
-    """From candidate pairs (key, text, pid, premise, ord): key, pid and score of the best premise of each key by any
-    scorer, the first on ties; keys without a positive score are absent."""
+def model_scorer(load: Callable[[], Callable[[list[str], list[str]], list[float]]]) -> Callable[[Column, Column], Column]:
+    """A scorer over a model: ``load`` is called once a task and gives a function from premises and hypotheses to scores,
+    which then sees one Arrow batch after the other. A null premise or text scores 0."""
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        model = load()
+        for premise, text in batches:
+            out = pd.Series(0.0, premise.index)
+            some = premise.notna() & text.notna()
+            if some.any():
+                out[some] = list(model(premise[some].tolist(), text[some].tolist()))
+            yield out
+
+    return score
+
+
+@dataclass(frozen=True)
+class Choices:
+    """What the cascade scores and links by. With ``candidates``, a function from claims (key, text) and premises (pid,
+    premise, ord) to the pairs (key, text, pid, premise, ord) that are worth scoring, evidence is searched among these by
+    ``score``, as a model needs it; without, by the lexical search, which no other score may replace."""
+
+    score: Callable[[Column, Column], Column] = guarded_score
+    link: Callable[[DataFrame, DataFrame], DataFrame] = link_best
+    candidates: Callable[[DataFrame, DataFrame], DataFrame] | None = None
+
+    def __post_init__(self):
+        if self.candidates is None and self.score is not guarded_score:
+            raise ValueError("a scorer of one's own needs candidates")
+
+
+def best_scored(pairs: DataFrame, score: Callable[[Column, Column], Column] = guarded_score, place: bool = False) -> DataFrame:
+    """From candidate pairs (key, text, pid, premise, ord): key, pid and score (with ``place`` ord too) of the best premise
+    of each key by any scorer, the first on ties; keys without a positive score are absent."""
     rows = pairs.select("key", "pid", "ord", score(F.col("premise"), F.col("text")).alias("score")).where("score > 0")
     best = rows.groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("minus"), "ord", "pid")).alias("b"))
-    return best.select("key", F.col("b.pid").alias("pid"), (-F.col("b.minus")).alias("score"))
+    return best.select("key", F.col("b.pid").alias("pid"), (-F.col("b.minus")).alias("score"), *([F.col("b.ord").alias("ord")] if place else []))
 
 
 def generation_key(question: Column, context: Column, temperature: Column, seed: Column) -> Column:

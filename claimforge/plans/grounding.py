@@ -9,6 +9,8 @@ from ..functions.text import cue_parts, normalize, sentences
 from ..operators.linking import ACCEPT, link_text, side_links, unresolved
 from ..operators.runs import status_counts
 from .cascade import Grounding, grade
+from .choices import Choices
+
 
 def answer_claims(answers: DataFrame) -> DataFrame:
     """From run_id, answer_text: key (run_id, claim_pos), claim_id within the run, text, head, relation, tail."""
@@ -18,11 +20,11 @@ def answer_claims(answers: DataFrame) -> DataFrame:
     return rows.select(key, "run_id", F.concat(F.lit("c"), F.col("claim_pos") + 1).alias("claim_id"), "text", "parts.*")
 
 
-def claim_links(claims: DataFrame, nodes: DataFrame) -> DataFrame:
+def claim_links(claims: DataFrame, nodes: DataFrame, by: Choices = Choices()) -> DataFrame:
     """key, linked, ids and unresolved of each claim. linked: entities with label, description and link score in the order
     of discovery (head, tail, labels in the text), each once. unresolved: heads and tails without a link, then letter
     tokens that no found label covers."""
-    linked = side_links(claims, nodes)
+    linked = side_links(claims, nodes, by.link)
     about = F.col("description") if "description" in nodes.columns else F.lit(None).cast("string")
     order = nodes.select("id", "node_ord", "label", about.alias("description"))
     near = linked.where(F.col("score") >= ACCEPT).select("key", "id", F.struct(F.col("side").alias("src"), F.lit(0).cast("long").alias("pos")).alias("at"), "score")
@@ -48,12 +50,12 @@ def normalize_label(label):
     return F.lower(label)
 
 
-def ground(answers: DataFrame, nodes: DataFrame, edges: DataFrame, facts: DataFrame, how: Grounding = Grounding()) -> DataFrame:
+def ground(answers: DataFrame, nodes: DataFrame, edges: DataFrame, facts: DataFrame, how: Grounding = Grounding(), by: Choices = Choices()) -> DataFrame:
     """run_id, claim_id, text, status, source, evidence, score, ids, unresolved of each claim of each answer. Paths are
     searched between all entities that a claim is linked with."""
     claims = answer_claims(answers)
-    graded = grade(claims.select("key", "text", "head", "tail"), nodes, edges, facts, how)
-    return claims.join(graded, "key").join(claim_links(claims, nodes), "key").drop("key", "linked")
+    graded = grade(claims.select("key", "text", "head", "tail"), nodes, edges, facts, how, by)
+    return claims.join(graded, "key").join(claim_links(claims, nodes, by), "key").drop("key", "linked")
 
 
 def summaries(runs: DataFrame, claims: DataFrame) -> DataFrame:

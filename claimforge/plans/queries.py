@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import calibration, edits, graph, linking, manifest, perturb, runs, scoring, snapshot, views
+from ..operators import calibration, edits, graph, linking, manifest, perturb, runs, scoring, snapshot, vectors, views
 from ..operators.lineage import cut, stored
 from ..sources import sparql, star
 from . import calibrate, cascade, grounding, records
@@ -430,6 +430,17 @@ def spurious_flags(s: SparkSession, d: str) -> DataFrame:
     return cascade.spurious(best, edges, surfaces, HOW)
 
 
+@query()
+def embedding_neighbours(s: SparkSession, d: str) -> DataFrame:
+    """The nearest rows of each 20th row of the embeddings, among all of them, by the index that gives scorers and linkers
+    their candidates. Approximate, so without SQL; its recall is tested."""
+    rows = vectors.usable(_table(s, d, "embeddings"))
+    index = vectors.fit(rows)
+    if index is None:
+        return s.createDataFrame([], "vec_id long, rank int, neighbour_id long, score double")
+    return vectors.neighbours(rows.where("vec_id % 20 = 0"), rows, index).select("vec_id", "rank", "neighbour_id", "score")
+
+
 # --- ablation and sweep ---------------------------------------------------------------------------------------------
 
 _REFS = """SELECT 'S' || CAST(s_suppkey AS STRING) AS subject_id, 'PS' AS property_id, CAST(NULL AS STRING) AS object_id FROM {supplier} WHERE s_acctbal < 0
