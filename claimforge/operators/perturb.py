@@ -52,6 +52,22 @@ def contexts(nodes: DataFrame, edges: DataFrame, facts: DataFrame) -> DataFrame:
     return joined.select("id", "label", F.nullif(described(F.col("description"), F.coalesce("facts", none)), F.lit("")).alias("description"), "triples")
 
 
+def contexts_of(wanted: DataFrame, nodes: DataFrame, edges: DataFrame, facts: DataFrame) -> DataFrame:
+    """The contexts of the entities asked for (id), each once, with image_path, which a full context never holds. Asking for
+    an entity that isn't a node raises."""
+    held = wanted.select("id").distinct().join(contexts(nodes, edges, facts).withColumn("__there", F.lit(True)), "id", "left")
+    missing = F.raise_error(F.concat(F.lit("no such entity: "), F.coalesce("id", F.lit("null"))))
+    return held.select(F.when(F.col("__there"), F.col("id")).otherwise(missing).alias("id"), "label", "description", "triples", F.lit(None).cast("string").alias("image_path"))
+
+
+def from_entries(entries: DataFrame) -> list[tuple[str, DataFrame]]:
+    """Manifest entries (ord, type_name, entity_id, triples) as what `Perturbations.apply` takes: a kind and its rows, one
+    kind after the other as they first occur. Withholding does not depend on order."""
+    kinds = [r.type_name for r in entries.groupBy("type_name").agg(F.min("ord").alias("o")).orderBy("o").collect()]
+    rows = {"knowledge_absence": entries.where("type_name = 'knowledge_absence'").select(F.explode("triples").alias("t")).select("t.*")}
+    return [(k, rows[k] if k in rows else entries.where(F.col("type_name") == k).select(F.col("entity_id").alias("id"))) for k in kinds]
+
+
 def prompt(label: Column, description: Column, triples: Column) -> Column:
     """The prompt of a context: ``label: description``, then ``- property: value`` lines."""
     lines = F.transform(triples, lambda t: F.concat(F.lit("- "), t["property"], F.lit(": "), t["value"]))

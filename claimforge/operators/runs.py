@@ -21,6 +21,15 @@ def status_counts(claims: DataFrame, *by: str) -> DataFrame:
     return claims.groupBy(*by).agg(*counts, F.count("status").alias("total"))
 
 
+def status_rollup(claims: DataFrame, by: str = "condition") -> DataFrame:
+    """``by``, status, n and level: claims of each value and status, zeros included (level 0), of each value (1, null
+    status), and of all (3, both null)."""
+    every = claims.select(by).distinct().withColumn("status", F.explode(F.array(*map(F.lit, STATUSES))))
+    counts = claims.groupBy(by, "status").agg(F.count(F.lit(1)).alias("k"))
+    cells = every.join(counts, every[by].eqNullSafe(counts[by]) & (every.status == counts.status), "left").select(every[by], every.status, F.coalesce("k", F.lit(0)).alias("k"))
+    return cells.rollup(by, "status").agg(F.sum("k").alias("n"), F.grouping_id().cast("long").alias("level")).select(by, "status", "n", "level")
+
+
 def run_fractions(runs: DataFrame, claims: DataFrame) -> DataFrame:
     """run_id, condition and the share of each status; a run without claims has zeros."""
     counts = runs.join(status_counts(claims, "run_id"), "run_id", "left")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
+from .lineage import stored
 from pyspark.sql import Window as W
 
 # The value types of edges, the datatype names that map to them, and the names' aliases in lower case.
@@ -68,6 +70,33 @@ def overlap_report(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return counts.join(nodes.select("id", described.alias("described")), "id", "left").select("id", "triples", F.coalesce("described", F.lit(False)).alias("described"))
 
 
+def overlap_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: entities, and how many of them have a description, none, edges, and both. Entities are the subjects of
+    edges; without any edge, all nodes."""
+    subjects = overlap_report(nodes, edges)
+    if edges.isEmpty():
+        described = F.coalesce(F.regexp_replace("description", r"(?U)^\s+|\s+$", "") != "", F.lit(False))
+        subjects = nodes.groupBy("id").agg(F.bool_or(described).alias("described")).select("id", F.lit(0).cast("long").alias("triples"), "described")
+    told, linked = F.col("described"), F.col("triples") > 0
+    return subjects.agg(
+        F.count(F.lit(1)).alias("num_entities"), F.count_if(told).alias("num_with_description"), F.count_if(~told).alias("num_without_description"),
+        F.count_if(linked).alias("num_with_triples"), F.count_if(told & linked).alias("num_with_both"),
+    )
+
+
+def numbered_edges(edges: DataFrame, keep: str = "edge_ord") -> DataFrame:
+    """Edges with edge_no, their place from 0 in the order of subject, property, object (null as empty), object label and
+    ``keep``; nothing is merged. Range partitions are sorted each on its own, and a partition's count is added to those
+    after it, so no task holds more than its part; only a row for each partition meets in one."""
+    order = ["subject_id", "property_id", F.coalesce("object_id", F.lit("")), "object_label", keep]
+    placed = stored(edges.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__n", F.monotonically_increasing_id()))
+    part = F.shiftright("__n", 33)
+    counts = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("k"))
+    before = counts.select("__part", (F.sum("k").over(W.orderBy("__part")) - F.col("k")).alias("__before"))
+    rows = placed.withColumn("__part", part).join(before, "__part")
+    return rows.select(*edges.columns, (F.col("__before") + F.col("__n").bitwiseAND(F.lit((1 << 33) - 1))).alias("edge_no"))
+
+
 def reference_id(snapshot_id: str, labels: DataFrame) -> DataFrame:
     """One row: ``snapshot_id:`` and 16 hex digits over all content facts, whatever their order. Each fact's sha256 is cut
     into eight numbers, the numbers are summed, and the sums are digested: no task holds more than eight numbers."""

@@ -6,16 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.calibration import modality_error, reliability_curve
+from ..operators.lineage import stored
 from ..operators.linking import link_text
 from ..operators.scoring import best_premise
 from .cascade import Grounding, best_path, edge_premises, scored_paths
 
 
-def stage_scores(claims: DataFrame, nodes: DataFrame, edges: DataFrame, facts: DataFrame, how: Grounding) -> DataFrame:
+def stage_scores(claims: DataFrame, nodes: DataFrame, edges: DataFrame, facts: DataFrame, how: Grounding, paths: DataFrame | None = None) -> DataFrame:
     """key, direct, content, hops (best scores, 0 without evidence) and gated (whether a label is in the text)."""
     direct = best_premise(claims, edge_premises(nodes, edges).select("pid", "premise", "ord")).select("key", F.col("score").alias("direct"))
     content = best_premise(claims, facts.select(F.col("entity_id").alias("pid"), F.col("fact").alias("premise"), F.col("label_ord").alias("ord"))).select("key", F.col("score").alias("content"))
-    hops = best_path(scored_paths(claims, nodes, edges, how)).select("key", F.col("score").alias("hops"))
+    hops = best_path(scored_paths(claims, nodes, edges, how) if paths is None else paths).select("key", F.col("score").alias("hops"))
     gated = link_text(claims, nodes).select("key").distinct().withColumn("gated", F.lit(True))
     out = claims.select("key").join(direct, "key", "left").join(content, "key", "left").join(hops, "key", "left").join(gated, "key", "left")
     return out.select("key", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("direct", "content", "hops")], F.coalesce("gated", F.lit(False)).alias("gated"))
@@ -48,6 +49,24 @@ def choose_tau(gold: DataFrame, scores: DataFrame, taus: list[float]) -> float |
     return None if best is None else best.tau
 
 
+def mean_multiplicity(gold: DataFrame, paths: DataFrame, tau: float) -> DataFrame:
+    """One row: how many distinct paths (key, nodes, score) above tau a claim expected to be supportable has, in the mean;
+    0 without such claims."""
+    taken = paths.where(F.col("score") > tau).select("key", "nodes").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("k"))
+    rows = gold.where("expected = 'reasoned-supportable'").join(taken, "key", "left")
+    return rows.agg(F.coalesce(F.avg(F.coalesce("k", F.lit(0))), F.lit(0.0)).alias("mean_multiplicity"))
+
+
+def calibrate(gold: DataFrame, claims: DataFrame, nodes: DataFrame, edges: DataFrame, facts: DataFrame, taus: list[float], how: Grounding = Grounding()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The whole report from gold rows and their claims (key, text): see `report`, the summary with mean_multiplicity."""
+    paths = stored(scored_paths(claims, nodes, edges, how))
+    scores = stored(stage_scores(claims, nodes, edges, facts, how, paths))
+    tau = choose_tau(gold, scores, taus)
+    one, errors, curve = report(gold, scores, taus)
+    many = mean_multiplicity(gold.where("fold = 'sweep'"), paths, taus[0] if tau is None else tau)
+    return one.join(F.broadcast(many)), errors, curve
+
+
 def report(gold: DataFrame, scores: DataFrame, taus: list[float]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """With tau chosen on the calibration fold, the sweep fold's summary (one row), error by modality, and reliability
     curve of the claims that a label was found in. A measure of nothing is 0."""

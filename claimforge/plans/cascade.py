@@ -53,6 +53,17 @@ def told_paths(paths: DataFrame, nodes: DataFrame, *by: str) -> DataFrame:
     return each.groupBy(*by).agg(F.array_join(F.transform(parts, lambda x: x["t"]), " ").alias("premise"))
 
 
+def route_robustness(paths: DataFrame, how: Grounding = Grounding()) -> DataFrame:
+    """Of scored paths (key, nodes, path, score), for each edge of the best accepted path of a claim: key, edge_ord, other
+    (the best score of its paths that do without this edge, null if none does), and robust, whether one of these is
+    accepted as well. Every path is compared with the edges of its own claim's best one only."""
+    best = best_path(paths).where(F.col("score") > how.tau)
+    used = cut(best.select("key", F.explode(F.transform("path", lambda e: e["edge_ord"])).alias("edge_ord")).distinct())
+    rest = paths.select("key", F.transform("path", lambda e: e["edge_ord"]).alias("own"), "score").join(used, "key").where(~F.array_contains("own", F.col("edge_ord")))
+    other = rest.groupBy("key", "edge_ord").agg(F.max("score").alias("other"))
+    return used.join(other, ["key", "edge_ord"], "left").select("key", "edge_ord", "other", F.coalesce(F.col("other") > how.tau, F.lit(False)).alias("robust"))
+
+
 def best_path(paths: DataFrame) -> DataFrame:
     """Per claim the path of best score, the least node path on ties."""
     best = paths.groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("minus"), "nodes", "path", "premise")).alias("b"))

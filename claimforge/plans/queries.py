@@ -111,6 +111,17 @@ def overlap_report(s: SparkSession, d: str) -> DataFrame:
     return snapshot.overlap_report(_nodes(s, d), _edges(s, d))
 
 
+@query(f"""WITH x AS (SELECT e.subject_id AS id, coalesce(bool_or(trim(n.description) <> ''), false) AS told FROM ({star.EDGES}) e LEFT JOIN ({star.NODES}) n ON n.id = e.subject_id GROUP BY 1)
+SELECT count(*) AS num_entities, count(*) FILTER (told) AS num_with_description, count(*) FILTER (NOT told) AS num_without_description, count(*) AS num_with_triples, count(*) FILTER (told) AS num_with_both FROM x""")
+def overlap_summary(s: SparkSession, d: str) -> DataFrame:
+    return snapshot.overlap_summary(_nodes(s, d), _edges(s, d))
+
+
+@query(f"""SELECT edge_ord, row_number() OVER (ORDER BY subject_id, property_id, coalesce(object_id, ''), object_label, edge_ord) - 1 AS edge_no FROM ({star.EDGES})""")
+def kg_edges_numbered(s: SparkSession, d: str) -> DataFrame:
+    return snapshot.numbered_edges(_edges(s, d)).select("edge_ord", "edge_no")
+
+
 @query(f"""SELECT 'lit:' || value_type || ':' || object_label AS id, value_type, count(*) AS uses FROM ({star.EDGES}) WHERE object_id IS NULL GROUP BY 1, 2""")
 def literal_nodes_shared(s: SparkSession, d: str) -> DataFrame:
     literals = graph.with_targets(_edges(s, d).where("object_id IS NULL"))
@@ -430,6 +441,16 @@ def spurious_flags(s: SparkSession, d: str) -> DataFrame:
     return cascade.spurious(best, edges, surfaces, HOW)
 
 
+@query(f"""WITH {_CL_SQL}, {_LINKS_SQL}, u AS (SELECT key, unnest([e1, e2]) AS edge_ord FROM pb WHERE score > {HOW.tau}),
+o AS (SELECT u.key, u.edge_ord, max(ps.score) AS other FROM u JOIN ps ON ps.key = u.key AND ps.e1 <> u.edge_ord AND ps.e2 <> u.edge_ord GROUP BY 1, 2)
+SELECT DISTINCT key, edge_ord, round(other, 9) AS other, coalesce(other > {HOW.tau}, false) AS robust FROM u LEFT JOIN o USING (key, edge_ord)""")
+def route_robustness(s: SparkSession, d: str) -> DataFrame:
+    """Whether claims that a path supports would still have one without each of its edges."""
+    claims, nodes, edges, _ = _graph(s, d)
+    found = cascade.route_robustness(stored(cascade.scored_paths(claims, nodes, edges, HOW)), HOW)
+    return found.withColumn("other", F.round("other", 9))
+
+
 @query()
 def embedding_neighbours(s: SparkSession, d: str) -> DataFrame:
     """The nearest rows of each 20th row of the embeddings, among all of them, by the index that gives scorers and linkers
@@ -441,6 +462,13 @@ def embedding_neighbours(s: SparkSession, d: str) -> DataFrame:
     return vectors.neighbours(rows.where("vec_id % 20 = 0"), rows, index).select("vec_id", "rank", "neighbour_id", "score")
 
 
+@query(f"""WITH c AS ({star.RUN_CLAIMS}), g AS (SELECT condition, status, k FROM (SELECT DISTINCT condition FROM c) CROSS JOIN (VALUES ('retrieved'), ('reasoned-supportable'), ('fabricated')) s(status)
+  LEFT JOIN (SELECT condition, status, count(*) AS k FROM c GROUP BY 1, 2) USING (condition, status))
+SELECT condition, status, coalesce(sum(k), 0)::BIGINT AS n, grouping(condition, status)::BIGINT AS level FROM g GROUP BY ROLLUP (condition, status)""")
+def status_rollup(s: SparkSession, d: str) -> DataFrame:
+    return runs.status_rollup(star.view(s, d, star.RUN_CLAIMS))
+
+
 # --- ablation and sweep ---------------------------------------------------------------------------------------------
 
 _REFS = """SELECT 'S' || CAST(s_suppkey AS STRING) AS subject_id, 'PS' AS property_id, CAST(NULL AS STRING) AS object_id FROM {supplier} WHERE s_acctbal < 0

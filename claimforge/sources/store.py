@@ -95,6 +95,34 @@ def read_gold(spark: SparkSession, path: str) -> DataFrame:
     return items.select("i.item_id", "i.question", "i.entity_id", "i.adversarial_negative", "i.fold", F.explode("i.expected_outcomes").alias("o")).select("*", "o.*").drop("o")
 
 
+#: One document of a question bank.
+BANK = "bank_id string, slice_id string, schema_version string, items array<struct<item_id:string,question:string,tier:string,entity_id:string,slice_id:string,fact_type:string,out_of_slice_expected:boolean,notes:string>>"
+
+
+def read_bank(spark: SparkSession, path: str) -> DataFrame:
+    """bank_id and one row for each item of a question bank."""
+    doc = spark.read.schema(BANK).json(path, multiLine=True)
+    return doc.select("bank_id", F.explode("items").alias("i")).select("bank_id", "i.*")
+
+
+def canonical_lines(rows: DataFrame, order: list[str]) -> DataFrame:
+    """value: each row as JSON with its keys in order and nulls kept, in range partitions that are sorted by ``order``. The
+    same rows give the same lines, in the same order over all parts."""
+    held = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    return held.select(F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def freeze_json(nodes: DataFrame, edges: DataFrame, facts: DataFrame, folder: str) -> None:
+    """A snapshot and its content facts as sorted JSON lines, in parts whose names are in their order."""
+    for name, rows, order in (("nodes", nodes, ["id"]), ("edges", edges, ["subject_id", "property_id", "object_id", "object_label", "edge_ord"]), ("content_labels", facts, ["label_ord", "entity_id", "fact"])):
+        canonical_lines(rows, order).write.mode("overwrite").text(f"{folder}/{name}")
+
+
+def thaw_json(spark: SparkSession, folder: str, nodes: str, edges: str, facts: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges and facts of `freeze_json`, with the given schemas."""
+    return tuple(spark.read.schema(kind).json(f"{folder}/{name}") for name, kind in (("nodes", nodes), ("edges", edges), ("content_labels", facts)))
+
+
 def read_canon(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """aliases (surface, pid) and inverses (property, inverse)."""
     doc = spark.read.schema(CANON).json(path, multiLine=True)
