@@ -8,7 +8,8 @@ each control string, so none of them occurs in an escaped text; `unescape` drops
 
 Cases: turns are ordered by turn, role and text, null first; a null text is empty, a null role is an empty role. A
 conversation that doesn't end with an assistant turn gives one more row that holds all its turns and an empty loss
-mask, so no turn is lost. Rows with a null conv_id form one conversation. Repeated rows are repeated turns. Only
+mask, so no turn is lost. Rows with a null conv_id form one conversation. Repeated rows are repeated turns. An empty table gives no rows; a
+very long text is one row's work. Only
 conv_id, turn, role and text are read. One conversation is one task's work, as each example holds all turns before it.
 """
 

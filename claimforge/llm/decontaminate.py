@@ -35,7 +35,8 @@ class Decontamination:
     window: int = 13
     #: Hit words per word from which on a document is contaminated: one in ``min_share``.
     min_share: int = 20
-    #: Benchmark words, and so about windows, of a block; about 50 MB in the driver and in each worker.
+    #: Benchmark words, and so about windows, of a block; up to about 350 MB in the driver and in each worker
+    #: if all of a block's words are distinct (270 MB of it the words themselves), far less for texts of a language.
     block_words: int = 1_500_000
     #: An item of more words is indexed in parts.
     part_words: int = 100_000

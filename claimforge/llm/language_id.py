@@ -12,8 +12,8 @@ steps on the exact likelihood. All texts are labelled over all their words: bloc
 matrices, a scan over a text's blocks links them, and the words inside are then done for all blocks at once.
 
 Cases: a null text and a text without a letter get ``und`` and score 0. Rows with a null lang or doc_id aren't learned
-from. Without training rows all is ``und``. Repeated rows are labelled each on its own. lang, source and doc_id are no
-inputs of a prediction.
+from. Without training rows all is ``und``. Repeated rows are labelled each on its own; an empty table gives none. lang,
+source and doc_id are no inputs of a prediction.
 """
 
 from __future__ import annotations

@@ -6,14 +6,16 @@ gives two signature values, the least and the greatest image of the set, each eq
 their Jaccard similarity; so ``bands * rows`` values cost half as many hash evaluations. Equal bands make candidates,
 and every link is decided on full sets: 100 * |A and B| >= ``percent`` * |A or B|.
 
-No stage emits all pairs of a group:
+How groups are kept from being compared pair by pair:
 
 * documents with the same set are one class, represented by the least doc_id; only representatives go on;
 * in a bucket, members are compared with one pivot, the member with the most company over all its buckets. Components of
   the links so far are then formed, and buckets that lie in one component are done. Others lose their pivot, which has
   been compared with all that it isn't connected with, and take the next one;
 * after ``pivot_rounds`` rounds the members of a bucket that are still in different components are searched for links by
-  their differences from one more pivot (`_rest_links`), so that no candidate is left out.
+  their differences from what most of them have in common (`_rest_links`), so that no candidate is left out. This search
+  is exact, so where a group is spread evenly just below the threshold its joined rows still grow with the square of the
+  group, at a small fraction of all pairs: README has figures.
 
 Of two sets with c common of u shingles in all, a permutation's least and greatest images both agree with probability
 c (c - 1) / (u (u - 1)): the two ends of the union are different elements. So a pair of representatives shares no bucket

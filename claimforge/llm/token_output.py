@@ -16,6 +16,7 @@ pre-tokenizer keeps apart. A worker looks pieces up by 64-bit hashes and compare
 pieces of one hash and other bytes are encoded each on its own. The tests hold this against whole-text encoding.
 
 Cases: null and empty texts give the end id alone. Repeated rows are repeated documents. An empty table gives no files.
+A very long text is one chunk of its own, held whole in its task.
 Only doc_id and text are read.
 """
 
