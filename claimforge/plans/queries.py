@@ -11,7 +11,7 @@ from ..functions import text as T
 from ..operators import calibration, edits, graph, linking, manifest, perturb, runs, scoring, snapshot, vectors, views
 from ..operators.lineage import cut, stored
 from ..sources import sparql, star
-from . import calibrate, cascade, grounding, records
+from . import calibrate, cascade, controls, grounding, records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -427,6 +427,28 @@ def cascade_status(s: SparkSession, d: str) -> DataFrame:
     return cascade.grade(claims, nodes, edges, facts, HOW).withColumn("score", F.round("score", 9))
 
 
+_CONTROLLED = "(key LIKE '%-ledger') AS is_true, (key LIKE '%-nation' AND regexp_extract(key, '[0-9]+', 0)::INT % 5 = 0) AS wrong, (key LIKE '%-none') AS unknown"
+
+
+@query(f"""WITH {_STAGES_SQL}, {_LINKS_SQL}, {_ALL_STAGES}, gr AS ({_GRADES}), x AS (SELECT *, {_CONTROLLED}, CASE WHEN status = 'fabricated' THEN evidence <> '' ELSE evidence = '' OR score IS NULL END AS odd FROM gr),
+r AS (SELECT 'true_claims_are_grounded' AS control, count(*) FILTER (is_true) AS n, count(*) FILTER (is_true AND status = 'fabricated') AS n_broken, 0.05::DOUBLE AS "limit" FROM x
+  UNION ALL SELECT 'wrong_values_are_fabricated', count(*) FILTER (wrong), count(*) FILTER (wrong AND status <> 'fabricated'), 0 FROM x
+  UNION ALL SELECT 'unknown_facts_are_fabricated', count(*) FILTER (unknown), count(*) FILTER (unknown AND status <> 'fabricated'), 0 FROM x
+  UNION ALL SELECT 'grounded_claims_name_evidence', count(*), count(*) FILTER (odd), 0 FROM x)
+SELECT control, n, n_broken, round(CASE WHEN n > 0 THEN n_broken / n ELSE 0 END, 9) AS share, "limit", CASE WHEN n > 0 THEN n_broken / n ELSE 0 END <= "limit" AS green FROM r""")
+def control_report(s: SparkSession, d: str) -> DataFrame:
+    """The controls of a grading of all claims: ledgers are true, each fifth nation is a wrong one, and no founding year is
+    known."""
+    claims, nodes, edges, facts = _graph(s, d)
+    key = F.col("key")
+    asked = [
+        controls.ungrounded(key.endswith("-ledger"), 0.05),
+        controls.believed("wrong_values_are_fabricated", key.endswith("-nation") & (F.regexp_extract(key, "[0-9]+", 0).try_cast("int") % 5 == 0)),
+        controls.believed("unknown_facts_are_fabricated", key.endswith("-none")), controls.unsourced(),
+    ]
+    return controls.observed(cascade.grade(claims, nodes, edges, facts, HOW), asked)[1].withColumn("share", F.round("share", 9))
+
+
 @query(rf"""WITH {_CL_SQL}, {_LINKS_SQL}, {_PAIRS_SQL}, dg AS (SELECT id, sum(mult) AS degree FROM (SELECT a AS id, mult FROM p UNION ALL SELECT b, mult FROM p) GROUP BY 1),
 x AS (SELECT pb.*, text, CASE WHEN contains(text, 'in region') THEN 'PR' END AS pid,
   CASE WHEN regexp_matches(text, '{_CUE_SQL}') THEN trim(regexp_replace(trim(regexp_extract(text, '{_CUE_SQL}', 3)), '\.+$', '')) ELSE '' END AS tail,
