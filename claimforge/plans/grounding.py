@@ -9,7 +9,7 @@ from ..functions.text import cue_parts, normalize, sentences
 from ..operators.linking import ACCEPT, link_text, side_links, unresolved
 from ..operators.runs import status_counts
 from .cascade import Grounding, grade
-from .choices import Choices
+from .choices import Choices, cached_answers, generation_key
 
 
 def answer_claims(answers: DataFrame) -> DataFrame:
@@ -75,6 +75,19 @@ def sweep_answers(plan: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataF
     return rows.where("answer_text IS NOT NULL"), rows.where("answer_text IS NULL").drop("answer_text")
 
 
+def answered_sweep(plan: DataFrame, asked: DataFrame, cache: DataFrame, temperature: float) -> tuple[DataFrame, DataFrame]:
+    """A sweep plan with the answers that a cache (generation_key, answer_text) holds, and what is still to be drawn: plan
+    rows with question, context, generation_key. asked: item, condition, question, context (as text); the key covers all
+    that a draw depends on, so an answer is used for no other context, temperature or seed. A rerun without an edit takes
+    the full condition's answer where it has none; rows that nothing is asked for can't be drawn and raise."""
+    unasked = F.raise_error(F.concat_ws(" ", F.lit("nothing to ask for"), "item", "condition"))
+    rows = plan.join(asked.withColumn("__there", F.lit(True)), ["item", "condition"], "left").withColumn("question", F.when(F.col("__there"), F.col("question")).otherwise(unasked)).drop("__there")
+    rows = rows.withColumn("generation_key", generation_key(F.col("question"), F.col("context"), F.lit(temperature), F.col("seed")))
+    held, _ = cached_answers(rows, cache)
+    done, open_ = sweep_answers(plan, held.select("item", "condition", "sample", "answer_text"))
+    return done, rows.join(open_.select("run_id"), "run_id", "left_semi")
+
+
 def slot_difference(claims: DataFrame, edges: DataFrame) -> DataFrame:
     """Why a claim (key, subject_id, property_id, object_label) isn't held: ``held`` if the graph has the triple after all,
     ``value`` if it has the subject and property with other objects only, ``missing`` if it has none."""
