@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .lineage import stored
 from .snapshot import literal_id
 
 
@@ -66,21 +67,32 @@ def simple_paths(ends: DataFrame, step: DataFrame, hops: int = 2) -> DataFrame:
     hop = step.select(F.col("src").alias("__s"), F.col("dst").alias("__d"), F.col("edge").alias("__e"), F.col("mult").alias("__m"))
     none = F.array().cast("array<" + step.schema["edge"].dataType.simpleString() + ">")
     rows = ends.where("src <> dst").withColumns({"__a": F.col("src"), "__b": F.col("dst"), "__left": F.array("src"), "__right": F.array("dst"), "__to": none, "__from": none, "mult": F.lit(1).cast("long")})
-    new = lambda c: ~F.array_contains("__left", F.col(c)) & ~F.array_contains("__right", F.col(c))
+    # One table for steps on from one end and back from the other, so that a round is one join and no union of searches.
+    on = hop.select(F.col("__s").alias("__at"), F.col("__d").alias("__new"), "__e", "__m", F.lit(True).alias("__on"))
+    both = on.union(hop.select("__d", "__s", "__e", "__m", F.lit(False)))
     one, times = F.array("__e"), (F.col("mult") * F.col("__m")).alias("mult")
-    found = rows.where(F.lit(False)).select(*ends.columns, F.col("__left").alias("nodes"), F.col("__to").alias("path"), "mult") if hops < 2 else None
+    pick = lambda a, b: F.when(F.col("__on"), a).otherwise(b)
+    found = []
     count = step.groupBy("src").agg(F.count(F.lit(1)).alias("k"))
     for _ in range(2, hops + 1):
         sized = rows.join(count.select(F.col("src").alias("__a"), F.col("k").alias("__ka")), "__a").join(count.select(F.col("src").alias("__b"), F.col("k").alias("__kb")), "__b")
-        ahead = sized.where("__ka <= __kb").join(hop, F.col("__a") == F.col("__s")).where(new("__d"))
-        ahead = ahead.select(*ends.columns, F.col("__d").alias("__a"), "__b", F.concat("__left", F.array("__d")).alias("__left"), "__right", F.concat("__to", one).alias("__to"), "__from", times)
-        behind = sized.where("__ka > __kb").join(hop, F.col("__b") == F.col("__d")).where(new("__s"))
-        behind = behind.select(*ends.columns, "__a", F.col("__s").alias("__b"), "__left", F.concat(F.array("__s"), "__right").alias("__right"), "__to", F.concat(one, "__from").alias("__from"), times)
-        rows = ahead.unionByName(behind)
+        sized = sized.withColumn("__on", F.col("__ka") <= F.col("__kb")).withColumn("__at", pick(F.col("__a"), F.col("__b")))
+        grown = sized.join(both, ["__at", "__on"]).where(~F.array_contains("__left", F.col("__new")) & ~F.array_contains("__right", F.col("__new")))
+        rows = grown.select(
+            *ends.columns, pick(F.col("__new"), F.col("__a")).alias("__a"), pick(F.col("__b"), F.col("__new")).alias("__b"),
+            pick(F.concat("__left", F.array("__new")), F.col("__left")).alias("__left"), pick(F.col("__right"), F.concat(F.array("__new"), "__right")).alias("__right"),
+            pick(F.concat("__to", one), F.col("__to")).alias("__to"), pick(F.col("__from"), F.concat(one, "__from")).alias("__from"), times,
+        )
+        rows = rows if hops == 2 else stored(rows)
         last = rows.join(hop, (F.col("__a") == F.col("__s")) & (F.col("__b") == F.col("__d")))
         last = last.select(*ends.columns, F.concat("__left", "__right").alias("nodes"), F.concat("__to", one, "__from").alias("path"), times)
-        found = last if found is None else found.unionByName(last)
-    return found
+        found.append(last if hops == 2 else stored(last))
+    if not found:
+        return rows.where(F.lit(False)).select(*ends.columns, F.col("__left").alias("nodes"), F.col("__to").alias("path"), "mult")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def all_paths(step: DataFrame, hops: int = 2) -> DataFrame:
