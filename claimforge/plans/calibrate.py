@@ -14,10 +14,11 @@ from .cascade import Grounding, best_path, edge_premises, scored_paths
 
 def stage_scores(claims: DataFrame, nodes: DataFrame, edges: DataFrame, facts: DataFrame, how: Grounding, paths: DataFrame | None = None) -> DataFrame:
     """key, direct, content, hops (best scores, 0 without evidence) and gated (whether a label is in the text)."""
-    direct = best_premise(claims, edge_premises(nodes, edges).select("pid", "premise", "ord")).select("key", F.col("score").alias("direct"))
-    content = best_premise(claims, facts.select(F.col("entity_id").alias("pid"), F.col("fact").alias("premise"), F.col("label_ord").alias("ord"))).select("key", F.col("score").alias("content"))
-    hops = best_path(scored_paths(claims, nodes, edges, how) if paths is None else paths).select("key", F.col("score").alias("hops"))
-    gated = link_text(claims, nodes).select("key").distinct().withColumn("gated", F.lit(True))
+    # The result of each search is written, so that no plan holds more than one of them.
+    direct = stored(best_premise(claims, edge_premises(nodes, edges).select("pid", "premise", "ord")).select("key", F.col("score").alias("direct")))
+    content = stored(best_premise(claims, facts.select(F.col("entity_id").alias("pid"), F.col("fact").alias("premise"), F.col("label_ord").alias("ord"))).select("key", F.col("score").alias("content")))
+    hops = stored(best_path(scored_paths(claims, nodes, edges, how) if paths is None else paths).select("key", F.col("score").alias("hops")))
+    gated = stored(link_text(claims, nodes).select("key").distinct()).withColumn("gated", F.lit(True))
     out = claims.select("key").join(direct, "key", "left").join(content, "key", "left").join(hops, "key", "left").join(gated, "key", "left")
     return out.select("key", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("direct", "content", "hops")], F.coalesce("gated", F.lit(False)).alias("gated"))
 
